@@ -108,16 +108,23 @@ def spans(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return starts, ends, np.diff(np.searchsorted(starts, offsets))
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+class SpanHasher:
+    """Hashes of spans of one array of bytes, from one running sum over it."""
+
+    def __init__(self, data: np.ndarray):
+        up, self.down = powers(len(data) + 1)
+        self.total = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(_mixers()[data] * up[:-1], out=self.total[1:])
+
+    def __call__(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        h = (self.total[ends] - self.total[starts]) * self.down[starts]
+        h += (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+        return mix64(h)
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of the bytes of each span."""
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    up, down = powers(len(data) + 1)
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_mixers()[data] * up[:-1], out=total[1:])
-    h = (total[ends] - total[starts]) * down[starts]
-    h += (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
-    return mix64(h ^ np.uint64(seed))
+    return SpanHasher(data)(starts, ends) if len(starts) else np.zeros(0, np.uint64)
 
 
 def space_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
