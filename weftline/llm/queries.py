@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import chat_format, language_id, line_dedup, sentencepiece_bpe, toxicity
+from weftline.llm import chat_format, language_id, line_dedup, ngram_jaccard, sentencepiece_bpe, toxicity
 
 
 def tokenizer_path(name: str) -> str:
@@ -101,6 +101,35 @@ FROM marked GROUP BY doc_id
 """
 
 
+def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose sets of four-word shingles are alike by 0.85 or more."""
+    return ngram_jaccard.near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"), words=4, num=85, den=100)
+
+
+OP8_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+  FROM documents
+), shingles AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) END) AS s
+  FROM words
+), sizes AS (
+  SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
+), common AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL
+), links AS (
+  SELECT a, b FROM common JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)
+), ends AS (
+  SELECT a, b FROM links UNION ALL SELECT b, a FROM links
+), reach AS (
+  SELECT doc_id, doc_id AS root FROM documents UNION SELECT ends.b, reach.root FROM reach JOIN ends ON ends.a = reach.doc_id
+)
+SELECT r.doc_id, CAST(coalesce(any_value(n), 0) AS BIGINT) AS n_shingles, min(root) AS component_id
+FROM reach r LEFT JOIN sizes s ON s.doc_id = r.doc_id GROUP BY r.doc_id
+"""
+
+
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded and decoded: digests of the ids and of the decoded text."""
     docs = _table(spark, sf_dir, "documents")
@@ -113,6 +142,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_toxicity": op2_toxicity,
         "op6_chat_format": op6_chat_format,
         "op7_line_dedup": op7_line_dedup,
+        "op8_ngram_jaccard": op8_ngram_jaccard,
         "op9_sentencepiece": op9_sentencepiece,
     }
 
@@ -121,4 +151,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op6_chat_format": OP6_SQL,
         "op7_line_dedup": OP7_SQL,
+        "op8_ngram_jaccard": OP8_SQL,
     }
