@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftline.llm import id_filter
 from weftline.llm.bytes_np import chunks, mix64, ngram_hashes, space_words
 from weftline.llm.components import components
 from weftline.session import written
@@ -33,7 +34,6 @@ from weftline.session import written
 BLOCK_BITS = 4096
 #: Buckets with more classes than this may be left out, as far as the slack allows.
 LARGE = 24
-_HITS = 1 << 22
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, words: int) -> Iterator[np.ndarray]:
@@ -151,22 +151,17 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
 
     A bitmap of the wanted ids, of fixed size, lets the scan skip other texts; a semi join takes out the rest.
     """
-    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(_HITS)).cast("int")
-    hits = wanted.select(slot("doc").alias("slot")).distinct().toArrow().column("slot").to_numpy()
-    bitmap = np.zeros(_HITS, bool)
-    bitmap[hits] = True
-    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(bitmap))
+    shared = docs.sparkSession.sparkContext.broadcast(id_filter.bitmap(wanted, "doc"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted_bits = np.unpackbits(shared.value).astype(bool)
         for batch in batches:
-            batch = batch.filter(pa.array(wanted_bits[batch.column(2).to_numpy()]))
+            batch = batch.filter(id_filter.kept(shared.value, batch.column(2)))
             for lo, hi, data, offsets in chunks(batch.column(1)):
                 sets = [s.tobytes() for s in shingle_sets(data, offsets, words)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(sets, pa.binary())], ["doc", "shingles"])
 
     kind = docs.schema["doc"].dataType.simpleString()
-    made = docs.select("doc", "text", slot("doc").alias("slot")).mapInArrow(work, f"doc {kind}, shingles binary")
+    made = docs.select("doc", "text", id_filter.slot("doc").alias("slot")).mapInArrow(work, f"doc {kind}, shingles binary")
     return made.join(wanted, "doc", "left_semi")
 
 

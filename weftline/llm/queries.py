@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import chat_format, language_id, line_dedup, ngram_jaccard, sentencepiece_bpe, toxicity
+from weftline.llm import chat_format, decontaminate, language_id, line_dedup, ngram_jaccard, sentencepiece_bpe, toxicity
 
 
 def tokenizer_path(name: str) -> str:
@@ -136,6 +136,11 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_bpe.encode(docs, tokenizer_path("piece_bpe_32k.model"), digest=True, carry=["doc_id"])
 
 
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items found in documents, with the edits and the stretch of words."""
+    return decontaminate.matches(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_language_id": op1_language_id,
@@ -144,6 +149,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_line_dedup": op7_line_dedup,
         "op8_ngram_jaccard": op8_ngram_jaccard,
         "op9_sentencepiece": op9_sentencepiece,
+        "op10_decontaminate": op10_decontaminate,
     }
 
 

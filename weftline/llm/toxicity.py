@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weftline.llm import id_filter
 from weftline.llm.bytes_np import IS_WORDISH, LOWER, SpanHasher, chunks, mix64, row_of, spans
 
 #: Prefix lengths in bytes; 0 is the whole word.
@@ -187,7 +188,16 @@ def _decay(values: np.ndarray, weights: np.ndarray) -> float:
 def train(docs: DataFrame, labels: DataFrame, learn: Column, text: str = "text", key: str = "doc_id", label: str = "toxic", bits: int = 20, prior: float = 20.0) -> ToxicityModel:
     """Learn from all labelled rows that *learn* allows; only bucket counts and a histogram reach the driver."""
     marks = labels.where(learn & F.col(label).isNotNull()).groupBy(key).agg(F.max(F.col(label).cast("int")).alias("__toxic")).where(F.col("__toxic").isin(0, 1))
-    rows = docs.where(learn & F.col(text).isNotNull()).select(key, F.col(text).cast("string").alias("__text")).join(marks, key).select("__text", F.col("__toxic").cast("boolean").alias("__toxic"))
+    texts = docs.where(learn & F.col(text).isNotNull()).select(F.col(key).alias("__key"), F.col(text).cast("string").alias("__text"), id_filter.slot(key).alias("__slot"))
+    marks = marks.select(F.col(key).alias("__key"), F.col("__toxic").cast("boolean").alias("__toxic"))
+    wanted = docs.sparkSession.sparkContext.broadcast(id_filter.bitmap(marks, "__key"))
+
+    def labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(id_filter.kept(wanted.value, batch.column(2))).select(["__key", "__text"])
+
+    kind = texts.schema["__key"].dataType.simpleString()
+    rows = texts.mapInArrow(labelled, f"__key {kind}, __text string").join(marks, "__key").select("__text", "__toxic")
     clean, toxic, n = _counts(rows, bits)
     model = ToxicityModel(bits, np.zeros(1 << bits, np.float32), -1.0, 1.0, 1.0, -3.0, 1.0)
     if not n[0] or not n[1]:
@@ -204,12 +214,12 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, text: str = "text",
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            toxic_ = np.asarray(batch.column(1).to_pylist(), np.int32)
-            x = [evidence(shared.value, data, offsets)[0] for _, _, data, offsets in chunks(batch.column(0))]
+            batch = batch.filter(id_filter.kept(wanted.value, batch.column(2)))
+            x = [evidence(shared.value, data, offsets)[0] for _, _, data, offsets in chunks(batch.column(1))]
             x = np.minimum(np.round(np.concatenate(x) * 4) if x else np.zeros(0), 400).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(toxic_)], ["x", "toxic"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x)], ["__key", "x"])
 
-    seen = rows.mapInArrow(look, "x int, toxic int").groupBy("x", "toxic").count().collect()
+    seen = texts.mapInArrow(look, f"__key {kind}, x int").join(marks, "__key").groupBy("x", F.col("__toxic").cast("int").alias("toxic")).count().collect()
     x = np.array([r["x"] / 4 for r in seen])
     y = np.array([r["toxic"] for r in seen], float)
     w = np.array([r["count"] for r in seen], float)
