@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import chat_format, decontaminate, language_id, line_dedup, ngram_jaccard, sentencepiece_bpe, toxicity
+from weftline.llm import chat_format, decontaminate, language_id, line_dedup, lm_score, ngram_jaccard, sentencepiece_bpe, toxicity
 
 
 def tokenizer_path(name: str) -> str:
@@ -41,6 +41,12 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(held, model, carry=["doc_id", "held_out"], passages=False)
 
 
+def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log-probability of every document; learnt from the folds other than 1 of 5."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", (_fold(5) == 1).alias("held_out"), "text")
+    return lm_score.score(docs, ~F.col("held_out"), carry=["doc_id", "held_out"])
+
+
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations, and one that holds the template's look-alikes, formatted and read back."""
     rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -145,6 +151,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_language_id": op1_language_id,
         "op2_toxicity": op2_toxicity,
+        "op4_lm_score": op4_lm_score,
         "op6_chat_format": op6_chat_format,
         "op7_line_dedup": op7_line_dedup,
         "op8_ngram_jaccard": op8_ngram_jaccard,
