@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import chat_format, decontaminate, language_id, line_dedup, lm_score, ngram_jaccard, sentencepiece_bpe, toxicity
+from weftline.llm import chat_format, chroma, decontaminate, language_id, line_dedup, lm_score, ngram_jaccard, sentencepiece_bpe, token_counts, toxicity
 
 
 def tokenizer_path(name: str) -> str:
@@ -41,12 +41,28 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(held, model, carry=["doc_id", "held_out"], passages=False)
 
 
+def op3_chroma(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recordings made of all vectors, fingerprinted; those with an id divisible by 100 are aligned with all."""
+    media = chroma.sonified(_table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+    return chroma.align(media, F.col("rec") % 100 == 0).withColumnRenamed("rec", "vec_id")
+
+
 def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log-probability of every document; learnt from the folds other than 1 of 5."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", (_fold(5) == 1).alias("held_out"), "text")
     return lm_score.score(docs, ~F.col("held_out"), carry=["doc_id", "held_out"])
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document, of its source field and of each line of its text."""
+    import public_tokenizers
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    counted = token_counts.count(docs, ["source", "text"], tokenizer_path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, carry=["doc_id"])
+    of = lambda field: F.aggregate(F.filter("sections", lambda s: s["field"] == field), F.lit(0), lambda a, s: a + s["tokens"]).cast("bigint")
+    return counted.select("doc_id", "n_tokens", "n_crossing", of("source").alias("source_tokens"), of("text").alias("text_tokens"), F.transform("sections", lambda s: s["tokens"]).alias("section_tokens"))
+
+
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations, and one that holds the template's look-alikes, formatted and read back."""
     rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -151,7 +167,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_language_id": op1_language_id,
         "op2_toxicity": op2_toxicity,
+        "op3_chroma": op3_chroma,
         "op4_lm_score": op4_lm_score,
+        "op5_token_counts": op5_token_counts,
         "op6_chat_format": op6_chat_format,
         "op7_line_dedup": op7_line_dedup,
         "op8_ngram_jaccard": op8_ngram_jaccard,
