@@ -197,7 +197,7 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, text: str = "text",
             yield batch.filter(id_filter.kept(wanted.value, batch.column(2))).select(["__key", "__text"])
 
     kind = texts.schema["__key"].dataType.simpleString()
-    rows = texts.mapInArrow(labelled, f"__key {kind}, __text string").join(marks, "__key").select("__text", "__toxic")
+    rows = texts.mapInArrow(labelled, f"__key {kind}, __text string").join(marks.hint("merge"), "__key").select("__text", "__toxic")
     clean, toxic, n = _counts(rows, bits)
     model = ToxicityModel(bits, np.zeros(1 << bits, np.float32), -1.0, 1.0, 1.0, -3.0, 1.0)
     if not n[0] or not n[1]:
