@@ -13,6 +13,7 @@ around the window.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -214,16 +215,22 @@ def matches(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: st
     return out if out is not None else docs.sparkSession.createDataFrame([], schema)
 
 
-_ready: dict[int, Items] = {}
+_ready: dict[str, Items] = {}
+
+
+def _items(name: str, shared) -> Items:
+    """The items of a block, made once by each worker."""
+    if name not in _ready:
+        _ready.clear()
+        _ready[name] = Items(*shared.value)
+    return _ready[name]
 
 
 def _finder(shared):
+    name = uuid.uuid4().hex
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        name = shared.id
-        if name not in _ready:
-            _ready.clear()
-            _ready[name] = Items(*shared.value)
-        items = _ready[name]
+        items = _items(name, shared)
         for batch in batches:
             for lo, _, data, offsets in chunks(batch.column(1)):
                 h, per_row, _, _ = word_hashes(data, offsets)
@@ -247,11 +254,10 @@ def clean(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str
 
 
 def _keeper(shared, at: int):
+    name = uuid.uuid4().hex
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        name = shared.id
-        if name not in _ready:
-            _ready[name] = Items(*shared.value)
-        items = _ready[name]
+        items = _items(name, shared)
         for batch in batches:
             keep = np.ones(batch.num_rows, bool)
             for lo, _, data, offsets in chunks(batch.column(at)):
