@@ -9,11 +9,13 @@ by a 64-bit hash of its bits.  The slack ``s`` lets each document leave out its
 blocks with the fewest bits, and then those whose buckets are the largest,
 without losing a pair (see ``_kept_blocks`` and ``_buckets``).
 
-Equal sets are one class.  Candidates are verified by exact intersection.  In
-a bucket every class is first compared with one other class; classes that are
-linked become one component, and what is compared afterwards are pairs of
-different components only, so that a large group of near copies never makes
-all its pairs.
+Equal sets are one class.  In a bucket every class is first compared with one
+other class, by exact intersection; classes that are linked become one
+component.  What is left are pairs of different components in a bucket: those
+whose whole sketches differ in few enough bits are candidates, and are verified
+component by component until none is left.  So a large group of near copies
+never makes all its pairs, and pairs that only share a passage are never
+intersected.
 """
 
 from __future__ import annotations
@@ -22,7 +24,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute  # noqa: F401  pa.compute
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.llm import id_filter
@@ -32,6 +35,8 @@ from weftline.session import written
 
 #: Bits of one block of the sketch.
 BLOCK_BITS = 4096
+#: Bits and 64-bit words of the sketch that is compared as a whole.
+SKETCH_BITS, SKETCH_WORDS = 1024, 16
 #: Buckets with more classes than this may be left out, as far as the slack allows.
 LARGE = 24
 
@@ -102,36 +107,36 @@ def _kept_blocks(shingles: np.ndarray, band: int, bands: Bands) -> np.ndarray:
     return key[order[by_bits:]].view(np.int64)
 
 
-def _sketches(docs: DataFrame, words: int, num: int, den: int, with_keys: bool) -> DataFrame:
-    """``doc, n, s1, s2`` of every row, and with *with_keys* its join keys for the two bands it may pair in."""
+def _sketches(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
+    """``doc, n, s1, s2, sketch`` of every row, and its join keys for the two bands it may pair in."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands = Bands(num, den)
         for batch in batches:
             for lo, hi, data, offsets in chunks(batch.column(1)):
-                n, s1, s2, low, high = [], [], [], [], []
+                n, s1, s2, sketch, low, high = [], [], [], [], [], []
                 for s in shingle_sets(data, offsets, words):
                     n.append(len(s))
                     s1.append(np.sum(mix64(s)).astype(np.int64) if len(s) else 0)
                     s2.append(np.sum(mix64(s ^ np.uint64(0x2545F4914F6CDD1D))).astype(np.int64) if len(s) else 0)
-                    if with_keys:
-                        band = bands.of(len(s)) if len(s) else -1
-                        low.append(_kept_blocks(s, band, bands) if len(s) else np.zeros(0, np.int64))
-                        high.append(_kept_blocks(s, band - 1, bands) if band > 0 else np.zeros(0, np.int64))
+                    sketch.append(np.packbits(np.bincount((mix64(s ^ np.uint64(0x6C62272E07BB0142)) % np.uint64(SKETCH_BITS)).astype(np.int64), minlength=SKETCH_BITS) % 2 == 1).view(np.int64))
+                    band = bands.of(len(s)) if len(s) else -1
+                    low.append(_kept_blocks(s, band, bands) if len(s) else np.zeros(0, np.int64))
+                    high.append(_kept_blocks(s, band - 1, bands) if band > 0 else np.zeros(0, np.int64))
                 out = [batch.column(0).slice(lo, hi - lo), *[pa.array(np.array(x, np.int64)) for x in (n, s1, s2)]]
                 names = ["doc", "n", "s1", "s2"]
-                for name, lists in (("low", low), ("high", high)) if with_keys else ():
+                for name, lists in (("sketch", sketch), ("low", low), ("high", high)):
                     sizes = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int32)
                     out.append(pa.ListArray.from_arrays(pa.array(sizes), pa.array(np.concatenate(lists))))
                     names.append(name)
                 yield pa.RecordBatch.from_arrays(out, names)
 
     kind = docs.schema["doc"].dataType.simpleString()
-    return docs.mapInArrow(work, f"doc {kind}, n bigint, s1 bigint, s2 bigint" + (", low array<bigint>, high array<bigint>" if with_keys else ""))
+    return docs.mapInArrow(work, f"doc {kind}, n bigint, s1 bigint, s2 bigint, sketch array<bigint>, low array<bigint>, high array<bigint>")
 
 
 def _buckets(keys: DataFrame) -> DataFrame:
-    """``key, doc`` of the keys that two classes or more share, without what the slack leaves out.
+    """``key, doc, degree`` of the keys that two classes or more share, without what the slack leaves out.
 
     *keys* has ``doc, tag, key``; *tag* is twice what that document may leave out in that band, plus the side.  Of those in large buckets it leaves out the largest first; the size of a bucket is the
     same for both documents of a pair, so of their ``1 + s2`` common keys the smallest stays in both.
@@ -143,7 +148,8 @@ def _buckets(keys: DataFrame) -> DataFrame:
     large = shared.where(F.col("size") > LARGE)
     rank = F.row_number().over(Window.partitionBy("doc", "tag").orderBy(F.desc("size"), "key"))
     stay = large.withColumn("rank", rank).where(F.col("rank") > F.shiftright("tag", 1)).select("key", "doc")
-    return written(shared.where(F.col("size") <= LARGE).select("key", "doc").unionByName(stay), "kept-buckets")
+    kept = shared.where(F.col("size") <= LARGE).select("key", "doc").unionByName(stay)
+    return written(kept.withColumn("degree", F.count(F.lit(1)).over(Window.partitionBy("doc"))), "kept-buckets")
 
 
 def _sets_of(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
@@ -202,41 +208,85 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     integers.
     """
     source = docs.select(F.col(key).cast("bigint").alias("doc"), F.col(text).cast("string").alias("text"))
-    facts = written(_sketches(source, words, num, den, True), "sketches")
-    real = facts.where(F.col("doc").isNotNull() & (F.col("n") > 0))
+    facts = written(_sketches(source, words, num, den), "sketches")
+    real = facts.where(F.col("doc").isNotNull() & (F.col("n") > 0)).select("doc", "n", "s1", "s2")
     classes = written(real.groupBy("n", "s1", "s2").agg(F.min("doc").alias("class")), "classes")
-    heads = real.select("doc", "n", "s1", "s2", "low", "high").join(classes, ["n", "s1", "s2"]).where(F.col("doc") == F.col("class"))
-    heads = heads.dropDuplicates(["doc", "n", "s1", "s2"])
+    same = written(real.join(classes, ["n", "s1", "s2"]).where(F.col("doc") != F.col("class")).select(F.col("doc").alias("a"), F.col("class").alias("b"), "n", "s1", "s2").distinct(), "equal")
+    heads = _heads(facts, same)
     # Of the differ + 1 + s2 kept keys of a side s2 may go, where s2 = ceil((differ + 1) / 10) + 1.
     tag = lambda name, side: 2 * (F.lit(1) + F.ceil((F.size(name) - 1) / F.lit(11)).cast("int")) + F.lit(side)
     keys = [heads.select("doc", tag(name, side).alias("tag"), F.explode(name).alias("key")) for side, name in enumerate(("low", "high"))]
     buckets = _buckets(keys[0].unionByName(keys[1]))
     wanted = written(buckets.select("doc").distinct(), "candidates")
     sets = written(_sets_of(source, wanted, words), "sets")
-    # Rows of one id with different texts: links between their classes.
-    same = facts.where(F.col("doc").isNotNull() & (F.col("n") > 0)).join(classes, ["n", "s1", "s2"]).select("doc", "class")
-    links = written(same.where(F.col("doc") != F.col("class")).select(F.col("doc").alias("a"), F.col("class").alias("b")).distinct(), "equal")
+    sketches = written(facts.where(F.col("n") > 0).select("doc", "n", "sketch").join(wanted, "doc"), "sketches")
+    links = same.select("a", "b")
     joined = written(components(links), "components")
-    tried: DataFrame | None = None
-    for round_ in range(3):
-        named = buckets.join(joined.withColumnRenamed("node", "doc"), "doc", "left").select("key", "doc", F.coalesce("component", "doc").alias("group"))
-        if round_ < 2:
-            # One member of each bucket, another in each round, is compared with the members of other groups.
-            head = named.groupBy("key").agg(F.min_by(F.struct("doc", "group"), F.xxhash64("doc", F.lit(round_))).alias("head"), F.min("group").alias("g0"), F.max("group").alias("g1")).where(F.col("g0") != F.col("g1"))
-            pairs = named.join(head, "key").where(F.col("group") != F.col("head.group")).select("doc", F.col("head.doc").alias("other"))
-            best = pairs.groupBy("doc", "other").agg(F.count(F.lit(1)).alias("n")).groupBy("doc").agg(F.max_by("other", F.struct("n", "other")).alias("other"))
-            pairs = best.select(F.least("doc", "other").alias("a"), F.greatest("doc", "other").alias("b")).distinct()
-        else:
-            # All that is left: pairs of different groups that share a bucket.
-            mixed = named.groupBy("key").agg(F.min("group").alias("g0"), F.max("group").alias("g1")).where(F.col("g0") != F.col("g1")).select("key")
-            named = named.join(mixed, "key", "left_semi")
-            other = named.select("key", F.col("doc").alias("b"), F.col("group").alias("h"))
-            pairs = named.withColumnRenamed("doc", "a").join(other, "key").where((F.col("a") < F.col("b")) & (F.col("group") != F.col("h"))).select("a", "b").distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = written(pairs, "pairs")
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        links = links.unionByName(written(_linked(pairs, sets, num, den), "links"))
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        return written(_linked(pairs, sets, num, den), "links")
+
+    for round_ in range(2):
+        # One member of each bucket is compared with the members of other groups: first the one that shares most keys, then any.
+        named, head = _with_groups(buckets, joined, F.struct(-F.col("degree"), F.col("doc")) if round_ == 0 else F.xxhash64("doc"))
+        pairs = named.join(head, "key").where(F.col("group") != F.col("head.group")).select("doc", F.col("head.doc").alias("other"))
+        best = pairs.groupBy("doc", "other").agg(F.count(F.lit(1)).alias("n")).groupBy("doc").agg(F.max_by("other", F.struct("n", "other")).alias("other"))
+        links = links.unionByName(verified(written(best.select(F.least("doc", "other").alias("a"), F.greatest("doc", "other").alias("b")).distinct(), "pairs")))
+        joined = written(components(links), "components")
+    open_ = _open_pairs(buckets, joined, sketches, num, den)
+    while True:
+        # Each document's most alike pairs that still lie between groups; the others wait for the groups to grow.
+        of = lambda end: joined.select(F.col("node").alias(end), F.col("component").alias(f"{end}_group"))
+        apart = open_.join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.coalesce("a_group", "a") != F.coalesce("b_group", "b")).select("a", "b", "bits")
+        rank = lambda end: F.row_number().over(Window.partitionBy(end).orderBy("bits", "a", "b"))
+        apart = written(apart.withColumns({"ra": rank("a"), "rb": rank("b")}), "open-pairs")
+        if not apart.head(1):
+            break
+        now = apart.where((F.col("ra") <= 4) | (F.col("rb") <= 4))
+        links = links.unionByName(verified(now.select("a", "b")))
         joined = written(components(links), "components")
+        open_ = apart.where((F.col("ra") > 4) & (F.col("rb") > 4)).select("a", "b", "bits")
     found = facts.select("doc", "n").join(joined.withColumnRenamed("node", "doc"), "doc", "left")
     return found.select(F.col("doc").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component", "doc").alias("component_id"))
+
+
+def _heads(facts: DataFrame, same: DataFrame) -> DataFrame:
+    """The rows of *facts* that stand for their class; arrays of rows that surely do are not shuffled."""
+    shared = facts.sparkSession.sparkContext.broadcast(id_filter.bitmap(same, "a"))
+    rows = facts.where(F.col("doc").isNotNull() & (F.col("n") > 0)).select("doc", "n", "s1", "s2", "low", "high", id_filter.slot("doc").alias("slot"))
+
+    def split(maybe: bool):
+        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                hit = id_filter.kept(shared.value, batch.column(6))
+                yield batch.filter(hit if maybe else pa.compute.invert(hit)).select([0, 1, 2, 3, 4, 5])
+
+        return work
+
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[:6])
+    other = same.select(F.col("a").alias("doc"), "n", "s1", "s2")
+    return rows.mapInArrow(split(False), schema).unionByName(rows.mapInArrow(split(True), schema).join(other, ["doc", "n", "s1", "s2"], "left_anti"))
+
+
+def _with_groups(buckets: DataFrame, joined: DataFrame, first: Column) -> tuple[DataFrame, DataFrame]:
+    """The members of buckets with their groups, and the first member of each bucket that holds several groups."""
+    named = buckets.join(joined.withColumnRenamed("node", "doc"), "doc", "left").select("key", "doc", F.coalesce("component", "doc").alias("group"), "degree")
+    head = named.groupBy("key").agg(F.min_by(F.struct("doc", "group"), first).alias("head"), F.min("group").alias("g0"), F.max("group").alias("g1")).where(F.col("g0") != F.col("g1"))
+    return named, head.select("key", "head")
+
+
+def _open_pairs(buckets: DataFrame, joined: DataFrame, sketches: DataFrame, num: int, den: int) -> DataFrame:
+    """``a, b, bits``: pairs of different groups in a bucket whose sketches differ in no more bits than linked sets can.
+
+    Members outside the group of the bucket's head are paired with all members, so that a bucket in
+    which one group is large costs its size times the number of the others.
+    """
+    named, head = _with_groups(buckets, joined, F.xxhash64("group", F.lit(7)))
+    rows = named.join(head, "key").join(sketches, "doc").select("key", "doc", "group", (F.col("group") == F.col("head.group")).alias("main"), "n", *[F.get("sketch", k).alias(f"w{k}") for k in range(SKETCH_WORDS)])
+    rows = written(rows, "open-members")
+    x, y = rows.where(~F.col("main")).alias("x"), rows.alias("y")
+    bits = sum((F.bit_count(F.col(f"x.w{k}").bitwiseXOR(F.col(f"y.w{k}"))) for k in range(1, SKETCH_WORDS)), F.bit_count(F.col("x.w0").bitwiseXOR(F.col("y.w0"))))
+    once = F.col("y.main") | (F.col("x.doc") < F.col("y.doc"))
+    near = bits * (num + den) <= (F.col("x.n") + F.col("y.n")) * (den - num)
+    pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.group") != F.col("y.group")) & once & near)
+    return written(pairs.select(F.least("x.doc", "y.doc").alias("a"), F.greatest("x.doc", "y.doc").alias("b"), bits.alias("bits")).groupBy("a", "b").agg(F.min("bits").alias("bits")), "open")
