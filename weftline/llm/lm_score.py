@@ -138,7 +138,7 @@ def score(
     order: int = 3,
     strength: tuple[float, ...] = (1000.0, 5.0),
     carry: list[str] | None = None,
-    block_bytes: int = 4 << 20,
+    block_bytes: int = 2 << 20,
     hash_bits: tuple[int, ...] = (60, 46, 46),
 ) -> DataFrame:
     """Train on the rows that *learn* marks and score every whole text.
