@@ -172,10 +172,19 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs ``a, b`` whose sets have ``den * intersection >= num * union``."""
+    """The pairs ``a, b`` whose sets have ``den * intersection >= num * union``; only sets that a pair needs are shuffled."""
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("doc"))
+    shared = sets.sparkSession.sparkContext.broadcast(id_filter.bitmap(ends, "doc"))
+
+    def needed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(id_filter.kept(shared.value, batch.column(2))).select([0, 1])
+
+    kind = sets.schema["doc"].dataType.simpleString()
+    sets = sets.select("doc", "shingles", id_filter.slot("doc").alias("slot")).mapInArrow(needed, f"doc {kind}, shingles binary")
     left = sets.select(F.col("doc").alias("a"), F.col("shingles").alias("x"))
     right = sets.select(F.col("doc").alias("b"), F.col("shingles").alias("y"))
-    rows = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
+    rows = pairs.hint("merge").join(left, "a").hint("merge").join(right, "b").select("a", "b", "x", "y")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -193,7 +202,6 @@ def _linked(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
             batch = batch.select(["a", "b"]).filter(pa.array(ok))
             yield batch
 
-    kind = pairs.schema["a"].dataType.simpleString()
     return rows.mapInArrow(work, f"a {kind}, b {kind}")
 
 
