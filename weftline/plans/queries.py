@@ -762,8 +762,8 @@ def cyclic_nodes(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     """WITH k AS (SELECT c_custkey, n_nationkey, n_regionkey, CASE WHEN c_custkey % 3 = 0 THEN 'g' WHEN c_custkey % 3 = 1 THEN 'f' ELSE 'h' END AS name FROM customer JOIN nation ON c_nationkey = n_nationkey)
-SELECT c_custkey AS call_id, CAST(CASE WHEN name = 'h' THEN NULL WHEN name = 'g' THEN 1000 WHEN n_nationkey % 4 = 0 THEN 2000 + n_nationkey WHEN n_regionkey % 2 = 0 THEN 100 + n_regionkey ELSE 1001 END AS BIGINT) AS callee_id,
-  CASE WHEN name = 'h' THEN NULL WHEN name = 'f' AND n_nationkey % 4 = 0 THEN 'EXACT' ELSE 'INHERITED' END AS resolution FROM k"""
+SELECT c_custkey AS call_id, CAST(CASE WHEN name = 'h' THEN -1 WHEN name = 'g' THEN 1000 WHEN n_nationkey % 4 = 0 THEN 2000 + n_nationkey WHEN n_regionkey % 2 = 0 THEN 100 + n_regionkey ELSE 1001 END AS BIGINT) AS callee_id,
+  CASE WHEN name = 'h' THEN 'TARGET_NOT_IN_CORPUS' WHEN name = 'f' AND n_nationkey % 4 = 0 THEN 'EXACT' ELSE 'INHERITED' END AS resolution FROM k"""
 )
 def call_resolution(spark: SparkSession, sf: str) -> DataFrame:
     """Customers call a method of their nation's class, which may come from its region or the root."""
@@ -784,7 +784,7 @@ def call_resolution(spark: SparkSession, sf: str) -> DataFrame:
     )
     name = F.when(F.col("c_custkey") % 3 == 0, "g").when(F.col("c_custkey") % 3 == 1, "f").otherwise("h")
     calls = parquet(spark, sf, "customer").select(F.col("c_custkey").alias("call_id"), F.lit("m").alias("caller_module"), c("n", "c_nationkey").alias("owner"), name.alias("name"), d, F.lit("").alias("hint"))
-    return paths.resolve_calls(calls, methods, classes).select("call_id", "callee_id", "resolution")
+    return paths.resolve_calls(calls, methods, classes).select("call_id", F.coalesce("callee_id", F.lit(-1)).alias("callee_id"), F.coalesce("resolution", "reason").alias("resolution"))
 
 
 @query(
