@@ -20,7 +20,8 @@ def occurrences(rows: DataFrame, key: list[str], symbols: str = "opcodes", sizes
     """
     n = F.size(symbols)
     starts = lambda k: F.when(n >= k, F.sequence(F.lit(0), n - k)).otherwise(F.array().cast("array<int>"))
-    grams = F.flatten(F.array(*[F.transform(starts(k), lambda i, k=k: F.struct(i.alias("at"), F.lit(k).alias("length"))) for k in lengths]))
+    placed = lambda k: F.transform(starts(k), lambda i: F.struct(i.alias("at"), F.lit(k).alias("length")))
+    grams = F.flatten(F.array(*[placed(k) for k in lengths]))
     spread = rows.select(*key, symbols, sizes, F.explode(grams).alias("g"))
     part = spread.select(*key, F.slice(symbols, F.col("g.at") + 1, F.col("g.length")).alias("pattern"), F.slice(sizes, F.col("g.at") + 1, F.col("g.length")).alias("parts"), F.col("g.at").alias("at"), F.col("g.length").alias("length"))
     if informative is not None:

@@ -42,8 +42,8 @@ def of_kind(raw: DataFrame, kind: str) -> DataFrame:
 
 
 def tsv(spark: SparkSession, paths: str | list[str], schema: T.StructType) -> DataFrame:
-    """Tab-separated facts with a header; fields of any length, no quoting, escapes kept as they are."""
-    return spark.read.schema(schema).options(sep="\t", header=True, quote="", escape="", maxCharsPerColumn=-1, emptyValue="", nullValue="\u0000").csv(paths)
+    """Tab-separated facts with a header; fields of any length, no quoting, escapes kept as they are, empty fields null."""
+    return spark.read.schema(schema).options(sep="\t", header=True, quote="", escape="", maxCharsPerColumn=-1).csv(paths)
 
 
 def nullable_int(column: str) -> F.Column:

@@ -9,8 +9,12 @@ from __future__ import annotations
 from pyspark.sql import types as T
 
 
+_KINDS = {"string": T.StringType(), "boolean": T.BooleanType(), "int": T.IntegerType(), "bigint": T.LongType(), "double": T.DoubleType(), "decimal(20,0)": T.DecimalType(20, 0), "decimal(38,0)": T.DecimalType(38, 0)}
+
+
 def _struct(spec: str) -> T.StructType:
-    return T._parse_datatype_string(spec)
+    """Columns from ``name kind, ...``; no session is needed."""
+    return T.StructType([T.StructField(name, _KINDS[kind]) for name, kind in (part.split() for part in spec.split(", "))])
 
 
 RAW_RECORD = _struct(

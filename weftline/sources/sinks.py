@@ -22,10 +22,13 @@ def append_batch(df: DataFrame, path: str, partition_by: str) -> None:
     df.write.mode("append").option("compression", "zstd").partitionBy(partition_by).parquet(path)
 
 
-def json_lines(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """zstd JSON lines, columns in the order of their names, rows sorted within parts."""
+def json_lines(df: DataFrame, path: str, mode: str = "errorifexists", codec: str = "gzip") -> None:
+    """Compressed JSON lines, columns in the order of their names, rows sorted within parts.
+
+    The codec ``zstd`` needs Hadoop's native library; files in it can be read without.
+    """
     ordered = df.select(*sorted(df.columns))
-    ordered.sortWithinPartitions(*[c for c, t in ordered.dtypes if not t.startswith("map")]).write.mode(mode).option("compression", "zstd").json(path)
+    ordered.sortWithinPartitions(*[c for c, t in ordered.dtypes if not t.startswith("map")]).write.mode(mode).option("compression", codec).json(path)
 
 
 def csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
