@@ -148,7 +148,9 @@ def score(
     base_score`` (add-one-half unigrams) and ``score``, both sums of log10 probabilities.  Null texts
     are empty and score their end token.  Repeated rows count and are scored as often as they occur;
     columns of the results' names are replaced; an empty table gives an empty table.  *strength* has
-    ``m`` above for histories of one word, two words and so on; *hash_bits* identify an n-gram.
+    ``m`` above for histories of one word, two words and so on; *hash_bits*
+    identify an n-gram of each order: 60 keep words apart, fewer halve what longer n-grams shuffle, and
+    of 10**9 of those about one in 10**5 then shares its count with another.
 
     Shuffles: the texts once, a compressed run of distinct n-grams for each block, and their counts back.
     """
@@ -157,6 +159,8 @@ def score(
     carry = [c for c in (carry if carry is not None else docs.columns) if c not in names]
     rows = docs.select(*[f"`{c}`" for c in carry], docs[text].cast("string").alias("__text"), F.coalesce(learn, F.lit(False)).alias("__learn"))
     size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size >= 1 << 60:  # the plan does not know its size
+        size = int(rows.agg(F.sum(F.octet_length("__text"))).first()[0] or 0)
     n_blocks = max(1, min(-(-size // block_bytes), 1 << 20))
     ranges = max(1, n_blocks // 2)
     block = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in carry[:1]], F.col("__text")), F.lit(n_blocks)).cast("int")
