@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from weftline.llm import id_filter
 from weftline.llm.bytes_np import chunks, mix64, ngram_hashes, space_words
 from weftline.llm.components import components
-from weftline.session import written
+from weftline.session import discard, written
 
 #: Bits of one block of the sketch.
 BLOCK_BITS = 4096
@@ -149,7 +149,10 @@ def _buckets(keys: DataFrame) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy("doc", "tag").orderBy(F.desc("size"), "key"))
     stay = large.withColumn("rank", rank).where(F.col("rank") > F.shiftright("tag", 1)).select("key", "doc")
     kept = shared.where(F.col("size") <= LARGE).select("key", "doc").unionByName(stay)
-    return written(kept.withColumn("degree", F.count(F.lit(1)).over(Window.partitionBy("doc"))), "kept-buckets")
+    out = written(kept.withColumn("degree", F.count(F.lit(1)).over(Window.partitionBy("doc"))), "kept-buckets")
+    del dealt, size, large, stay, kept
+    discard(out.sparkSession, shared)
+    return out
 
 
 def _sets_of(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
@@ -225,9 +228,12 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     tag = lambda name, side: 2 * (F.lit(1) + F.ceil((F.size(name) - 1) / F.lit(11)).cast("int")) + F.lit(side)
     keys = [heads.select("doc", tag(name, side).alias("tag"), F.explode(name).alias("key")) for side, name in enumerate(("low", "high"))]
     buckets = _buckets(keys[0].unionByName(keys[1]))
+    del keys, heads
     wanted = written(buckets.select("doc").distinct(), "candidates")
     sets = written(_sets_of(source, wanted, words), "sets")
     sketches = written(facts.where(F.col("n") > 0).select("doc", "n", "sketch").join(wanted, "doc"), "sketches")
+    sizes = written(facts.select("doc", "n"), "sizes")
+    discard(docs.sparkSession, facts)
     links = same.select("a", "b")
     joined = written(components(links), "components")
 
@@ -241,6 +247,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
         best = pairs.groupBy("doc", "other").agg(F.count(F.lit(1)).alias("n")).groupBy("doc").agg(F.max_by("other", F.struct("n", "other")).alias("other"))
         links = links.unionByName(verified(written(best.select(F.least("doc", "other").alias("a"), F.greatest("doc", "other").alias("b")).distinct(), "pairs")))
         joined = written(components(links), "components")
+        del named, head, pairs, best
+        discard(docs.sparkSession)
     open_ = _open_pairs(buckets, joined, sketches, num, den)
     while True:
         # Each document's most alike pairs that still lie between groups; the others wait for the groups to grow.
@@ -254,7 +262,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
         links = links.unionByName(verified(now.select("a", "b")))
         joined = written(components(links), "components")
         open_ = apart.where((F.col("ra") > 4) & (F.col("rb") > 4)).select("a", "b", "bits")
-    found = facts.select("doc", "n").join(joined.withColumnRenamed("node", "doc"), "doc", "left")
+    discard(docs.sparkSession, buckets, sets, sketches, wanted)
+    found = sizes.join(joined.withColumnRenamed("node", "doc"), "doc", "left")
     return found.select(F.col("doc").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component", "doc").alias("component_id"))
 
 
