@@ -80,7 +80,8 @@ class Items:
             at = max(b for b in bounds if b <= len(w))
             self.classes.setdefault(at, []).append(k)
         rng = np.random.default_rng(plan.seed)
-        self.bits = rng.integers(1, 1 << 62, plan.walks, dtype=np.uint64)
+        # The top bit of a well mixed hash times a random odd number: the random bit of (step, word).
+        self.odd = rng.integers(1, 1 << 62, (plan.walks, 1024), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         self.samples: dict[int, np.ndarray] = {}  # class -> walks x tables x places
         for size in sorted(self.classes):
             # A walk moves on by half a word a step: it is within the first `size` words until about 2 * size.
@@ -111,8 +112,7 @@ class Items:
                     for t in range(self.plan.tables):
                         if step in places[t]:
                             sign[t] = sign[t] * np.uint64(0x9E3779B97F4A7C15) + symbol
-                move = mix64(symbol ^ (self.bits[w] + np.uint64(step))) >> np.uint64(63)
-                at = at + move.astype(np.int64)
+                at = at + ((symbol * self.odd[w, step % len(self.odd[w])]) >> np.uint64(63)).astype(np.int64)
             out += [mix64(s + np.uint64(t)) for t, s in enumerate(sign)]
         return out
 
