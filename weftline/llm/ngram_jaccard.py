@@ -171,7 +171,7 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
 
     kind = docs.schema["doc"].dataType.simpleString()
     made = docs.select("doc", "text", id_filter.slot("doc").alias("slot")).mapInArrow(work, f"doc {kind}, shingles binary")
-    return made.join(wanted, "doc", "left_semi")
+    return made.join(wanted.hint("merge"), "doc", "left_semi")
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -231,7 +231,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     del keys, heads
     wanted = written(buckets.select("doc").distinct(), "candidates")
     sets = written(_sets_of(source, wanted, words), "sets")
-    sketches = written(facts.where(F.col("n") > 0).select("doc", "n", "sketch").join(wanted, "doc"), "sketches")
+    sketches = written(facts.where(F.col("n") > 0).select("doc", "n", "sketch").join(wanted.hint("merge"), "doc"), "sketches")
     sizes = written(facts.select("doc", "n"), "sizes")
     discard(docs.sparkSession, facts)
     links = same.select("a", "b")
