@@ -125,7 +125,7 @@ def _svm(x: np.ndarray, y: np.ndarray, cost: float, rounds: int, seed: int) -> t
     return w[:-1], float(w[-1])
 
 
-def train(docs: DataFrame, learn: Column, text: str = "text", lang: str = "lang", sample: int = 1500, buckets: int = 1 << 13, orders: tuple[int, ...] = (1, 2, 3, 4), cost: float = 20.0, rounds: int = 6) -> LanguageModel:
+def train(docs: DataFrame, learn: Column, text: str = "text", lang: str = "lang", sample: int = 900, buckets: int = 1 << 13, orders: tuple[int, ...] = (1, 2, 3, 4), cost: float = 20.0, rounds: int = 6) -> LanguageModel:
     """Fit the classifiers on a bounded sample of labelled rows.
 
     *learn* says which rows may be used; rows without text or language never are.  *sample* is the
@@ -247,7 +247,9 @@ def predict(docs: DataFrame, model: LanguageModel, text: str = "text", carry: li
     """
     names = ["lang_pred", "score"]
     carry = [c for c in (carry if carry is not None else docs.columns) if c not in names]
-    source = docs.select(*[f"`{c}`" for c in carry], docs[text].cast("string").alias("__text"))
+    own = text in carry and docs.schema[text].dataType.simpleString() == "string"  # then the text travels once
+    source = docs.select(*[f"`{c}`" for c in carry], *([] if own else [docs[text].cast("string").alias("__text")]))
+    at = carry.index(text) if own else len(carry)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     ascii_letter = np.array([chr(b).isalpha() if b < 128 else False for b in range(256)])
 
@@ -255,7 +257,7 @@ def predict(docs: DataFrame, model: LanguageModel, text: str = "text", carry: li
         m = shared.value
         codes = np.array(m.langs, dtype=object)
         for batch in batches:
-            column = batch.column(len(carry))
+            column = batch.column(at)
             lang, sure = [], []
             for lo, hi, data, offsets in chunks(column):
                 best, score = decide(m, scores(m, data, offsets))
@@ -269,5 +271,5 @@ def predict(docs: DataFrame, model: LanguageModel, text: str = "text", carry: li
                 sure.append(score)
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(carry)], pa.array(lang, pa.string()), pa.array(np.concatenate(sure) if sure else np.zeros(0), pa.float64())], [*carry, *names])
 
-    kept = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in source.schema.fields[:-1])
+    kept = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in source.schema.fields[: len(carry)])
     return source.mapInArrow(work, f"{kept}lang_pred string, score double")
