@@ -236,6 +236,51 @@ def test_windows_of_any_chunk_give_the_same_leaks():
         assert found == {(0, 1), (2, 1)}
 
 
+def _found(items, texts, limit=1 << 20):
+    import pyarrow as pa
+
+    found = set()
+    for lo, _, data, offsets in chunks(pa.array(texts), limit):
+        h, per, _, _ = decontaminate.word_hashes(data, offsets)
+        found |= {(lo + r, *rest) for r, *rest in decontaminate._search(items, h, per)}
+    return found
+
+
+def _edited(rng, words, edits):
+    out = list(words)
+    for k in range(edits):
+        at = rng.randrange(len(out))
+        out[at : at + rng.randrange(2)] = [f"x{rng.randrange(1000)}"] * rng.randrange(2)
+    return out
+
+
+@pytest.mark.parametrize("n", [50, 100, 200, 400, 1000])
+def test_leaks_of_every_length_and_edit_rate(n):
+    rng = random.Random(n)
+    vocab = [f"w{k}" for k in range(2000)]
+    draw = lambda size: [rng.choice(vocab) for _ in range(size)]
+    originals = [draw(n) for _ in range(4)]
+    items = decontaminate.Items(list(range(4)), [" ".join(w) for w in originals], decontaminate.Plan())
+    for share in (0, 0.1, 0.2):
+        texts, want = [], set()
+        for k, w in enumerate(originals):
+            for around in (0, 30):
+                words = draw(around) + _edited(rng, w, int(share * n)) + draw(around)
+                want.add((len(texts), k, _best_edits(w, words)))
+                texts.append(" ".join(words))
+        assert {x[:3] for x in _found(items, texts)} == want
+
+
+def test_leaks_of_short_items_by_brute_force():
+    rng = random.Random(8)
+    originals = [[rng.choice("abcde") for _ in range(n)] for n in range(1, 25)]
+    items = decontaminate.Items(list(range(24)), [" ".join(w) for w in originals], decontaminate.Plan())
+    texts = [[rng.choice("abcdef") for _ in range(rng.randrange(0, 60))] for _ in range(60)]
+    best = {(d, k, _best_edits(w, t)) for d, t in enumerate(texts) for k, w in enumerate(originals)}
+    want = {x for x in best if x[2] <= int(0.2 * len(originals[x[1]]))}
+    assert {x[:3] for x in _found(items, [" ".join(t) for t in texts])} == want and len(want) > 50
+
+
 # --- fingerprints
 
 

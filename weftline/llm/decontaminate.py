@@ -1,14 +1,11 @@
-"""Benchmark decontamination: CGK embedding, bit-sampling LSH over item-sized windows, exact edit verification.
-
-Words are symbols.  The CGK random walk maps a word sequence to a longer one,
-in which sequences of small edit distance differ at few places: at every step
-it emits the word under the pointer, and a random bit of (step, word) says
-whether the pointer moves on.  A walk only ever looks ahead, so one walk from a
-start serves windows of every length.  Each table of the LSH samples a few
-places of the walk, as far as it stays within the item's length; a window and
-an item that agree on a table's places are a candidate pair, and candidates are
-verified by the edit distance between the item and the best stretch of words
-around the window.
+"""Benchmark decontamination: pieces of items found by hash, exact edit verification.
+
+Words are symbols.  An item that may differ by d edits is cut into d + 1 pieces;
+an edit touches one piece at most, so that every stretch within d edits of the
+item holds one of its pieces unchanged, at a place that is at most d words off.
+All runs of as many words as a piece has are looked up in the pieces' hashes; the
+words around a piece are verified by the edit distance between the item and the
+best stretch in them.  No match is lost, however long the item is.
 """
 
 from __future__ import annotations
@@ -22,10 +19,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.bytes_np import IS_WORDISH, LOWER, chunks, mix64, row_of, span_hashes, spans
+from weftline.llm.bytes_np import IS_WORDISH, LOWER, chunks, ngram_hashes, row_of, span_hashes, spans
 
-#: Bits of the table of known words.
+#: Bits of the tables of known words and pieces.
 _KNOWN_BITS = 22
+#: Places of pieces that are looked at together.
+_AT_ONCE = 1 << 20
 
 
 def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -40,16 +39,24 @@ class Plan:
     """Parameters of the search.
 
     ``share``: an item of n words is found where a stretch is within ``floor(share * n)`` word edits.
-    ``walks`` CGK walks with ``tables`` samples of ``places`` each; ``stride`` is the share of an
-    item's length between window starts.
     """
 
     share: float = 0.2
-    walks: int = 3
-    tables: int = 8
-    places: int = 3
-    stride: float = 0.08
-    seed: int = 11
+
+
+class Pieces:
+    """The items' pieces of one length: sorted hashes and, for each hash, the items with the first and last place in them."""
+
+    def __init__(self, found: list[tuple[int, int, int]]):
+        hashes, item, place = (np.array(x, t) for x, t in zip(zip(*found), (np.uint64, np.int64, np.int64)))
+        order = np.lexsort((place, item, hashes))
+        hashes, item, place = hashes[order], item[order], place[order]
+        begins = np.flatnonzero(np.append(True, (hashes[1:] != hashes[:-1]) | (item[1:] != item[:-1])))
+        self.item, self.least, self.most = item[begins], place[begins], place[np.append(begins[1:], len(item)) - 1]
+        self.keys, first = np.unique(hashes[begins], return_index=True)
+        self.first = np.append(first, len(begins))
+        self.known = np.zeros(1 << _KNOWN_BITS, bool)
+        self.known[self.keys >> np.uint64(64 - _KNOWN_BITS)] = True
 
 
 class Items:
@@ -67,54 +74,14 @@ class Items:
         self.distinct = [frozenset(w.tolist()) for w in self.words]
         self.limit = [int(plan.share * len(w)) for w in self.words]
         self.known = np.zeros(1 << _KNOWN_BITS, bool)
-        for w in self.words:
-            self.known[w >> np.uint64(64 - _KNOWN_BITS)] = True
-        # Length classes: items of one class share window starts, word counts and sampled places.
-        self.classes: dict[int, list[int]] = {}
-        size = 1
-        bounds = [1]
-        while size < max((len(w) for w in self.words), default=1):
-            size = max(size + 1, int(size * 1.25))
-            bounds.append(size)
+        found: dict[int, list[tuple[int, int, int]]] = {}
         for k, w in enumerate(self.words):
-            at = max(b for b in bounds if b <= len(w))
-            self.classes.setdefault(at, []).append(k)
-        rng = np.random.default_rng(plan.seed)
-        # The top bit of a well mixed hash times a random odd number: the random bit of (step, word).
-        self.odd = rng.integers(1, 1 << 62, (plan.walks, 1024), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        self.samples: dict[int, np.ndarray] = {}  # class -> walks x tables x places
-        for size in sorted(self.classes):
-            # A walk moves on by half a word a step: it is within the first `size` words until about 2 * size.
-            reach = max(plan.places, int(1.7 * size))
-            self.samples[size] = np.sort(np.stack([[rng.choice(reach, plan.places, replace=False) for _ in range(plan.tables)] for _ in range(plan.walks)]), axis=-1)
-        self.lookup: dict[int, list[dict[int, list[int]]]] = {}
-        for size, members in self.classes.items():
-            tables: list[dict[int, list[int]]] = [{} for _ in range(plan.walks * plan.tables)]
-            for k in members:
-                signs = self.signatures(size, self.words[k], np.array([0]), np.array([len(self.words[k])]))
-                for t, sign in enumerate(signs):
-                    tables[t].setdefault(int(sign[0]), []).append(k)
-            self.lookup[size] = tables
-        self.sorted_keys = {size: [np.array(sorted(t), np.uint64) for t in tables] for size, tables in self.lookup.items()}
-
-    def signatures(self, size: int, words: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> list[np.ndarray]:
-        """For each walk and table, the hash of the sampled symbols of the walks from *starts*; past *stops* a blank."""
-        out = []
-        padded = np.append(words, np.uint64(0))
-        for w in range(self.plan.walks):
-            places = self.samples[size][w]
-            need = set(places.ravel().tolist())
-            sign = [np.zeros(len(starts), np.uint64) for _ in range(self.plan.tables)]
-            at = starts.copy()
-            for step in range(int(places.max()) + 1):
-                symbol = np.where(at < stops, padded[np.minimum(at, len(words))], np.uint64(0))
-                if step in need:
-                    for t in range(self.plan.tables):
-                        if step in places[t]:
-                            sign[t] = sign[t] * np.uint64(0x9E3779B97F4A7C15) + symbol
-                at = at + ((symbol * self.odd[w, step % len(self.odd[w])]) >> np.uint64(63)).astype(np.int64)
-            out += [mix64(s + np.uint64(t)) for t, s in enumerate(sign)]
-        return out
+            self.known[w >> np.uint64(64 - _KNOWN_BITS)] = True
+            bounds = np.arange(self.limit[k] + 2) * len(w) // (self.limit[k] + 1)
+            for size in set(np.diff(bounds).tolist()):
+                runs = ngram_hashes(w, np.array([len(w)]), size)[0]
+                found.setdefault(size, []).extend((int(runs[at]), k, int(at)) for at in bounds[:-1][np.diff(bounds) == size])
+        self.pieces = {size: Pieces(found[size]) for size in sorted(found)}
 
 
 def edit_window(item: np.ndarray, words: np.ndarray) -> tuple[int, int, int]:
@@ -141,47 +108,55 @@ def edit_window(item: np.ndarray, words: np.ndarray) -> tuple[int, int, int]:
     return int(cost[end]), int(origin[end]), end
 
 
-def _search(items: Items, h: np.ndarray, per_row: np.ndarray) -> list[tuple[int, int, int, int, int]]:
-    """``(row, item, edits, first word, end word)`` of every verified match: the best one for a row and item."""
+def _regions(items: Items, h: np.ndarray, per_row: np.ndarray) -> np.ndarray:
+    """Distinct ``(row, item, first word, end word)``, sorted: the words around each piece that can hold its item."""
     rows = row_of(per_row)
     first = np.cumsum(per_row) - per_row
     stop = first + per_row
+    left = stop[rows] - np.arange(len(h))
     unknown = np.concatenate([[0], np.cumsum(~items.known[h >> np.uint64(64 - _KNOWN_BITS)])])
+    size_of, limit_of = np.array([len(w) for w in items.words]), np.array(items.limit)
+    out = [np.zeros((0, 4), np.int64)]
+    for size, pieces in items.pieces.items():
+        keys = ngram_hashes(h, per_row, size)[0]
+        maybe = pieces.known[keys >> np.uint64(64 - _KNOWN_BITS)]
+        at, keys = np.flatnonzero(left >= size)[maybe], keys[maybe]
+        slot = np.minimum(np.searchsorted(pieces.keys, keys), len(pieces.keys) - 1)
+        hit = pieces.keys[slot] == keys
+        at, slot = at[hit], slot[hit]
+        count = pieces.first[slot + 1] - pieces.first[slot]
+        part = np.cumsum(count) // _AT_ONCE
+        for cut in np.split(np.arange(len(at)), np.flatnonzero(np.diff(part)) + 1):
+            n = count[cut]
+            entry = np.repeat(pieces.first[slot[cut]] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+            place, k = np.repeat(at[cut], n), pieces.item[entry]
+            row = rows[place]
+            lo = np.maximum(first[row], place - pieces.most[entry] - limit_of[k])
+            hi = np.minimum(stop[row], place - pieces.least[entry] + size_of[k] + limit_of[k])
+            # Each word of the item that the region cannot have is an edit.
+            keep = hi - lo - (unknown[hi] - unknown[lo]) >= size_of[k] - limit_of[k]
+            out.append(np.unique(np.stack([row, k, lo, hi], 1)[keep], axis=0))
+    return np.unique(np.concatenate(out), axis=0)
+
+
+def _search(items: Items, h: np.ndarray, per_row: np.ndarray) -> list[tuple[int, int, int, int, int]]:
+    """``(row, item, edits, first word, end word)`` of every match: the best one for a row and item."""
+    first = np.cumsum(per_row) - per_row
+    joined: list[list[int]] = []
+    for row, k, lo, hi in _regions(items, h, per_row).tolist():
+        if len(items.distinct[k].difference(h[lo:hi].tolist())) > items.limit[k]:
+            continue  # so many of its words are missing: each is an edit
+        if joined and joined[-1][:2] == [row, k] and lo <= joined[-1][3]:
+            joined[-1][3] = max(hi, joined[-1][3])
+        else:
+            joined.append([row, k, lo, hi])
     found: dict[tuple[int, int], tuple[int, int, int]] = {}
-    tried: set[tuple[int, int]] = set()
-    plan = items.plan
-    for size, members in items.classes.items():
-        longest = max(len(items.words[k]) for k in members)
-        limit = max(items.limit[k] for k in members)
-        step = max(1, int(plan.stride * size))
-        starts = np.arange(0, len(h), step)
-        # A window with more unknown words than edits are allowed cannot match; neither can one with too few words.
-        ends = np.minimum(starts + size, stop[rows[starts]])
-        keep = (ends - starts >= size - limit - step) & (unknown[ends] - unknown[starts] <= limit + step)
-        starts = starts[keep]
-        if not len(starts):
-            continue
-        ends = np.minimum(starts + longest, stop[rows[starts]])
-        for t, sign in enumerate(items.signatures(size, h, starts, ends)):
-            keys = items.sorted_keys[size][t]
-            at = np.minimum(np.searchsorted(keys, sign), len(keys) - 1)
-            for i in np.flatnonzero(keys[at] == sign):
-                row = int(rows[starts[i]])
-                for k in items.lookup[size][t][int(sign[i])]:
-                    slack = items.limit[k] + step
-                    place = (k, int(starts[i]) // max(1, len(items.words[k]) // 4))
-                    if place in tried:
-                        continue
-                    tried.add(place)
-                    lo = max(int(first[row]), int(starts[i]) - slack - len(items.words[k]) // 4)
-                    hi = min(int(stop[row]), int(starts[i]) + len(items.words[k]) + slack + len(items.words[k]) // 4)
-                    if len(items.distinct[k].difference(h[lo:hi].tolist())) > items.limit[k]:
-                        continue  # so many of its words are missing: each is an edit
-                    edits, a, b = edit_window(items.words[k], h[lo:hi])
-                    if edits <= items.limit[k]:
-                        own = (edits, lo + a - int(first[row]), lo + b - int(first[row]))
-                        if (row, k) not in found or own < found[row, k]:
-                            found[row, k] = own
+    for row, k, lo, hi in joined:
+        edits, a, b = edit_window(items.words[k], h[lo:hi])
+        if edits <= items.limit[k]:
+            own = (edits, lo + a - int(first[row]), lo + b - int(first[row]))
+            if (row, k) not in found or own < found[row, k]:
+                found[row, k] = own
     return [(row, items.ids[k], *own) for (row, k), own in sorted(found.items())]
 
 
