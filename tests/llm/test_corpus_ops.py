@@ -281,6 +281,20 @@ def test_leaks_of_short_items_by_brute_force():
     assert {x[:3] for x in _found(items, [" ".join(t) for t in texts])} == want and len(want) > 50
 
 
+@pytest.mark.parametrize("n", [50, 200])
+def test_long_leaks_do_not_depend_on_the_rows_before(n):
+    rng = random.Random(n + 1)
+    draw = lambda size: [f"w{rng.randrange(2000)}" for _ in range(size)]
+    originals = [draw(n) for _ in range(10)]
+    items = decontaminate.Items(list(range(10)), [" ".join(w) for w in originals], decontaminate.Plan())
+    copies = [" ".join(_edited(rng, w, int(0.15 * n))) for w in originals]
+    texts = [x for k, copy in enumerate(copies) for x in (copy, " ".join(draw(rng.randrange(1, 40))), copy)]
+    whole = _found(items, texts)
+    assert {x[:2] for x in whole} == {(3 * k + at, k) for k in range(10) for at in (0, 2)}
+    assert {(r - 2, *rest) for r, *rest in whole if r % 3 == 2} == {x for x in whole if x[0] % 3 == 0}
+    assert all(_found(items, texts, limit) == whole for limit in (10, 3000))
+
+
 # --- fingerprints
 
 
