@@ -323,6 +323,53 @@ def test_recordings_align_at_their_shift(spark):
     assert chroma.align(spark.createDataFrame([], "rec bigint, media binary"), F.lit(True)).count() == 0
 
 
+def _aligned(x, y, max_error=0.25, min_overlap=8):
+    """The best matching offset of two fingerprints, by brute force: ``(offset, votes, overlap)`` or None."""
+    found = []
+    for offset in range(1 - len(x), len(y)):
+        lo = max(0, -offset)
+        a, b = x[lo : min(len(x), len(y) - offset)], y[lo + offset : min(len(x), len(y) - offset) + offset]
+        error = sum(int(u ^ v).bit_count() for u, v in zip(a.tolist(), b.tolist())) / (32 * max(1, len(a)))
+        if len(a) >= min_overlap and error <= max_error:
+            found.append((-int((a == b).sum()), error, abs(offset), offset, len(a)))
+    return (min(found)[3], -min(found)[0], min(found)[4]) if found else None
+
+
+def test_noisy_codes_align_up_to_the_limit():
+    rng = np.random.default_rng(12)
+    x = rng.integers(0, 1 << 32, 50, dtype=np.uint32)
+    rows = []
+    for share in (0, 0.1, 0.2, 0.25, 0.3):
+        bits = np.zeros(32 * 50, np.uint8)
+        bits[rng.choice(32 * 50, int(share * 32 * 50), replace=False)] = 1
+        noisy = x ^ np.packbits(bits).view(np.uint32)
+        rows.append(np.concatenate([rng.integers(0, 1 << 32, int(rng.integers(0, 9)), dtype=np.uint32), noisy]))
+    want = [_aligned(x, y) for y in rows]
+    assert [w is not None for w in want] == [True] * 4 + [False]
+    got = {}
+    for own, table, sizes in chroma._slices(rows, 120):
+        for c, offset, _, overlap in zip(*chroma.offsets_of(x, table, sizes, 0.25, 8)):
+            got[int(own[c])] = (int(offset), int(overlap))
+    assert got == {k: (w[0], w[2]) for k, w in enumerate(want) if w}
+
+
+def test_noisy_recordings_against_brute_force(spark):
+    rng = np.random.default_rng(14)
+    rows = []
+    for k in range(6):
+        tune = chroma.decode(chroma.sonify(rng.normal(size=60)))
+        rows.append((100 * k, _wav(tune)))
+        for i, noise in enumerate((1000, 3000, 6000, 9000)):
+            cut = int(rng.integers(0, 4)) * chroma.HOP
+            rows.append((100 * k + i + 1, _wav(tune[cut:] + rng.normal(size=len(tune) - cut) * noise)))
+    codes = {k: chroma.fingerprint(chroma.decode(media)) for k, media in rows}
+    got = {r["rec"]: {m["class_id"]: (m["offset"], m["votes"], m["overlap"]) for m in r["matches"]} for r in chroma.align(spark.createDataFrame(rows, "rec bigint, media binary"), F.col("rec") % 100 == 0, block_bytes=500).collect()}
+    for q in range(0, 600, 100):
+        best = {k: _aligned(codes[q], y) for k, y in codes.items() if k != q}
+        assert got[q] == {k: v for k, v in best.items() if v}
+    assert sum(len(v) for v in got.values()) > 12
+
+
 def test_filters_by_direct_sums():
     x = chroma.decode(chroma.sonify(np.random.default_rng(1).normal(size=30)))
     codes, e = chroma.fingerprint(x), chroma.chroma(x)

@@ -3,8 +3,8 @@
 A recording (WAV bytes) becomes pitch-class frames.  Filters that compare
 rectangles of the frames, summed with an integral image, are quantised to two
 bits each and packed into one 32-bit integer per position.  Recordings are
-aligned by the histogram of offsets at which they share integers, and verified
-by the share of differing bits at the best offset.
+aligned by histograms over all offsets: the differing bits at an offset say
+whether it is a match, and the shared integers which match is the best.
 """
 
 from __future__ import annotations
@@ -144,32 +144,101 @@ def fingerprints(recordings: DataFrame) -> DataFrame:
     return recordings.select("rec", "media").mapInArrow(work, "rec bigint, n_items bigint, codes array<int>")
 
 
-def align(recordings: DataFrame, is_query: Column, max_error: float = 0.25, min_overlap: int = 8) -> DataFrame:
+def offsets_of(x: np.ndarray, rows: np.ndarray, sizes: np.ndarray, max_error: float, min_overlap: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``(row, offset, differing bits, overlap)`` of all offsets at which *x* matches rows of codes.
+
+    *rows* is positions x rows, of *sizes* positions each; the rest of a column is padding.  At an offset
+    position ``p`` of *x* meets position ``p + offset`` of the row.
+    """
+    m, (n, r) = len(x), rows.shape
+    total = np.zeros((m + n - 1, r), np.uint16 if 32 * min(m, n) < 1 << 16 else np.uint32)
+    held = None if (sizes == n).all() else (np.arange(n)[:, None] < sizes).astype(np.uint8)
+    for i, code in enumerate(x):
+        differ = np.bitwise_count(rows ^ code)
+        if held is not None:
+            differ *= held
+        total[m - 1 - i : m - 1 - i + n] += differ
+    offset = np.arange(1 - m, n)[:, None]
+    overlap = np.minimum(m, sizes - offset) - np.maximum(0, -offset)
+    at, row = np.nonzero((overlap >= min_overlap) & (total <= 32.0 * max_error * overlap))
+    return row, offset[at, 0], total[at, row].astype(np.int64), overlap[at, row]
+
+
+def _slices(codes: list[np.ndarray], limit: int = 1 << 15) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """``(rows, positions x rows, sizes)`` of recordings of like sizes, of about *limit* codes each."""
+    sizes = np.array([len(c) for c in codes])
+    order = np.argsort(sizes, kind="stable")
+    lo = 0
+    while lo < len(order):
+        hi = lo + 1
+        while hi < len(order) and (hi + 1 - lo) * sizes[order[hi]] <= limit:
+            hi += 1
+        own = order[lo:hi]
+        table = np.zeros((int(sizes[own[-1]]), len(own)), np.uint32)
+        for c, k in enumerate(own):
+            table[: sizes[k], c] = codes[k]
+        yield own, table, sizes[own]
+        lo = hi
+
+
+def _aligner(shared, max_error: float, min_overlap: int):
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked = [(q, np.frombuffer(codes, np.uint32)) for q, codes in shared.value]
+        for batch in batches:
+            ids = batch.column(0).to_pylist()
+            codes = [np.array(v, np.int32).view(np.uint32) for v in batch.column(1).to_pylist()]
+            for own, table, sizes in _slices(codes):
+                out = []
+                for q, x in asked:
+                    best: dict[int, tuple] = {}
+                    for c, offset, differ, overlap in zip(*(v.tolist() for v in offsets_of(x, table, sizes, max_error, min_overlap))):
+                        lo = max(0, -offset)
+                        votes = int(np.count_nonzero(x[lo : lo + overlap] == table[lo + offset : lo + offset + overlap, c]))
+                        rank = (-votes, differ / (32.0 * overlap), abs(offset), offset)
+                        if ids[own[c]] != q and (c not in best or rank < best[c][0]):
+                            best[c] = (rank, (q, ids[own[c]], offset, votes, overlap, rank[1]))
+                    out += [match for _, match in best.values()]
+                if out:
+                    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.float64())
+                    yield pa.RecordBatch.from_arrays([pa.array(v, kind) for v, kind in zip(zip(*out), kinds)], ["q", "class_id", "offset", "votes", "overlap", "bit_error"])
+
+    return work
+
+
+def _found(classes: DataFrame, max_error: float, min_overlap: int, block_bytes: int) -> DataFrame:
+    """The matches of all classes with a query: these are sent to the tasks in blocks of bounded size."""
+    spark = classes.sparkSession
+    asked = classes.where("query").select("class_id", "codes")
+    total = asked.agg(F.sum(4 * F.size("codes"))).first()[0] or 0
+    n = max(1, -(-int(total) // block_bytes))
+    spread = classes.select("class_id", "codes").repartition(max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), "class_id")
+    schema = "q bigint, class_id bigint, offset int, votes bigint, overlap int, bit_error double"
+    out = spark.createDataFrame([], schema)
+    for b in range(n):
+        block = [(r["class_id"], np.array(r["codes"], np.int32).tobytes()) for r in asked.where(F.pmod(F.xxhash64("class_id"), F.lit(n)) == b).collect()]
+        if block:
+            out = out.unionByName(spread.mapInArrow(_aligner(spark.sparkContext.broadcast(block), max_error, min_overlap), schema))
+    return out
+
+
+def align(recordings: DataFrame, is_query: Column, max_error: float = 0.25, min_overlap: int = 8, block_bytes: int = 4 << 20) -> DataFrame:
     """Align the query recordings with all others.
 
     One row per row of *recordings* (``rec, media``): ``rec, n_items, codes_sha256, class_id`` (the least
     ``rec`` of equal fingerprints) and ``matches``: for the classes that hold a query, the other classes
-    ``array<struct<class_id,offset,votes,overlap,bit_error>>`` whose best offset (most shared
-    integers, then the least shift) overlaps by *min_overlap* positions or more with at most *max_error* of
-    the bits differing.  Rows without codes have the hash of nothing, a null class and no match; rows
-    with a null ``rec`` have no class either.  Postings are joined by two neighbouring integers, and
-    equal recordings are one class, so that a common recording is compared once.
+    ``array<struct<class_id,offset,votes,overlap,bit_error>>`` that overlap at some offset by
+    *min_overlap* positions or more with at most *max_error* of the bits differing; of several such
+    offsets the one with most shared integers (``votes``), then the least error, then the least shift.
+    Rows without codes have the hash of nothing, a null class and no match; rows with a null ``rec``
+    have no class either.  Every query is compared with every class at every offset, so that no match is
+    lost and the work grows with queries times classes; equal recordings are one class, so that a common
+    recording is compared once.
     """
     made = written(fingerprints(recordings).withColumn("query", F.coalesce(is_query, F.lit(False))).withColumn("codes_sha256", F.sha2(F.array_join(F.transform("codes", lambda c: c.cast("string")), " "), 256)), "fingerprints")
     named = made.where(F.col("rec").isNotNull() & (F.col("n_items") > 0))
     classes = written(named.groupBy("codes_sha256").agg(F.min("rec").alias("class_id"), F.max("query").alias("query"), F.first("codes").alias("codes")), "classes")
-    spots = classes.select("class_id", "query", F.posexplode("codes").alias("pos", "code"), F.col("codes"))
-    spots = spots.select("class_id", "query", "pos", F.struct("code", F.get("codes", F.col("pos") + 1).alias("next")).alias("key"))
-    asked = spots.where("query").select(F.col("class_id").alias("q"), F.col("pos").alias("q_pos"), "key")
-    votes = asked.join(spots, "key").where(F.col("q") != F.col("class_id")).groupBy("q", "class_id", (F.col("pos") - F.col("q_pos")).alias("offset")).agg(F.count(F.lit(1)).alias("votes"))
-    best = votes.groupBy("q", "class_id").agg(F.max_by(F.struct("offset", "votes"), F.struct("votes", -F.abs("offset"), "offset")).alias("best"))
-    pairs = best.join(classes.select(F.col("class_id").alias("q"), F.col("codes").alias("x")), "q").join(classes.select("class_id", F.col("codes").alias("y")), "class_id")
-    lo, overlap = F.greatest(F.lit(0), -F.col("best.offset")), F.col("overlap")
-    pairs = pairs.withColumn("lo", lo).withColumn("overlap", F.least(F.size("x"), F.size("y") - F.col("best.offset")) - F.col("lo")).where(overlap >= min_overlap)
-    differ = F.aggregate(F.zip_with(F.slice("x", F.col("lo") + 1, overlap), F.slice("y", F.col("lo") + F.col("best.offset") + 1, overlap), lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda s, v: s + v)
-    pairs = pairs.withColumn("bit_error", differ / (32.0 * overlap)).where(F.col("bit_error") <= max_error)
-    match = F.struct(F.col("class_id"), F.col("best.offset").cast("int").alias("offset"), F.col("best.votes").alias("votes"), overlap.cast("int").alias("overlap"), F.round("bit_error", 6).alias("bit_error"))
-    found = pairs.groupBy(F.col("q").alias("class_id")).agg(F.sort_array(F.collect_list(match)).alias("matches"))
+    match = F.struct("class_id", "offset", "votes", "overlap", F.round("bit_error", 6).alias("bit_error"))
+    found = _found(classes, max_error, min_overlap, block_bytes).groupBy(F.col("q").alias("class_id")).agg(F.sort_array(F.collect_list(match)).alias("matches"))
     heads = classes.select("codes_sha256", "class_id").join(found, "class_id", "left")
     joined = made.select("rec", "n_items", "codes_sha256").join(heads, "codes_sha256", "left")
     no_class = F.col("rec").isNull() | (F.col("n_items") == 0)
