@@ -194,6 +194,19 @@ def test_toxicity_of_odd_texts(toxic_model, odd, empty, spark):
     assert all(r["predicted"] == 0 for r in toxicity.score(odd, nothing).collect())
 
 
+def test_toxicity_does_not_depend_on_the_rows_before(toxic_model, spark):
+    model = toxic_model[2]
+    texts = ["scum"] * 3 + ["idiot wd1 idiot"] * 3 + ["moron moron"] * 2
+    _, _, data, offsets = next(bytes_np.chunks(pa.array(texts)))
+    total = toxicity.evidence(model, data, offsets)[0].tolist()
+    alone = [toxicity.evidence(model, *next(bytes_np.chunks(pa.array([t])))[2:])[0][0] for t in texts]
+    assert total == alone and min(alone) > 0
+    # A text of one word has no neighbours, whatever the rows beside it hold.
+    rows = [x for k in range(6) for x in (("scum", True), (f"wd{k}", False))]
+    toxic = toxicity._counts(spark.createDataFrame(rows, "text string, toxic boolean").coalesce(1), 20)[1]
+    assert 0 < toxic.max() < 1.1
+
+
 # --- token counts
 
 

@@ -106,8 +106,9 @@ def _counts(rows: DataFrame, bits: int) -> tuple[np.ndarray, np.ndarray, tuple[f
                 rows_ = row_of(per_row)
                 words = SpanHasher(low)(starts, ends)
                 sides = np.zeros(len(words), np.uint64)  # the words beside each word
-                sides[1:] += words[:-1]
-                sides[:-1] += mix64(words[1:])
+                same = rows_[1:] == rows_[:-1]  # rows have no neighbours in other rows
+                sides[1:] += words[:-1] * same
+                sides[:-1] += mix64(words[1:]) * same
                 bit = np.uint64(1) << (mix64(sides) >> np.uint64(58))
                 cls = toxic[lo:hi].astype(np.int64)
                 for b in buckets(low, starts, ends, bits):
@@ -146,19 +147,20 @@ def _log_odds(clean: np.ndarray, toxic: np.ndarray, n: tuple[float, float], prio
     return np.where(shrunk >= LEAST, np.sign(delta) * shrunk, 0.0)
 
 
-def token_scores(model: ToxicityModel, low: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """The strongest of a word's own score and its prefixes' scores, or the base; a word right after itself has the base."""
+def token_scores(model: ToxicityModel, low: np.ndarray, starts: np.ndarray, ends: np.ndarray, per_row: np.ndarray) -> np.ndarray:
+    """The strongest of a word's own score and its prefixes' scores, or the base; a word right after itself in its row has the base."""
     best = np.full(len(starts), -np.inf)
     for b in buckets(low, starts, ends, model.bits):
         np.maximum(best, model.score[b], out=best)
-    best[1:][b[1:] == b[:-1]] = 0
+    rows = row_of(per_row)
+    best[1:][(b[1:] == b[:-1]) & (rows[1:] == rows[:-1])] = 0
     return np.where(best > 0, best, model.base)
 
 
 def evidence(model: ToxicityModel, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, list[list[tuple[int, int, float]]]]:
     """For each row the calibrated evidence, and its significant passages as bytes ``(start, end, surprise)``."""
     starts, ends, per_row, low = tokens(data, offsets)
-    values = token_scores(model, low, starts, ends)
+    values = token_scores(model, low, starts, ends, per_row)
     n = len(per_row)
     total, found = np.zeros(n), [[] for _ in range(n)]
     first = np.cumsum(per_row) - per_row
