@@ -295,6 +295,13 @@ def test_long_leaks_do_not_depend_on_the_rows_before(n):
     assert all(_found(items, texts, limit) == whole for limit in (10, 3000))
 
 
+def test_items_with_a_null_id_are_found(spark):
+    docs = spark.createDataFrame([(1, "x one two three four five y"), (2, "nothing here")], "doc_id bigint, text string")
+    bench = spark.createDataFrame([(None, "one two three four five")], "item_id bigint, text string")
+    assert [tuple(r)[:3] for r in decontaminate.matches(docs, bench).collect()] == [(1, None, 0)]
+    assert [r["doc_id"] for r in decontaminate.clean(docs, bench).collect()] == [2]
+
+
 # --- fingerprints
 
 

@@ -162,7 +162,7 @@ def _search(items: Items, h: np.ndarray, per_row: np.ndarray) -> list[tuple[int,
 
 def blocks_of(benchmark: DataFrame, key: str, text: str, block_bytes: int) -> Iterator[tuple[list[int], list[str]]]:
     """The items in blocks of about *block_bytes*: each block is a query set against all rows."""
-    rows = benchmark.where(F.col(text).isNotNull() & F.col(key).isNotNull()).select(F.col(key).cast("bigint").alias("id"), F.col(text).cast("string").alias("text"))
+    rows = benchmark.where(F.col(text).isNotNull()).select(F.col(key).cast("bigint").alias("id"), F.col(text).cast("string").alias("text"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, -(-int(total) // block_bytes))
     for b in range(n):
@@ -175,8 +175,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: st
     """Passages of benchmark items in documents: ``doc_id, item_id, edits, first_word, end_word``.
 
     One row for each document row and item that match, with the least edits (in words) and its stretch of
-    words.  Null or wordless texts and items match nothing; repeated rows give repeated matches; empty
-    tables give an empty table.  No shuffle: items are sent to the tasks in blocks of bounded size, and
+    words.  Null or wordless texts and items match nothing; an item with a null id is searched for like any
+    other and has a null ``item_id``; repeated rows give repeated matches; empty tables give an empty table.  No shuffle: items are sent to the tasks in blocks of bounded size, and
     the documents are read once for each block.
     """
     source = docs.select(F.col(key).alias("doc_id"), F.col(text).cast("string").alias("__text"))
@@ -211,14 +211,14 @@ def _finder(shared):
                 h, per_row, _, _ = word_hashes(data, offsets)
                 got = _search(items, h, per_row)
                 if got:
-                    row, item, edits, a, b = (np.array(x) for x in zip(*got))
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row + lo)), pa.array(item, pa.int64()), *[pa.array(x, pa.int32()) for x in (edits, a, b)]], ["doc_id", "item_id", "edits", "first_word", "end_word"])
+                    row, item, edits, a, b = zip(*got)
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.array(row) + lo)), pa.array(item, pa.int64()), *[pa.array(x, pa.int32()) for x in (edits, a, b)]], ["doc_id", "item_id", "edits", "first_word", "end_word"])
 
     return work
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", plan: Plan = Plan(), block_bytes: int = 4 << 20) -> DataFrame:
-    """The rows of *docs* in which no benchmark item is found, with all their columns.  One map for each block of items."""
+    """The rows of *docs* in which no benchmark item is found, with all their columns; items with a null id count.  One map for each block of items."""
     out = docs
     at = docs.columns.index(text)
     schema = docs.schema
