@@ -9,8 +9,16 @@ from pyspark.sql import DataFrame, SparkSession
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
 
+#: Settings that bound a task's memory: rows and bytes of an Arrow batch, and of a Parquet row group that is being written.
+BOUNDS = {
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20),
+    "parquet.block.size": str(32 << 20),
+}
+
+
 def ready(spark: SparkSession) -> SparkSession:
-    """A session whose Python workers can import this package and whose clock is UTC.
+    """A session whose Python workers can import this package, whose clock is UTC and whose batches are bounded.
 
     The checkpoint folder is the one that the cluster names in ``spark.checkpoint.dir``;
     a local one is set only where that is unset, as in tests.
@@ -19,6 +27,8 @@ def ready(spark: SparkSession) -> SparkSession:
     if ROOT not in paths.split(os.pathsep):
         spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, paths) if x)
     spark.conf.set("spark.sql.session.timeZone", "UTC")
+    for name, value in BOUNDS.items():
+        spark.conf.set(name, value)
     checkpoint_dir(spark)
     return spark
 
@@ -38,13 +48,16 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """*df* written as Parquet in the shared folder and read again: its lineage ends there, and it survives lost executors."""
+def written(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
+    """*df* written as Parquet in the shared folder and read again: its lineage ends there, and it survives lost executors.
+
+    Where columns to partition by are named, a filter on them reads their folders only.
+    """
     import uuid
 
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/weftline/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, partitionBy=list(partition_by) or None)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_path = path
     return out
