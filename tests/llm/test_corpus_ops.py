@@ -8,6 +8,7 @@ import re
 import wave
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -22,48 +23,68 @@ def _tokens(text):
     return [w.translate({c: c + 32 for c in range(65, 91)}) for w in re.findall(r"[^\x20\x09-\x0D]+", text or "")] + ["</s>"]
 
 
-def test_model_by_brute_force(spark):
+@pytest.mark.parametrize("order, fanout", [(2, 128), (3, 128), (3, 2)])
+def test_model_by_brute_force(spark, order, fanout):
+    """Every text's log-probability by the smoothing formula; with a fan-out of two the runs are added up by a tree."""
     rng = random.Random(2)
     words = ["a", "B", "cc", "dé", "e."]
     rows = [(k, k % 5 == 1, " ".join(rng.choice(words) for _ in range(rng.randrange(0, 25)))) for k in range(80)] + [(90, False, None), (91, True, "unseen words"), (92, False, " \t"), (3, False, "a b a b"), (None, True, "a B")]
+    rows += [(200 + k, k % 2 == 0, " ".join(rng.choice([*words, "odd"]) for _ in range(2 * lm_score.STRETCH + k))) for k in range(-1, 4)]  # texts of several stretches
     df = spark.createDataFrame(rows, "doc_id bigint, held_out boolean, text string").withColumn("score", F.lit("x"))
-    counts = [collections.Counter() for _ in range(3)]
-    docs = 0
+    # Histories start with as many begin marks as they have words.
+    marked = {t: ["<s>"] * (order - 1) + _tokens(t) for _, _, t in rows}
+    counts, past = collections.Counter(), collections.Counter()
     for _, held, text in rows:
-        if not held:
-            t = _tokens(text)
-            docs += 1
-            for i in range(len(t)):
-                for k in range(3):
-                    # Histories start with one begin mark.
-                    counts[k][("<s>",) * (i < k) + tuple(t[max(0, i - k) : i + 1]) + (("|", k) if i < k else ())] += 1
-    n, v = sum(counts[0].values()), len(counts[0])
+        t = marked[text]
+        for i in range(order - 1, len(t)):
+            for k in range(order):
+                counts[tuple(t[i - k : i + 1])] += not held
+                past[tuple(t[i - k : i])] += not held
+    n, v = past[()], sum(c > 0 and len(g) == 1 for g, c in counts.items())
     strength = (30.0, 2.0)
-    got = lm_score.score(df, ~F.col("held_out"), carry=["doc_id", "held_out"], block_bytes=300, strength=strength, order=2).collect()
+
+    def chance(history, word):
+        if not history:
+            return (counts[(word,)] + 0.5) / (n + 0.5 * (v + 1))
+        lower = chance(history[1:], word)
+        m = strength[len(history) - 1]
+        return (counts[(*history, word)] + m * lower) / (past[history] + m)
+
+    got = lm_score.score(df, ~F.col("held_out"), carry=["doc_id", "held_out"], block_bytes=600, strength=strength, order=order, fanout=fanout, hash_bits=(60, 58, 58)).collect()
     assert len(got) == len(rows)
     by_text = collections.defaultdict(list)
     for r in got:
         by_text[r["doc_id"]].append(r)
     for d, held, text in rows:
-        t = _tokens(text)
-        base = sum(math.log10((counts[0][(w,)] + 0.5) / (n + 0.5 * (v + 1))) for w in t)
-        total = 0.0
-        uni = collections.Counter({k[0]: c for k, c in counts[0].items()})
-        bi = collections.Counter()
-        for _, h, x in rows:
-            if not h:
-                y = _tokens(x)
-                bi.update(zip(["<s>", *y], y))
-        for h, w in zip(["<s>", *t], t):
-            p = (uni[w] + 0.5) / (n + 0.5 * (v + 1))
-            c = docs if h == "<s>" else uni[h]
-            total += math.log10((bi[h, w] + strength[0] * p) / (c + strength[0]) if c else p)
+        t = marked[text]
+        at = range(order - 1, len(t))
+        base = sum(math.log10(chance((), t[i])) for i in at)
+        total = sum(math.log10(chance(tuple(t[i - order + 1 : i]), t[i])) for i in at)
+        known = sum(counts[(t[i],)] > 0 for i in at)
         assert any(
-            r["n_tokens"] == len(t) and r["n_known"] == sum(uni[w] > 0 for w in t) and r["train_tokens"] == n and math.isclose(r["base_score"], base, rel_tol=1e-9) and math.isclose(r["score"], total, rel_tol=1e-9)
-            for r in by_text[d]
+            r["n_tokens"] == len(at) and r["n_known"] == known and r["train_tokens"] == n and math.isclose(r["base_score"], base, rel_tol=1e-9) and math.isclose(r["score"], total, rel_tol=1e-9) for r in by_text[d]
         ), (d, text)
 
 
+def test_automaton_follows_failure_arcs():
+    """The states of one traversal are the longest histories that training holds."""
+    texts = ["a b c a b", "b c d", "z a b z c"]
+    learn = [True, True, False]
+    grams = lm_score._Grams(pa.array(texts, pa.large_string()), 3, (60, 58, 58))
+    counts = [lm_score._learnt(g, np.repeat(learn, grams.per))[1] for g in grams.hashes]
+    machine = lm_score.Automaton(grams, counts, 10, 5, 2, (30.0, 2.0))
+    seen = {tuple((["<s>"] * 2 + _tokens(t))[i : i + k]) for t in texts[:2] for k in (1, 2) for i in range(0, len(_tokens(t)) + 3 - k)}
+    name = {}  # states that were met, by history
+    for t, first, per in zip(texts, grams.first, grams.per):
+        state, past = np.array([machine.start]), ["<s>", "<s>"]
+        for i in range(per):
+            state, _ = machine.step(state, machine.words[first + i : first + i + 1])
+            past.append(_tokens(t)[i])
+            longest = next((tuple(past[-k:]) for k in (2, 1) if tuple(past[-k:]) in seen), ())
+            assert name.setdefault(longest, int(state[0])) == int(state[0]) and (longest == ()) == (state[0] == 0)
+    assert len(set(name.values())) == len(name) > 6
+
+
 def test_model_is_a_distribution(spark):
     """Probabilities of all continuations of a history sum to one, the unknown word included."""
     vocab = ["a", "b", "c"]
