@@ -29,3 +29,13 @@ def kept(packed: np.ndarray, slots: pa.Array) -> pa.Array:
     """Which rows may be wanted."""
     at = slots.to_numpy(zero_copy_only=False)
     return pa.array((packed[at >> 3] >> (7 - (at & 7)) & 1).astype(bool))
+
+
+def maybe(ids: DataFrame, key: str, column: Column) -> Column:
+    """Whether *column* may be among the ids: only its slot travels to Python."""
+    shared = ids.sparkSession.sparkContext.broadcast(bitmap(ids, key))
+
+    def told(slots: pa.Array) -> pa.Array:
+        return kept(shared.value, slots)
+
+    return F.arrow_udf(told, "boolean")(slot(column))

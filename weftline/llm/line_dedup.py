@@ -3,20 +3,20 @@
 Every batch of documents becomes a run: one entry for each distinct line key,
 sorted by the key's 128-bit hash, with the number of documents that hold it and
 the largest of their ids.  A level that is full is compacted: its runs are
-merged into one run of the next level.  A new batch is joined against the runs
-(``unseen`` drops the lines that they hold) before it adds its own.
+merged into one run of the next level.  A new batch is merge-joined with the
+runs: an anti-join finds the keys that no run holds, which become its own run,
+and what it has of the other keys is kept beside the runs.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from functools import reduce
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.session import written
+from weftline.llm import id_filter
+from weftline.session import discard, written
 
 # The white space that is stripped from a line's ends, and the letters that are lower-cased.
 SPACE = " \t\n\x0b\x0c\r"
@@ -42,20 +42,32 @@ def line_facts(docs: DataFrame, key: str = "doc_id", text: str = "text", min_cha
 
 
 class LineRuns:
-    """Levels of sorted runs in the shared folder; each run is a Parquet table ``h1, h2, n_docs, keeper``."""
+    """Levels of sorted runs in the shared folder; each run is a Parquet table ``h1, h2, n_docs, keeper``.
+
+    A key is in one run only, with what its first batch had of it.  What later batches have of keys that
+    a run holds is kept in ``repeats``, which has no other keys.
+    """
 
     def __init__(self, spark: SparkSession, fanout: int = 2):
         self.spark, self.fanout = spark, fanout
         self.levels: list[list[DataFrame]] = []
+        self.repeats: list[DataFrame] = []
 
     @staticmethod
-    def _merged(entries: DataFrame) -> DataFrame:
-        return entries.groupBy(*HASH).agg(F.sum("n_docs").alias("n_docs"), F.max("keeper").alias("keeper"))
+    def _counted(facts: DataFrame) -> DataFrame:
+        """A batch's distinct keys; a document belongs to one batch only."""
+        once = facts.groupBy(*HASH, "doc").agg(F.lit(1).cast("bigint").alias("n_docs"))
+        return once.groupBy(*HASH).agg(F.sum("n_docs").alias("n_docs"), F.max("doc").alias("keeper"))
 
     def add(self, facts: DataFrame) -> None:
-        """Add a batch as a run of its own.  A document belongs to one batch only."""
-        once = facts.groupBy(*HASH, "doc").agg(F.lit(1).cast("bigint").alias("n_docs")).select(*HASH, "n_docs", F.col("doc").alias("keeper"))
-        self._store(0, self._merged(once))
+        """Merge a batch with the runs: the keys that they lack become a run, the others are repeats."""
+        if not self.runs():
+            self._store(0, self._counted(facts))
+            return
+        batch = written(self._counted(facts), "lines-batch")
+        self.repeats.append(written(reduce(DataFrame.unionByName, [batch.join(run.select(*HASH).hint("merge"), list(HASH), "left_semi") for run in self.runs()]), "lines-repeats"))
+        self._store(0, self.unseen(batch))
+        discard(self.spark, batch)
 
     def _store(self, level: int, run: DataFrame) -> None:
         while len(self.levels) <= level:
@@ -63,19 +75,24 @@ class LineRuns:
         self.levels[level].append(written(run.sortWithinPartitions(*HASH), f"lines-level{level}"))
         if len(self.levels[level]) >= self.fanout:
             runs, self.levels[level] = self.levels[level], []
-            self._store(level + 1, self._merged(reduce(DataFrame.unionByName, runs)))
+            self._store(level + 1, reduce(DataFrame.unionByName, runs).repartition(*HASH))
+            discard(self.spark, *runs)
+
+    def runs(self) -> list[DataFrame]:
+        return [run for level in self.levels for run in level]
 
     def entries(self) -> DataFrame | None:
-        """All runs merged; None before the first batch."""
-        runs = [run for level in self.levels for run in level]
-        if not runs:
+        """All keys with their documents; None before the first batch."""
+        if not self.runs():
             return None
-        return runs[0] if len(runs) == 1 else self._merged(reduce(DataFrame.unionByName, runs))
+        found = reduce(DataFrame.unionByName, [*self.runs(), *self.repeats])
+        return found.groupBy(*HASH).agg(F.sum("n_docs").alias("n_docs"), F.max("keeper").alias("keeper"))
 
     def unseen(self, facts: DataFrame) -> DataFrame:
-        """The lines of a batch that no run holds yet."""
-        seen = self.entries()
-        return facts if seen is None else facts.join(seen, list(HASH), "left_anti")
+        """The rows of a batch whose keys no run holds yet."""
+        for run in self.runs():
+            facts = facts.join(run.select(*HASH).hint("merge"), list(HASH), "left_anti")
+        return facts
 
 
 def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", min_chars: int = 40, min_docs: int = 5, batches: int = 4, fanout: int = 2) -> DataFrame:
@@ -88,36 +105,26 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", min_chars: i
     empty line and becomes an empty text; rows with a null id are one document, below all others;
     repeated rows stay repeated; an empty table stays empty.
 
-    Shuffles: three longs and a position per long line, then the documents once by id.
+    Shuffles: three longs and a position per long line, and the texts that may lose a line by their id.
     """
     spark = docs.sparkSession
     carry = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    facts = written(line_facts(docs, key, text, min_chars).withColumn("batch", F.pmod(F.xxhash64("doc"), F.lit(batches))), "line-facts")
+    facts = written(line_facts(docs, key, text, min_chars).withColumn("batch", F.pmod(F.xxhash64("doc"), F.lit(batches)).cast("int")), "line-facts", "batch")
     runs = LineRuns(spark, fanout)
     for b in range(batches):
-        runs.add(facts.where(F.col("batch") == b).drop("batch"))
+        runs.add(facts.where(F.col("batch") == b).select("doc", *HASH))
     shared = runs.entries().where(F.col("n_docs") >= min_docs)
     gone = facts.join(shared, list(HASH)).where(~F.col("doc").eqNullSafe(F.col("keeper")))
-    gone = gone.groupBy("doc", "body").agg(F.collect_set("pos").alias("__gone"))
-    named = docs.select(*[f"`{c}`" for c in carry]).withColumn("__body", F.xxhash64(F.col(text)))
-    joined = named.join(gone, named[key].eqNullSafe(gone["doc"]) & (named["__body"] == gone["body"]), "left").select(*[named[f"`{c}`"] for c in carry], "__gone")
-    at = carry.index(text)
-
-    def cut(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in rows:
-            texts, total, dropped = [], [], []
-            for value, out in zip(batch.column(at), batch.column(len(carry))):
-                value, out = value.as_py() or "", out.as_py()
-                n = value.count("\n") + 1
-                if out:
-                    out = set(out)
-                    value = "\n".join([line for k, line in enumerate(value.split("\n")) if k not in out])
-                texts.append(value)
-                total.append(n)
-                dropped.append(len(out or ()))
-            columns = list(batch.columns[: len(carry)])
-            columns[at] = pa.array(texts, pa.string())
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(total, pa.int64()), pa.array(dropped, pa.int64())], [*carry, "n_lines", "n_dropped"])
-
-    kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
-    return joined.mapInArrow(cut, ", ".join(f"`{c}` {kinds[c]}" for c in carry) + ", n_lines bigint, n_dropped bigint")
+    gone = written(gone.groupBy("doc", "body").agg(F.sort_array(F.collect_set("pos")).alias("gone")), "lines-gone")
+    # A byte for each line up to the last that goes: 1 for those that go.
+    zeros = lambda p, i: F.repeat(F.lit("0"), p - F.coalesce(F.get("gone", i - 1), F.lit(-1)) - 1)
+    marks = gone.select(F.col("doc").alias("gone_doc"), F.col("body").alias("gone_body"), F.size("gone").cast("bigint").alias("n_gone"), F.array_join(F.transform("gone", lambda p, i: F.concat(zeros(p, i), F.lit("1"))), "").cast("binary").alias("marks"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in carry]).alias("row"), F.col(f"`{key}`").alias("doc"), F.xxhash64(F.col(f"`{text}`")).alias("body"))
+    may = id_filter.maybe(gone, "doc", rows["doc"])
+    cut = rows.where(may).join(marks.hint("merge"), F.col("doc").eqNullSafe(F.col("gone_doc")) & (F.col("body") == F.col("gone_body")), "left")
+    out = cut.select("row", "n_gone", "marks").unionByName(rows.where(~may).select("row", F.lit(None).cast("bigint").alias("n_gone"), F.lit(None).cast("binary").alias("marks")))
+    old = F.coalesce(F.col("row")[text], F.lit(""))
+    stays = F.filter(F.split(old, "\n", -1), lambda line, i: F.substring("marks", i + 1, F.lit(1)) != F.lit(b"1"))
+    new = F.when(F.col("n_gone").isNull(), old).otherwise(F.array_join(stays, "\n"))
+    n_lines = (F.length(old) - F.length(F.translate(old, "\n", "")) + 1).cast("bigint")
+    return out.select(*[(new if c == text else F.col("row")[c]).alias(c) for c in carry], n_lines.alias("n_lines"), F.coalesce("n_gone", F.lit(0)).cast("bigint").alias("n_dropped"))
