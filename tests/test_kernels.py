@@ -2,12 +2,13 @@
 
 import math
 import random
+from statistics import NormalDist
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from weftline.operators import concentration, mining, paths, samples, stats
+from weftline.operators import concentration, mining, paths, ranks, regression, samples, stats
 from weftline.operators.graph import Graph, dependency_pairs, node_metrics, source_node_metrics
 from weftline.operators.quality import ContractError
 
@@ -124,12 +125,58 @@ def test_source_metrics(spark):
     assert (p["in_paths"], p["is_path_cycle_boundary"]) == ("19", True)
 
 
-def test_primes_and_rank_shapes():
-    assert stats.first_primes(8).tolist() == [2, 3, 5, 7, 11, 13, 17, 19]
-    zipf = stats.rank_shapes(8 - np.log10(np.arange(1, 1001)))[0]
-    assert zipf["fixed_rmse"] < 1e-12 and abs(zipf["free_beta"] - 1) < 1e-12
-    prime = stats.rank_shapes(8 - np.log10(stats.first_primes(1000)))
-    assert prime[1]["fixed_rmse"] < 1e-12 < prime[0]["fixed_rmse"]
+def test_primes_and_rank_shapes(spark):
+    primes = [(r["prime"], r["rank"]) for r in stats.prime_ranks(spark, 400, segment=256).orderBy("rank").collect()]
+    assert [p for p, _ in primes[:8]] == [2, 3, 5, 7, 11, 13, 17, 19] and [r for _, r in primes] == list(range(1, 401))
+    assert [p for p, _ in primes] == stats.small_primes(primes[-1][0]).tolist()
+    of = lambda numbers: {(r["range"], r["shape"]): r for r in stats.rank_shapes(spark.createDataFrame([(1e8 / float(k),) for k in numbers], "value double")).collect()}
+    zipf = of(range(1, 1001))["all_positive", "zipf"]
+    assert zipf["n"] == 1000 and zipf["fixed_rmse"] < 1e-12 and abs(zipf["free_beta"] - 1) < 1e-12
+    prime = of(stats.small_primes(7919))
+    assert prime["all_positive", "reciprocal_prime"]["fixed_rmse"] < 1e-12 < prime["all_positive", "zipf"]["fixed_rmse"]
+    assert prime["top_1pct", "zipf"]["n"] == 20
+
+
+def test_rank_shapes_of_ties_by_brute_force(spark):
+    rng = random.Random(4)
+    values = sorted([*(rng.choice([1, 1, 1, 2, 2, 3, 7]) for _ in range(290)), 80, 80, 60, 50, 50, 50, 45, 41, 41, 40], reverse=True)
+    got = {(r["range"], r["shape"]): r for r in stats.rank_shapes(spark.createDataFrame([(float(v),) for v in values], "value double")).collect()}
+    primes = stats.small_primes(5000)
+    for (name, shape), r in got.items():
+        n = 300 if name == "all_positive" else 20
+        y = np.log10(values[:n])
+        base = np.log10(np.arange(1, n + 1) if shape == "zipf" else primes[:n])
+        e = y + base - (y + base).mean()
+        slope, level = np.polyfit(base, y, 1)
+        assert math.isclose(r["fixed_rmse"], math.sqrt((e * e).mean()), rel_tol=1e-9) and math.isclose(r["fixed_mae"], np.abs(e).mean(), rel_tol=1e-9)
+        assert math.isclose(r["free_beta"], -slope, rel_tol=1e-9) and math.isclose(r["free_intercept"], level, rel_tol=1e-9)
+        assert math.isclose(r["fixed_r_squared"], 1 - (e * e).sum() / ((y - y.mean()) ** 2).sum(), rel_tol=1e-9)
+    assert len(got) == 4
+
+
+def test_sums_over_ranks_in_closed_form(spark):
+    runs = [(1, 1), (1, 64), (1, 65), (2, 100), (60, 500), (3, 100000), (999999, 64), (1000000, 70)]
+    df = spark.createDataFrame(runs, "first bigint, c bigint")
+    for r in df.select("first", "c", *[ranks.log_run(F.col("first"), F.col("c"), k).alias(f"p{k}") for k in (1, 2)]).collect():
+        logs = np.log(np.arange(r["first"], r["first"] + r["c"], dtype=float))
+        assert math.isclose(r["p1"], logs.sum(), rel_tol=1e-9, abs_tol=1e-12) and math.isclose(r["p2"], (logs**2).sum(), rel_tol=1e-9, abs_tol=1e-12)
+
+
+def test_running_sums_over_a_total_order(spark):
+    rows = [(k * 37 % 1000, k % 5) for k in range(1000)]
+    got = ranks.running(spark.createDataFrame(rows, "k bigint, w bigint").repartition(7), [F.col("k")], F.col("w")).collect()
+    total = 0
+    for r in sorted(got, key=lambda r: r["k"]):
+        assert r["before"] == total
+        total += r["w"]
+    assert len(got) == 1000
+
+
+def test_cut_off_totals_by_plain_sums():
+    for a, rate, first in ((1.5, 1e-3, 2.0), (2.5, 1e-5, 6.0), (0.7, 1e-2, 1.0), (3.0, 1e-9, 40.0)):
+        k = first + np.arange(3_000_000)
+        rest = (k[-1] + 0.5) ** (1 - a) / (a - 1) * math.exp(-rate * (k[-1] - first)) if a > 1 else 0.0
+        assert math.isclose(stats._cut_total(a, rate, first), float((k**-a * np.exp(-rate * (k - first))).sum()) + rest, rel_tol=1e-6)
 
 
 def test_rank_fit_of_zipf(spark):
@@ -149,10 +196,31 @@ def test_tail_fit_finds_the_exponent():
 
 def test_regression_recovers_a_negative_slope(spark):
     rows = [(x, max(1, int(800 / math.sqrt(x))), "k", "d") for x in range(1, 401)]
-    r = stats.nb2(spark.createDataFrame(rows, "size bigint, in_degree_all bigint, kind string, domain string"), "size")
+    r = regression.nb2(spark.createDataFrame(rows, "size bigint, in_degree_all bigint, kind string, domain string"), "size")
     assert r["status"] == "ok_nb2_fixed_dispersion" and r["n"] == 400 and r["coefficient"] < 0 and r["ci_high"] < 0
     assert r["effect_reference_value"] == 200.5 and r["doubling_effect_pct_at_reference"] < 0
-    assert stats.nb2(spark.createDataFrame(rows[:5], "size bigint, in_degree_all bigint, kind string, domain string"), "size")["status"] == "insufficient_observations"
+    assert regression.nb2(spark.createDataFrame(rows[:5], "size bigint, in_degree_all bigint, kind string, domain string"), "size")["status"] == "insufficient_observations"
+
+
+def test_regression_solves_the_score_equations(spark):
+    """The fitted coefficient and errors are those of a dense Newton solution with kinds and domains as dummies."""
+    rng = np.random.default_rng(9)
+    rows = [(int(rng.integers(1, 300)), f"k{rng.integers(2)}", f"d{rng.integers(4)}") for _ in range(500)]
+    rows = [(x, int(rng.poisson(rng.gamma(1.0, math.exp(1 - 0.3 * math.log1p(x) + 0.5 * (k == "k1") + 0.2 * int(d[1]))))), k, d) for x, k, d in rows]
+    r = regression.nb2(spark.createDataFrame([*rows, (None, 1, "k0", "d0")], "size bigint, in_degree_all bigint, kind string, domain string"), "size")
+    x = np.array([[1, math.log1p(v), k == "k1", *[d == f"d{j}" for j in (1, 2, 3)]] for v, _, k, d in rows], float)
+    y = np.array([v for _, v, _, _ in rows], float)
+    beta = np.zeros(x.shape[1])
+    for _ in range(200):
+        mu = np.exp(x @ beta)
+        beta += 0.5 * np.linalg.solve((x * (mu / (1 + mu))[:, None]).T @ x, x.T @ ((y - mu) / (1 + mu)))
+    mu = np.exp(x @ beta)
+    bread = np.linalg.inv((x * (mu / (1 + mu))[:, None]).T @ x)
+    s = (y - mu) / (1 + mu)
+    robust = bread @ ((x * (s * s)[:, None]).T @ x) @ bread * (500 / 494)
+    assert r["n"] == 500 and r["status"] == "ok_nb2_fixed_dispersion"
+    assert math.isclose(r["coefficient"], beta[1], rel_tol=1e-5) and math.isclose(r["std_error"], math.sqrt(robust[1, 1]), rel_tol=1e-4)
+    assert math.isclose(r["pearson_dispersion"], ((y - mu) ** 2 / (mu + mu * mu)).sum() / 494, rel_tol=1e-4)
 
 
 def test_p_values():
@@ -164,6 +232,15 @@ def test_normality_of_a_normal_sample(spark):
     z = np.random.default_rng(3).normal(size=3000)
     r = stats.normality(spark.createDataFrame([(float(v),) for v in z], "z double"))
     assert r["shape_consistent"] and r["dagostino_p_value"] > 0.01 and r["anderson_statistic"] < 1.0
+    # Brute force, with ties.
+    z = np.sort(np.round(z, 1))
+    r = stats.normality(spark.createDataFrame([(float(v),) for v in z], "z double"))
+    n, k, normal = len(z), np.arange(1, len(z) + 1), NormalDist()
+    u = (z - z.mean()) / z.std(ddof=1)
+    low = np.array([0.5 * math.erfc(-x / math.sqrt(2)) for x in u])
+    ad = -n - ((2 * k - 1) * np.log(low) + (2 * (n - k) + 1) * np.log(1 - low)).sum() / n
+    q = np.array([normal.inv_cdf((i - 0.5) / n) for i in k])
+    assert math.isclose(r["anderson_statistic"], ad, rel_tol=1e-7) and math.isclose(r["qq_r_squared"], np.corrcoef(q, z)[0, 1] ** 2, rel_tol=1e-9)
 
 
 def _greedy(symbols, sizes, lengths):

@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftline.operators.ranks import running
+
 
 def top(df: DataFrame, order: list[Column], k: int) -> DataFrame:
     return df.orderBy(*order).limit(k)
@@ -99,7 +101,7 @@ def every_nth(df: DataFrame, order: list[Column], limit: int) -> DataFrame:
     """At most *limit* rows at even steps of a total order, whatever the order of the input."""
     n = df.count()
     step = max(1, math.ceil(n / limit))
-    return df.withColumn("__at", F.row_number().over(Window.orderBy(*order))).where((F.col("__at") - 1) % step == 0).drop("__at")
+    return running(df, order, name="__at").where(F.col("__at") % step == 0).drop("__at")
 
 
 def page(df: DataFrame, words: str, columns: list[str], order: list[Column], number: int, size: int = 25) -> DataFrame:

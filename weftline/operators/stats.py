@@ -1,19 +1,25 @@
-"""Statistical kernels on histograms: tail fits, rank fits, regressions, correlations, normality.
+"""Statistical kernels on histograms: tail fits, rank fits, correlations, normality.
 
-Rows are reduced to distinct values with counts on the executors; what reaches
-the driver is a histogram whose size is checked.
+Rows are reduced to distinct values with counts on the executors, and mostly to
+sums there.  Tail fits take the histogram of whole-numbered values to the
+driver: its size is checked, and a graph's degrees have at most as many distinct
+values as the square root of twice its links.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from statistics import NormalDist
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from weftline.operators.concentration import histogram
+from weftline.operators.concentration import histogram, ranked_blocks
+from weftline.operators.ranks import log_run, running
+from weftline.session import written
 
 #: Distinct values that a histogram on the driver may have.
 DRIVER_BINS = 2_000_000
@@ -79,6 +85,21 @@ def _loglik_powerlaw(v: np.ndarray, xmin: float, alpha: float) -> np.ndarray:
     return -alpha * np.log(v) - np.log(_zeta(alpha, xmin))
 
 
+def _cut_total(a: float, rate: float, first: float) -> float:
+    """The sum of k**-a * exp(-rate * (k - first)) over k from *first* on: some terms, then Euler and Maclaurin's formula."""
+    k = first + np.arange(256)
+    m = first + 256
+    f = lambda x: x**-a * np.exp(-rate * (x - first))
+    # The integral from m on, over s = ln(x / m), by Simpson's rule up to where nothing is left.
+    top = math.log1p(60 / (rate * m)) if a <= 1.05 else min(math.log1p(60 / (rate * m)), 60 / (a - 1))
+    s = np.linspace(0, top, 4001)
+    x = m * np.exp(s)
+    y = x ** (1 - a) * np.exp(-rate * (x - first))
+    integral = (y[0] + y[-1] + 4 * y[1:-1:2].sum() + 2 * y[2:-1:2].sum()) * (s[1] - s[0]) / 3
+    slope = -(a / m + rate) * f(m)
+    return float(f(k).sum() + integral + f(m) / 2 - slope / 12)
+
+
 def _golden(f, lo: float, hi: float, steps: int = 60) -> float:
     g = (math.sqrt(5) - 1) / 2
     a, b = hi - g * (hi - lo), lo + g * (hi - lo)
@@ -107,7 +128,8 @@ def _vuong(one: np.ndarray, two: np.ndarray, c: np.ndarray) -> tuple[float, floa
 def fit_tail_counts(v: np.ndarray, c: np.ndarray) -> dict:
     """Discrete power-law fit of a histogram: *xmin* of the least Kolmogorov distance, exponent by maximum likelihood.
 
-    The comparisons are with a discretised lognormal and a power law with exponential cut-off on the same tail.
+    The comparisons are with a discretised lognormal and a power law with exponential cut-off on the same
+    tail, both normalised over all whole numbers from *xmin* on.
     """
     keep = v > 0
     v, c = v[keep], c[keep]
@@ -141,11 +163,9 @@ def fit_tail_counts(v: np.ndarray, c: np.ndarray) -> dict:
     for _ in range(4):
         mean = _golden(lambda m: -(w * lognormal(m, sd)).sum(), mean - 6, mean + 4, 30)
         sd = _golden(lambda s: -(w * lognormal(mean, s)).sum(), 0.05, 8.0, 30)
-    support = np.arange(t[0], t[-1] + 1) if t[-1] - t[0] < 200_000 else t
 
     def cut(a: float, rate: float) -> np.ndarray:
-        norm = np.log((support**-a * np.exp(-rate * (support - t[0]))).sum())
-        return -a * np.log(t) - rate * (t - t[0]) - norm
+        return -a * np.log(t) - rate * (t - t[0]) - math.log(_cut_total(a, rate, float(t[0])))
 
     a, rate = alpha, 1e-4
     for _ in range(4):
@@ -163,15 +183,16 @@ def fit_tail(values: DataFrame, value: str = "value") -> dict:
 def rank_frequency(values: DataFrame, by: list[str], xmin: float = 1.0, value: str = "value") -> DataFrame:
     """``ln value = intercept - beta ln rank`` on the tail of each group, from the runs of equal values.
 
-    Ranks within a run are summed as differences of running sums of ln k and ln^2 k, which come from
-    a table of as many rows as the largest group has.
+    Logarithms of the ranks within a run are summed in closed form, so that a run is one row however long it is.
     """
-    from weftline.operators.concentration import ranked_blocks
-
     b = ranked_blocks(values.where(F.col(value) >= xmin), by, value)
-    ranks = F.explode(F.sequence(F.col("first_rank"), F.col("first_rank") + F.col("c") - 1))
-    rows = b.select(*by, F.ln("v").alias("y"), ranks.alias("rank")).withColumn("x", F.ln("rank"))
-    made = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("tail_n"), F.count_distinct("y").alias("distinct"), F.regr_slope("y", "x").alias("slope"), F.regr_intercept("y", "x").alias("intercept"), F.regr_r2("y", "x").alias("r_squared"), F.regr_sxx("y", "x").alias("sxx"), F.regr_syy("y", "x").alias("syy"))
+    first, c, y = F.col("first_rank"), F.col("c"), F.ln("v")
+    rows = b.select(*by, "c", y.alias("y"), log_run(first, c).alias("x"), log_run(first, c, 2).alias("xx"))
+    sums = rows.groupBy(*by).agg(F.sum("c").alias("tail_n"), F.count(F.lit(1)).alias("distinct"), F.sum("x").alias("x"), F.sum("xx").alias("xx"), F.sum(F.col("c") * F.col("y")).alias("y"), F.sum(F.col("c") * F.col("y") * F.col("y")).alias("yy"), F.sum(F.col("x") * F.col("y")).alias("xy"))
+    n = F.col("tail_n")
+    parts = {"sxx": F.col("xx") - F.col("x") * F.col("x") / n, "syy": F.col("yy") - F.col("y") * F.col("y") / n, "sxy": F.col("xy") - F.col("x") * F.col("y") / n}
+    made = sums.withColumns(parts).withColumn("slope", F.try_divide("sxy", "sxx"))
+    made = made.withColumns({"intercept": (F.col("y") - F.col("slope") * F.col("x")) / n, "r_squared": F.when(F.col("syy") > 0, F.col("slope") * F.col("sxy") / F.col("syy")).otherwise(1.0)})
     ok = (F.col("tail_n") >= 20) & (F.col("distinct") >= 3)
     error = F.sqrt((1 - F.col("r_squared")) / (F.col("tail_n") - 2)) * F.sqrt(F.col("syy") / F.col("sxx"))
     when = lambda c: F.when(ok, c)
@@ -187,42 +208,79 @@ def rank_frequency(values: DataFrame, by: list[str], xmin: float = 1.0, value: s
     )
 
 
-def first_primes(n: int) -> np.ndarray:
-    """The first *n* primes."""
-    if n < 1:
-        return np.zeros(0, np.int64)
-    top = max(15, int(n * (math.log(n + 2) + math.log(math.log(n + 3)))) + 10)
+def small_primes(top: int) -> np.ndarray:
+    """The primes up to *top*."""
     sieve = np.ones(top + 1, bool)
     sieve[:2] = False
     for p in range(2, math.isqrt(top) + 1):
         if sieve[p]:
             sieve[p * p :: p] = False
-    return np.flatnonzero(sieve)[:n]
+    return np.flatnonzero(sieve)
+
+
+def prime_ranks(spark: SparkSession, n: int, segment: int = 1 << 20) -> DataFrame:
+    """``prime, rank`` of the first *n* primes: a sieve in segments, of which each task gets some.
+
+    Only the primes up to the square root of the last one are sent to the tasks.
+    """
+    top = max(15, int(n * (math.log(n + 2) + math.log(math.log(n + 3)))) + 10)
+    base = spark.sparkContext.broadcast(small_primes(math.isqrt(top) + 1))
 
+    def sieve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in batch.column(0).to_pylist():
+                lo, hi = k * segment, min((k + 1) * segment, top + 1)
+                left = np.ones(hi - lo, bool)
+                left[: max(0, 2 - lo)] = False
+                for p in base.value.tolist():
+                    left[max(p * p, -(-lo // p) * p) - lo :: p] = False
+                yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(left) + lo)], ["prime"])
 
-def _template(y: np.ndarray, base: np.ndarray) -> dict:
-    """``y = a - base`` with a fitted level, and ``y = a - b * base``."""
-    fixed = float((y + base).mean())
-    e = y - (fixed - base)
-    syy, sxx = float(((y - y.mean()) ** 2).sum()), float(((base - base.mean()) ** 2).sum())
-    slope = float(((base - base.mean()) * (y - y.mean())).sum()) / sxx
-    free = y - (y.mean() + slope * (base - base.mean()))
-    r2 = lambda res: 1 - float((res**2).sum()) / syy if syy > 0 else 1.0
-    rms = lambda res: math.sqrt(float((res**2).mean()))
-    return {"fixed_intercept": fixed, "fixed_rmse": rms(e), "fixed_mae": float(np.abs(e).mean()), "fixed_r_squared": r2(e), "free_beta": -slope, "free_intercept": float(y.mean() - slope * base.mean()), "free_rmse": rms(free), "free_r_squared": r2(free)}
+    found = spark.range(-(-(top + 1) // segment)).mapInArrow(sieve, "prime bigint")
+    return running(found, [F.col("prime")]).select("prime", (F.col("before") + 1).alias("rank")).where(F.col("rank") <= n)
 
 
-def rank_shapes(log10_values: np.ndarray) -> list[dict]:
-    """Fits of 1/rank and 1/prime(rank) to all values and to the largest one percent (20 at least)."""
-    y = np.sort(np.asarray(log10_values, float)[np.isfinite(log10_values)])[::-1]
-    if len(y) < 20:
+def rank_shapes(values: DataFrame, value: str = "value") -> DataFrame:
+    """Fits of 1/rank and 1/prime(rank) to the logarithms of all positive values and of the largest one percent (20 at least).
+
+    ``range, shape, n`` and, for the template with a fitted level (*fixed*) and with a fitted slope too
+    (*free*), level, root mean square error, R squared and, for the fixed one, mean absolute error.  Values
+    are runs of equal ones; each rank is summed with its run on the executors.  Needs 20 positive values.
+    """
+    blocks = written(ranked_blocks(values, [], value).select(F.log10("v").alias("y"), "first_rank", "c"), "blocks")
+    n = int(blocks.agg(F.sum("c")).first()[0] or 0)
+    if n < 20:
         raise ValueError("at least 20 positive values are needed")
-    primes = first_primes(len(y))
-    out = []
-    for name, n in (("all_positive", len(y)), ("top_1pct", max(20, math.ceil(len(y) * 0.01)))):
-        for shape, base in (("zipf", np.arange(1, n + 1)), ("reciprocal_prime", primes[:n])):
-            out.append({"range": name, "shape": shape, "n": n} | _template(y[:n], np.log10(base.astype(float))))
-    return out
+    spark, most = values.sparkSession, max(20, math.ceil(n * 0.01))
+    # One row for a rank and its prime; the value of a rank is that of the run which holds it.
+    primes = prime_ranks(spark, n)
+    firsts = blocks.select(F.col("first_rank").alias("rank"), "y", F.lit(None).cast("bigint").alias("prime"))
+    marked = firsts.unionByName(primes.select("rank", F.lit(None).cast("double").alias("y"), "prime"))
+    ranks = written(_filled(marked), "rank-values")
+    shapes = {"zipf": F.col("rank").cast("double"), "reciprocal_prime": F.col("prime").cast("double")}
+    stacked = ranks.select("rank", "y", F.explode(F.map_from_arrays(F.array(*[F.lit(k) for k in shapes]), F.array(*[F.log10(x) for x in shapes.values()]))).alias("shape", "base"))
+    wide = stacked.withColumn("range", F.explode(F.when(F.col("rank") <= most, F.array(F.lit("all_positive"), F.lit("top_1pct"))).otherwise(F.array(F.lit("all_positive")))))
+    key = ["range", "shape"]
+    fits = wide.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("y") + F.col("base")).alias("fixed_intercept"), F.regr_slope("y", "base").alias("slope"), F.regr_intercept("y", "base").alias("free_intercept"), F.var_pop("y").alias("var_y"))
+    fixed = F.col("y") - F.col("fixed_intercept") + F.col("base")
+    free = F.col("y") - F.col("free_intercept") - F.col("slope") * F.col("base")
+    errors = wide.join(F.broadcast(fits), key).groupBy(*key).agg(*[F.first(x).alias(x) for x in ("n", "fixed_intercept", "slope", "free_intercept", "var_y")], F.avg(fixed * fixed).alias("fixed_mse"), F.avg(F.abs(fixed)).alias("fixed_mae"), F.avg(free * free).alias("free_mse"))
+    r2 = lambda mse: F.when(F.col("var_y") > 0, 1 - F.col(mse) / F.col("var_y")).otherwise(1.0)
+    return errors.select(*key, "n", "fixed_intercept", F.sqrt("fixed_mse").alias("fixed_rmse"), "fixed_mae", r2("fixed_mse").alias("fixed_r_squared"), (-F.col("slope")).alias("free_beta"), "free_intercept", F.sqrt("free_mse").alias("free_rmse"), r2("free_mse").alias("free_r_squared"))
+
+
+def _filled(marked: DataFrame) -> DataFrame:
+    """``rank, prime, y``: rows with a prime take the value of the last run that begins at their rank or before it.
+
+    Range partitions are filled on their own; what a partition begins with comes from the partitions before it.
+    """
+    dealt = written(marked.repartitionByRange("rank").withColumn("part", F.spark_partition_id()), "ranks")
+    last = dealt.where(F.col("y").isNotNull()).groupBy("part").agg(F.max_by("y", "rank").alias("y"))
+    parts = dealt.select("part").distinct().join(last, "part", "left")
+    before = parts.select("part", F.last("y", ignorenulls=True).over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)).alias("carried"))
+    inside = Window.partitionBy("part").orderBy("rank", F.col("prime").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    own = dealt.withColumn("y", F.last("y", ignorenulls=True).over(inside)).join(F.broadcast(before), "part")
+    return own.where(F.col("prime").isNotNull()).select("rank", "prime", F.coalesce("y", "carried").alias("y"))
 
 
 # --- correlation, regression, normality
@@ -237,10 +295,8 @@ def spearman(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
     for x, y in pairs:
         rows = df.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).na.drop()
         for c in ("x", "y"):
-            h = rows.groupBy(c).agg(F.count(F.lit(1)).alias("n"))
-            before = Window.orderBy(c).rowsBetween(Window.unboundedPreceding, -1)
-            h = h.select(c, (F.coalesce(F.sum("n").over(before), F.lit(0)) + (F.col("n") + 1) / 2).alias(f"rank_{c}"))
-            rows = rows.join(h, c)
+            h = running(rows.groupBy(c).agg(F.count(F.lit(1)).alias("n")), [F.col(c)], F.col("n"))
+            rows = rows.join(h.select(c, (F.col("before") + (F.col("n") + 1) / 2).alias(f"rank_{c}")), c)
         one = rows.agg(F.count(F.lit(1)).alias("n"), F.corr("rank_x", "rank_y").alias("rho")).select(F.lit(x).alias("x"), F.lit(y).alias("y"), "n", "rho")
         out = one if out is None else out.unionByName(one)
     return out
@@ -252,80 +308,6 @@ def spearman_p(rho: float, n: int) -> float:
     return student_p(rho * math.sqrt((n - 2) / (1 - rho * rho)), n - 2)
 
 
-def nb2(df: DataFrame, length: str, response: str = "in_degree_all", kind: str = "kind", domain: str = "domain") -> dict:
-    """Negative binomial regression (dispersion 1) of reuse on ln(1 + length) with kind and domain effects.
-
-    Rows are first counted by (kind, domain, length, response); Fisher scoring with step halving runs on
-    these cells.  Errors are HC1.
-    """
-    rows = df.select(kind, domain, F.col(length).cast("double").alias("x"), F.col(response).cast("double").alias("y")).na.drop()
-    cells = collected(rows.groupBy(kind, domain, "x", "y").agg(F.count(F.lit(1)).alias("c")))
-    n = int(cells["c"].sum()) if len(cells) else 0
-    out = {"length_metric": length, "n": n, "status": "insufficient_observations"}
-    if n < 30:
-        return out
-    c, raw, y = cells["c"].to_numpy(float), cells["x"].to_numpy(), cells["y"].to_numpy()
-    kinds, k = np.unique(cells[kind].astype(str), return_inverse=True)
-    domains, d = np.unique(cells[domain].astype(str), return_inverse=True)
-    p = len(kinds) + len(domains)
-    design = np.zeros((len(c), p))
-    design[:, 0], design[:, 1] = 1, np.log1p(raw)
-    for at, codes, shift in ((k, len(kinds), 1), (d, len(domains), len(kinds))):
-        on = at > 0
-        design[np.flatnonzero(on), at[on] + shift] = 1
-    beta = np.zeros(p)
-    beta[0] = math.log(max((c * y).sum() / n, 1e-6))
-
-    def loss(b: np.ndarray) -> float:
-        eta = design @ b
-        return float((c * ((y + 1) * np.logaddexp(0, eta) - y * eta)).sum())
-
-    def pieces(b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        eta = design @ b
-        chance = 0.5 * (1 + np.tanh(eta / 2))
-        return (y + 1) * chance - y, chance, np.exp(np.clip(eta, -700, 700))
-
-    now, converged, rounds = loss(beta), False, 0
-    for rounds in range(1, 61):
-        score, weight, _ = pieces(beta)
-        info = (design * (c * weight)[:, None]).T @ design
-        step = np.linalg.solve(info + np.eye(p) * max(np.trace(info), 1.0) * 1e-12, -(design * (c * score)[:, None]).sum(0))
-        scale = 1.0
-        while scale >= 2**-14 and loss(beta + scale * step) > now:
-            scale /= 2
-        if scale < 2**-14:
-            break
-        beta = beta + scale * step
-        new = loss(beta)
-        gain, now = (now - new) / max(abs(now), 1.0), new
-        if np.abs(scale * step).max() < 1e-7 or gain < 1e-10:
-            converged = True
-            break
-    score, weight, mu = pieces(beta)
-    cov = np.linalg.pinv((design * (c * weight)[:, None]).T @ design, hermitian=True)
-    robust = cov @ ((design * (c * score * score)[:, None]).T @ design) @ cov * (n / (n - p) if n > p else 1.0)
-    se, coefficient = math.sqrt(max(robust[1, 1], 0)), float(beta[1])
-    order = np.argsort(raw)
-    cum = np.cumsum(c[order])
-    at = lambda q: raw[order][np.searchsorted(cum, q)]
-    reference = float((at((n + 1) // 2) + at(n // 2 + 1)) / 2)
-    delta = math.log1p(2 * reference) - math.log1p(reference)
-    return out | {
-        "status": "ok_nb2_fixed_dispersion" if converged else "not_converged",
-        "coefficient": coefficient,
-        "std_error": se,
-        "model_std_error": math.sqrt(max(cov[1, 1], 0)),
-        "standard_error_type": "HC1_sandwich",
-        "ci_low": coefficient - 1.96 * se,
-        "ci_high": coefficient + 1.96 * se,
-        "p_value": math.erfc(abs(coefficient / se) / math.sqrt(2)) if se else 0.0,
-        "pearson_dispersion": float((c * (y - mu) ** 2 / (mu + mu**2)).sum() / max(n - p, 1)),
-        "effect_reference_value": reference,
-        "doubling_effect_pct_at_reference": (math.exp(coefficient * delta) - 1) * 100,
-        "optimizer_iterations": rounds,
-    }
-
-
 def quantile_bins(df: DataFrame, size: str, bins: int = 20) -> DataFrame:
     """``bin`` of each row: right-closed intervals between linear quantiles of *size*, equal edges dropped, the least value in the first."""
     edges = F.array_distinct(F.percentile(F.col(size).cast("double"), F.array(*[F.lit(k / bins) for k in range(bins + 1)])))
@@ -349,14 +331,39 @@ def sample_shape(n: Column, skew: Column, kurt: Column) -> tuple[Column, Column]
     return g, (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * kurt + 6)
 
 
+#: Ranks of one run of equal values that a task looks at together.
+_PIECE = 4096
+
+
+def _quantile_sums(n: int, mean: float, sd: float):
+    """Sums over ranks for the Anderson-Darling statistic and the normal quantile plot, added up in each batch."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        normal = NormalDist()
+        for batch in batches:
+            total = np.zeros(4)
+            for value, first, count in zip(*(batch.column(k).to_pylist() for k in range(3))):
+                u = (value - mean) / sd
+                low, high = max(0.5 * math.erfc(-u / math.sqrt(2)), 1e-300), max(0.5 * math.erfc(u / math.sqrt(2)), 1e-300)
+                ranks = np.arange(first + 1, first + count + 1)
+                q = np.array([normal.inv_cdf((k - 0.5) / n) for k in ranks.tolist()])
+                total += ((2 * ranks - 1).sum() * math.log(low) + (2 * (n - ranks) + 1).sum() * math.log(high), q.sum(), (q * q).sum(), q.sum() * value)
+            yield pa.RecordBatch.from_arrays([pa.array([x]) for x in total], ["ad", "q", "qq", "qv"])
+
+    return work
+
+
 def normality(z: DataFrame, column: str = "z") -> dict:
-    """Moments, D'Agostino's K2, Anderson-Darling and Q-Q fit of standardised values, from their histogram."""
-    v, c = value_counts(z, column)
-    n = int(c.sum())
+    """Moments, D'Agostino's K2, Anderson-Darling and Q-Q fit of standardised values; only sums reach the driver."""
+    counted = running(histogram(z, [], column), [F.col("v")], F.col("c"))
+    v, c = F.col("v"), F.col("c")
+    first = counted.agg(F.sum("c").alias("n"), (F.sum(c * v) / F.sum("c")).alias("mean")).first()
+    n = int(first["n"] or 0)
     if n < 20:
         return {"n": n, "status": "insufficient_observations"}
-    mean = (c * v).sum() / n
-    m2, m3, m4 = [(c * (v - mean) ** k).sum() / n for k in (2, 3, 4)]
+    mean = first["mean"]
+    off = v - F.lit(mean)
+    m2, m3, m4 = (x / n for x in counted.agg(*[F.sum(c * F.pow(off, F.lit(float(k)))) for k in (2, 3, 4)]).first())
     g1, g2 = m3 / m2**1.5, m4 / m2**2 - 3
     skew = math.sqrt(n * (n - 1)) / (n - 2) * g1
     kurt = (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * g2 + 6)
@@ -374,20 +381,11 @@ def normality(z: DataFrame, column: str = "z") -> dict:
     term = (1 - 2 / aa) / (1 + x * math.sqrt(2 / (aa - 4)))
     z2 = (1 - 2 / (9 * aa) - math.copysign(abs(term) ** (1 / 3), term)) / math.sqrt(2 / (9 * aa))
     k2 = z1 * z1 + z2 * z2
-    rank = np.cumsum(c) - c
     sd = math.sqrt(m2 * n / (n - 1))
-    normal = NormalDist()
-    s = ad = 0.0
-    q_sum = q_sq = q_v = 0.0
-    for value, count, before in zip(v, c, rank):
-        u = (value - mean) / sd
-        low, high = max(0.5 * math.erfc(-u / math.sqrt(2)), 1e-300), max(0.5 * math.erfc(u / math.sqrt(2)), 1e-300)
-        i = np.arange(before + 1, before + count + 1)
-        ad += float((2 * i - 1).sum()) * math.log(low) + float((2 * (n - i) + 1).sum()) * math.log(high)
-        for k in i:
-            q = normal.inv_cdf((k - 0.5) / n)
-            q_sum, q_sq, q_v = q_sum + q, q_sq + q * q, q_v + q * value
-        s += count * value
+    # A run of equal values has many quantiles: it is dealt out in pieces.
+    pieces = counted.select("v", "before", F.explode(F.sequence(F.lit(0), F.col("c") - 1, F.lit(_PIECE))).alias("at"), "c")
+    pieces = pieces.select("v", (F.col("before") + F.col("at")).alias("first"), F.least(F.col("c") - F.col("at"), F.lit(_PIECE)).alias("c"))
+    ad, q_sum, q_sq, q_v = pieces.mapInArrow(_quantile_sums(n, mean, sd), "ad double, q double, qq double, qv double").agg(*[F.sum(x) for x in ("ad", "q", "qq", "qv")]).first()
     cov = q_v / n - q_sum / n * mean
     qq = cov * cov / ((q_sq / n - (q_sum / n) ** 2) * m2)
     return {"n": n, "status": "ok", "skewness": skew, "excess_kurtosis": kurt, "qq_r_squared": qq, "dagostino_k2": k2, "dagostino_p_value": math.exp(-k2 / 2), "anderson_statistic": -n - ad / n, "shape_consistent": abs(skew) < 0.2 and abs(kurt) < 0.5 and qq > 0.99}

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from weftline.functions import scalars
 from weftline.operators import concentration as con
 from weftline.operators import graph as gr
-from weftline.operators import mining, paths, quality, samples, stats
+from weftline.operators import mining, paths, quality, regression, samples, stats
 from weftline.plans import views
 from weftline.plans.views import CALLS_SQL, SEQUENCE_SQL, TYPED_SQL, USAGES_SQL
 from weftline.session import written
@@ -332,21 +332,14 @@ SELECT count(*) AS n, round(any_value(a), 6) AS fixed_intercept, round(sqrt(avg(
 )
 def rank_shape_zipf(spark: SparkSession, sf: str) -> DataFrame:
     """The fit of 1/rank to all positive occurrences."""
-    v, c = stats.value_counts(_metrics(spark, sf).where(F.col("in_occurrences_all") > 0), "in_occurrences_all")
-    import numpy as np
-
-    fit = next(f for f in stats.rank_shapes(np.log10(np.repeat(v, c))) if f["range"] == "all_positive" and f["shape"] == "zipf")
-    return rounded(spark.createDataFrame([(fit["n"], *[fit[k] for k in ("fixed_intercept", "fixed_rmse", "fixed_mae", "fixed_r_squared", "free_beta")])], "n bigint, fixed_intercept double, fixed_rmse double, fixed_mae double, fixed_r_squared double, free_beta double"))
+    fits = stats.rank_shapes(_metrics(spark, sf).where(F.col("in_occurrences_all") > 0), "in_occurrences_all").where((F.col("range") == "all_positive") & (F.col("shape") == "zipf"))
+    return rounded(fits.select("n", "fixed_intercept", "fixed_rmse", "fixed_mae", "fixed_r_squared", "free_beta"))
 
 
 @query()
 def rank_shapes(spark: SparkSession, sf: str) -> DataFrame:
     """1/rank and 1/prime(rank), all and the largest one percent."""
-    import numpy as np
-
-    v, c = stats.value_counts(_metrics(spark, sf).where(F.col("in_occurrences_all") > 0), "in_occurrences_all")
-    rows = stats.rank_shapes(np.log10(np.repeat(v, c)))
-    return spark.createDataFrame([tuple(r.values()) for r in rows], "range string, shape string, n bigint, fixed_intercept double, fixed_rmse double, fixed_mae double, fixed_r_squared double, free_beta double, free_intercept double, free_rmse double, free_r_squared double")
+    return rounded(stats.rank_shapes(_metrics(spark, sf).where(F.col("in_occurrences_all") > 0), "in_occurrences_all"))
 
 
 @query(
@@ -407,7 +400,7 @@ def reuse_regression(spark: SparkSession, sf: str) -> DataFrame:
     m = written(_metrics(spark, sf).select("kind", "domain", "size", "in_degree_all"), "metrics")
     out = []
     for stratum, df in (("all", m), ("definition", m.where("kind = 'definition'")), ("theorem", m.where("kind = 'theorem'"))):
-        r = stats.nb2(df, "size")
+        r = regression.nb2(df, "size")
         out.append((stratum, r["n"], r["status"], *[r.get(k) for k in ("coefficient", "std_error", "ci_low", "ci_high", "p_value", "pearson_dispersion", "doubling_effect_pct_at_reference")]))
     return spark.createDataFrame(out, "stratum string, n bigint, status string, coefficient double, std_error double, ci_low double, ci_high double, p_value double, pearson_dispersion double, doubling_effect_pct double")
 
