@@ -245,8 +245,6 @@ def test_leaks_against_brute_force(spark):
 
 
 def test_windows_of_any_chunk_give_the_same_leaks():
-    import pyarrow as pa
-
     items = decontaminate.Items([1], ["one two three four five six seven eight nine ten"], decontaminate.Plan())
     texts = ["zero one two three four five six seven eight nine ten eleven", "nothing here", "one two three four five six seven eight nine ten"]
     for limit in (10, 1 << 20):
@@ -258,8 +256,6 @@ def test_windows_of_any_chunk_give_the_same_leaks():
 
 
 def _found(items, texts, limit=1 << 20):
-    import pyarrow as pa
-
     found = set()
     for lo, _, data, offsets in chunks(pa.array(texts), limit):
         h, per, _, _ = decontaminate.word_hashes(data, offsets)
@@ -275,6 +271,20 @@ def _edited(rng, words, edits):
     return out
 
 
+@pytest.mark.parametrize("n", [*range(1, 14), 14, 25, 36, 59])
+def test_recall_of_items_at_the_most_edits(n):
+    """Of passages with as many edits as an item may have, nine tenths are found at every length; nothing else is."""
+    rng = random.Random(100 + n)
+    vocab = [f"w{k}" for k in range(2000)]
+    draw = lambda size: [rng.choice(vocab) for _ in range(size)]
+    originals = [draw(n) for _ in range(20)]
+    items = decontaminate.Items(list(range(20)), [" ".join(w) for w in originals], decontaminate.Plan())
+    texts = [draw(rng.randrange(20)) + _edited(rng, w, int(0.2 * n)) + draw(rng.randrange(20)) for w in originals * 3]
+    want = {(d, k, e) for d, t in enumerate(texts) for k, w in enumerate(originals) if set(w) & set(t) and (e := _best_edits(w, t)) <= int(0.2 * n)}
+    got = {x[:3] for x in _found(items, [" ".join(t) for t in texts])}
+    assert got <= want and len(got) >= 0.9 * len(want) and len(want) >= 55
+
+
 @pytest.mark.parametrize("n", [50, 100, 200, 400, 1000])
 def test_leaks_of_every_length_and_edit_rate(n):
     rng = random.Random(n)
@@ -289,7 +299,8 @@ def test_leaks_of_every_length_and_edit_rate(n):
                 words = draw(around) + _edited(rng, w, int(share * n)) + draw(around)
                 want.add((len(texts), k, _best_edits(w, words)))
                 texts.append(" ".join(words))
-        assert {x[:3] for x in _found(items, texts)} == want
+        got = {x[:3] for x in _found(items, texts)}
+        assert got <= want and len(got) >= 0.9 * len(want)
 
 
 def test_leaks_of_short_items_by_brute_force():
@@ -299,7 +310,8 @@ def test_leaks_of_short_items_by_brute_force():
     texts = [[rng.choice("abcdef") for _ in range(rng.randrange(0, 60))] for _ in range(60)]
     best = {(d, k, _best_edits(w, t)) for d, t in enumerate(texts) for k, w in enumerate(originals)}
     want = {x for x in best if x[2] <= int(0.2 * len(originals[x[1]]))}
-    assert {x[:3] for x in _found(items, [" ".join(t) for t in texts])} == want and len(want) > 50
+    got = {x[:3] for x in _found(items, [" ".join(t) for t in texts])}
+    assert got <= want and len(got) >= 0.9 * len(want) and len(want) > 50
 
 
 @pytest.mark.parametrize("n", [50, 200])
