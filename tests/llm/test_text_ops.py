@@ -1,7 +1,9 @@
 """Operators that map over texts: language, toxicity, token counts, pieces, chat, lines."""
 
 import hashlib
+import math
 import random
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -105,6 +107,25 @@ def test_languages_on_held_out_rows(labelled):
     assert all(0 <= r["score"] <= 1 for r in got)
 
 
+def test_languages_survive_a_text_that_is_repeated(labelled):
+    """Copies of a text take no other text's or language's place in the sample, whichever text it is."""
+    texts = labelled.where("lang = 'en' and doc_id % 3 != 0")
+    first = texts.orderBy(F.pmod(F.xxhash64("text"), F.lit(1 << 30))).limit(1)  # the one that is drawn first
+    many = labelled.unionByName(first.crossJoin(labelled.sparkSession.range(5000)).select("doc_id", "text", "lang"))
+    plain, model = (language_id.train(df, F.col("doc_id") % 3 != 0, sample=120) for df in (labelled, many))
+    assert model.langs == plain.langs == ["de", "en", "es", "fr"]
+    got = language_id.predict(labelled.where("doc_id % 3 = 0"), model).collect()
+    for code in model.langs:
+        own = [r for r in got if r["lang"] == code]
+        assert sum(r["lang_pred"] == code for r in own) / len(own) > 0.9
+
+
+def test_languages_are_bounded_to_those_of_most_texts(labelled, spark):
+    rare = spark.createDataFrame([(1000 + k, f"text {k}", f"x{k}") for k in range(6)], "doc_id bigint, text string, lang string")
+    model = language_id.train(labelled.unionByName(rare), F.lit(True), sample=120, languages=4)
+    assert model.langs == ["de", "en", "es", "fr"]
+
+
 def test_language_of_odd_texts(labelled, odd, empty):
     model = language_id.train(labelled, F.lit(True), sample=120)
     got = {r["doc_id"]: r for r in language_id.predict(odd, model, carry=["doc_id"]).collect()}
@@ -207,6 +228,44 @@ def test_toxicity_does_not_depend_on_the_rows_before(toxic_model, spark):
     assert 0 < toxic.max() < 1.1
 
 
+def test_score_by_brute_force(toxic_model):
+    """Evidence and score of every text from the model's tables, word by word, with the segments by their definition."""
+    docs, _, model = toxic_model
+    assert model.decay > 0 and 0 < model.scale < 1
+    for r in toxicity.score(docs.where("doc_id % 40 = 0"), model).collect():
+        words = re.findall(r"[a-z0-9]+", r["text"].lower())
+        values, before = [], None
+        for word in words:
+            raw = np.frombuffer(word.encode(), np.uint8)
+            best = max(float(model.score[b[0]]) for b in toxicity.buckets(raw, np.array([0]), np.array([len(raw)]), model.bits))
+            values.append(best if best > 0 and word != before else model.base)
+            before = word
+        chances = [-math.expm1(-model.scale * len(words) * math.exp(-model.decay * s)) for _, _, s in _all_maximal(values)]
+        chances = [p for p in chances if p <= toxicity.SIGNIFICANT]
+        total = -sum(map(math.log, chances))
+        assert math.isclose(r["score"], 1 / (1 + math.exp(-(model.intercept + model.slope * math.log1p(total)))), rel_tol=1e-5)
+        assert len(r["passages"]) == len(chances)
+
+
+def test_scale_of_the_law_is_that_of_clean_texts(spark):
+    """Where a toxic word occurs in clean texts by chance, a lone one is no surprise, and several together are."""
+    rng = random.Random(3)
+    plain = [f"wd{k}" for k in range(50)]
+    rows, labels = [], []
+    for k in range(900):
+        words = [rng.choice(plain) for _ in range(60)]
+        if k % 3 == 0:
+            words[20:20] = [rng.choice(["scum", "moron", "idiot"]) for _ in range(4)]
+        elif k % 15 == 1:
+            words[5:5] = [rng.choice(["scum", "moron", "idiot"])]
+        rows.append((k, " ".join(words)))
+        labels.append((k, int(k % 3 == 0)))
+    model = toxicity.train(spark.createDataFrame(rows, "doc_id bigint, text string"), spark.createDataFrame(labels, "doc_id bigint, toxic int"), F.lit(True))
+    asked = spark.createDataFrame([(0, " ".join(["scum", *plain])), (1, " ".join([*plain, "scum", "idiot", "moron", "scum"]))], "doc_id bigint, text string")
+    got = {r["doc_id"]: r for r in toxicity.score(asked, model).collect()}
+    assert got[0]["predicted"] == 0 and got[1]["predicted"] == 1 and got[0]["score"] < got[1]["score"]
+
+
 # --- token counts
 
 

@@ -15,7 +15,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.llm.bytes_np import CHUNK_BYTES, IS_WORDISH, LOWER, chunks
@@ -125,24 +125,27 @@ def _svm(x: np.ndarray, y: np.ndarray, cost: float, rounds: int, seed: int) -> t
     return w[:-1], float(w[-1])
 
 
-def train(docs: DataFrame, learn: Column, text: str = "text", lang: str = "lang", sample: int = 900, buckets: int = 1 << 13, orders: tuple[int, ...] = (1, 2, 3, 4), cost: float = 20.0, rounds: int = 6) -> LanguageModel:
+def train(docs: DataFrame, learn: Column, text: str = "text", lang: str = "lang", sample: int = 1200, languages: int = 100, buckets: int = 1 << 13, orders: tuple[int, ...] = (1, 2, 3, 4), cost: float = 20.0, rounds: int = 6) -> LanguageModel:
     """Fit the classifiers on a bounded sample of labelled rows.
 
     *learn* says which rows may be used; rows without text or language never are.  *sample* is the
-    bound: at most so many rows in all, shared evenly by the languages and drawn by a hash of the
-    row's text.  Each sampled text gives its whole n-gram profile and that of a few of its words, so
-    that short texts are learnt as well.  Raises ``ValueError`` where no row is labelled.
+    bound of the distinct texts in all, shared evenly by the languages; a language's texts are those of
+    the smallest hashes.  A text that is repeated counts once for a language, however often it is there,
+    so that copies take no other text's or language's place.  *languages* bounds the languages to those
+    of most distinct texts (of equal ones the first by name).  Each sampled text gives its whole n-gram
+    profile and that of a few of its words, so that short texts are learnt as well.  Raises
+    ``ValueError`` where no row is labelled, as in an empty table.
     """
-    rows = docs.where(learn & F.col(lang).isNotNull() & F.col(text).isNotNull() & (F.length(text) > 0)).select(F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text"))
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    rows = docs.where(learn & F.col(lang).isNotNull() & F.col(text).isNotNull() & (F.length(text) > 0)).select(F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text"), F.xxhash64(text).alias("body"))
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.approx_count_distinct("body", 0.02).alias("n")).orderBy(F.desc("n"), "lang").limit(languages).collect()}
     if not sizes:
         raise ValueError("no labelled rows to learn languages from")
     each = max(1, sample // len(sizes))
-    share = F.lit(0.0)
-    for code, n in sizes.items():
-        share = F.when(F.col("lang") == code, F.lit(min(1.0, 1.2 * each / n))).otherwise(share)
-    order = F.pmod(F.xxhash64("text"), F.lit(1 << 30))
-    drawn = rows.where(order < share * (1 << 30)).select("lang", "text", order.alias("__order"))
+    share = F.create_map(*[x for code, n in sizes.items() for x in (F.lit(code), F.lit(min(1.0, (1.2 * each + 20) / n)))])[F.col("lang")]
+    order = F.pmod("body", F.lit(1 << 30))
+    once = rows.withColumn("__order", order).where(F.col("__order") < share * (1 << 30)).groupBy("lang", "__order", "body").agg(F.min("text").alias("text"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("__order", "body"))
+    drawn = once.withColumn("rank", rank).where(F.col("rank") <= each).select("lang", "text", "__order")
 
     def profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -159,7 +162,7 @@ def train(docs: DataFrame, learn: Column, text: str = "text", lang: str = "lang"
                     count.append(counts[kept].astype(np.float32).tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(where, pa.int64()), pa.array(at, pa.binary()), pa.array(count, pa.binary())], ["lang", "h", "at", "n"])
 
-    got = drawn.orderBy("__order").limit(2 * sample).mapInArrow(profiles, "lang string, h bigint, at binary, n binary").collect()
+    got = sorted(drawn.mapInArrow(profiles, "lang string, h bigint, at binary, n binary").collect(), key=lambda r: (r["h"], r["lang"], len(r["at"]), bytes(r["at"])))
     langs = sorted(sizes)
     code_at = {code: k for k, code in enumerate(langs)}
     x = np.zeros((len(got), buckets), np.float32)
@@ -242,34 +245,32 @@ def predict(docs: DataFrame, model: LanguageModel, text: str = "text", carry: li
     """Predict the language of every whole text.
 
     Adds ``lang_pred`` and ``score`` (0 to 1) to the *carry* columns (default: all); columns of those
-    names are replaced.  Null texts and texts without any letter are ``und`` with score 0.  Equal texts
-    get equal results; an empty table gives an empty table.  One map over the table, no shuffle.
+    names are replaced.  Null texts and texts without any letter are ``und`` with score 0.  Of languages
+    (or families) with equal votes the first by name wins.  Equal texts get equal results; an empty table
+    gives an empty table.  One pass over the table, no shuffle; only predictions come back from Python.
     """
     names = ["lang_pred", "score"]
     carry = [c for c in (carry if carry is not None else docs.columns) if c not in names]
-    own = text in carry and docs.schema[text].dataType.simpleString() == "string"  # then the text travels once
-    source = docs.select(*[f"`{c}`" for c in carry], *([] if own else [docs[text].cast("string").alias("__text")]))
-    at = carry.index(text) if own else len(carry)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     ascii_letter = np.array([chr(b).isalpha() if b < 128 else False for b in range(256)])
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def told(column: pa.Array) -> pa.Array:
         m = shared.value
         codes = np.array(m.langs, dtype=object)
-        for batch in batches:
-            column = batch.column(at)
-            lang, sure = [], []
-            for lo, hi, data, offsets in chunks(column):
-                best, score = decide(m, scores(m, data, offsets))
-                found = codes[best]
-                seen = np.zeros(len(data) + 1, np.int64)
-                np.cumsum(ascii_letter[data], out=seen[1:])
-                for i in np.flatnonzero(seen[offsets[1:]] == seen[offsets[:-1]]):
-                    if not any(map(str.isalpha, data[offsets[i] : offsets[i + 1]].tobytes().decode("utf-8", "replace"))):
-                        found[i], score[i] = UNDETERMINED, 0.0
-                lang.extend(found)
-                sure.append(score)
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(carry)], pa.array(lang, pa.string()), pa.array(np.concatenate(sure) if sure else np.zeros(0), pa.float64())], [*carry, *names])
-
-    kept = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in source.schema.fields[: len(carry)])
-    return source.mapInArrow(work, f"{kept}lang_pred string, score double")
+        lang, sure = [], []
+        for _, _, data, offsets in chunks(column):
+            best, score = decide(m, scores(m, data, offsets))
+            found = codes[best]
+            seen = np.zeros(len(data) + 1, np.int64)
+            np.cumsum(ascii_letter[data], out=seen[1:])
+            for i in np.flatnonzero(seen[offsets[1:]] == seen[offsets[:-1]]):
+                if not any(map(str.isalpha, data[offsets[i] : offsets[i + 1]].tobytes().decode("utf-8", "replace"))):
+                    found[i], score[i] = UNDETERMINED, 0.0
+            lang.extend(found)
+            sure.append(score)
+        return pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(np.concatenate(sure) if sure else np.zeros(0), pa.float64())], names)
+
+    # Not deterministic, for the optimiser: a filter on the prediction must not predict once more.
+    predicted = F.arrow_udf(told, "lang_pred string, score double").asNondeterministic()
+    kept = [F.col(f"`{c}`") for c in carry]
+    return docs.select(*kept, predicted(F.col(f"`{text}`").cast("string")).alias("__told")).select(*kept, "__told.lang_pred", "__told.score")

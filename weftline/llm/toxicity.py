@@ -1,15 +1,18 @@
 """Toxic passages by maximum-scoring segment search.
 
-Token scores are log-odds between toxic and clean training texts, shrunk by
-Dirichlet priors: a word's prior is what its prefixes say, a prefix's prior is
-the corpus.  A linear scan finds every maximal segment of positive sum; its
-significance is that of local scores of random sequences, which follow an
-extreme-value law.  A text's evidence is the sum over its significant
-segments, turned to a probability by a logistic fit on the training texts.
+Token scores are log-odds between toxic and clean training texts of words and
+of their prefixes, shrunk by a Dirichlet prior: what the whole corpus holds.  A
+linear scan finds every maximal segment of positive sum.  The best segment of a
+clean text of n tokens exceeds s with a chance of 1 - exp(-scale * n * exp(-decay
+* s)): the decay follows from the token scores, the scale from the best segments
+of clean training texts that the scores were not learnt from.  A text's evidence
+is the sum of the logarithms of these chances over its significant segments,
+turned to a probability by a logistic fit on the training texts.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -20,11 +23,16 @@ from pyspark.sql import functions as F
 
 from weftline.llm import id_filter
 from weftline.llm.bytes_np import IS_WORDISH, LOWER, SpanHasher, chunks, mix64, row_of, spans
+from weftline.session import discard, written
 
 #: Prefix lengths in bytes; 0 is the whole word.
 PREFIXES = (4, 5, 6, 0)
 #: Log-odds that a token must reach to count.
 LEAST = 0.7
+#: A passage is significant where clean texts have one like it with this chance at most.
+SIGNIFICANT = 0.05
+#: Histograms of scores and evidence have so many bins for a factor of e.
+STEPS = 32
 
 
 @dataclass
@@ -34,8 +42,8 @@ class ToxicityModel:
     bits: int
     score: np.ndarray
     base: float  # score of a token without evidence, below 0
-    decay: float  # of the extreme-value law
-    scale: float
+    decay: float  # of the extreme-value law: its exponent for a unit of score
+    scale: float  # and the chance passages for a token at score 0
     intercept: float
     slope: float
 
@@ -157,26 +165,43 @@ def token_scores(model: ToxicityModel, low: np.ndarray, starts: np.ndarray, ends
     return np.where(best > 0, best, model.base)
 
 
-def evidence(model: ToxicityModel, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, list[list[tuple[int, int, float]]]]:
-    """For each row the calibrated evidence, and its significant passages as bytes ``(start, end, surprise)``."""
+def _passages(model: ToxicityModel, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, list[list[tuple[int, int, float]]]]:
+    """Tokens of each row, and its maximal segments as bytes ``(start, end, sum)``."""
     starts, ends, per_row, low = tokens(data, offsets)
     values = token_scores(model, low, starts, ends, per_row)
     n = len(per_row)
-    total, found = np.zeros(n), [[] for _ in range(n)]
+    found: list[list[tuple[int, int, float]]] = [[] for _ in range(n)]
     first = np.cumsum(per_row) - per_row
     hits = np.add.reduceat(np.append(values > 0, False).astype(np.int64), np.minimum(first, len(values))) * (per_row > 0) if n else []
     for i in np.flatnonzero(hits):
         lo, hi = first[i], first[i] + per_row[i]
-        for a, b, s in segments(values[lo:hi]):
-            surprise = model.decay * s - np.log(model.scale * per_row[i] + 1)
-            if surprise > 0:
-                total[i] += surprise
-                found[i].append((int(starts[lo + a] - offsets[i]), int(ends[lo + b - 1] - offsets[i]), float(surprise)))
-    return total, found
+        found[i] = [(int(starts[lo + a] - offsets[i]), int(ends[lo + b - 1] - offsets[i]), s) for a, b, s in segments(values[lo:hi])]
+    return per_row, found
+
+
+def _surprise(model: ToxicityModel, s: float, n: int) -> float:
+    """Less the logarithm of the chance that a clean text of *n* tokens has a segment of *s* or more."""
+    expected = math.log(model.scale * n) - model.decay * s
+    return -expected if expected < -30 else -math.log(-math.expm1(-math.exp(min(expected, 6.0))))
+
+
+def evidence(model: ToxicityModel, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, list[list[tuple[int, int, float]]]]:
+    """For each row the calibrated evidence, and its significant passages as bytes ``(start, end, surprise)``."""
+    per_row, rows = _passages(model, data, offsets)
+    found = []
+    for n, row in zip(per_row.tolist(), rows):
+        told = [(a, b, _surprise(model, s, n)) for a, b, s in row]
+        found.append([x for x in told if x[2] >= -math.log(SIGNIFICANT)])
+    return np.array([sum(x for _, _, x in row) for row in found], float), found
+
+
+def _best(model: ToxicityModel, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """The sum of each row's best segment, 0 without any."""
+    return np.array([max((s for _, _, s in row), default=0.0) for row in _passages(model, data, offsets)[1]], float)
 
 
 def _decay(values: np.ndarray, weights: np.ndarray) -> float:
-    """The positive root of sum(p * exp(x * s)) = 1, for scores with a negative mean."""
+    """The positive root of sum(p * exp(x * s)) = 1, for scores with a negative mean: the exponent of the law."""
     p = weights / weights.sum()
     lo, hi = 1e-6, 1.0
     while (p * np.exp(np.minimum(hi * values, 600))).sum() < 1 and hi < 64:
@@ -187,44 +212,66 @@ def _decay(values: np.ndarray, weights: np.ndarray) -> float:
     return hi
 
 
-def train(docs: DataFrame, labels: DataFrame, learn: Column, text: str = "text", key: str = "doc_id", label: str = "toxic", bits: int = 20, prior: float = 20.0) -> ToxicityModel:
-    """Learn from all labelled rows that *learn* allows; only bucket counts and a histogram reach the driver."""
-    marks = labels.where(learn & F.col(label).isNotNull()).groupBy(key).agg(F.max(F.col(label).cast("int")).alias("__toxic")).where(F.col("__toxic").isin(0, 1))
-    texts = docs.where(learn & F.col(text).isNotNull()).select(F.col(key).alias("__key"), F.col(text).cast("string").alias("__text"), id_filter.slot(key).alias("__slot"))
-    marks = marks.select(F.col(key).alias("__key"), F.col("__toxic").cast("boolean").alias("__toxic"))
-    wanted = docs.sparkSession.sparkContext.broadcast(id_filter.bitmap(marks, "__key"))
-
-    def labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.filter(id_filter.kept(wanted.value, batch.column(2))).select(["__key", "__text"])
-
-    kind = texts.schema["__key"].dataType.simpleString()
-    rows = texts.mapInArrow(labelled, f"__key {kind}, __text string").join(marks.hint("merge"), "__key").select("__text", "__toxic")
-    clean, toxic, n = _counts(rows, bits)
-    model = ToxicityModel(bits, np.zeros(1 << bits, np.float32), -1.0, 1.0, 1.0, -3.0, 1.0)
+def _scored(rows: DataFrame, bits: int, prior: float) -> ToxicityModel | None:
+    """A model with the token scores and the decay that follows from them; None where one of the labels is missing."""
+    clean, toxic, n = _counts(rows.select("__text", "__toxic"), bits)
     if not n[0] or not n[1]:
-        return model
-    model.score = np.maximum(_log_odds(clean, toxic, n, prior), 0).astype(np.float32)
+        return None
+    score = np.maximum(_log_odds(clean, toxic, n, prior), 0).astype(np.float32)
     # Under clean text a token has its bucket's score as often as clean texts hold it, else the base.
-    positive = model.score > 0
+    positive = score > 0
     share = np.minimum(clean[positive] / max(clean.sum(), 1), 1)
-    values = np.append(model.score[positive], model.base)
+    values = np.append(score[positive], -1.0)
     weights = np.append(share, max(1 - share.sum(), 0.5)) + 1e-9
-    model.decay = min(_decay(values.astype(float), weights), 4.0)
-    model.scale = 0.02
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    return ToxicityModel(bits, score, -1.0, _decay(values.astype(float), weights), 1.0, -3.0, 1.0)
+
+
+def _told(model: ToxicityModel, rows: DataFrame, of) -> DataFrame:
+    """``x, n, toxic``: a number for each labelled text, in steps of its logarithm, and its tokens."""
+    shared = rows.sparkSession.sparkContext.broadcast(model)
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            batch = batch.filter(id_filter.kept(wanted.value, batch.column(2)))
-            x = [evidence(shared.value, data, offsets)[0] for _, _, data, offsets in chunks(batch.column(1))]
-            x = np.minimum(np.round(np.concatenate(x) * 4) if x else np.zeros(0), 400).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x)], ["__key", "x"])
-
-    seen = texts.mapInArrow(look, f"__key {kind}, x int").join(marks, "__key").groupBy("x", F.col("__toxic").cast("int").alias("toxic")).count().collect()
-    x = np.array([r["x"] / 4 for r in seen])
-    y = np.array([r["toxic"] for r in seen], float)
-    w = np.array([r["count"] for r in seen], float)
+            for lo, hi, data, offsets in chunks(batch.column(0)):
+                x, n = of(shared.value, data, offsets), tokens(data, offsets)[2]
+                yield pa.RecordBatch.from_arrays([pa.array(np.round(np.log1p(x) * STEPS).astype(np.int32)), pa.array(n.astype(np.int64)), batch.column(1).slice(lo, hi - lo)], ["x", "n", "toxic"])
+
+    return rows.select("__text", "__toxic").mapInArrow(look, "x int, n bigint, toxic boolean")
+
+
+def _scale(model: ToxicityModel, clean: DataFrame) -> float:
+    """The scale at which the best segments of clean texts are likeliest: the texts with one, over the sum of n * exp(-decay * s)."""
+    got = _told(model, clean, _best).groupBy("x").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("n")).collect()
+    reach = sum(r["n"] * math.exp(-model.decay * math.expm1(r["x"] / STEPS)) for r in got)
+    return (sum(r["rows"] for r in got if r["x"] > 0) + 1) / (reach + 1)
+
+
+def train(docs: DataFrame, labels: DataFrame, learn: Column, text: str = "text", key: str = "doc_id", label: str = "toxic", bits: int = 20, prior: float = 20.0) -> ToxicityModel:
+    """Learn from all labelled rows that *learn* allows; only bucket counts and histograms reach the driver.
+
+    Rows without a text or with a null label count nothing; empty texts count as texts without words.  A key
+    with several labels has the largest; repeated rows of *docs* count as often as they occur, but a passage
+    that many texts copy counts as one or a few (see ``_held``).  Where one of the labels is missing, as in an
+    empty table, no text has evidence.
+    """
+    marks = labels.where(learn & F.col(label).isNotNull()).groupBy(key).agg(F.max(F.col(label).cast("int")).alias("__toxic")).where(F.col("__toxic").isin(0, 1))
+    marks = marks.select(F.col(key).alias("__key"), F.col("__toxic").cast("boolean").alias("__toxic"))
+    texts = docs.where(learn & F.col(text).isNotNull()).select(F.col(key).alias("__key"), F.col(text).cast("string").alias("__text"))
+    likely = texts.where(id_filter.maybe(marks, "__key", F.col("__key")))
+    joined = likely.join(marks.hint("merge"), "__key").select("__text", "__toxic", (F.pmod(F.xxhash64("__text"), F.lit(2)) == 0).alias("__half"))
+    rows = written(joined, "labelled")
+    # The law is estimated on texts that the scores were not learnt from: the clean ones of the other half.
+    half = _scored(rows.where("__half"), bits, prior)
+    scale = None if half is None else _scale(half, rows.where(~F.col("__half") & ~F.col("__toxic")))
+    model = _scored(rows, bits, prior)
+    if model is None:
+        discard(docs.sparkSession, rows)
+        return ToxicityModel(bits, np.zeros(1 << bits, np.float32), -1.0, 1.0, 1.0, -3.0, 1.0)
+    model.scale = _scale(model, rows.where(~F.col("__toxic"))) if scale is None else scale
+    got = _told(model, rows, lambda m, data, offsets: evidence(m, data, offsets)[0]).groupBy("x", F.col("toxic").cast("int").alias("toxic")).count().collect()
+    discard(docs.sparkSession, rows)
+    x, y, w = (np.array([r[c] for r in got], float) for c in ("x", "toxic", "count"))
+    x = np.expm1(x / STEPS)
     z = np.log1p(x)
     a, b = -3.0, 1.0
     for _ in range(100):  # Newton steps of a logistic fit with a weak prior
