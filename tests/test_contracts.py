@@ -185,3 +185,29 @@ def test_entry_points(spark):
 
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_audits_name_what_fails(spark):
+    from weftline.operators import audits
+
+    rows = spark.createDataFrame([(1, "a"), (2, "b"), (2, "c"), (None, "d")], "k bigint, v string")
+    asked = lambda *ks: spark.createDataFrame([(k,) for k in ks], "k bigint")
+    assert [r["v"] for r in audits.exactly_one(rows, asked(1, 1), ["k"]).collect()] == ["a"]
+    for ks in ((2,), (7,)):
+        with pytest.raises(ContractError):
+            audits.exactly_one(rows, asked(*ks), ["k"])
+    # Sets with nulls and repeated members.
+    assert audits.set_difference(rows, asked(2, 1, None), ["k"]).count() == 0
+    assert [tuple(r) for r in audits.set_difference(rows, asked(1, 2), ["k"]).collect()] == [("only_left", None)]
+    assert [tuple(r) for r in audits.id_collisions(rows, "v", "k").collect()] == [(2, 2, "b", "c")]
+    usages = spark.createDataFrame([("attributed",), ("attributed",), (None,)], "kind string")
+    edges = spark.createDataFrame([(1, 2, 1), (1, 2, 1), (3, None, 0)], "src bigint, dst bigint, multiplicity bigint")
+    found = {r["check_name"]: r["failures"] for r in audits.conservation(usages, "kind", edges, ["src", "dst"]).collect()}
+    assert found == {"unclassified_usages": 1, "multiplicity_differs_from_usages": 0, "repeated_edges": 1, "multiplicity_below_one": 1, "null_ends": 1}
+    ratio = [r["x"] for r in audits.ratios(spark.createDataFrame([(1, 2), (1, 0), (None, 3)], "a bigint, b bigint"), {"x": ("a", "b")}).collect()]
+    assert ratio == [0.5, None, None]
+    methods = spark.createDataFrame([(1, True), (2, False)], "method_id bigint, native boolean")
+    calls = spark.createDataFrame([(1, 2, "STATIC"), (1, 9, "STATIC")], "caller_id bigint, callee_id bigint, invoke_kind string")
+    links = spark.createDataFrame([(2,)], "multiplicity bigint")
+    got = {r["check_name"]: r["failures"] for r in audits.call_acceptance(methods, calls, links, links.limit(0), ["STATIC", "DYNAMIC"], F.col("native"), F.col("native")).collect()}
+    assert got == {"callers_that_are_no_method": 0, "callees_that_are_no_method": 1, "bodiless_methods_with_code": 1, "missing_invoke_kinds": 1, "typed_edges_lose_calls": 0, "core_links_lose_calls": 2}

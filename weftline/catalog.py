@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from weftline.plans import reports  # noqa: F401  adds its queries
 from weftline.plans.queries import ORACLES, QUERIES
 
 
