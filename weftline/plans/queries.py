@@ -336,7 +336,16 @@ def rank_shape_zipf(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(fits.select("n", "fixed_intercept", "fixed_rmse", "fixed_mae", "fixed_r_squared", "free_beta"))
 
 
-@query()
+@query(
+    f"""WITH {METRICS_SQL}, r AS (SELECT log10(in_occurrences_all) AS y, row_number() OVER (ORDER BY in_occurrences_all DESC) AS rank, count(*) OVER () AS total FROM metrics WHERE in_occurrences_all > 0),
+d AS (SELECT 2 + i AS d FROM range(2000) t(i)), top AS (SELECT CAST(max(total) * (ln(max(total)) + ln(ln(max(total) + 3)) + 1) + 20 AS BIGINT) AS top FROM r), numbers AS (SELECT 2 + i AS p FROM range((SELECT top FROM top)) t(i)), composite AS (SELECT DISTINCT d.d * k.p AS p FROM d JOIN numbers k ON d.d * k.p <= (SELECT top + 2 FROM top) AND d.d <= k.p),
+primes AS (SELECT p AS prime, row_number() OVER (ORDER BY p) AS rank FROM numbers ANTI JOIN composite USING (p)),
+long AS (SELECT unnest(['zipf', 'reciprocal_prime']) AS shape, unnest([log10(rank), log10(prime)]) AS x, y, rank, total FROM r JOIN primes USING (rank)),
+wide AS (SELECT 'all_positive' AS range, shape, x, y FROM long UNION ALL SELECT 'top_1pct', shape, x, y FROM long WHERE rank <= greatest(20, ceil(total * 0.01))),
+f AS (SELECT range, shape, count(*) AS n, avg(y + x) AS a, regr_slope(y, x) AS b, regr_intercept(y, x) AS c, var_pop(y) AS v FROM wide GROUP BY ALL)
+SELECT range, shape, any_value(n) AS n, round(any_value(a), 6) AS fixed_intercept, round(sqrt(avg((y - a + x) * (y - a + x))), 6) AS fixed_rmse, round(avg(abs(y - a + x)), 6) AS fixed_mae, round(1 - avg((y - a + x) * (y - a + x)) / any_value(v), 6) AS fixed_r_squared, round(-any_value(b), 6) AS free_beta, round(any_value(c), 6) AS free_intercept,
+  round(sqrt(avg((y - c - b * x) * (y - c - b * x))), 6) AS free_rmse, round(1 - avg((y - c - b * x) * (y - c - b * x)) / any_value(v), 6) AS free_r_squared FROM wide JOIN f USING (range, shape) GROUP BY range, shape"""
+)
 def rank_shapes(spark: SparkSession, sf: str) -> DataFrame:
     """1/rank and 1/prime(rank), all and the largest one percent."""
     return rounded(stats.rank_shapes(_metrics(spark, sf).where(F.col("in_occurrences_all") > 0), "in_occurrences_all"))
@@ -351,7 +360,11 @@ def rank_series(spark: SparkSession, sf: str) -> DataFrame:
     return con.at_ranks(con.ranked_blocks(_metrics(spark, sf), [], "in_degree_all"), ranks, [])
 
 
-@query()
+@query(
+    f"""WITH {METRICS_SQL}, r AS (SELECT CAST(in_degree_all AS DOUBLE) AS v, row_number() OVER (ORDER BY in_degree_all DESC) AS rank FROM metrics WHERE in_degree_all > 0), f AS (SELECT regr_slope(ln(v), ln(rank)) AS b, regr_intercept(ln(v), ln(rank)) AS a, count(*) AS n FROM r),
+w AS (SELECT DISTINCT CASE WHEN n <= 280 THEN i + 1 ELSE CAST(round(pow(n, i / 279.0)) AS BIGINT) END AS rank FROM f, range(280) t(i))
+SELECT rank, v AS empirical, round(exp(a) * pow(rank, b), 6) AS fitted, round(exp(a) / rank, 6) AS zipf FROM r JOIN w USING (rank), f"""
+)
 def rank_frequency_series(spark: SparkSession, sf: str) -> DataFrame:
     """Empirical, fitted and Zipf values at log-spaced ranks."""
     m = _metrics(spark, sf)
@@ -361,7 +374,7 @@ def rank_frequency_series(spark: SparkSession, sf: str) -> DataFrame:
     ranks = spark.createDataFrame([(k,) for k in samples.log_ranks(n)] or [(1,)], "rank bigint")
     rows = con.at_ranks(blocks, ranks, []).crossJoin(F.broadcast(fit))
     inside = F.col("rank") <= F.col("tail_n")
-    return rows.select("rank", F.col("v").alias("empirical"), F.when(inside, F.exp("intercept") * F.pow("rank", -F.col("beta_rank"))).alias("fitted"), F.when(inside, F.exp("intercept") / F.col("rank")).alias("zipf"))
+    return rounded(rows.select("rank", F.col("v").alias("empirical"), F.when(inside, F.exp("intercept") * F.pow("rank", -F.col("beta_rank"))).alias("fitted"), F.when(inside, F.exp("intercept") / F.col("rank")).alias("zipf")))
 
 
 @query()
@@ -467,11 +480,16 @@ def _ranked_components(spark: SparkSession, sf: str) -> DataFrame:
     return written(joined.join(blocks, "uses").withColumn("rank", F.col("first_rank") + place - 1).drop("first_rank"), "ranked")
 
 
-@query()
+@query(
+    f"""WITH {CALLS_SQL}, u AS (SELECT callee_id, count(*) AS uses FROM calls WHERE invoke_kind IN ('STATIC', 'SPECIAL') GROUP BY callee_id),
+r AS (SELECT uses, p_size AS bytes, row_number() OVER (ORDER BY uses DESC, 'p:' || p_partkey) AS rank FROM u JOIN part ON callee_id = p_partkey * 2 + 1),
+e AS (SELECT DISTINCT CAST(round(exp(ln((SELECT count(*) + 1 FROM r)) * i / 40)) AS BIGINT) AS e FROM range(1, 41) t(i)), b AS (SELECT r.*, (SELECT count(*) FROM e WHERE e > 1 AND e <= rank) AS bin FROM r)
+SELECT bin, count(*) AS n, round(median(uses), 6) AS median_uses, round(median(bytes), 6) AS median_bytes FROM b GROUP BY bin"""
+)
 def rank_bins(spark: SparkSession, sf: str) -> DataFrame:
     """Median use and size in geometric bins of the use rank."""
     ranked = _ranked_components(spark, sf)
-    return stats.rank_bins(ranked, ranked.count(), ["uses", "bytes"])
+    return rounded(stats.rank_bins(ranked, ranked.count(), ["uses", "bytes"]))
 
 
 # --- samples
@@ -697,7 +715,7 @@ def heldout_macros(spark: SparkSession, sf: str) -> DataFrame:
 
 # --- paths and hierarchies
 
-DAG_SQL = (
+DAG_PATHS_SQL = (
     SEQUENCE_SQL.replace("FROM part WHERE p_size <= 45\n)", "FROM part\n)", 1)
     + """, links AS (SELECT src_id, dst_id, multiplicity FROM edges WHERE {keep}), loops AS (SELECT DISTINCT src_id AS n FROM links WHERE src_id = dst_id),
 walks AS (
@@ -707,10 +725,12 @@ walks AS (
   SELECT dst_id, sum(multiplicity) AS d FROM links WHERE src_id IN (SELECT n FROM loops) GROUP BY dst_id
 ), total AS (
   SELECT n, sum(c) AS c FROM walks GROUP BY n
+), paths AS (
+  SELECT node_id, CAST(coalesce(c, 0) + coalesce(d, 0) AS VARCHAR) AS in_paths, node_id IN (SELECT n FROM loops) AS is_path_cycle_boundary
+  FROM nodes LEFT JOIN total ON n = node_id LEFT JOIN direct ON dst_id = node_id
+)"""
 )
-SELECT node_id, CAST(coalesce(c, 0) + coalesce(d, 0) AS VARCHAR) AS in_paths, node_id IN (SELECT n FROM loops) AS is_path_cycle_boundary
-FROM nodes LEFT JOIN total ON n = node_id LEFT JOIN direct ON dst_id = node_id"""
-)
+DAG_SQL = DAG_PATHS_SQL + " SELECT * FROM paths"
 
 
 @query("WITH RECURSIVE " + DAG_SQL.format(keep="src_id < dst_id"))
@@ -739,11 +759,11 @@ def path_counts_layered(spark: SparkSession, sf: str) -> DataFrame:
     return paths.incoming_paths(g.nodes, g.edges, driver_links=0).select("node_id", "in_paths")
 
 
-@query()
+@query(f"WITH RECURSIVE {DAG_PATHS_SQL.format(keep='src_id < dst_id')} SELECT node_id, in_paths, round(log10(CAST(in_paths AS DOUBLE)), 6) AS in_paths_log10, is_path_cycle_boundary FROM paths ORDER BY CAST(in_paths AS HUGEINT) DESC, node_id LIMIT 100")
 def top_paths(spark: SparkSession, sf: str) -> DataFrame:
     """Parts by exact path counts, compared as whole numbers."""
     g = views.dag(spark, sf)
-    return samples.top_big_integers(paths.incoming_paths(g.nodes, g.edges), "in_paths", "node_id", 100)
+    return rounded(samples.top_big_integers(paths.incoming_paths(g.nodes, g.edges), "in_paths", "node_id", 100))
 
 
 @query()
