@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from weftline.operators import concentration, mining, paths, ranks, regression, samples, stats
+from weftline.operators import concentration, intervals, mining, paths, ranks, regression, samples, stats
 from weftline.operators.graph import Graph, dependency_pairs, node_metrics, source_node_metrics
 from weftline.operators.quality import ContractError
 
@@ -314,3 +314,13 @@ def test_quantile_bins_are_right_closed(spark):
     df = spark.range(1, 101).withColumn("s", F.col("id").cast("double"))
     sizes = {r["bin"]: r["n"] for r in stats.quantile_bins(df, "s", 4).groupBy("bin").agg(F.count("*").alias("n")).collect()}
     assert sizes == {0: 25, 1: 25, 2: 25, 3: 25}
+
+
+def test_points_in_ranges_by_brute_force(spark):
+    rng = random.Random(12)
+    points = [(rng.randrange(3), rng.randrange(-50, 500)) for _ in range(300)]
+    ranges_ = [(rng.randrange(3), lo, lo + rng.choice([0, 1, 3, 30, 400, -5])) for lo in (rng.randrange(-60, 500) for _ in range(120))]
+    got = intervals.contained(spark.createDataFrame(points, "m int, at bigint"), spark.createDataFrame(ranges_, "m int, lo bigint, hi bigint"), ["m"], "at", "lo", "hi")
+    want = sorted((m, at, lo, hi) for m, at in points for k, lo, hi in ranges_ if m == k and lo <= at <= hi)
+    assert sorted((r["m"], r["at"], r["lo"], r["hi"]) for r in got.collect()) == want and len(want) > 500
+    assert intervals.contained(spark.createDataFrame(points, "m int, at bigint"), spark.createDataFrame([], "m int, lo bigint, hi bigint"), ["m"], "at", "lo", "hi").count() == 0

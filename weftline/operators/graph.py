@@ -63,16 +63,15 @@ def node_metrics(g: Graph) -> DataFrame:
 
 def node_metrics_either_end(g: Graph) -> DataFrame:
     """In- and out-degrees of the SQL whose join condition is ``src = node OR dst = node``: two equi-joins instead."""
-    ends = g.edges.select(F.col("dst_id").alias("node_id"), "src_id", "edge_type", F.lit(True).alias("incoming"), "dst_id").unionByName(
-        g.edges.select(F.col("src_id").alias("node_id"), "src_id", "edge_type", F.lit(False).alias("incoming"), "dst_id")
-    )
-    reuse = F.col("incoming") & (F.col("src_id") != F.col("dst_id"))
-    counted = lambda c: F.count_distinct(F.when(reuse & c, F.col("src_id")))
-    made = ends.groupBy("node_id").agg(
-        counted(F.lit(True)).alias("in_degree_all"),
-        counted(F.col("edge_type") == "TYPE").alias("in_degree_type"),
-        counted(F.col("edge_type") == "VALUE").alias("in_degree_value"),
-        F.count_distinct(F.when(~F.col("incoming"), F.col("dst_id"))).alias("out_degree_all"),
+    side = lambda node, other, incoming: g.edges.select(F.col(node).alias("node_id"), F.col(other).alias("other"), F.lit(incoming).alias("incoming"), "edge_type")
+    typed = lambda t: F.max((F.col("edge_type") == t).cast("int")) == 1
+    pairs = side("dst_id", "src_id", True).unionByName(side("src_id", "dst_id", False)).groupBy("node_id", "other", "incoming").agg(typed("TYPE").alias("t"), typed("VALUE").alias("v"))
+    reuse = F.col("incoming") & (F.col("other") != F.col("node_id"))
+    made = pairs.groupBy("node_id").agg(
+        F.count_if(reuse).alias("in_degree_all"),
+        F.count_if(reuse & F.col("t")).alias("in_degree_type"),
+        F.count_if(reuse & F.col("v")).alias("in_degree_value"),
+        F.count_if(~F.col("incoming")).alias("out_degree_all"),
     )
     return _zero(g.nodes.join(made, "node_id", "left"), ["in_degree_all", "in_degree_type", "in_degree_value", "out_degree_all"])
 

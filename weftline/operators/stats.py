@@ -308,13 +308,24 @@ def spearman_p(rho: float, n: int) -> float:
     return student_p(rho * math.sqrt((n - 2) / (1 - rho * rho)), n - 2)
 
 
+def quantiles(df: DataFrame, value: str, shares: list[float]) -> list[float]:
+    """Exact linear quantiles: of the counted values only those beside a quantile reach the driver, two for each."""
+    counted = written(running(histogram(df, [], value), [F.col("v")], F.col("c")), "counted")
+    n = int(counted.agg(F.sum("c")).first()[0] or 0)
+    if not n:
+        return []
+    places = [q * (n - 1) for q in shares]
+    wanted = sorted({int(f(p)) for p in places for f in (math.floor, math.ceil)})
+    near = counted.where(F.exists(F.array(*[F.lit(k) for k in wanted]), lambda k: (k >= F.col("before")) & (k < F.col("before") + F.col("c")))).collect()
+    at = {k: r["v"] for r in near for k in wanted if r["before"] <= k < r["before"] + r["c"]}
+    return [at[math.floor(p)] + (at[math.ceil(p)] - at[math.floor(p)]) * (p - math.floor(p)) for p in places]
+
+
 def quantile_bins(df: DataFrame, size: str, bins: int = 20) -> DataFrame:
     """``bin`` of each row: right-closed intervals between linear quantiles of *size*, equal edges dropped, the least value in the first."""
-    edges = F.array_distinct(F.percentile(F.col(size).cast("double"), F.array(*[F.lit(k / bins) for k in range(bins + 1)])))
-    edge = df.agg(edges.alias("__edges"))
-    inner = F.slice("__edges", 2, F.greatest(F.size("__edges") - 2, F.lit(0)))
-    place = F.size(F.filter(inner, lambda e: e < F.col(size).cast("double")))
-    return df.crossJoin(F.broadcast(edge)).withColumn("bin", place).drop("__edges")
+    inner = sorted(set(quantiles(df, size, [k / bins for k in range(bins + 1)])))[1:-1]
+    value = F.col(size).cast("double")
+    return df.withColumn("bin", sum(((F.lit(e) < value).cast("int") for e in inner), F.when(value.isNotNull(), F.lit(0))))
 
 
 def bin_z_scores(df: DataFrame, size: str, value: str, bins: int = 20, least: int = 100) -> DataFrame:

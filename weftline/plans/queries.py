@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from weftline.functions import scalars
 from weftline.operators import concentration as con
 from weftline.operators import graph as gr
-from weftline.operators import mining, paths, quality, regression, samples, stats
+from weftline.operators import intervals, mining, paths, quality, ranks, regression, samples, stats
 from weftline.plans import views
 from weftline.plans.views import CALLS_SQL, SEQUENCE_SQL, TYPED_SQL, USAGES_SQL
 from weftline.session import written
@@ -473,11 +473,8 @@ def _ranked_components(spark: SparkSession, sf: str) -> DataFrame:
     calls, _, _ = views.calls(spark, sf)
     uses = calls.where(F.col("invoke_kind").isin("STATIC", "SPECIAL")).groupBy("callee_id").agg(F.count(F.lit(1)).alias("uses"))
     parts = parquet(spark, sf, "part").select((F.col("p_partkey") * 2 + 1).alias("callee_id"), F.concat(F.lit("p:"), F.col("p_partkey")).alias("name"), F.col("p_size").alias("bytes"))
-    # Ranks without a single-task sort: those of a run of equal uses follow from the histogram, the place in it from the names.
-    joined = uses.join(parts, "callee_id")
-    blocks = con.ranked_blocks(joined, [], "uses").select(F.col("v").cast("bigint").alias("uses"), "first_rank")
-    place = F.row_number().over(Window.partitionBy("uses").orderBy("name"))
-    return written(joined.join(blocks, "uses").withColumn("rank", F.col("first_rank") + place - 1).drop("first_rank"), "ranked")
+    ranked = ranks.running(uses.join(parts, "callee_id"), [F.desc("uses"), F.asc("name")])
+    return written(ranked.withColumn("rank", F.col("before") + 1).drop("before"), "ranked")
 
 
 @query(
@@ -809,8 +806,8 @@ def interval_containment(spark: SparkSession, sf: str) -> DataFrame:
     """Usages in no, one or several declaration ranges of their module."""
     decl = parquet(spark, sf, "supplier").select(F.col("s_nationkey").alias("module"), (F.col("s_suppkey") * 10).alias("lo"), (F.col("s_suppkey") * 10 + 400).alias("hi"))
     usage = parquet(spark, sf, "customer").select(F.col("c_nationkey").alias("module"), F.col("c_custkey").alias("at"))
-    hit = usage.alias("u").join(decl.alias("d"), (F.col("u.module") == F.col("d.module")) & (F.col("lo") <= F.col("at")) & (F.col("at") <= F.col("hi")), "left")
-    k = hit.groupBy("u.module", "at").agg(F.count("lo").alias("k"))
+    hits = intervals.contained(usage, decl, ["module"], "at", "lo", "hi").groupBy("module", "at").agg(F.count(F.lit(1)).alias("k"))
+    k = usage.join(hits, ["module", "at"], "left").withColumn("k", F.coalesce("k", F.lit(0)))
     return k.groupBy(F.when(F.col("k") == 0, "outside").when(F.col("k") == 1, "unique").otherwise("overlapping").alias("place")).agg(F.count(F.lit(1)).alias("usages"))
 
 
