@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftline.functions.scalars import log10_digits
 from weftline.operators.quality import ContractError
 from weftline.session import written
 
@@ -23,13 +24,6 @@ from weftline.session import written
 DRIVER_LINKS = 500_000
 
 
-def _log10(n: int) -> float | None:
-    if n <= 0:
-        return None
-    shift = max(0, n.bit_length() - 53)
-    return math.log10(n >> shift) + shift * math.log10(2)
-
-
 def cyclic_local(links: list[tuple[int, int]]) -> set[int]:
     """Nodes on a cycle: in a strong component of more than one node, or with a self-loop."""
     out: dict[int, list[int]] = defaultdict(list)
@@ -220,20 +214,15 @@ def incoming_paths(nodes: DataFrame, links: DataFrame, driver_links: int = DRIVE
     if n <= driver_links:
         rows = [(r["src_id"], r["dst_id"], r["multiplicity"]) for r in links.collect()]
         solved = _solve(rows)
-        made = nodes.sparkSession.createDataFrame([(k, str(v), b, _log10(v)) for k, (v, b) in solved.items()], "node_id bigint, in_paths string, boundary boolean, in_paths_log10 double")
+        made = nodes.sparkSession.createDataFrame([(k, str(v), b) for k, (v, b) in solved.items()], "node_id bigint, in_paths string, boundary boolean")
     else:
         cyclic = written(cyclic_nodes(links), "cyclic")
         onward = _levels(links, cyclic).withColumnRenamed("node", "src_id")
         total = _add_up(_products(links.join(onward, "src_id", "left"))).withColumnRenamed("digits", "in_paths")
         marks = cyclic.withColumn("boundary", F.lit(True))
-
-        def logs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([_log10(int(d or 0)) for d in batch.column(1).to_pylist()], pa.float64())], ["node_id", "in_paths", "boundary", "in_paths_log10"])
-
-        made = total.join(marks, "node", "full").select(F.col("node").alias("node_id"), "in_paths", "boundary").mapInArrow(logs, "node_id bigint, in_paths string, boundary boolean, in_paths_log10 double")
-    out = ids.join(made, "node_id", "left")
-    return out.select("node_id", F.coalesce("in_paths", F.lit("0")).alias("in_paths"), "in_paths_log10", F.coalesce("boundary", F.lit(False)).alias("is_path_cycle_boundary"))
+        made = total.join(marks, "node", "full").select(F.col("node").alias("node_id"), "in_paths", "boundary")
+    out = ids.join(made, "node_id", "left").withColumn("in_paths", F.coalesce("in_paths", F.lit("0")))
+    return out.select("node_id", "in_paths", log10_digits(F.col("in_paths")).alias("in_paths_log10"), F.coalesce("boundary", F.lit(False)).alias("is_path_cycle_boundary"))
 
 
 def expression_stats(arcs: list[tuple[int, int]], root: int) -> dict[str, int]:
@@ -278,6 +267,44 @@ def leaf_occurrences(arcs: list[tuple[int, int]], root: int) -> dict[int, int]:
     return {n: v - alone.get(n, (0, False))[0] for n, (v, _) in solved.items() if n not in inner and n != -1}
 
 
+def _each_dag(arcs: DataFrame, told, schema: str) -> DataFrame:
+    """A result for each DAG of many: rows are grouped by DAG, and every DAG is one expression of bounded size."""
+
+    def one(table: pa.Table) -> pa.Table:
+        pairs = list(zip(table.column("src").to_pylist(), table.column("dst").to_pylist()))
+        roots = {a for a, _ in pairs} - {b for _, b in pairs}
+        if len(roots) != 1:
+            raise ContractError(f"a shared DAG has one root, not {len(roots)}")
+        return told(table.column("dag")[:1], pairs, roots.pop())
+
+    rows = arcs.select(F.col("dag").cast("bigint").alias("dag"), F.col("src").cast("bigint").alias("src"), F.col("dst").cast("bigint").alias("dst"))
+    return rows.groupBy("dag").applyInArrow(one, schema)
+
+
+def expression_table(arcs: DataFrame) -> DataFrame:
+    """``dag, tree_occurrences, unique_nodes, arcs, max_depth`` of every shared DAG in ``dag, src, dst``.
+
+    Occurrences have no upper bound and are decimal digits.  Parallel arcs count each; a DAG with a cycle or
+    without just one root raises ``ContractError``.
+    """
+
+    def told(dag, pairs, root) -> pa.Table:
+        s = expression_stats(pairs, root)
+        return pa.table({"dag": dag, "tree_occurrences": [str(s["tree_occurrences"])], "unique_nodes": pa.array([s["unique_nodes"]], pa.int64()), "arcs": pa.array([s["arcs"]], pa.int64()), "max_depth": pa.array([s["max_depth"]], pa.int64())})
+
+    return _each_dag(arcs, told, "dag bigint, tree_occurrences string, unique_nodes bigint, arcs bigint, max_depth bigint")
+
+
+def leaf_table(arcs: DataFrame) -> DataFrame:
+    """``dag, leaf, occurrences``: how often each leaf of every shared DAG occurs in its tree, in decimal digits."""
+
+    def told(dag, pairs, root) -> pa.Table:
+        found = sorted(leaf_occurrences(pairs, root).items())
+        return pa.table({"dag": pa.array([dag[0].as_py()] * len(found), pa.int64()), "leaf": pa.array([k for k, _ in found], pa.int64()), "occurrences": pa.array([str(n) for _, n in found], pa.string())})
+
+    return _each_dag(arcs, told, "dag bigint, leaf bigint, occurrences string")
+
+
 def ancestors(classes: DataFrame, modules: DataFrame | None = None, max_depth: int = 64) -> DataFrame:
     """``module, class, ancestor_module, ancestor, depth, path``: a class, its superclass and interfaces, and theirs.
 

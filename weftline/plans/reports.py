@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.operators import audits, quality, samples, stats
+from weftline.operators import audits, paths, quality, samples, stats
 from weftline.operators import concentration as con
 from weftline.operators import graph as gr
 from weftline.plans import views
@@ -303,3 +303,29 @@ def method_graph_samples(spark: SparkSession, sf: str) -> DataFrame:
         row(samples.top(uses.where(F.col("value") == 0), [F.asc("method_id")], 20), F.lit("not used"), "method_id", "method_id"),
     ]
     return reduce(DataFrame.unionByName, parts)
+
+
+# --- shared DAGs
+
+
+def _orders_as_dags(spark: SparkSession, sf: str) -> DataFrame:
+    """A DAG for each customer: the customer has orders, an order has the parts of its lines, which are shared."""
+    orders = parquet(spark, sf, "orders").select(F.col("o_custkey").alias("dag"), "o_orderkey")
+    lines = parquet(spark, sf, "lineitem").select("l_orderkey", "l_partkey").join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    top = orders.select("dag", F.lit(-2).alias("src"), (F.col("o_orderkey") * 2).alias("dst"))
+    return top.unionByName(lines.select("dag", (F.col("o_orderkey") * 2).alias("src"), (F.col("l_partkey") * 2 + 1).alias("dst")))
+
+
+_DAGS_SQL = "l AS (SELECT o_custkey AS dag, o_orderkey, l_partkey FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey)"
+
+
+@query(f"WITH {_DAGS_SQL} SELECT dag, CAST(1 + count(DISTINCT o_orderkey) + count(l_partkey) AS VARCHAR) AS tree_occurrences, 1 + count(DISTINCT o_orderkey) + count(DISTINCT l_partkey) AS unique_nodes, count(DISTINCT o_orderkey) + count(l_partkey) AS arcs, CASE WHEN count(l_partkey) > 0 THEN 3 ELSE 2 END AS max_depth FROM l GROUP BY dag")
+def shared_dag_stats(spark: SparkSession, sf: str) -> DataFrame:
+    """Every customer's orders and parts as a shared DAG: its tree's size, distinct nodes, arcs and depth."""
+    return rounded(paths.expression_table(_orders_as_dags(spark, sf)))
+
+
+@query(f"WITH {_DAGS_SQL} SELECT dag, CASE WHEN l_partkey IS NULL THEN o_orderkey * 2 ELSE l_partkey * 2 + 1 END AS leaf, CAST(count(*) AS VARCHAR) AS occurrences FROM l GROUP BY ALL")
+def shared_dag_leaves(spark: SparkSession, sf: str) -> DataFrame:
+    """How often each part occurs under each customer."""
+    return paths.leaf_table(_orders_as_dags(spark, sf))
