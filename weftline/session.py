@@ -8,13 +8,19 @@ from pyspark.sql import DataFrame, SparkSession
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
-
 #: Settings that bound a task's memory: rows and bytes of an Arrow batch, and of a Parquet row group that is being written.
 BOUNDS = {
     "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
     "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20),
     "parquet.block.size": str(32 << 20),
 }
+#: Python workers give freed memory back, as they are used again by later stages.
+WORKERS = {
+    "ARROW_DEFAULT_MEMORY_POOL": "system",
+    "MALLOC_ARENA_MAX": "2",
+    "MALLOC_MMAP_THRESHOLD_": str(1 << 20),
+    "MALLOC_TRIM_THRESHOLD_": str(8 << 20),
+}
 
 
 def ready(spark: SparkSession) -> SparkSession:
@@ -26,6 +32,7 @@ def ready(spark: SparkSession) -> SparkSession:
     paths = spark.sparkContext.environment.get("PYTHONPATH", "")
     if ROOT not in paths.split(os.pathsep):
         spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, paths) if x)
+    spark.sparkContext.environment.update(WORKERS)
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     for name, value in BOUNDS.items():
         spark.conf.set(name, value)
