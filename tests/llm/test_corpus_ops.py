@@ -154,6 +154,20 @@ def test_near_duplicates_of_an_empty_table(spark):
     assert ngram_jaccard.near_duplicates(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
 
 
+def test_alike_but_unlinked_texts_take_few_rounds(spark, monkeypatch):
+    """Texts that are all alike but below the threshold: every pair is refuted in the fixed number of turns."""
+    rng = random.Random(17)
+    shared = [f"s{k}" for k in range(120)]
+    rows = [(d, " ".join([*shared, *(f"d{d}x{k}" for k in range(22))])) for d in range(90)]
+    rows += [(200 + d, " ".join([*shared, *(f"e{k}" for k in range(22)), f"z{d}"])) for d in range(30)]
+    rng.shuffle(rows)
+    calls, after = [], ngram_jaccard._after
+    monkeypatch.setattr(ngram_jaccard, "_after", lambda *a: calls.append(1) or after(*a))
+    got = {r["doc_id"]: r["component_id"] for r in ngram_jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), words=4, num=85, den=100).collect()}
+    assert got == _classes(rows, 4, 85, 100) and len(set(got.values())) == 91
+    assert len(calls) == 2 + len(ngram_jaccard.TURNS)
+
+
 def test_blocks_of_linked_sets_share_a_kept_key():
     rng = np.random.default_rng(7)
     bands = ngram_jaccard.Bands(85, 100)
@@ -442,18 +456,23 @@ def test_pipeline_keeps_and_drops(spark, tmp_path):
     line = "this very line is in many of the documents, and long"
     rows += [(100 + k, f"document{k} alone{k * 7}\n{line}", "en", "s", 1) for k in range(6)]
     rows += [(200, rows[0][1], "de", "s", 1), (201, "12 34 !!", None, "s", 1), (202, None, None, None, None), (203, f"before {item} after", "en", "s", 1)]
+    # A repeated row, a null id, an empty and a very long text, and extra columns named like the operators' results.
+    rows += [rows[20], (None, "no id but some words of its own", "en", "s", 1), (204, "", None, "s", 1), (205, " ".join(f"long{rng.randrange(9000)}" for _ in range(30000)), "en", "s", 1)]
     sf = str(tmp_path)
-    spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(f"{sf}/documents.parquet")
+    documents = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    documents.withColumns({"lang_pred": F.lit("x"), "score": F.lit(2), "n_dropped": F.lit("y"), "n_shingles": F.lit(3), "n_tokens": F.lit(4)}).write.parquet(f"{sf}/documents.parquet")
     spark.createDataFrame([(0, item)], "item_id bigint, text string").write.parquet(f"{sf}/benchmark.parquet")
     docs, seen = spark.read.parquet(f"{sf}/documents.parquet"), {}
     for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
         out = stage(spark, docs, sf)
         out.write.parquet(f"{sf}/{k}")
         docs = spark.read.parquet(f"{sf}/{k}")
-        seen[name] = {r["doc_id"]: r for r in docs.collect()}
+        got = docs.collect()
+        seen[name] = {r["doc_id"]: r for r in got}
+        assert sum(r["doc_id"] == 20 for r in got) == 2 and {None, 205} <= set(seen[name])
         if k < 4:
             assert docs.columns == corpus_pipeline.COLUMNS
-    assert set(range(40)) <= set(seen["language_id"]) and not {201, 202} & set(seen["language_id"])
+    assert set(range(40)) <= set(seen["language_id"]) and not {201, 202, 204} & set(seen["language_id"])
     assert [line in seen["line_dedup"][100 + k]["text"] for k in range(6)] == [False] * 5 + [True]
     assert 0 in seen["ngram_jaccard"] and 200 not in seen["ngram_jaccard"]
     assert 203 in seen["ngram_jaccard"] and 203 not in seen["decontaminate"]

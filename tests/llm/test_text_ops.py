@@ -377,6 +377,8 @@ def test_runs_keep_levels_and_find_unseen_lines(spark):
     runs.add(batch([1]))
     assert runs.unseen(batch([2, 4])).count() == 1
     runs.add(batch([2, 4]))
+    # The second batch added the one key that no run held; what it has of the other is beside the runs.
+    assert sum(run.count() for run in runs.runs()) == 2 and [(r["n_docs"], r["keeper"]) for r in runs.repeats[0].collect()] == [(1, 2)]
     runs.add(batch([5]))
     assert [len(x) for x in runs.levels] == [1, 1]
     got = sorted((r["n_docs"], r["keeper"]) for r in runs.entries().collect())

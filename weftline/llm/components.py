@@ -32,3 +32,17 @@ def components(edges: DataFrame) -> DataFrame:
             return now.select(F.col("a").alias("node"), F.col("b").alias("component"))
         before = mark
         now = written(_stars(now), "stars")
+
+
+def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """The labels ``node, component`` after *links* (``a, b``) are added to them.
+
+    Links are drawn between groups first, so that the rounds work on groups that grow and not on all nodes.
+    """
+    if not links.head(1):
+        return labels
+    of = lambda end: labels.select(F.col("node").alias(end), F.col("component").alias(f"{end}_group"))
+    between = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("a_group", "a").alias("a"), F.coalesce("b_group", "b").alias("b"))
+    moved = components(between).withColumnRenamed("component", "now")
+    kept = labels.join(moved.withColumnRenamed("node", "component"), "component", "left").select("node", F.coalesce("now", "component").alias("component"))
+    return written(kept.unionByName(moved.withColumnRenamed("now", "component")), "groups")

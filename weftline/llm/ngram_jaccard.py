@@ -13,9 +13,9 @@ Equal sets are one class.  In a bucket every class is first compared with one
 other class, by exact intersection; classes that are linked become one
 component.  What is left are pairs of different components in a bucket: those
 whose whole sketches differ in few enough bits are candidates, and are verified
-component by component until none is left.  So a large group of near copies
-never makes all its pairs, and pairs that only share a passage are never
-intersected.
+in a fixed number of turns of growing size; pairs that the links of a turn join
+drop out of the next.  So a large group of near copies never makes all its
+pairs, and pairs that only share a passage are never intersected.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from weftline.llm import id_filter
 from weftline.llm.bytes_np import chunks, mix64, ngram_hashes, space_words
-from weftline.llm.components import components
+from weftline.llm.components import components, merged
 from weftline.session import discard, written
 
 #: Bits of one block of the sketch.
@@ -39,6 +39,10 @@ BLOCK_BITS = 4096
 SKETCH_BITS, SKETCH_WORDS = 1024, 16
 #: Buckets with more classes than this may be left out, as far as the slack allows.
 LARGE = 24
+#: The columns that tell sets apart.
+SET = ["n", "s1", "s2"]
+#: Open pairs are verified in turns, each four times as large as the turns before it together.
+TURNS = (1, 4, 16, 64)
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, words: int) -> Iterator[np.ndarray]:
@@ -107,32 +111,78 @@ def _kept_blocks(shingles: np.ndarray, band: int, bands: Bands) -> np.ndarray:
     return key[order[by_bits:]].view(np.int64)
 
 
-def _sketches(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
-    """``doc, n, s1, s2, sketch`` of every row, and its join keys for the two bands it may pair in."""
+def _profiles(docs: DataFrame, words: int) -> DataFrame:
+    """``doc, n, s1, s2, sketch`` of every row: the size of its set, two sums that tell sets apart, and its whole sketch."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi, data, offsets in chunks(batch.column(1)):
+                rows = [(_profile(s), _sketch(s)) for s in shingle_sets(data, offsets, words)]
+                found = np.array([x for x, _ in rows], np.int64)
+                sketch = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * SKETCH_WORDS), pa.array(np.concatenate([x for _, x in rows])))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), *[pa.array(found[:, k]) for k in range(3)], sketch], ["doc", *SET, "sketch"])
+
+    return docs.mapInArrow(work, "doc bigint, n bigint, s1 bigint, s2 bigint, sketch array<bigint>")
+
+
+def _profile(s: np.ndarray) -> tuple[int, np.int64, np.int64]:
+    if not len(s):
+        return 0, np.int64(0), np.int64(0)
+    return len(s), np.sum(mix64(s)).astype(np.int64), np.sum(mix64(s ^ np.uint64(0x2545F4914F6CDD1D))).astype(np.int64)
+
+
+def _matched(rows: DataFrame, sets: DataFrame, total: int, how: str) -> DataFrame:
+    """*rows* joined with *sets* (``n, s1, s2, rows`` and more) by set.
+
+    Sets that a thousandth of all rows hold are at most a thousand: they are broadcast, so that no task
+    gets all the rows of one set.
+    """
+    hot = F.broadcast(sets.where(F.col("rows") * 1000 >= total).drop("rows"))
+    cold = sets.where(F.col("rows") * 1000 < total).drop("rows")
+    return rows.join(hot, SET).unionByName(rows.join(hot, SET, "left_anti").join(cold.hint("merge"), SET, how))
+
+
+def _heads(source: DataFrame, members: DataFrame, copies: DataFrame) -> DataFrame:
+    """``doc, text`` of the rows that stand for their class.
+
+    Rows without a part in any class of several *members* go straight through; only the others are
+    shuffled, to leave out *copies* and repeated rows.
+    """
+    rows = source.where(F.col("doc").isNotNull() & (F.length("text") > 0))
+    may = id_filter.maybe(members, "doc", F.col("doc"))
+    maybe = rows.where(may).join(copies.select("doc").hint("merge"), "doc", "left_anti")
+    once = maybe.groupBy("doc", F.xxhash64("text").alias("body")).agg(F.first("text").alias("text")).select("doc", "text")
+    return rows.where(~may).unionByName(written(once, "heads"))
+
+
+def _keys(heads: DataFrame, words: int, num: int, den: int) -> DataFrame:
+    """``doc, tag, key``: the join keys of every set for the two bands it may pair in.
+
+    *tag* is twice what the document may leave out in that band, plus the side: 0 where its set is the
+    smaller of a pair, 1 where it is the larger.
+    """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands = Bands(num, den)
         for batch in batches:
             for lo, hi, data, offsets in chunks(batch.column(1)):
-                n, s1, s2, sketch, low, high = [], [], [], [], [], []
-                for s in shingle_sets(data, offsets, words):
-                    n.append(len(s))
-                    s1.append(np.sum(mix64(s)).astype(np.int64) if len(s) else 0)
-                    s2.append(np.sum(mix64(s ^ np.uint64(0x2545F4914F6CDD1D))).astype(np.int64) if len(s) else 0)
-                    sketch.append(np.packbits(np.bincount((mix64(s ^ np.uint64(0x6C62272E07BB0142)) % np.uint64(SKETCH_BITS)).astype(np.int64), minlength=SKETCH_BITS) % 2 == 1).view(np.int64))
+                rows, tags, keys = [], [], []
+                for row, s in enumerate(shingle_sets(data, offsets, words)):
                     band = bands.of(len(s)) if len(s) else -1
-                    low.append(_kept_blocks(s, band, bands) if len(s) else np.zeros(0, np.int64))
-                    high.append(_kept_blocks(s, band - 1, bands) if band > 0 else np.zeros(0, np.int64))
-                out = [batch.column(0).slice(lo, hi - lo), *[pa.array(np.array(x, np.int64)) for x in (n, s1, s2)]]
-                names = ["doc", "n", "s1", "s2"]
-                for name, lists in (("sketch", sketch), ("low", low), ("high", high)):
-                    sizes = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int32)
-                    out.append(pa.ListArray.from_arrays(pa.array(sizes), pa.array(np.concatenate(lists))))
-                    names.append(name)
-                yield pa.RecordBatch.from_arrays(out, names)
+                    for side in (0, 1):
+                        if band - side < 0:
+                            continue
+                        made = _kept_blocks(s, band - side, bands)
+                        keys.append(made)
+                        tags.append(2 * bands.blocks(band - side)[2] + side)
+                        rows.append((row, len(made)))
+                if not keys:
+                    continue
+                count = np.array([n for _, n in rows])
+                doc = batch.column(0).slice(lo, hi - lo).take(pa.array(np.repeat(np.array([r for r, _ in rows]), count)))
+                yield pa.RecordBatch.from_arrays([doc, pa.array(np.repeat(np.array(tags, np.int32), count)), pa.array(np.concatenate(keys))], ["doc", "tag", "key"])
 
-    kind = docs.schema["doc"].dataType.simpleString()
-    return docs.mapInArrow(work, f"doc {kind}, n bigint, s1 bigint, s2 bigint, sketch array<bigint>, low array<bigint>, high array<bigint>")
+    return heads.mapInArrow(work, "doc bigint, tag int, key bigint")
 
 
 def _buckets(keys: DataFrame) -> DataFrame:
@@ -145,46 +195,46 @@ def _buckets(keys: DataFrame) -> DataFrame:
     size = dealt.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.max("doc").alias("any_doc"), F.max("tag").alias("any_tag"))
     size = size.where((F.col("size") > 1) & F.col("any_doc").isNotNull() & F.col("any_tag").isNotNull()).select("key", "size")  # the same columns, so the same exchange
     shared = written(dealt.join(size.hint("shuffle_hash"), "key").select("key", "doc", "tag", "size"), "buckets")
-    large = shared.where(F.col("size") > LARGE)
+    # A pair shares 1 + s2 keys, and so each of its documents has as many shared ones; those with fewer have no partner.
+    held = F.count(F.lit(1)).over(Window.partitionBy("doc", "tag"))
+    likely = written(shared.withColumn("held", held).where(F.col("held") > F.shiftright("tag", 1)).drop("held"), "likely-buckets")
+    large = likely.where(F.col("size") > LARGE)
     rank = F.row_number().over(Window.partitionBy("doc", "tag").orderBy(F.desc("size"), "key"))
     stay = large.withColumn("rank", rank).where(F.col("rank") > F.shiftright("tag", 1)).select("key", "doc")
-    kept = shared.where(F.col("size") <= LARGE).select("key", "doc").unionByName(stay)
+    kept = likely.where(F.col("size") <= LARGE).select("key", "doc").unionByName(stay)
     out = written(kept.withColumn("degree", F.count(F.lit(1)).over(Window.partitionBy("doc"))), "kept-buckets")
-    del dealt, size, large, stay, kept
-    discard(out.sparkSession, shared)
+    del dealt, size, held, large, stay, kept
+    discard(out.sparkSession, shared, likely)
     return out
 
 
-def _sets_of(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """``doc, shingles`` (sorted hashes as bytes) of the wanted documents.
+def _sets_of(heads: DataFrame, pairs: DataFrame, words: int) -> DataFrame:
+    """``doc, shingles`` (sorted hashes as bytes) of the documents in *pairs* (``a, b``).
 
-    A bitmap of the wanted ids, of fixed size, lets the scan skip other texts; a semi join takes out the rest.
+    A bitmap of their ids, of fixed size, lets the scan skip most other texts; rows that are not in a
+    pair find no partner in the joins that follow.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(id_filter.bitmap(wanted, "doc"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            batch = batch.filter(id_filter.kept(shared.value, batch.column(2)))
             for lo, hi, data, offsets in chunks(batch.column(1)):
                 sets = [s.tobytes() for s in shingle_sets(data, offsets, words)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(sets, pa.binary())], ["doc", "shingles"])
 
-    kind = docs.schema["doc"].dataType.simpleString()
-    made = docs.select("doc", "text", id_filter.slot("doc").alias("slot")).mapInArrow(work, f"doc {kind}, shingles binary")
-    return made.join(wanted.hint("merge"), "doc", "left_semi")
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("doc"))
+    return heads.where(id_filter.maybe(ends, "doc", F.col("doc"))).mapInArrow(work, "doc bigint, shingles binary")
+
+
+def _sketch(s: np.ndarray) -> np.ndarray:
+    """The parity sketch of a whole set, as 64-bit words."""
+    spot = (mix64(s ^ np.uint64(0x6C62272E07BB0142)) % np.uint64(SKETCH_BITS)).astype(np.int64)
+    return np.packbits(np.bincount(spot, minlength=SKETCH_BITS) % 2 == 1).view(np.int64)
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """The pairs ``a, b`` whose sets have ``den * intersection >= num * union``; only sets that a pair needs are shuffled."""
     ends = pairs.select(F.explode(F.array("a", "b")).alias("doc"))
-    shared = sets.sparkSession.sparkContext.broadcast(id_filter.bitmap(ends, "doc"))
-
-    def needed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.filter(id_filter.kept(shared.value, batch.column(2))).select([0, 1])
-
-    kind = sets.schema["doc"].dataType.simpleString()
-    sets = sets.select("doc", "shingles", id_filter.slot("doc").alias("slot")).mapInArrow(needed, f"doc {kind}, shingles binary")
+    sets = sets.where(id_filter.maybe(ends, "doc", F.col("doc")))
     left = sets.select(F.col("doc").alias("a"), F.col("shingles").alias("x"))
     right = sets.select(F.col("doc").alias("b"), F.col("shingles").alias("y"))
     rows = pairs.hint("merge").join(left, "a").hint("merge").join(right, "b").select("a", "b", "x", "y")
@@ -205,7 +255,7 @@ def _linked(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
             batch = batch.select(["a", "b"]).filter(pa.array(ok))
             yield batch
 
-    return rows.mapInArrow(work, f"a {kind}, b {kind}")
+    return rows.mapInArrow(work, "a bigint, b bigint")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -214,75 +264,71 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     Words are runs without white space, A-Z lower-cased; a text's set holds its distinct shingles of
     *words* words, or the whole sequence where it has fewer.  Texts link where ``den * intersection >=
     num * union``; ``component_id`` is the smallest id that links reach.  Texts without words (null,
-    empty, white space) have no shingle and no link.  Rows of one id are one document.  Rows with a
-    null id keep a null component and link nothing.  An empty table gives an empty table.  Ids are
-    integers.
+    empty, white space) have no shingle and no link.  Rows of one id are one document: where their texts
+    differ, it links by either text, and each row has its own ``n_shingles``.  Rows with a null id keep
+    a null component and link nothing.  An empty table gives an empty table; other columns are left out,
+    whatever their names.  Ids are integers.
     """
     source = docs.select(F.col(key).cast("bigint").alias("doc"), F.col(text).cast("string").alias("text"))
-    facts = written(_sketches(source, words, num, den), "sketches")
-    real = facts.where(F.col("doc").isNotNull() & (F.col("n") > 0)).select("doc", "n", "s1", "s2")
-    classes = written(real.groupBy("n", "s1", "s2").agg(F.min("doc").alias("class")), "classes")
-    same = written(real.join(classes, ["n", "s1", "s2"]).where(F.col("doc") != F.col("class")).select(F.col("doc").alias("a"), F.col("class").alias("b"), "n", "s1", "s2").distinct(), "equal")
-    heads = _heads(facts, same)
-    # Of the differ + 1 + s2 kept keys of a side s2 may go, where s2 = ceil((differ + 1) / 10) + 1.
-    tag = lambda name, side: 2 * (F.lit(1) + F.ceil((F.size(name) - 1) / F.lit(11)).cast("int")) + F.lit(side)
-    keys = [heads.select("doc", tag(name, side).alias("tag"), F.explode(name).alias("key")) for side, name in enumerate(("low", "high"))]
-    buckets = _buckets(keys[0].unionByName(keys[1]))
-    del keys, heads
-    wanted = written(buckets.select("doc").distinct(), "candidates")
-    sets = written(_sets_of(source, wanted, words), "sets")
-    sketches = written(facts.where(F.col("n") > 0).select("doc", "n", "sketch").join(wanted.hint("merge"), "doc"), "sketches")
-    sizes = written(facts.select("doc", "n"), "sizes")
-    discard(docs.sparkSession, facts)
-    links = same.select("a", "b")
-    joined = written(components(links), "components")
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        return written(_linked(pairs, sets, num, den), "links")
-
+    facts = written(_profiles(source, words), "profiles")
+    total = facts.count()
+    real = facts.where(F.col("doc").isNotNull() & (F.col("n") > 0))
+    classes = written(real.groupBy(*SET).agg(F.min("doc").alias("class"), F.count(F.lit(1)).alias("rows")), "classes")
+    several = classes.where(F.col("rows") > 1)
+    members = written(_matched(real, several, total, "inner").select("doc", "class"), "members")
+    # Ids whose rows differ in their sets: they are no copies, and tie the classes of their sets together.
+    one = F.struct(*SET)
+    mixed = written(real.groupBy("doc").agg(F.min(one).alias("x"), F.max(one).alias("y")).where(F.col("x") != F.col("y")).select("doc"), "mixed")
+    other = members.where(F.col("doc") != F.col("class"))
+    heads = _heads(source, members, other.join(mixed, "doc", "left_anti"))
+    joined = components(other.join(mixed, "doc", "left_semi").select(F.col("doc").alias("a"), F.col("class").alias("b")))
+    buckets = _buckets(_keys(heads, words, num, den))
+    sketches = written(real.select("doc", "n", "sketch").join(buckets.select("doc").distinct().hint("merge"), "doc", "left_semi").distinct(), "sketches")
+    discard(docs.sparkSession)
     for round_ in range(2):
         # One member of each bucket is compared with the members of other groups: first the one that shares most keys, then any.
         named, head = _with_groups(buckets, joined, F.struct(-F.col("degree"), F.col("doc")) if round_ == 0 else F.xxhash64("doc"))
         pairs = named.join(head, "key").where(F.col("group") != F.col("head.group")).select("doc", F.col("head.doc").alias("other"))
-        best = pairs.groupBy("doc", "other").agg(F.count(F.lit(1)).alias("n")).groupBy("doc").agg(F.max_by("other", F.struct("n", "other")).alias("other"))
-        links = links.unionByName(verified(written(best.select(F.least("doc", "other").alias("a"), F.greatest("doc", "other").alias("b")).distinct(), "pairs")))
-        joined = written(components(links), "components")
-        del named, head, pairs, best
-        discard(docs.sparkSession)
+        near = _near(pairs.groupBy("doc", "other").agg(F.count(F.lit(1)).alias("shared")), "doc", "other", sketches, num, den)
+        best = near.groupBy("doc").agg(F.max_by("other", F.struct("shared", "other")).alias("other"))
+        pairs = written(best.select(F.least("doc", "other").alias("a"), F.greatest("doc", "other").alias("b")).distinct(), "pairs")
+        sets = written(_sets_of(heads, pairs, words), "sets")
+        joined = _after(joined, pairs, sets, num, den)
+        del named, head, near, best
+        discard(docs.sparkSession, pairs, sets)
     open_ = _open_pairs(buckets, joined, sketches, num, den)
-    while True:
-        # Each document's most alike pairs that still lie between groups; the others wait for the groups to grow.
+    sets = written(_sets_of(heads, open_, words), "sets")
+    discard(docs.sparkSession, buckets, sketches)
+    turn = F.pmod(F.xxhash64("a", "b"), F.lit(TURNS[-1]))
+    for first, stop in zip((0, *TURNS), TURNS):
+        # A growing share of the pairs that still lie between groups: links among a few of them spare most of the rest.
         of = lambda end: joined.select(F.col("node").alias(end), F.col("component").alias(f"{end}_group"))
-        apart = open_.join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.coalesce("a_group", "a") != F.coalesce("b_group", "b")).select("a", "b", "bits")
-        rank = lambda end: F.row_number().over(Window.partitionBy(end).orderBy("bits", "a", "b"))
-        apart = written(apart.withColumns({"ra": rank("a"), "rb": rank("b")}), "open-pairs")
-        if not apart.head(1):
-            break
-        now = apart.where((F.col("ra") <= 4) | (F.col("rb") <= 4))
-        links = links.unionByName(verified(now.select("a", "b")))
-        joined = written(components(links), "components")
-        open_ = apart.where((F.col("ra") > 4) & (F.col("rb") > 4)).select("a", "b", "bits")
-    discard(docs.sparkSession, buckets, sets, sketches, wanted)
-    found = sizes.join(joined.withColumnRenamed("node", "doc"), "doc", "left")
+        apart = open_.where((turn >= first) & (turn < stop)).join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.coalesce("a_group", "a") != F.coalesce("b_group", "b"))
+        pairs = written(apart.select("a", "b"), "pairs")
+        joined = _after(joined, pairs, sets, num, den)
+        discard(docs.sparkSession, pairs)
+    discard(docs.sparkSession, sets, open_)
+    labels = classes.join(joined.withColumnRenamed("node", "class"), "class", "left").where((F.col("rows") > 1) | F.col("component").isNotNull()).select(*SET, "rows", F.coalesce("component", "class").alias("component"))
+    found = _matched(real, labels, total, "left").unionByName(facts.where(F.col("doc").isNull() | (F.col("n") == 0)).withColumn("component", F.col("doc")))
     return found.select(F.col("doc").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component", "doc").alias("component_id"))
 
 
-def _heads(facts: DataFrame, same: DataFrame) -> DataFrame:
-    """The rows of *facts* that stand for their class; arrays of rows that surely do are not shuffled."""
-    shared = facts.sparkSession.sparkContext.broadcast(id_filter.bitmap(same, "a"))
-    rows = facts.where(F.col("doc").isNotNull() & (F.col("n") > 0)).select("doc", "n", "s1", "s2", "low", "high", id_filter.slot("doc").alias("slot"))
-
-    def split(maybe: bool):
-        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                hit = id_filter.kept(shared.value, batch.column(6))
-                yield batch.filter(hit if maybe else pa.compute.invert(hit)).select([0, 1, 2, 3, 4, 5])
+def _after(joined: DataFrame, pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """The groups ``node, component`` after the links among *pairs* (``a, b``)."""
+    if not pairs.head(1):
+        return joined
+    links = written(_linked(pairs, sets, num, den), "links")
+    joined = merged(joined, links)
+    discard(sets.sparkSession, links)
+    return joined
 
-        return work
 
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[:6])
-    other = same.select(F.col("a").alias("doc"), "n", "s1", "s2")
-    return rows.mapInArrow(split(False), schema).unionByName(rows.mapInArrow(split(True), schema).join(other, ["doc", "n", "s1", "s2"], "left_anti"))
+def _near(pairs: DataFrame, a: str, b: str, sketches: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs whose sketches differ in no more bits than those of linked sets can."""
+    of = lambda end: sketches.select(F.col("doc").alias(end), F.col("n").alias(f"{end}_n"), F.col("sketch").alias(f"{end}_sketch"))
+    bits = sum((F.bit_count(F.get(f"{a}_sketch", k).bitwiseXOR(F.get(f"{b}_sketch", k))) for k in range(1, SKETCH_WORDS)), F.bit_count(F.get(f"{a}_sketch", 0).bitwiseXOR(F.get(f"{b}_sketch", 0))))
+    near = bits * (num + den) <= (F.col(f"{a}_n") + F.col(f"{b}_n")) * (den - num)
+    return pairs.join(of(a).hint("merge"), a).join(of(b).hint("merge"), b).where(near).select(*pairs.columns)
 
 
 def _with_groups(buckets: DataFrame, joined: DataFrame, first: Column) -> tuple[DataFrame, DataFrame]:
@@ -293,7 +339,7 @@ def _with_groups(buckets: DataFrame, joined: DataFrame, first: Column) -> tuple[
 
 
 def _open_pairs(buckets: DataFrame, joined: DataFrame, sketches: DataFrame, num: int, den: int) -> DataFrame:
-    """``a, b, bits``: pairs of different groups in a bucket whose sketches differ in no more bits than linked sets can.
+    """``a, b``: pairs of different groups in a bucket whose sketches differ in no more bits than linked sets can.
 
     Members outside the group of the bucket's head are paired with all members, so that a bucket in
     which one group is large costs its size times the number of the others.
@@ -306,4 +352,4 @@ def _open_pairs(buckets: DataFrame, joined: DataFrame, sketches: DataFrame, num:
     once = F.col("y.main") | (F.col("x.doc") < F.col("y.doc"))
     near = bits * (num + den) <= (F.col("x.n") + F.col("y.n")) * (den - num)
     pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.group") != F.col("y.group")) & once & near)
-    return written(pairs.select(F.least("x.doc", "y.doc").alias("a"), F.greatest("x.doc", "y.doc").alias("b"), bits.alias("bits")).groupBy("a", "b").agg(F.min("bits").alias("bits")), "open")
+    return written(pairs.select(F.least("x.doc", "y.doc").alias("a"), F.greatest("x.doc", "y.doc").alias("b")).distinct(), "open")

@@ -80,7 +80,7 @@ class PieceModel:
 class Encoder:
     """Encodes parts of texts; one for each Python worker."""
 
-    def __init__(self, model: PieceModel, keep: int = 250_000):
+    def __init__(self, model: PieceModel, keep: int = 180_000):
         import ahocorasick
 
         self.m = model
