@@ -230,7 +230,9 @@ def align(recordings: DataFrame, is_query: Column, max_error: float = 0.25, min_
     *min_overlap* positions or more with at most *max_error* of the bits differing; of several such
     offsets the one with most shared integers (``votes``), then the least error, then the least shift.
     Rows without codes have the hash of nothing, a null class and no match; rows with a null ``rec``
-    have no class either.  Every query is compared with every class at every offset, so that no match is
+    have no class either.  Rows of one ``rec`` are rows like any others: each is in the class of its own
+    codes.  Other columns are left out, whatever their names; an empty table gives an empty table; a very
+    long recording is one row of work.  Every query is compared with every class at every offset, so that no match is
     lost and the work grows with queries times classes; equal recordings are one class, so that a common
     recording is compared once.
     """

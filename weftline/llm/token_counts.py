@@ -81,7 +81,8 @@ def count(docs: DataFrame, fields: list[str], path: str, pattern: str, by_line:
     The *fields* of a row, joined by *joint*, are its document; the fields in *by_line* are cut into
     lines.  Adds ``n_tokens``, ``n_crossing`` and ``sections array<struct<field,section,start,tokens>>``
     to the *carry* columns (default: all); columns of these names are replaced.  Null fields are empty.
-    Sections' tokens sum to ``n_tokens``.  An empty table gives an empty table.  One map, no shuffle.
+    Sections' tokens sum to ``n_tokens``.  Repeated rows give repeated rows.  A token whose characters tie
+    between two sections goes to the earlier.  An empty table gives an empty table.  One map, no shuffle.
     """
     names = ["n_tokens", "n_crossing", "sections"]
     carry = [c for c in (carry if carry is not None else docs.columns) if c not in names]
