@@ -113,8 +113,13 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", min_chars: i
     runs = LineRuns(spark, fanout)
     for b in range(batches):
         runs.add(facts.where(F.col("batch") == b).select("doc", *HASH))
-    shared = runs.entries().where(F.col("n_docs") >= min_docs)
-    gone = facts.join(shared, list(HASH)).where(~F.col("doc").eqNullSafe(F.col("keeper")))
+    shared = written(runs.entries().where(F.col("n_docs") >= min_docs), "lines-shared")
+    # Keys with a thousandth of all these lines are at most a thousand: they are broadcast, so that no task gets all rows of one line.
+    total = int(shared.agg(F.sum("n_docs")).first()[0] or 0)
+    hot = F.broadcast(shared.where(F.col("n_docs") * 1000 >= total).select(*HASH, "keeper"))
+    cold = shared.where(F.col("n_docs") * 1000 < total).select(*HASH, "keeper")
+    held = facts.join(hot, list(HASH)).unionByName(facts.join(hot, list(HASH), "left_anti").join(cold.hint("merge"), list(HASH)))
+    gone = held.where(~F.col("doc").eqNullSafe(F.col("keeper")))
     gone = written(gone.groupBy("doc", "body").agg(F.sort_array(F.collect_set("pos")).alias("gone")), "lines-gone")
     # A byte for each line up to the last that goes: 1 for those that go.
     zeros = lambda p, i: F.repeat(F.lit("0"), p - F.coalesce(F.get("gone", i - 1), F.lit(-1)) - 1)
