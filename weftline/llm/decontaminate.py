@@ -50,8 +50,8 @@ class Plan:
 
     share: float = 0.2
     segment: int = 12
-    walks: int = 5
-    tables: int = 6
+    walks: int = 4
+    tables: int = 5
     places: int = 4
     reach: float = 1.6
     seed: int = 11
