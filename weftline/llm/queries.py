@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import chat_format, chroma, decontaminate, language_id, line_dedup, lm_score, ngram_jaccard, sentencepiece_bpe, token_counts, toxicity
+from weftline.llm import chat_format, chroma, decontaminate, language_id, line_dedup, lm_score, ngram_jaccard, prefix_trie, sentencepiece_bpe, sort_means, token_counts, toxicity
 
 
 def tokenizer_path(name: str) -> str:
@@ -163,6 +163,92 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.matches(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "benchmark"))
 
 
+def op11_sort_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All vectors of 64 finite components in 40 clusters, after five rounds."""
+    return sort_means.cluster(_table(spark, sf_dir, "embeddings"), "vec_id", "embedding", dims=64, clusters=40, rounds=5)
+
+
+def _sort_means_sql(dims: int, clusters: int, rounds: int) -> str:
+    """Every distance of every round."""
+    steps = [
+        f"""kept AS MATERIALIZED (
+  SELECT row_number() OVER () AS k, vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings WHERE len(embedding) = {dims} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {dims}
+)""",
+        f"""c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY sha256('2:' || coalesce(CAST(vec_id AS VARCHAR), '')), v) - 1 AS j, v FROM kept QUALIFY j < {clusters}
+)""",
+    ]
+    for r in range(rounds + 1):
+        steps.append(
+            f"""a{r} AS MATERIALIZED (
+  SELECT k, any_value(vec_id) AS vec_id, any_value(v) AS v, arg_min(j, (d, j)) AS j, min(d) AS d
+  FROM (SELECT k, vec_id, kept.v AS v, j, list_sum(list_transform(range(1, {dims + 1}), lambda i: (kept.v[i] - c{r}.v[i]) * (kept.v[i] - c{r}.v[i]))) AS d FROM kept, c{r}) GROUP BY k
+)"""
+        )
+        if r < rounds:
+            steps.append(
+                f"""m{r} AS MATERIALIZED (
+  SELECT j, list(m ORDER BY i) AS v FROM (
+    SELECT j, i, CAST((sum(x) - ((sum(x) % count(*)) + count(*)) % count(*)) // count(*) AS BIGINT) AS m
+    FROM (SELECT j, unnest(v) AS x, unnest(range({dims})) AS i FROM a{r}) GROUP BY j, i) GROUP BY j
+), c{r + 1} AS MATERIALIZED (
+  SELECT j, coalesce(m{r}.v, c{r}.v) AS v FROM c{r} LEFT JOIN m{r} USING (j)
+)"""
+            )
+    return (
+        "WITH "
+        + ", ".join(steps)
+        + f"""
+SELECT a.vec_id, CAST(a.j AS INTEGER) AS cluster, CAST(a.d AS BIGINT) AS distance, CAST(sum(a.d) OVER (PARTITION BY a.j) AS BIGINT) AS cluster_inertia,
+  CAST(sum(a.d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c.v, ',')) AS centroid_sha256
+FROM a{rounds} a JOIN c{rounds} c USING (j)"""
+    )
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nodes of the trie of all conversations, rebuilt with the first turns of every hundredth."""
+    return prefix_trie.trie(_table(spark, sf_dir, "conversations"))
+
+
+OP12_SQL = """
+WITH own AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS pos
+  FROM conversations WHERE conv_id IS NOT NULL
+), convs AS (
+  SELECT conv_id, n, xor(4294967295, list_reduce(
+    list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda s: [ascii(s)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+    lambda crc, x: CASE WHEN x >= 0 THEN xor(crc, x) WHEN crc % 2 = 1 THEN xor(crc // 2, 3988292384) ELSE crc // 2 END)) % 6 AS h
+  FROM (SELECT conv_id, count(*) AS n FROM own GROUP BY conv_id)
+), heads AS (
+  SELECT c.conv_id, o.pos, o.role, o.text FROM convs c JOIN own o ON o.conv_id = c.conv_id - c.conv_id % 100 AND o.pos < c.h
+), n_heads AS (
+  SELECT c.conv_id, c.h, count(k.pos) AS n_head, count(k.pos) + greatest(any_value(c.n - c.h), 0) AS n_turns FROM convs c LEFT JOIN heads k USING (conv_id) GROUP BY ALL
+), rebuilt AS (
+  SELECT * FROM heads UNION ALL SELECT o.conv_id, o.pos - h + n_head, role, text FROM own o JOIN n_heads USING (conv_id) WHERE o.pos >= h
+), paths AS (
+  SELECT conv_id, pos + 1 AS depth, length(text) AS chars, n_turns,
+    sha256(string_agg(sha256(length(role) || ':' || role || text), '') OVER (PARTITION BY conv_id ORDER BY pos)) AS key
+  FROM rebuilt JOIN n_heads USING (conv_id)
+), occ AS (
+  SELECT *, lag(key, 1, '') OVER (PARTITION BY conv_id ORDER BY depth) AS parent FROM paths UNION ALL SELECT conv_id, 0, 0, n_turns, '', NULL FROM n_heads
+), nodes AS (
+  SELECT key, depth, any_value(parent) AS parent, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * any_value(chars) AS saved,
+    sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (n_turns = depth), '')) AS ends_sha256
+  FROM occ GROUP BY key, depth
+), children AS (
+  SELECT parent AS key, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY parent
+), below AS (
+  SELECT o.key, sum(n.saved) AS saved, count(*) FILTER (c.key IS NULL) AS leaves
+  FROM nodes n JOIN occ o ON o.conv_id = n.conv_id AND o.depth <= n.depth LEFT JOIN children c ON c.key = n.key GROUP BY o.key
+)
+SELECT n.conv_id, CAST(n.depth AS BIGINT) AS depth, p.conv_id AS parent_conv_id, n.n_convs, CAST(coalesce(c.n_children, 0) AS BIGINT) AS n_children,
+  b.leaves AS n_leaves, CAST(b.saved AS BIGINT) AS saved_tokens, n.ends_sha256
+FROM nodes n LEFT JOIN nodes p ON p.key = n.parent LEFT JOIN children c ON c.key = n.key JOIN below b ON b.key = n.key
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_language_id": op1_language_id,
@@ -175,6 +261,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_ngram_jaccard": op8_ngram_jaccard,
         "op9_sentencepiece": op9_sentencepiece,
         "op10_decontaminate": op10_decontaminate,
+        "op11_sort_means": op11_sort_means,
+        "op12_prefix_trie": op12_prefix_trie,
     }
 
 
@@ -183,4 +271,6 @@ def oracle_sql() -> dict[str, str]:
         "op6_chat_format": OP6_SQL,
         "op7_line_dedup": OP7_SQL,
         "op8_ngram_jaccard": OP8_SQL,
+        "op11_sort_means": _sort_means_sql(64, 40, 5),
+        "op12_prefix_trie": OP12_SQL,
     }
