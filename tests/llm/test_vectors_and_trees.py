@@ -1,14 +1,17 @@
 """Centroid clustering, the conversation prefix trie and the path-template tree."""
 
+import collections
 import hashlib
 import random
+import re
 import zlib
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
-from weftline.llm import hot_keys, prefix_trie, sort_means
+from weftline.llm import hot_keys, prefix_trie, sort_means, url_templates
 
 
 # --- centroid clustering
@@ -145,3 +148,134 @@ def test_member_lists_in_pieces(spark, monkeypatch):
     got = {(r.depth, r.p1): r.ends_sha256 for r in prefix_trie.end_digests(df).collect()}
     assert got[1, 5] == hashlib.sha256(",".join(map(str, range(-20, 4000))).encode()).hexdigest()
     assert len(got) == 301 and all(got[2, k] == hashlib.sha256(str(k).encode()).hexdigest() for k in range(300))
+
+
+# --- url filters
+
+RULES = [("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block")]
+
+
+def _rule(host, path):
+    fits = [(len(r), r, v) for r, v in RULES for h, _, tail in [r.partition("/")] if (host == h or host.endswith("." + h)) and path.startswith("/" + tail)]
+    return max(fits)[1:] if fits else (None, None)
+
+
+def _parsed(url):
+    if url is None or "://" not in url:
+        return "", ""
+    host, path = re.match(r"([^/?#]*)([^?#]*)", url.partition("://")[2], re.S).groups()
+    return re.sub("[A-Z]", lambda m: m[0].lower(), host), path
+
+
+def _alike(a, b, near):
+    keys = a.keys() | b.keys()
+    n, m = sum(a.values()), sum(b.values())
+    if sum(abs(a[k] / n - b[k] / m) for k in keys) / 2 <= near:
+        return True
+    x = 0
+    for k in keys:
+        e = (a[k] + b[k]) / (n + m)
+        x += (a[k] - n * e) ** 2 / (n * e) + (b[k] - m * e) ** 2 / (m * e)
+    f = len(keys) - 1
+    return ((x / f) ** (1 / 3) - 1 + 2 / (9 * f)) / (2 / (9 * f)) ** 0.5 <= url_templates.SIGNIFICANT
+
+
+def _judged(rows, depth, support, share, near):
+    """Each host's tree as nested lists of pages, merged from the leaves up."""
+    parsed = [(i, *_parsed(url)) for i, url in rows]
+    templates = {}
+
+    def grow(pages, level, node):
+        """*pages*: (key, segments)."""
+        seen = collections.Counter(s[level] for _, s in pages if len(s) > level and level < depth)
+        total, groups = sum(seen.values()), collections.defaultdict(list)
+        for key, s in pages:
+            if len(s) <= level:
+                templates[key] = node
+            elif level == depth:
+                templates[key] = (*node, "**")
+            else:
+                n = seen[s[level]]
+                token = re.sub(r"[%*|()/]", lambda m: f"%{ord(m[0]):02X}", s[level]) if n >= support and n * share >= total else "*"
+                groups[token].append((key, s))
+        for token, members in groups.items():
+            grow(members, level + 1, (*node, token))
+
+    hosts = collections.defaultdict(list)
+    for k, (_, host, path) in enumerate(parsed):
+        hosts[host].append((k, path.split("/")[1:]))
+    out = {}
+    for host, pages in hosts.items():
+        grow(pages, 0, ())
+        label = {k: {"block": "b", "allow": "a", None: "n"}[_rule(host, parsed[k][2])[1]] for k, _ in pages}
+        final = {k: list(templates[k]) for k, _ in pages}
+        for level in reversed(range(depth)):
+            nodes = collections.defaultdict(lambda: collections.defaultdict(collections.Counter))
+            for k, _ in pages:
+                t = templates[k]
+                if len(t) > level:
+                    follows = "/".join(final[k][level + 1 :])
+                    nodes[t[:level]][t[level]][_bin(follows), label[k]] += 1
+            for parent, branches in nodes.items():
+                leaders = []
+                for name, counts in sorted(branches.items(), key=lambda b: (-sum(b[1].values()), b[0])):
+                    for members, sums in leaders:
+                        if _alike(sums, counts, near):
+                            members.append(name)
+                            sums.update(counts)
+                            break
+                    else:
+                        leaders.append(([name], counts.copy()))
+                for members, _ in leaders:
+                    name = members[0] if len(members) == 1 else "*" if "*" in members else "(" + "|".join(sorted(members)) + ")"
+                    for k, _ in pages:
+                        t = templates[k]
+                        if len(t) > level and t[:level] == parent and t[level] in members:
+                            final[k][level] = name
+        labels = collections.defaultdict(collections.Counter)
+        for k, _ in pages:
+            labels[tuple(final[k])][label[k]] += 1
+        for k, _ in pages:
+            c = labels[tuple(final[k])]
+            purity = (c["b"] + 0.2) / (c["a"] + c["b"] + 2)
+            rule, verdict = _rule(host, parsed[k][2])
+            out[k] = (parsed[k][0], host, parsed[k][2], rule, verdict or ("block" if purity >= 0.5 else "allow"), "/".join(["", *final[k]]), round(purity, 9))
+    return sorted(out.values(), key=str)
+
+
+def _bin(text):
+    h = xxhash.xxh64(text.encode(), seed=42).intdigest()
+    return (h - 2**64 if h >= 2**63 else h) % url_templates.BINS
+
+
+def _urls(seed):
+    rng = random.Random(seed)
+    rows = []
+    for host in ["a.example.net", "B.example.com", "www.example.com", "c.example.org", "com", "notcom", "x.net:80"]:
+        for _ in range(70 if host[0] != "a" else 300):
+            lang = rng.choice(["en", "en", "de", "es", "fr"])
+            kind = rng.choice(["", "/", ".html", "?page=2&ref=/x", "#top", "/edit/1/2/3/4"])
+            rows.append(f"{rng.choice(['http', 'https'])}://{host}/{lang}/{rng.randrange(10**6)}{kind}")
+    rows += ["http://h.org/user/*/(a|b)%2F" for _ in range(9)] + [f"http://h.org/user/{k}/" for k in range(9)]
+    rows += [None, "", "no url", "://", "http://", "http://h.org", "http://h.org?x", "http://h.org/", "http://h.org//", "://h.org/a\nb/c", "x://é.NET/es/É", "u://com", "u://com/", rows[0], rows[0]]
+    return list(enumerate(rows)) + [(None, rows[3])]
+
+
+@pytest.mark.parametrize("hot, support", [(hot_keys.SHARE, 3), (3, 8)])
+def test_templates_by_brute_force(spark, hot, support):
+    """Null and odd urls, escaped signs, copies, a hot host, paths longer than the tree, clashing columns."""
+    rows = _urls(support)
+    df = spark.createDataFrame(rows, "page_id bigint, url string").repartition(5).withColumns({"host": F.lit("x"), "n": F.lit(1), "label": F.lit(1)})
+    got = [(r.page_id, r.host, r.path, r.rule, r.verdict, r.template, round(r.purity, 9)) for r in url_templates.judge(df, RULES, depth=3, support=support, hot=hot).collect()]
+    assert sorted(got, key=str) == _judged(rows, 3, support, 50, 0.05)
+
+
+def test_templates_learn_from_labels(spark):
+    """Labelled pages of a branch condemn the others of its template, and those alone; labels need no rule."""
+    rows = [(k, f"http://h.org/forum/{k}", 1 if k % 3 == 0 else None) for k in range(60)]
+    rows += [(100 + k, f"http://h.org/news/{k}/story", 0 if k % 3 == 0 else None) for k in range(60)]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, spam int")
+    got = {r.page_id: (r.verdict, r.template) for r in url_templates.judge(df, [], label="spam").collect()}
+    assert all(got[k] == ("block", "/forum/*") for k in range(60))
+    assert all(got[100 + k] == ("allow", "/news/*/story") for k in range(60))
+    assert url_templates.judge(df.limit(0), RULES).collect() == []

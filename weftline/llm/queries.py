@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import chat_format, chroma, decontaminate, language_id, line_dedup, lm_score, ngram_jaccard, prefix_trie, sentencepiece_bpe, sort_means, token_counts, toxicity
+from weftline.llm import chat_format, chroma, decontaminate, language_id, line_dedup, lm_score, ngram_jaccard, prefix_trie, sentencepiece_bpe, sort_means, token_counts, toxicity, url_templates
 
 
 def tokenizer_path(name: str) -> str:
@@ -249,6 +249,15 @@ FROM nodes n LEFT JOIN nodes p ON p.key = n.parent LEFT JOIN children c ON c.key
 """
 
 
+#: Rules of the url filter: the longest that fits wins.
+URL_RULES = [("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block")]
+
+
+def op13_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page allowed or blocked by a rule, else by its path's template."""
+    return url_templates.judge(_table(spark, sf_dir, "pages"), URL_RULES, carry=["page_id"])
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_language_id": op1_language_id,
@@ -263,6 +272,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_decontaminate": op10_decontaminate,
         "op11_sort_means": op11_sort_means,
         "op12_prefix_trie": op12_prefix_trie,
+        "op13_url_templates": op13_url_templates,
     }
 
 
