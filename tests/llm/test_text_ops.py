@@ -266,6 +266,72 @@ def test_scale_of_the_law_is_that_of_clean_texts(spark):
     assert got[0]["predicted"] == 0 and got[1]["predicted"] == 1 and got[0]["score"] < got[1]["score"]
 
 
+def test_law_holds_on_clean_texts_of_other_rows(spark):
+    """Of clean texts that nothing was learnt from, about as many exceed a chance as the chance says: over three seeds."""
+    seen = []
+    for seed in (1, 2, 3):
+        rng = random.Random(seed)
+        plain, bad = [f"wd{k}" for k in range(300)], [f"scum{k}" for k in range(40)]
+        rows = []
+        for k in range(2400):
+            words = [rng.choice(plain) for _ in range(rng.randrange(20, 120))]
+            for _ in range(rng.choice([3, 5]) if k % 6 == 0 else rng.choice([0, 0, 0, 0, 0, 0, 1, 1, 2])):
+                words.insert(rng.randrange(len(words)), rng.choice(bad))
+            rows.append((k, " ".join(words), int(k % 6 == 0)))
+        df = spark.createDataFrame(rows, "doc_id bigint, text string, toxic int")
+        model = toxicity.train(df.select("doc_id", "text"), df.select("doc_id", "toxic"), F.col("doc_id") % 5 > 1)
+        held = [text for k, text, label in rows if k % 5 <= 1 and not label]
+        for _, _, data, offsets in bytes_np.chunks(pa.array(held)):
+            per_row, found = toxicity._passages(model, data, offsets)
+            seen += [min((-math.expm1(-model.scale * n * math.exp(-model.decay * s)) for _, _, s in row), default=1.0) for n, row in zip(per_row.tolist(), found)]
+    assert sum(p <= 0.05 for p in seen) / len(seen) <= 0.07
+    assert sum(p <= 0.01 for p in seen) / len(seen) <= 0.02
+
+
+def test_law_is_found_again():
+    """Best segments drawn from the law itself give back its decay and scale."""
+    rng = np.random.default_rng(4)
+    sizes = rng.integers(20, 400, 40000)
+    best = np.maximum(np.round((np.log(0.02 * sizes) - np.log(rng.exponential(size=len(sizes)))) / 1.3, 3), 0)
+    values, at = np.unique(best, return_inverse=True)
+    decay, scale = toxicity.fit_law(values, np.bincount(at).astype(float), np.bincount(at, weights=sizes), 3.0)
+    assert math.isclose(decay, 1.3, rel_tol=0.05) and math.isclose(scale, 0.02, rel_tol=0.25)
+
+
+# --- very long texts
+
+
+def test_hashes_of_long_arrays_are_those_of_their_parts():
+    """Words, very long words and unordered spans of an array beyond the size that is summed at once."""
+    rng = np.random.default_rng(1)
+    data = rng.integers(97, 123, 5 * bytes_np.CHUNK_BYTES, dtype=np.uint8)
+    data[rng.integers(0, len(data), 50_000)] = 32
+    data[bytes_np.CHUNK_BYTES // 2 : 4 * bytes_np.CHUNK_BYTES] = 98
+    starts, ends, _ = bytes_np.spans(data != 32, np.array([0, len(data)]))
+    got = bytes_np.SpanHasher(data)(starts, ends)
+    shuffled = rng.permutation(len(starts))
+    assert (bytes_np.SpanHasher(data)(starts[shuffled], ends[shuffled]) == got[shuffled]).all()
+    for k in [0, len(starts) - 1, *rng.integers(0, len(starts), 200)]:
+        if ends[k] - starts[k] <= 2 * bytes_np.CHUNK_BYTES:
+            assert bytes_np.span_hashes(data[starts[k] : ends[k]], np.array([0]), np.array([ends[k] - starts[k]]))[0] == got[k]
+    tail = np.full(3 * bytes_np.CHUNK_BYTES, 98, np.uint8)
+    assert bytes_np.span_hashes(tail, np.array([0]), np.array([len(tail)]))[0] == bytes_np.span_hashes(np.append(tail, np.uint8(32)), np.array([0]), np.array([len(tail)]))[0]
+
+
+def test_memory_of_a_text_of_fifty_megabytes():
+    """Finding and hashing the words of one text of 50 MB takes at most sixteen times its size."""
+    import tracemalloc
+
+    column = pa.array(["some words of a long text " * 2_000_000], pa.large_string())
+    for _, _, data, offsets in bytes_np.chunks(column):
+        tracemalloc.start()
+        words, per_row, starts, _ = bytes_np.space_words(data, offsets)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+    assert per_row.tolist() == [12_000_000] and len(np.unique(words)) == 6
+    assert peak <= 16 * len(data)
+
+
 # --- token counts
 
 
@@ -330,6 +396,15 @@ def test_chat_folds_deltas_edits_and_regenerations(spark):
     assert chat_format.render(chat_format.fold(events.limit(0))).count() == 0
 
 
+def test_chat_messages_without_an_id_come_first(spark):
+    """A null id is before all others: edits of other messages leave it, an edit of it takes back all others."""
+    log = [(1, 1, None, "message", "user", "no id"), (1, 2, 1, "message", "user", "a"), (1, 3, 2, "message", "assistant", "gone"), (1, 4, 1, "edit", None, "b")]
+    log += [(2, 1, None, "message", "user", "x"), (2, 2, 1, "message", "assistant", "gone"), (2, 3, None, "edit", None, "y"), (2, 4, 2, "message", "assistant", "z")]
+    df = spark.createDataFrame(log, "conv_id bigint, seq bigint, message bigint, kind string, role string, text string").withColumn("at", F.lit("x"))
+    got = [(r.conv_id, r.ordinal, r.role, r.text) for r in chat_format.fold(df).orderBy("conv_id", "ordinal").collect()]
+    assert got == [(1, 1, "user", "no id"), (1, 2, "user", "b"), (2, 1, "user", "y"), (2, 2, "assistant", "z")]
+
+
 def test_chat_round_trip_of_hostile_texts(spark):
     rng = random.Random(12)
     rows = [(c, t, rng.choice(["user", "assistant", "<|text|>"]), "".join(rng.choice(["<", "|", ">", "\\", "<|end|>", "<|text|>", "é", "\n", "a", "$1"]) for _ in range(rng.randrange(0, 9)))) for c in range(40) for t in range(rng.randrange(1, 6))]

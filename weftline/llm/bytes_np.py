@@ -109,18 +109,58 @@ def spans(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 class SpanHasher:
-    """Hashes of spans of one array of bytes, from one running sum over it."""
+    """Hashes of spans of one array of bytes, from running sums over it.
+
+    A longer array is hashed in pieces of at most a megabyte, so that its running sums, powers and mixers are never
+    there as a whole: a span's hash does not depend on where it stands.
+    """
 
     def __init__(self, data: np.ndarray):
-        up, self.down = powers(len(data) + 1)
-        self.total = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(_mixers()[data] * up[:-1], out=self.total[1:])
+        self.data = data
+        self.total = self._sums(data) if len(data) <= CHUNK_BYTES else None
+
+    @staticmethod
+    def _sums(data: np.ndarray) -> np.ndarray:
+        total = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(_mixers()[data] * powers(len(data) + 1)[0][:-1], out=total[1:])
+        return total
 
     def __call__(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        h = (self.total[ends] - self.total[starts]) * self.down[starts]
+        if self.total is not None:
+            h = (self.total[ends] - self.total[starts]) * powers(len(self.total))[1][starts]
+        else:
+            h = self._by_pieces(starts, ends)
         h += (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
         return mix64(h)
 
+    def _by_pieces(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        h = np.zeros(len(starts), np.uint64)
+        order = np.argsort(starts, kind="stable") if len(starts) and (np.diff(starts) < 0).any() else None
+        first = starts if order is None else starts[order]
+        lo = 0
+        while lo < len(first):
+            begin = int(first[lo])
+            hi = int(np.searchsorted(first, begin + CHUNK_BYTES // 2))
+            at = np.arange(lo, hi) if order is None else order[lo:hi]
+            lo = hi
+            long = ends[at] > begin + CHUNK_BYTES
+            short = at[~long]
+            if len(short):
+                total = self._sums(self.data[begin : int(ends[short].max())])
+                s = starts[short] - begin
+                h[short] = (total[ends[short] - begin] - total[s]) * powers(len(total))[1][s]
+            for k in at[long]:
+                h[k] = self._long(int(starts[k]), int(ends[k]))
+        return h
+
+    def _long(self, start: int, end: int) -> np.uint64:
+        """The sum of a span over many pieces."""
+        total = 0
+        for lo in range(start, end, CHUNK_BYTES):
+            piece = self._sums(self.data[lo : min(lo + CHUNK_BYTES, end)])
+            total += int(piece[-1]) * pow(_BASE, lo - start, 1 << 64)
+        return np.uint64(total & _MASK)
+
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of the bytes of each span."""

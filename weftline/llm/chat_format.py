@@ -32,18 +32,21 @@ def fold(events: DataFrame) -> DataFrame:
     """Final messages of a log.
 
     *events* has ``conv_id, seq, message, kind, role, text``.  Result: ``conv_id, ordinal, role, text``
-    with the messages of a conversation numbered from 1 in the order of ``message``.  A message event
-    always opens a message, so repeated rows are repeated messages; ties in ``seq`` are ordered by
+    with the messages of a conversation numbered from 1 in the order of ``message``, null first: messages
+    without an id come before all others, and an edit of one of them takes back all others.  A message
+    event always opens a message, so repeated rows are repeated messages; ties in ``seq`` are ordered by
     role, then text, nulls first.  Null role or text count as empty; null conversation ids are one
-    conversation; an unknown kind raises an error.  An empty log gives no row.
+    conversation; an unknown kind raises an error.  An empty log gives no row.  Other columns are ignored.
+    A conversation's messages, as its formatted text, are of the size of one row.
     """
     kind = F.when(F.col("kind").isin(MESSAGE, DELTA, EDIT, REGENERATE), F.col("kind")).otherwise(F.raise_error(F.concat(F.lit("unknown kind of event: "), F.coalesce(F.col("kind"), F.lit("null")))))
     rows = events.select("conv_id", "seq", F.col("message").alias("msg"), kind.alias("kind"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     resets = F.col("kind").isin(EDIT, REGENERATE)
+    place = F.struct(F.col("msg").isNotNull().alias("known"), F.col("msg").alias("msg"))  # a message's place in the order, null first
     in_order = Window.partitionBy("conv_id").orderBy("seq", "role", "text")
     later = in_order.rowsBetween(1, Window.unboundedFollowing)
-    rows = rows.withColumn("at", F.row_number().over(in_order)).withColumn("back_to", F.min(F.when(resets, F.col("msg"))).over(later))
-    rows = rows.where(F.col("back_to").isNull() | (F.col("msg") <= F.col("back_to")))
+    rows = rows.withColumn("at", F.row_number().over(in_order)).withColumn("back_to", F.min(F.when(resets, place)).over(later))
+    rows = rows.where(F.col("back_to").isNull() | (place <= F.col("back_to")))
     one = Window.partitionBy("conv_id", "msg").orderBy("at")
     rows = rows.withColumn("opened", F.sum((F.col("kind") == MESSAGE).cast("int")).over(one))
     whole = F.sort_array(F.collect_list(F.struct("at", "text", resets.alias("resets"), "role")))

@@ -125,19 +125,20 @@ def _svm(x: np.ndarray, y: np.ndarray, cost: float, rounds: int, seed: int) -> t
     return w[:-1], float(w[-1])
 
 
-def train(docs: DataFrame, learn: Column, text: str = "text", lang: str = "lang", sample: int = 1200, languages: int = 100, buckets: int = 1 << 13, orders: tuple[int, ...] = (1, 2, 3, 4), cost: float = 20.0, rounds: int = 6) -> LanguageModel:
+def train(docs: DataFrame, learn: Column, text: str = "text", lang: str = "lang", sample: int = 1200, languages: int | None = None, buckets: int = 1 << 13, orders: tuple[int, ...] = (1, 2, 3, 4), cost: float = 20.0, rounds: int = 6) -> LanguageModel:
     """Fit the classifiers on a bounded sample of labelled rows.
 
     *learn* says which rows may be used; rows without text or language never are.  *sample* is the
-    bound of the distinct texts in all, shared evenly by the languages; a language's texts are those of
-    the smallest hashes.  A text that is repeated counts once for a language, however often it is there,
-    so that copies take no other text's or language's place.  *languages* bounds the languages to those
-    of most distinct texts (of equal ones the first by name).  Each sampled text gives its whole n-gram
+    bound of the distinct texts in all, shared evenly by the languages, of which each has one at least; a
+    language's texts are those of the smallest hashes.  A text that is repeated counts once for a language, however often it is there,
+    so that copies take no other text's or language's place.  Every language that occurs can be
+    predicted, unless *languages* asks for those of most distinct texts only (of equal ones the first by name); there is a classifier for each pair of families and of languages within one.  Each sampled text gives its whole n-gram
     profile and that of a few of its words, so that short texts are learnt as well.  Raises
     ``ValueError`` where no row is labelled, as in an empty table.
     """
     rows = docs.where(learn & F.col(lang).isNotNull() & F.col(text).isNotNull() & (F.length(text) > 0)).select(F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text"), F.xxhash64(text).alias("body"))
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.approx_count_distinct("body", 0.02).alias("n")).orderBy(F.desc("n"), "lang").limit(languages).collect()}
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.approx_count_distinct("body", 0.02).alias("n")).collect()}
+    sizes = dict(sorted(sizes.items(), key=lambda x: (-x[1], x[0]))[:languages])
     if not sizes:
         raise ValueError("no labelled rows to learn languages from")
     each = max(1, sample // len(sizes))

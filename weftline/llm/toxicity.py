@@ -4,10 +4,11 @@ Token scores are log-odds between toxic and clean training texts of words and
 of their prefixes, shrunk by a Dirichlet prior: what the whole corpus holds.  A
 linear scan finds every maximal segment of positive sum.  The best segment of a
 clean text of n tokens exceeds s with a chance of 1 - exp(-scale * n * exp(-decay
-* s)): the decay follows from the token scores, the scale from the best segments
-of clean training texts that the scores were not learnt from.  A text's evidence
-is the sum of the logarithms of these chances over its significant segments,
-turned to a probability by a logistic fit on the training texts.
+* s)): decay and scale are those at which the best segments of clean training
+texts are likeliest, each text scored by a model that was not learnt from it.  A
+text's evidence is the sum of the logarithms of these chances over its
+significant segments, turned to a probability by a logistic fit on the training
+texts, scored in the same way.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,7 +32,9 @@ PREFIXES = (4, 5, 6, 0)
 #: Log-odds that a token must reach to count.
 LEAST = 0.7
 #: A passage is significant where clean texts have one like it with this chance at most.
-SIGNIFICANT = 0.05
+SIGNIFICANT = 0.1
+#: The share of clean texts, those of the best segments, that the extreme-value law is fitted to.
+TAIL = 0.2
 #: Histograms of scores and evidence have so many bins for a factor of e.
 STEPS = 32
 
@@ -100,15 +104,19 @@ def _held(counts: np.ndarray, bits: np.ndarray) -> np.ndarray:
     return np.where(empty < 2, counts, np.minimum(counts, -64 * np.log(np.maximum(empty, 1) / 64)))
 
 
-def _counts(rows: DataFrame, bits: int) -> tuple[np.ndarray, np.ndarray, tuple[float, float]]:
-    """Texts of each class that hold each bucket: counted in the tasks, then added up by bucket."""
+def _fold_counts(rows: DataFrame, bits: int) -> list[tuple[np.ndarray, np.ndarray, tuple[float, float]]]:
+    """Texts of each class that hold each bucket, of rows ``(text, toxic, half)``: of either half and of both.
+
+    Counted in the tasks, then added up by bucket.
+    """
+    cells = ("c0", "t0", "c1", "t1")  # clean and toxic texts of either half
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((2, 1 << bits), np.int32)
-        around = np.zeros((2, 1 << bits), np.uint64)
-        texts = [0, 0]
+        total = np.zeros((4, 1 << bits), np.int32)
+        around = np.zeros((4, 1 << bits), np.uint64)
+        texts = np.zeros(4, np.int64)
         for batch in batches:
-            toxic = np.asarray(batch.column(1).to_pylist(), bool)
+            cell = np.asarray(batch.column(1).to_pylist(), bool) + 2 * np.asarray(batch.column(2).to_pylist(), bool)
             for lo, hi, data, offsets in chunks(batch.column(0)):
                 starts, ends, per_row, low = tokens(data, offsets)
                 rows_ = row_of(per_row)
@@ -118,31 +126,43 @@ def _counts(rows: DataFrame, bits: int) -> tuple[np.ndarray, np.ndarray, tuple[f
                 sides[1:] += words[:-1] * same
                 sides[:-1] += mix64(words[1:]) * same
                 bit = np.uint64(1) << (mix64(sides) >> np.uint64(58))
-                cls = toxic[lo:hi].astype(np.int64)
+                cls = cell[lo:hi].astype(np.int64)
+                texts += np.bincount(cls, minlength=4)
                 for b in buckets(low, starts, ends, bits):
                     use = b > 0
                     seen = np.unique(rows_[use] << bits | b[use])
-                    for k in (0, 1):
+                    for k in np.unique(cls):
                         np.add.at(total[k], seen[cls[seen >> bits] == k] & ((1 << bits) - 1), 1)
                         own = use & (cls[rows_] == k)
                         np.bitwise_or.at(around[k], b[own], bit[own])
-                texts[1] += int(cls.sum())
-                texts[0] += int((1 - cls).sum())
         total[:, 0] = texts
         at = np.flatnonzero(total.any(0))
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), *[pa.array(total[k][at], pa.int64()) for k in (0, 1)], *[pa.array(around[k][at].view(np.int64)) for k in (0, 1)]], ["bucket", "clean", "toxic", "near_clean", "near_toxic"])
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), *[pa.array(x[at], pa.int64()) for x in total], *[pa.array(x[at].view(np.int64)) for x in around]], ["bucket", *cells, *(f"near_{c}" for c in cells)])
 
-    made = rows.mapInArrow(count, "bucket int, clean bigint, toxic bigint, near_clean bigint, near_toxic bigint")
-    got = made.groupBy("bucket").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"), F.bit_or("near_clean").alias("near_clean"), F.bit_or("near_toxic").alias("near_toxic")).toArrow()
+    made = rows.mapInArrow(count, ", ".join(["bucket int", *(f"{c} bigint" for c in cells), *(f"near_{c} bigint" for c in cells)]))
+    got = made.groupBy("bucket").agg(*[F.sum(c).alias(c) for c in cells], *[F.bit_or(f"near_{c}").alias(f"near_{c}") for c in cells]).toArrow()
     at = got.column("bucket").to_numpy()
-    held = np.zeros((2, 1 << bits))
-    n = [0.0, 0.0]
-    for k, name in enumerate(("clean", "toxic")):
-        counts = got.column(name).to_numpy().astype(float)
-        n[k] = float(counts[at == 0].sum())
-        held[k][at] = _held(counts, got.column(f"near_{name}").to_numpy().view(np.uint64))
-        held[k][0] = 0
-    return held[0], held[1], (n[0], n[1])
+    first = at == 0
+    counts = [got.column(c).to_numpy().astype(float) for c in cells]
+    near = [got.column(f"near_{c}").to_numpy().view(np.uint64) for c in cells]
+
+    def of(parts: list[int]) -> tuple[np.ndarray, float]:
+        held = np.zeros(1 << bits)
+        n = sum(counts[k] for k in parts)
+        held[at] = _held(n, np.bitwise_or.reduce([near[k] for k in parts]))
+        held[0] = 0
+        return held, float(n[first].sum())
+
+    out = []
+    for halves in ([0], [1], [0, 1]):
+        (clean, n_clean), (toxic, n_toxic) = of([2 * h for h in halves]), of([2 * h + 1 for h in halves])
+        out.append((clean, toxic, (n_clean, n_toxic)))
+    return out
+
+
+def _counts(rows: DataFrame, bits: int) -> tuple[np.ndarray, np.ndarray, tuple[float, float]]:
+    """Texts of each class that hold each bucket, of rows ``(text, toxic)``."""
+    return _fold_counts(rows.withColumn("__half", F.lit(False)), bits)[2]
 
 
 def _log_odds(clean: np.ndarray, toxic: np.ndarray, n: tuple[float, float], prior: float) -> np.ndarray:
@@ -212,11 +232,8 @@ def _decay(values: np.ndarray, weights: np.ndarray) -> float:
     return hi
 
 
-def _scored(rows: DataFrame, bits: int, prior: float) -> ToxicityModel | None:
-    """A model with the token scores and the decay that follows from them; None where one of the labels is missing."""
-    clean, toxic, n = _counts(rows.select("__text", "__toxic"), bits)
-    if not n[0] or not n[1]:
-        return None
+def _scored(clean: np.ndarray, toxic: np.ndarray, n: tuple[float, float], bits: int, prior: float) -> ToxicityModel:
+    """A model with the token scores and the decay that follows from them, if tokens were independent."""
     score = np.maximum(_log_odds(clean, toxic, n, prior), 0).astype(np.float32)
     # Under clean text a token has its bucket's score as often as clean texts hold it, else the base.
     positive = score > 0
@@ -226,24 +243,59 @@ def _scored(rows: DataFrame, bits: int, prior: float) -> ToxicityModel | None:
     return ToxicityModel(bits, score, -1.0, _decay(values.astype(float), weights), 1.0, -3.0, 1.0)
 
 
-def _told(model: ToxicityModel, rows: DataFrame, of) -> DataFrame:
-    """``x, n, toxic``: a number for each labelled text, in steps of its logarithm, and its tokens."""
-    shared = rows.sparkSession.sparkContext.broadcast(model)
+def _told(halves: list[ToxicityModel], rows: DataFrame, of) -> DataFrame:
+    """``x, n, toxic`` of each distinct labelled text: a number by the other half's model, in steps of its logarithm, and its tokens."""
+    shared = rows.sparkSession.sparkContext.broadcast(halves)
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi, data, offsets in chunks(batch.column(0)):
-                x, n = of(shared.value, data, offsets), tokens(data, offsets)[2]
-                yield pa.RecordBatch.from_arrays([pa.array(np.round(np.log1p(x) * STEPS).astype(np.int32)), pa.array(n.astype(np.int64)), batch.column(1).slice(lo, hi - lo)], ["x", "n", "toxic"])
+            for half in (False, True):
+                own = batch.filter(pc.equal(batch.column(2), half))
+                for lo, hi, data, offsets in chunks(own.column(0)):
+                    x, n = of(shared.value[not half], data, offsets), tokens(data, offsets)[2]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.round(np.log1p(x) * STEPS).astype(np.int32)), pa.array(n.astype(np.int64)), *[own.column(k).slice(lo, hi - lo) for k in (1, 3)]], ["x", "n", "toxic", "body"])
+
+    told = rows.select("__text", "__toxic", "__half", F.xxhash64("__text")).mapInArrow(look, "x int, n bigint, toxic boolean, body bigint")
+    return told.groupBy("body", "toxic").agg(F.first("x").alias("x"), F.first("n").alias("n"))
+
+
+def fit_law(best: np.ndarray, rows: np.ndarray, sizes: np.ndarray, decay: float, tail: float = TAIL) -> tuple[float, float]:
+    """Decay and scale at which the best segments of clean texts are likeliest.
+
+    *best* has sums of best segments, ascending, *rows* and *sizes* the texts with each and their tokens.
+    The law is one of the tail: texts below the best sum that the share *tail* of them exceeds count as
+    not beyond it.  *decay* is the one expected; it weighs as much as one text, and stands where no text
+    has a segment beyond the limit.
+    """
+    above = np.cumsum(rows[::-1])[::-1]
+    at = int(np.argmax(above <= max(tail * rows.sum(), 1))) if above[-1] <= max(tail * rows.sum(), 1) else len(best) - 1
+    limit = best[at - 1] if at else 0.0
+    s, c, n, rest = best[at:], rows[at:], sizes[at:], sizes[:at].sum()
+    use = s > 0
+    s, c, n, rest = s[use], c[use], n[use], rest + n[~use].sum()
+
+    def reach(x: float) -> float:
+        return float((n * np.exp(-x * (s - limit))).sum() + rest)
+
+    def likely(x: float) -> float:
+        return c.sum() * (math.log(x) - math.log(reach(x))) - x * float((c * (s - limit)).sum()) - math.log(x / decay) ** 2 / 2
 
-    return rows.select("__text", "__toxic").mapInArrow(look, "x int, n bigint, toxic boolean")
+    lo, hi = math.log(decay) - 5, math.log(decay) + 3
+    for _ in range(4):  # the likelihood has one peak; a grid finds it and is narrowed
+        grid = np.linspace(lo, hi, 65)
+        k = int(np.argmax([likely(math.exp(g)) for g in grid]))
+        lo, hi = grid[max(k - 1, 0)], grid[min(k + 1, 64)]
+    found = math.exp((lo + hi) / 2)
+    return found, (float(c.sum()) + 1) / (reach(found) + 1) * math.exp(found * limit)
 
 
-def _scale(model: ToxicityModel, clean: DataFrame) -> float:
-    """The scale at which the best segments of clean texts are likeliest: the texts with one, over the sum of n * exp(-decay * s)."""
-    got = _told(model, clean, _best).groupBy("x").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("n")).collect()
-    reach = sum(r["n"] * math.exp(-model.decay * math.expm1(r["x"] / STEPS)) for r in got)
-    return (sum(r["rows"] for r in got if r["x"] > 0) + 1) / (reach + 1)
+def _law(halves: list[ToxicityModel], clean: DataFrame) -> tuple[float, float]:
+    got = sorted(_told(halves, clean, _best).groupBy("x").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("n")).collect())
+    decay = math.sqrt(halves[0].decay * halves[1].decay)
+    if not got:
+        return decay, 1.0
+    x, rows, n = (np.array([r[k] for r in got], float) for k in ("x", "rows", "n"))
+    return fit_law(np.expm1(x / STEPS), rows, n, decay)
 
 
 def train(docs: DataFrame, labels: DataFrame, learn: Column, text: str = "text", key: str = "doc_id", label: str = "toxic", bits: int = 20, prior: float = 20.0) -> ToxicityModel:
@@ -260,15 +312,18 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, text: str = "text",
     likely = texts.where(id_filter.maybe(marks, "__key", F.col("__key")))
     joined = likely.join(marks.hint("merge"), "__key").select("__text", "__toxic", (F.pmod(F.xxhash64("__text"), F.lit(2)) == 0).alias("__half"))
     rows = written(joined, "labelled")
-    # The law is estimated on texts that the scores were not learnt from: the clean ones of the other half.
-    half = _scored(rows.where("__half"), bits, prior)
-    scale = None if half is None else _scale(half, rows.where(~F.col("__half") & ~F.col("__toxic")))
-    model = _scored(rows, bits, prior)
-    if model is None:
+    counted = _fold_counts(rows.select("__text", "__toxic", "__half"), bits)
+    if not min(counted[2][2]):
         discard(docs.sparkSession, rows)
         return ToxicityModel(bits, np.zeros(1 << bits, np.float32), -1.0, 1.0, 1.0, -3.0, 1.0)
-    model.scale = _scale(model, rows.where(~F.col("__toxic"))) if scale is None else scale
-    got = _told(model, rows, lambda m, data, offsets: evidence(m, data, offsets)[0]).groupBy("x", F.col("toxic").cast("int").alias("toxic")).count().collect()
+    # A half counts twice, so that its scores are shrunk as little as those of all texts.
+    halves = [_scored(2 * clean, 2 * toxic, (2 * n[0], 2 * n[1]), bits, prior) for clean, toxic, n in counted[:2]]
+    model = _scored(*counted[2], bits, prior)
+    # Law and logistic fit see every text as a new one is seen: scored by the half that it is not in.
+    model.decay, model.scale = _law(halves, rows.where(~F.col("__toxic")))
+    for half in halves:
+        half.decay, half.scale = model.decay, model.scale
+    got = _told(halves, rows, lambda m, data, offsets: evidence(m, data, offsets)[0]).groupBy("x", F.col("toxic").cast("int").alias("toxic")).count().collect()
     discard(docs.sparkSession, rows)
     x, y, w = (np.array([r[c] for r in got], float) for c in ("x", "toxic", "count"))
     x = np.expm1(x / STEPS)
