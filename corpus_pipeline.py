@@ -35,13 +35,13 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop lines that many documents share; documents of which nothing is left go.
+    """Drop lines that many documents share; documents of which nothing but white space is left go.
 
     Rows with a null id count as one document; repeated rows lose the same lines; documents that lose no
     line stay as they are, empty ones included.
     """
     kept = line_dedup.dedup(docs.select(*COLUMNS))
-    return kept.where((F.col("n_dropped") == 0) | (F.length(F.trim("text")) > 0)).select("doc_id", "text", "lang", "source", F.length("text").cast("bigint").alias("n_chars"))
+    return kept.where((F.col("n_dropped") == 0) | (F.length(F.btrim("text", F.lit(line_dedup.SPACE))) > 0)).select("doc_id", "text", "lang", "source", F.length("text").cast("bigint").alias("n_chars"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,10 +60,11 @@ def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The number of tokens of every document, and digests of its ids and of the text decoded from them; null texts are empty."""
-    return sentencepiece_bpe.encode(docs.select(*COLUMNS), tokenizer_path("piece_bpe_32k.model"), digest=True, carry=["doc_id", "lang", "source"])
-
+    """The number of tokens of every document, and digests of its ids and of the text decoded from them.
 
+    Null texts are empty; a null id is no reason to go; repeated rows give repeated rows; long texts are encoded whole.
+    """
+    return sentencepiece_bpe.encode(docs.select(*COLUMNS), tokenizer_path("piece_bpe_32k.model"), digest=True, carry=["doc_id", "lang", "source"])
 
 
 def _bounded(stage: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
