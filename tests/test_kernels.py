@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from weftline.functions import limbs
 from weftline.operators import concentration, intervals, mining, paths, ranks, regression, samples, stats
 from weftline.operators.graph import Graph, dependency_pairs, node_metrics, source_node_metrics
 from weftline.operators.quality import ContractError
@@ -44,10 +45,10 @@ def test_ccdf_and_lorenz(spark):
     assert [(r["population_share"], r["value_share"]) for r in last] == [(0.25, 0.0), (0.75, 0.5), (1.0, 1.0)]
 
 
-def _paths(spark, n, links, driver_links):
+def _paths(spark, n, links):
     nodes = spark.range(n).withColumnRenamed("id", "node_id")
     df = spark.createDataFrame(links, "src_id bigint, dst_id bigint, multiplicity bigint")
-    return {r["node_id"]: (r["in_paths"], r["is_path_cycle_boundary"]) for r in paths.incoming_paths(nodes, df, driver_links).collect()}
+    return {r["node_id"]: (r["in_paths"], r["is_path_cycle_boundary"]) for r in paths.incoming_paths(nodes, df).collect()}
 
 
 CASES = {
@@ -62,47 +63,99 @@ CASES = {
 @pytest.mark.parametrize("case", CASES)
 def test_path_counts(spark, case):
     n, links, counts, boundary = CASES[case]
-    got = _paths(spark, n, links, 100)
+    got = _paths(spark, n, links)
     assert [got[k][0] for k in range(n)] == counts
     assert [k for k in range(n) if got[k][1]] == boundary
 
 
-@pytest.mark.parametrize("case", ["weights", "cycle", "self-loop"])
-def test_path_counts_by_levels(spark, case):
-    n, links, counts, boundary = CASES[case]
-    got = _paths(spark, n, links, 0)
-    assert [got[k][0] for k in range(n)] == counts
-    assert [k for k in range(n) if got[k][1]] == boundary
+def _reach(links):
+    """Which nodes each node reaches."""
+    out = {}
+    for a, b in links:
+        out.setdefault(a, set()).add(b)
+        out.setdefault(b, set())
+    for k in out:
+        for a in out:
+            if k in out[a]:
+                out[a] |= out[k]
+    return out
+
+
+def test_path_counts_by_brute_force(spark):
+    """Cycles that share nodes with self-loops, nodes above, between and below them, a target of very many links."""
+    rng = random.Random(8)
+    links = {(rng.randrange(40), rng.randrange(40)): rng.choice([1, 2, 10**9, 2**62]) for _ in range(40)} | {(k, 41): 3 for k in range(40)}
+    links |= {(5, 6): 2, (6, 7): 1, (7, 5): 3, (7, 7): 2, (9, 10): 1, (10, 9): 1, (6, 11): 5}
+    reach = _reach(links)
+    cyclic = {a for a in reach if a in reach[a]}
+
+    def onward(node):
+        return sum(m * (1 + onward(a)) for (a, b), m in links.items() if b == node and a not in cyclic)
+
+    want = {k: (str(sum(m * (1 + (0 if a in cyclic else onward(a))) for (a, b), m in links.items() if b == k)), k in cyclic) for k in range(43)}
+    assert 5 <= len(cyclic) < 30
+    assert _paths(spark, 43, [(a, b, m) for (a, b), m in links.items()]) == want
 
 
 def test_path_counts_beyond_machine_integers(spark):
-    n = 140
-    links = [(k, k + 1, 2) for k in range(n - 1)]
+    n, m = 16, 2**62 + 12345
+    links = [(k, k + 1, m) for k in range(n - 1)]
     want = 0
     for _ in range(n - 1):
-        want = 2 * (1 + want)
+        want = m * (1 + want)
     got = paths.incoming_paths(spark.range(n).withColumnRenamed("id", "node_id"), spark.createDataFrame(links, "src_id bigint, dst_id bigint, multiplicity bigint")).where(f"node_id = {n - 1}").first()
     assert got["in_paths"] == str(want) and math.isclose(got["in_paths_log10"], math.log10(want))
 
 
+def test_path_counts_without_links(spark):
+    assert _paths(spark, 2, []) == {0: ("0", False), 1: ("0", False)}
+
+
 @pytest.mark.parametrize("links", [[(0, 1, 0)], [(0, 1, 1), (0, 1, 2)], [(0, 9, 1)], [(9, 0, 1)]])
 def test_path_count_contract(spark, links):
     with pytest.raises(ContractError):
-        _paths(spark, 3, links, 100)
-
-
-def test_cycles_by_trimming_and_reach(spark):
-    rng = random.Random(2)
-    links = sorted({(rng.randrange(25), rng.randrange(25)) for _ in range(34)})
-    df = spark.createDataFrame(links, "src_id bigint, dst_id bigint")
-    assert {r["node"] for r in paths.cyclic_nodes(df).collect()} == paths.cyclic_local(links)
-
-
-def test_shared_dag_as_tree():
-    arcs = [(k, k + 1) for k in range(80) for _ in (0, 1)]
-    got = paths.expression_stats(arcs, 0)
-    assert got == {"tree_occurrences": 2**81 - 1, "unique_nodes": 81, "arcs": 160, "max_depth": 81}
-    assert paths.leaf_occurrences(arcs, 0) == {80: 2**80}
+        _paths(spark, 3, links)
+
+
+def test_limbs(spark):
+    """Products, sums and digits of whole numbers against Python's."""
+    rng = random.Random(1)
+    to = lambda n: [n // 10 ** (9 * i) % 10**9 for i in range(max(1, (len(str(n)) + 8) // 9))]
+    rows = [(k % 3, rng.randrange(10 ** rng.randrange(1, 60)), rng.choice([0, 1, 10**9 - 1, 10**9, 2**63 - 1, rng.randrange(2**62)])) for k in range(200)] + [(0, 0, 2**63 - 1), (1, 10**45 - 1, 2**63 - 1)]
+    df = spark.createDataFrame([(g, to(x), str(x), m) for g, x, m in rows], "g int, limbs array<bigint>, x string, m bigint")
+    for r in df.select("x", "m", limbs.digits(limbs.times(F.col("limbs"), F.col("m"), 1)).alias("product"), limbs.digits(limbs.of_long(F.col("m"))).alias("long"), limbs.digits(F.col("limbs")).alias("same")).collect():
+        assert (r["product"], r["long"], r["same"]) == (str(r["m"] * (1 + int(r["x"]))), str(r["m"]), r["x"])
+    for r in limbs.Sums(["g"], n=F.count("*"))(df, 7).select("g", "n", limbs.digits(F.col("limbs")).alias("total")).collect():
+        own = [x for g, x, _ in rows if g == r["g"]]
+        assert (r["n"], r["total"]) == (len(own), str(sum(own)))
+
+
+@pytest.mark.parametrize("seed, nodes, size", [(2, 25, 34), (3, 40, 44), (4, 12, 40)])
+def test_cycles_by_trimming_and_reach(spark, seed, nodes, size):
+    """Long and short cycles, self-loops, chains between them, repeated links and nulls."""
+    rng = random.Random(seed)
+    links = sorted({(rng.randrange(nodes), rng.randrange(nodes)) for _ in range(size)}) + [(100 + k, 100 + (k + 1) % 9) for k in range(9)] + [(104, 200), (200, 201), (201, 300), (300, 300)]
+    df = spark.createDataFrame([*links, links[0], (None, 1), (1, None)], "src_id bigint, dst_id bigint").withColumn("node", F.lit("x"))
+    reach = _reach(links)
+    assert sorted(r["node"] for r in paths.cyclic_nodes(df).collect()) == sorted(a for a in reach if a in reach[a])
+
+
+def test_shared_dags_as_trees(spark):
+    """Two DAGs at once: one of shared nodes with very many occurrences, one with ways of different lengths."""
+    wide = [(1, k, k + 1) for k in range(12) for _ in range(100)]
+    other = [(2, 0, 1), (2, 0, 2), (2, 1, 2), (2, 2, 3), (2, 2, 3), (2, 0, 4)]
+    df = spark.createDataFrame(wide + other, "dag int, src int, dst int").withColumn("node", F.lit("x"))
+    got = {r["dag"]: r.asDict() for r in paths.expression_table(df).collect()}
+    assert got[1] == {"dag": 1, "tree_occurrences": str(sum(100**k for k in range(13))), "unique_nodes": 13, "arcs": 1200, "max_depth": 13}
+    assert got[2] == {"dag": 2, "tree_occurrences": "9", "unique_nodes": 5, "arcs": 6, "max_depth": 4}
+    assert {(r["dag"], r["leaf"], r["occurrences"]) for r in paths.leaf_table(df).collect()} == {(1, 12, str(100**12)), (2, 3, "4"), (2, 4, "1")}
+    assert paths.expression_table(df.limit(0)).collect() == [] and paths.leaf_table(df.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("arcs", [[(0, 1), (1, 2), (2, 1)], [(0, 2), (1, 2)], [(0, 1), (1, 0)]])
+def test_shared_dag_contract(spark, arcs):
+    with pytest.raises(ContractError):
+        paths.expression_table(spark.createDataFrame([(1, *a) for a in arcs], "dag int, src int, dst int")).collect()
 
 
 def test_node_metrics(spark):

@@ -1,206 +1,184 @@
-"""Exact weighted path counts, cycles, shared DAGs and class hierarchies.
+"""Exact weighted path counts, cycles, shared DAGs and class hierarchies, on DataFrames at every size.
 
-Path counts have no upper bound: numbers travel as decimal digits and are added
-as Python integers in Arrow batches.  A graph whose links are counted to be few
-is solved on the driver; others level by level on DataFrames, each level written
-to the shared folder.
+Path counts have no upper bound: they are columns of limbs (``functions/limbs.py``), multiplied and added with
+built-in functions.  A node passes its count on once all its links have arrived: each round is one join with
+the nodes that have become ready and one sum, and is written to the shared folder.
 """
 
 from __future__ import annotations
 
-import math
-from collections import defaultdict, deque
-from collections.abc import Iterator
+import uuid
+from dataclasses import dataclass
 
-import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
+from weftline.functions import limbs
 from weftline.functions.scalars import log10_digits
 from weftline.operators.quality import ContractError
-from weftline.session import written
-
-#: Links up to which a graph is solved on the driver.
-DRIVER_LINKS = 500_000
-
-
-def cyclic_local(links: list[tuple[int, int]]) -> set[int]:
-    """Nodes on a cycle: in a strong component of more than one node, or with a self-loop."""
-    out: dict[int, list[int]] = defaultdict(list)
-    for a, b in links:
-        out[a].append(b)
-    found = {a for a, b in links if a == b}
-    index: dict[int, int] = {}
-    low: dict[int, int] = {}
-    stack: list[int] = []
-    held: set[int] = set()
-    for root in list(out):
-        if root in index:
-            continue
-        index[root] = low[root] = len(index)
-        stack.append(root)
-        held.add(root)
-        work = [(root, iter(out[root]))]
-        while work:
-            node, following = work[-1]
-            for nxt in following:
-                if nxt not in index:
-                    index[nxt] = low[nxt] = len(index)
-                    stack.append(nxt)
-                    held.add(nxt)
-                    work.append((nxt, iter(out.get(nxt, ()))))
-                    break
-                if nxt in held:
-                    low[node] = min(low[node], index[nxt])
-            else:
-                work.pop()
-                if work:
-                    low[work[-1][0]] = min(low[work[-1][0]], low[node])
-                if low[node] == index[node]:
-                    members = []
-                    while True:
-                        members.append(stack.pop())
-                        held.discard(members[-1])
-                        if members[-1] == node:
-                            break
-                    if len(members) > 1:
-                        found.update(members)
-    return found
-
-
-def _solve(links: list[tuple[int, int, int]]) -> dict[int, tuple[int, bool]]:
-    """``node -> (paths, boundary)`` of all ends of the links."""
-    cyclic = cyclic_local([(a, b) for a, b, _ in links])
-    out: dict[int, list[tuple[int, int]]] = defaultdict(list)
-    waiting: dict[int, int] = defaultdict(int)
-    extended: dict[int, int] = defaultdict(int)  # paths that may go on, of nodes off all cycles
-    ends = {x for a, b, _ in links for x in (a, b)}
-    for a, b, m in links:
-        if a not in cyclic and b not in cyclic:
-            out[a].append((b, m))
-            waiting[b] += 1
-    ready = deque(n for n in ends if n not in cyclic and not waiting[n])
-    done = 0
-    while ready:
-        node = ready.popleft()
-        done += 1
-        for b, m in out[node]:
-            extended[b] += m * (1 + extended[node])
-            waiting[b] -= 1
-            if not waiting[b]:
-                ready.append(b)
-    if done != len(ends - cyclic):
-        raise AssertionError("a cycle is left off the boundary")
-    total: dict[int, int] = defaultdict(int)
-    for a, b, m in links:
-        total[b] += m * (1 + (0 if a in cyclic else extended[a]))
-    return {n: (total[n], n in cyclic) for n in ends}
+from weftline.session import checkpoint_dir, discard, written
+
+#: Rows of a round up to which they are broadcast; they are counted before.
+BROADCAST_ROWS = 50_000
+#: Layers that a job trims before it is written and counted.
+LAYERS = 4
+
+
+# --- propagation
+
+
+@dataclass
+class Rounds:
+    """Rounds of a propagation: one folder each of ``node, need, arrived, limbs, ready, round``."""
+
+    links: DataFrame  # src_id, dst_id, multiplicity, need: the links that arrive at the target
+    path: str
+    schema: str
+    add: int  # to a count, as it is passed on
+    last: int = -1
+    ready: int = 0
+    waiting: int = 0
+    width: int = 1  # the most limbs so far
+
+    def __post_init__(self) -> None:
+        # Expressions that all rounds share.
+        self.passed = [F.col("dst_id").alias("node"), F.col("need"), F.lit(1).cast("bigint").alias("arrived"), limbs.times(F.col("limbs"), F.col("multiplicity"), self.add).alias("limbs")]
+        self.seen = [F.count_if("ready").alias("ready"), F.count_if(~F.col("ready")).alias("waiting"), F.max(F.size("limbs")).alias("width")]
+        self.sums = limbs.Sums(["node"], need=F.max("need"), arrived=F.sum("arrived"))
+
+    def sent(self, ready: DataFrame) -> DataFrame:
+        """What ready nodes pass on: ``multiplicity * (add + count)`` along each link."""
+        return self.links.join(ready.select(F.col("node").alias("src_id"), "limbs"), "src_id").select(*self.passed)
+
+    def arrived(self, rows: DataFrame) -> DataFrame:
+        """What is there of each node; a product has up to three limbs more than its factor."""
+        return self.sums(rows, self.width + 3)
+
+    def write(self, rows: DataFrame) -> None:
+        """The next round: what has arrived at each node that is not done."""
+        seen = Observation()
+        told = rows.selectExpr("node", "need", "arrived", "limbs", "arrived = need AS ready").observe(seen, *self.seen)
+        self.last += 1
+        told.write.parquet(f"{self.path}/round={self.last}")
+        self.ready, self.waiting, self.width = seen.get["ready"], seen.get["waiting"], max(self.width, seen.get["width"] or 1)
+
+    def read(self, k: int) -> DataFrame:
+        return self.links.sparkSession.read.schema(self.schema).parquet(f"{self.path}/round={k}")
+
+    def done(self) -> DataFrame:
+        """``node, limbs, round`` of the nodes that became ready; a round is the longest way to a node."""
+        kind = f"{self.schema}, round int"
+        return self.links.sparkSession.read.schema(kind).parquet(self.path).where("ready").select("node", "limbs", "round")
+
+
+def _start(links: DataFrame, seed: int, add: int) -> Rounds:
+    """Links counted at their targets; the nodes without incoming links are ready with *seed*."""
+    spark = links.sparkSession
+    need = links.groupBy("dst_id").agg(F.count("*").alias("need"))
+    # The side of the counts has a row for each target: a target of very many links is split by adaptive execution.
+    links = written(links.join(need, "dst_id").select("src_id", "dst_id", "multiplicity", "need"), "links")
+    kind = links.schema["src_id"].dataType.simpleString()
+    rounds = Rounds(links, f"{checkpoint_dir(spark)}/weftline/rounds-{uuid.uuid4().hex}", f"node {kind}, need bigint, arrived bigint, limbs array<bigint>, ready boolean", add)
+    first = links.select("src_id").distinct().join(links.select(F.col("dst_id").alias("src_id")).distinct(), "src_id", "left_anti")
+    zero = F.lit(0).cast("bigint")
+    rounds.write(first.select(F.col("src_id").alias("node"), zero.alias("need"), zero.alias("arrived"), F.array(F.lit(seed).cast("bigint")).alias("limbs")))
+    return rounds
+
+
+def _propagate(rounds: Rounds) -> None:
+    """Rounds until no node is ready any more.
+
+    At every power of two the links whose sources are done are dropped, so that what the rounds read shrinks.
+    """
+    while rounds.ready:
+        state = rounds.read(rounds.last)
+        ready, waiting = state.where("ready"), state.where(~F.col("ready"))
+        if rounds.last >= 8 and rounds.last & (rounds.last - 1) == 0:
+            rounds.links, old = written(rounds.links.join(rounds.done().where(F.col("round") < rounds.last).select(F.col("node").alias("src_id")), "src_id", "left_anti"), "links"), rounds.links
+            discard(state.sparkSession, old)
+        sent = rounds.sent(F.broadcast(ready) if rounds.ready <= BROADCAST_ROWS else ready)
+        rounds.write(rounds.arrived(waiting.select("node", "need", "arrived", "limbs").unionByName(sent)))
+
+
+# --- cycles
+
+
+def _trim(links: DataFrame) -> DataFrame:
+    """Links without those of nodes that have no link in or none out."""
+    for _ in range(LAYERS):
+        links = links.join(links.select(F.col("src_id").alias("dst_id")).distinct(), "dst_id", "left_semi").select("src_id", "dst_id")
+        links = links.join(links.select(F.col("dst_id").alias("src_id")).distinct(), "src_id", "left_semi").select("src_id", "dst_id")
+    return links
+
+
+def _push(links: DataFrame, labels: DataFrame) -> DataFrame:
+    """Each node's largest label among its own and those of the nodes with a link to it."""
+    pushed = links.join(labels.withColumnRenamed("node", "src_id"), "src_id").select(F.col("dst_id").alias("node"), "colour")
+    return labels.unionByName(pushed).groupBy("node").agg(F.max("colour").alias("colour"))
 
 
 def cyclic_nodes(links: DataFrame) -> DataFrame:
-    """``node`` on a cycle, by trimming and then forward-backward reach from the largest label, all on DataFrames."""
-    loops = links.where(F.col("src_id") == F.col("dst_id")).select(F.col("src_id").alias("node")).distinct()
-    rest = written(links.where(F.col("src_id") != F.col("dst_id")).select("src_id", "dst_id").distinct(), "core")
-    found = loops
+    """``node`` on a cycle, of ``src_id, dst_id``: by trimming, then colouring and walking back.
+
+    Every node takes the largest label that reaches it.  In a colour, the nodes that reach the label's own
+    node are one strong component.  Components leave with their links; the rest is trimmed and coloured anew.
+    A job takes several steps before its result is written.  Nulls are no nodes; repeated links count once.
+    """
+    spark = links.sparkSession
+    links = links.where(F.col("src_id").isNotNull() & F.col("dst_id").isNotNull()).select("src_id", "dst_id")
+    found = links.where(F.col("src_id") == F.col("dst_id")).select(F.col("src_id").alias("node")).distinct()
+    rest = written(links.where(F.col("src_id") != F.col("dst_id")).distinct(), "core")
     size = rest.count()
     while size:
-        kept = rest.join(rest.select(F.col("src_id").alias("dst_id")).distinct(), "dst_id", "left_semi").join(rest.select(F.col("dst_id").alias("src_id")).distinct(), "src_id", "left_semi")
-        rest, before = written(kept.select("src_id", "dst_id"), "core"), size
-        size = rest.count()
+        rest, old = written(_trim(rest), "core"), rest
+        discard(spark, old)
+        size, before = rest.count(), size
         if size < before:
             continue
-        # Nothing more to trim: colour by the largest label that reaches a node, then walk back within a colour.
-        colour = written(rest.select(F.explode(F.array("src_id", "dst_id")).alias("node")).distinct().withColumn("colour", F.col("node")), "colour")
-        while True:
-            pushed = rest.join(colour.withColumnRenamed("node", "src_id"), "src_id").select(F.col("dst_id").alias("node"), "colour")
-            new = written(colour.unionByName(pushed).groupBy("node").agg(F.max("colour").alias("colour")), "colour")
-            moved = new.join(colour.withColumnRenamed("colour", "old"), "node").where(F.col("colour") > F.col("old")).head(1)
-            colour = new
-            if not moved:
-                break
-        of = lambda end: colour.select(F.col("node").alias(f"{end}_id"), F.col("colour").alias(f"{end}_colour"))
+        labels = rest.select(F.explode(F.array("src_id", "dst_id")).alias("node")).distinct().withColumn("colour", F.col("node"))
+        labels, moved = written(labels, "colour"), True
+        while moved:
+            new = written(_push(rest, _push(rest, labels)), "colour")
+            moved = new.join(labels.withColumnRenamed("colour", "old"), "node").where(F.col("colour") > F.col("old")).head(1)
+            discard(spark, labels)
+            labels = new
+        of = lambda end: labels.select(F.col("node").alias(f"{end}_id"), F.col("colour").alias(f"{end}_colour"))
         same = written(rest.join(of("src"), "src_id").join(of("dst"), "dst_id").where(F.col("src_colour") == F.col("dst_colour")).select("src_id", "dst_id"), "same")
-        reached = written(colour.where(F.col("node") == F.col("colour")).select("node"), "reached")
-        count = reached.count()
-        while True:
-            more = same.join(reached.withColumnRenamed("node", "dst_id"), "dst_id", "left_semi").select(F.col("src_id").alias("node"))
-            reached, before = written(reached.unionByName(more).distinct(), "reached"), count
-            count = reached.count()
-            if count == before:
-                break
-        groups = reached.join(colour, "node")
-        members = groups.join(groups.groupBy("colour").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1), "colour").select("node")
-        found = written(found.unionByName(members), "cyclic")
+        # A frontier walks back; what it has reached is written once, round by round.
+        reached = front = written(labels.where(F.col("node") == F.col("colour")).select("node"), "reached")
+        while front.head(1):
+            back = same.join(front.withColumnRenamed("node", "dst_id"), "dst_id", "left_semi").select(F.col("src_id").alias("node")).distinct()
+            front = written(back.join(reached, "node", "left_anti"), "reached")
+            reached = reached.unionByName(front)
+        reached = written(reached, "reached")
+        groups = reached.join(labels, "node")
+        members = groups.join(groups.groupBy("colour").agg(F.count("*").alias("n")).where(F.col("n") > 1), "colour").select("node")
+        found = found.unionByName(written(members, "cyclic"))
+        old = rest
         for end in ("src_id", "dst_id"):
             rest = rest.join(reached.withColumnRenamed("node", end), end, "left_anti")
         rest = written(rest.select("src_id", "dst_id"), "core")
+        discard(spark, old, same, labels)
         size = rest.count()
     return found.distinct()
 
 
-def _add_up(rows: DataFrame) -> DataFrame:
-    """``node, digits``: sums of decimal digits, added up in the tasks before they are dealt by node."""
-
-    def batch_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            total: dict[int, int] = defaultdict(int)
-            for node, digits in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                total[node] += int(digits)
-            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array([str(v) for v in total.values()], pa.string())], ["node", "digits"])
-
-    def node_sum(table: pa.Table) -> pa.Table:
-        return pa.table({"node": table.column("node")[:1], "digits": pa.array([str(sum(map(int, table.column("digits").to_pylist())))])})
-
-    return rows.mapInArrow(batch_sums, "node bigint, digits string").groupBy("node").applyInArrow(node_sum, "node bigint, digits string")
-
-
-def _products(links: DataFrame) -> DataFrame:
-    """``dst_id, digits`` with ``multiplicity * (1 + digits)`` of each link (``src_id, dst_id, multiplicity, digits``)."""
+# --- path counts
 
-    def times(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = [str(m * (1 + int(d or 0))) for m, d in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], ["node", "digits"])
 
-    return links.select("dst_id", F.col("multiplicity").cast("bigint"), "digits").mapInArrow(times, "node bigint, digits string")
-
-
-def _levels(links: DataFrame, cyclic: DataFrame) -> DataFrame:
-    """``node, digits`` of the paths that may go on, level by level from the nodes without incoming links."""
-    inner = links
-    for end in ("src_id", "dst_id"):
-        inner = inner.join(cyclic.withColumnRenamed("node", end), end, "left_anti")
-    inner = written(inner.select("src_id", "dst_id", "multiplicity"), "acyclic")
-    ends = inner.select(F.explode(F.array("src_id", "dst_id")).alias("node")).distinct()
-    waiting = written(inner.groupBy(F.col("dst_id").alias("node")).agg(F.count(F.lit(1)).alias("waiting")), "waiting")
-    front = written(ends.join(waiting, "node", "left_anti").withColumn("digits", F.lit("0")), "front")
-    sums = None
-    done = front
-    while front.head(1):
-        sent = inner.join(front.withColumnRenamed("node", "src_id"), "src_id")
-        gained = _add_up(_products(sent))
-        arrived = sent.groupBy(F.col("dst_id").alias("node")).agg(F.count(F.lit(1)).alias("arrived"))
-        sums = written(gained if sums is None else _add_up(sums.unionByName(gained)), "sums")
-        waiting = written(waiting.join(arrived, "node", "left").select("node", (F.col("waiting") - F.coalesce("arrived", F.lit(0))).alias("waiting")), "waiting")
-        front = written(waiting.where(F.col("waiting") == 0).join(sums, "node").select("node", "digits"), "front")
-        waiting = waiting.where(F.col("waiting") > 0)
-        sums = sums.join(front, "node", "left_anti")
-        done = done.unionByName(front)
-    return done
-
-
-def incoming_paths(nodes: DataFrame, links: DataFrame, driver_links: int = DRIVER_LINKS) -> DataFrame:
+def incoming_paths(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """``node_id, in_paths, in_paths_log10, is_path_cycle_boundary`` for every node.
 
     A path counts with the product of its links' multiplicities.  Nodes on a cycle are boundaries:
     links out of them count their own multiplicity only, and links into them are not carried on.
     ``in_paths`` is a decimal string, 0 where nothing arrives; its log10 is null at 0.
     Needs unique node ids, one link for each pair, positive multiplicities and ends among the nodes;
-    anything else raises ``ContractError``.
+    anything else raises ``ContractError``.  Other columns are ignored; without links all counts are 0.
+
+    Each round's links with ready nodes join and are summed: as many rounds as the longest path has links.
     """
     ids = nodes.select("node_id")
     links = written(links.select("src_id", "dst_id", F.col("multiplicity").cast("bigint").alias("multiplicity")), "links")
-    n = links.count()
     bad = {
         "node ids that repeat": ids.groupBy("node_id").count().where("count > 1"),
         "multiplicities below one": links.where(F.col("multiplicity").isNull() | (F.col("multiplicity") < 1)),
@@ -211,98 +189,98 @@ def incoming_paths(nodes: DataFrame, links: DataFrame, driver_links: int = DRIVE
     for what, rows in bad.items():
         if rows.head(1):
             raise ContractError(f"there are {what}")
-    if n <= driver_links:
-        rows = [(r["src_id"], r["dst_id"], r["multiplicity"]) for r in links.collect()]
-        solved = _solve(rows)
-        made = nodes.sparkSession.createDataFrame([(k, str(v), b) for k, (v, b) in solved.items()], "node_id bigint, in_paths string, boundary boolean")
-    else:
-        cyclic = written(cyclic_nodes(links), "cyclic")
-        onward = _levels(links, cyclic).withColumnRenamed("node", "src_id")
-        total = _add_up(_products(links.join(onward, "src_id", "left"))).withColumnRenamed("digits", "in_paths")
-        marks = cyclic.withColumn("boundary", F.lit(True))
-        made = total.join(marks, "node", "full").select(F.col("node").alias("node_id"), "in_paths", "boundary")
+    rounds = _start(links, 0, 1)
+    _propagate(rounds)
+    stuck = rounds.links.join(rounds.done().select(F.col("node").alias("src_id")), "src_id", "left_anti")
+    cyclic = None
+    if stuck.head(1):
+        cyclic = written(cyclic_nodes(stuck), "cyclic")
+        _resume(rounds, written(stuck, "links"), cyclic)
+    onward = rounds.done().select(F.col("node").alias("node_id"), "limbs")
+    total = onward if cyclic is None else _with_boundaries(links, onward, cyclic, rounds.width)
+    made = total.select("node_id", limbs.digits(F.col("limbs")).alias("in_paths"))
     out = ids.join(made, "node_id", "left").withColumn("in_paths", F.coalesce("in_paths", F.lit("0")))
-    return out.select("node_id", "in_paths", log10_digits(F.col("in_paths")).alias("in_paths_log10"), F.coalesce("boundary", F.lit(False)).alias("is_path_cycle_boundary"))
+    if cyclic is not None:
+        out = out.join(cyclic.select(F.col("node").alias("node_id"), F.lit(True).alias("boundary")), "node_id", "left")
+    boundary = F.lit(False) if cyclic is None else F.coalesce("boundary", F.lit(False))
+    return out.select("node_id", "in_paths", log10_digits(F.col("in_paths")).alias("in_paths_log10"), boundary.alias("is_path_cycle_boundary"))
 
 
-def expression_stats(arcs: list[tuple[int, int]], root: int) -> dict[str, int]:
-    """A shared DAG read as a tree: occurrences of nodes in the tree, distinct nodes, arcs, greatest depth.
+def _resume(rounds: Rounds, stuck: DataFrame, cyclic: DataFrame) -> None:
+    """Go on beyond the cycles: their nodes pass nothing on, but their links have arrived."""
+    at = lambda end: cyclic.select(F.col("node").alias(end))
+    onward = stuck.join(at("dst_id"), "dst_id", "left_anti")
+    zero = F.array(F.lit(0).cast("bigint"))
+    freed = onward.join(at("src_id"), "src_id", "left_semi").select(F.col("dst_id").alias("node"), "need", F.lit(1).cast("bigint").alias("arrived"), zero.alias("limbs"))
+    waiting = rounds.read(rounds.last).where(~F.col("ready")).select("node", "need", "arrived", "limbs").join(at("node"), "node", "left_anti")
+    rounds.links = written(onward.join(at("src_id"), "src_id", "left_anti").select(*stuck.columns), "links")
+    rounds.write(rounds.arrived(waiting.unionByName(freed)))
+    _propagate(rounds)
 
-    Parallel arcs count each; the order is that of a depth-first walk without recursion.
-    """
-    children: dict[int, list[int]] = defaultdict(list)
-    for a, b in arcs:
-        children[a].append(b)
-    size: dict[int, int] = {}
-    depth: dict[int, int] = {}
-    work = [root]
-    open_: set[int] = set()
-    while work:
-        node = work[-1]
-        if node in size:
-            work.pop()
-            continue
-        todo = [c for c in children[node] if c not in size]
-        if todo:
-            if node in open_:
-                raise ContractError("the graph has a cycle")
-            open_.add(node)
-            work += todo
-            continue
-        work.pop()
-        size[node] = 1 + sum(size[c] for c in children[node])
-        depth[node] = 1 + max((depth[c] for c in children[node]), default=0)
-    return {"tree_occurrences": size[root], "unique_nodes": len(size), "arcs": sum(len(children[n]) for n in size), "max_depth": depth[root]}
 
+def _with_boundaries(links: DataFrame, onward: DataFrame, cyclic: DataFrame, width: int) -> DataFrame:
+    """All counts: what may go on, what comes from cycles, and what arrives at them."""
+    at = lambda end: cyclic.select(F.col("node").alias(end))
+    off = onward.join(at("node_id"), "node_id", "left_anti")
+    out_of = links.join(at("src_id"), "src_id", "left_semi").select(F.col("dst_id").alias("node_id"), limbs.of_long(F.col("multiplicity")).alias("limbs"))
+    into = links.join(at("dst_id"), "dst_id", "left_semi").join(at("src_id"), "src_id", "left_anti").join(off.withColumnRenamed("node_id", "src_id"), "src_id")
+    into = into.select(F.col("dst_id").alias("node_id"), limbs.times(F.col("limbs"), F.col("multiplicity"), 1).alias("limbs"))
+    return limbs.Sums(["node_id"])(off.unionByName(out_of).unionByName(into), width + 3)
 
-def leaf_occurrences(arcs: list[tuple[int, int]], root: int) -> dict[int, int]:
-    """How often each leaf of a shared DAG occurs in its tree."""
-    counted: dict[tuple[int, int], int] = defaultdict(int)
-    for a, b in arcs:
-        counted[a, b] += 1
-    solved = _solve([(a, b, m) for (a, b), m in counted.items()] + [(-1, root, 1)])
-    inner = {a for a, _ in arcs}
-    # Paths from the added source alone: all others start at inner nodes and are taken off by the same count without it.
-    alone = _solve([(a, b, m) for (a, b), m in counted.items()]) if counted else {}
-    return {n: v - alone.get(n, (0, False))[0] for n, (v, _) in solved.items() if n not in inner and n != -1}
 
+# --- shared DAGs
 
-def _each_dag(arcs: DataFrame, told, schema: str) -> DataFrame:
-    """A result for each DAG of many: rows are grouped by DAG, and every DAG is one expression of bounded size."""
 
-    def one(table: pa.Table) -> pa.Table:
-        pairs = list(zip(table.column("src").to_pylist(), table.column("dst").to_pylist()))
-        roots = {a for a, _ in pairs} - {b for _, b in pairs}
-        if len(roots) != 1:
-            raise ContractError(f"a shared DAG has one root, not {len(roots)}")
-        return told(table.column("dag")[:1], pairs, roots.pop())
+def _arcs(arcs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Distinct arcs of all DAGs with their number, ends as ``(dag, node)``, and the root of each DAG.
+
+    A DAG without just one root raises ``ContractError``.
+    """
+    end = lambda c: F.struct(F.col("dag").cast("bigint").alias("dag"), F.col(c).cast("bigint").alias("node"))
+    counted = written(arcs.groupBy(end("src").alias("parent"), end("dst").alias("child")).agg(F.count("*").alias("multiplicity")), "arcs")
+    ends = counted.select("parent").distinct().join(counted.select(F.col("child").alias("parent")).distinct(), "parent", "left_anti")
+    roots = written(ends.select("parent.dag", F.col("parent").alias("root")), "roots")
+    per_dag = counted.select("parent.dag").distinct().join(roots.groupBy("dag").agg(F.count("*").alias("n")), "dag", "left").where(F.coalesce("n", F.lit(0)) != 1).head()
+    if per_dag:
+        raise ContractError(f"a shared DAG has one root, not {per_dag['n'] or 0}")
+    return counted, roots
 
-    rows = arcs.select(F.col("dag").cast("bigint").alias("dag"), F.col("src").cast("bigint").alias("src"), F.col("dst").cast("bigint").alias("dst"))
-    return rows.groupBy("dag").applyInArrow(one, schema)
+
+def _walk(arcs: DataFrame, a: str, b: str, seed: int, add: int) -> DataFrame:
+    """Counts passed from *a* to *b* along all arcs, all DAGs at once; a cycle raises ``ContractError``."""
+    rounds = _start(arcs.select(F.col(a).alias("src_id"), F.col(b).alias("dst_id"), "multiplicity"), seed, add)
+    _propagate(rounds)
+    if rounds.waiting or rounds.links.join(rounds.done().select(F.col("node").alias("src_id")), "src_id", "left_anti").head(1):
+        raise ContractError("the graph has a cycle")
+    return rounds.done()
 
 
 def expression_table(arcs: DataFrame) -> DataFrame:
     """``dag, tree_occurrences, unique_nodes, arcs, max_depth`` of every shared DAG in ``dag, src, dst``.
 
-    Occurrences have no upper bound and are decimal digits.  Parallel arcs count each; a DAG with a cycle or
-    without just one root raises ``ContractError``.
+    A DAG is read as a tree: its size is one more than what its root gathers from its children, which pass
+    on their own.  Occurrences have no upper bound and are decimal digits; depth is the number of nodes on
+    the longest way.  Parallel arcs count each; a DAG with a cycle or without just one root raises
+    ``ContractError``; without arcs there is no row.  All DAGs are walked at once, from the leaves up.
     """
-
-    def told(dag, pairs, root) -> pa.Table:
-        s = expression_stats(pairs, root)
-        return pa.table({"dag": dag, "tree_occurrences": [str(s["tree_occurrences"])], "unique_nodes": pa.array([s["unique_nodes"]], pa.int64()), "arcs": pa.array([s["arcs"]], pa.int64()), "max_depth": pa.array([s["max_depth"]], pa.int64())})
-
-    return _each_dag(arcs, told, "dag bigint, tree_occurrences string, unique_nodes bigint, arcs bigint, max_depth bigint")
+    counted, roots = _arcs(arcs)
+    sizes = _walk(counted, "child", "parent", 0, 1)
+    at_root = roots.join(sizes.withColumnRenamed("node", "root"), "root")
+    facts = counted.groupBy("parent.dag").agg(F.sum("multiplicity").alias("arcs"))
+    nodes = counted.groupBy("child").agg(F.lit(1).alias("one")).groupBy("child.dag").agg((F.count("*") + 1).alias("unique_nodes"))
+    size = limbs.digits(limbs.times(F.col("limbs"), F.lit(1).cast("bigint"), 1)).alias("tree_occurrences")
+    return at_root.join(facts, "dag").join(nodes, "dag").select("dag", size, "unique_nodes", "arcs", (F.col("round") + 1).cast("bigint").alias("max_depth"))
 
 
 def leaf_table(arcs: DataFrame) -> DataFrame:
-    """``dag, leaf, occurrences``: how often each leaf of every shared DAG occurs in its tree, in decimal digits."""
-
-    def told(dag, pairs, root) -> pa.Table:
-        found = sorted(leaf_occurrences(pairs, root).items())
-        return pa.table({"dag": pa.array([dag[0].as_py()] * len(found), pa.int64()), "leaf": pa.array([k for k, _ in found], pa.int64()), "occurrences": pa.array([str(n) for _, n in found], pa.string())})
+    """``dag, leaf, occurrences``: how often each leaf of every shared DAG occurs in its tree, in decimal digits.
 
-    return _each_dag(arcs, told, "dag bigint, leaf bigint, occurrences string")
+    Every node passes on how often it occurs, from the roots down; the contract is that of ``expression_table``.
+    """
+    counted, _ = _arcs(arcs)
+    found = _walk(counted, "parent", "child", 1, 0)
+    leaves = found.join(counted.select(F.col("parent").alias("node")).distinct(), "node", "left_anti")
+    return leaves.select("node.dag", F.col("node.node").alias("leaf"), limbs.digits(F.col("limbs")).alias("occurrences"))
 
 
 def ancestors(classes: DataFrame, modules: DataFrame | None = None, max_depth: int = 64) -> DataFrame:

@@ -753,7 +753,7 @@ SELECT node_id, CAST(CAST(coalesce(c.p, n.p, r.p, 0) AS BIGINT) AS VARCHAR) AS i
 def path_counts_layered(spark: SparkSession, sf: str) -> DataFrame:
     """Solved level by level on DataFrames, whatever its size."""
     g = views.layered(spark, sf)
-    return paths.incoming_paths(g.nodes, g.edges, driver_links=0).select("node_id", "in_paths")
+    return paths.incoming_paths(g.nodes, g.edges).select("node_id", "in_paths")
 
 
 @query(f"WITH RECURSIVE {DAG_PATHS_SQL.format(keep='src_id < dst_id')} SELECT node_id, in_paths, round(log10(CAST(in_paths AS DOUBLE)), 6) AS in_paths_log10, is_path_cycle_boundary FROM paths ORDER BY CAST(in_paths AS HUGEINT) DESC, node_id LIMIT 100")
@@ -763,11 +763,20 @@ def top_paths(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(samples.top_big_integers(paths.incoming_paths(g.nodes, g.edges), "in_paths", "node_id", 100))
 
 
-@query()
+@query(
+    "WITH RECURSIVE "
+    + SEQUENCE_SQL
+    + """, inner_links AS (
+  SELECT src_id AS a, dst_id AS b FROM edges SEMI JOIN nodes s ON s.node_id = src_id SEMI JOIN nodes d ON d.node_id = dst_id
+), reach AS (
+  SELECT a, b FROM inner_links UNION SELECT reach.a, l.b FROM reach JOIN inner_links l ON l.a = reach.b
+) SELECT DISTINCT a AS node_id FROM reach WHERE a = b"""
+)
 def cyclic_nodes(spark: SparkSession, sf: str) -> DataFrame:
-    """Parts on a cycle of the sequence graph."""
+    """Parts on a cycle of the sequence graph, by trimming, colouring and walking back."""
     g = views.sequence_graph(spark, sf)
-    return paths.incoming_paths(g.nodes, g.edges.join(g.nodes.select(F.col("node_id").alias("dst_id")), "dst_id", "left_semi").join(g.nodes.select(F.col("node_id").alias("src_id")), "src_id", "left_semi")).where("is_path_cycle_boundary").select("node_id")
+    inner = g.edges.join(g.nodes.select(F.col("node_id").alias("dst_id")), "dst_id", "left_semi").join(g.nodes.select(F.col("node_id").alias("src_id")), "src_id", "left_semi")
+    return paths.cyclic_nodes(inner).select(F.col("node").alias("node_id"))
 
 
 @query(
