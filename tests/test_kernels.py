@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from weftline.functions import limbs
-from weftline.operators import concentration, intervals, mining, paths, ranks, regression, samples, stats
+from weftline.operators import concentration, intervals, mining, paths, quality, ranks, regression, samples, stats
 from weftline.operators.graph import Graph, dependency_pairs, node_metrics, source_node_metrics
 from weftline.operators.quality import ContractError
 
@@ -178,6 +178,50 @@ def test_source_metrics(spark):
     assert (p["in_paths"], p["is_path_cycle_boundary"]) == ("19", True)
 
 
+def test_small_primes():
+    for top in (0, 1, 2, 3, 4, 5, 7, 24, 25, 49, 121, 1000):
+        assert stats.small_primes(top).tolist() == [p for p in range(2, top + 1) if all(p % d for d in range(2, p))]
+    primes = stats.small_primes(8000)
+    assert all(primes[n - 1] <= stats.prime_bound(n) for n in range(1, len(primes) + 1))
+
+
+def test_grouped_quantiles(spark):
+    """Against linear interpolation on sorted values: one value in half of the rows, null groups, null values, single rows."""
+    rng = random.Random(6)
+    rows = [(rng.choice(["a", "b", None]), 7.0 if rng.random() < 0.5 else rng.choice([rng.gauss(0, 9), rng.randrange(5)])) for _ in range(400)] + [("one", 3.5), ("none", None), ("a", None)]
+    df = spark.createDataFrame([(g, None if v is None else float(v)) for g, v in rows], "g string, v double").repartition(6).withColumn("n", F.lit("x"))
+    shares = {"least": 0.0, "q25": 0.25, "median": 0.5, "p99": 0.99, "most": 1.0}
+    got = {r["g"]: r for r in ranks.quantiles(df, ["g"], "v", shares).collect()}
+    assert set(got) == {"a", "b", None, "one"}
+    for g, r in got.items():
+        own = [v for h, v in rows if h == g and v is not None]
+        assert np.allclose([r[k] for k in shares], np.quantile(own, list(shares.values())))
+    whole = ranks.quantiles(df, [], "v", shares).first()
+    assert np.allclose([whole[k] for k in shares], np.quantile([v for _, v in rows if v is not None], list(shares.values())))
+    assert ranks.quantiles(df.limit(0), ["g"], "v", shares).collect() == []
+
+
+def test_spearman_with_a_value_in_most_rows(spark):
+    """Average ranks of heavy ties against ranks by definition; nulls are left out, a constant has no correlation."""
+    rng = random.Random(7)
+    rows = [(0.0 if rng.random() < 0.6 else float(rng.randrange(40)), 1.0 if rng.random() < 0.5 else rng.gauss(0, 1)) for _ in range(300)]
+    rows = [(x, y + x / 30) for x, y in rows]
+    df = spark.createDataFrame([*rows, (None, 1.0), (2.0, None)], "a double, b double").withColumn("k", F.lit(1.0))
+    rank = lambda v: [sum(o < x for o in v) + (sum(o == x for o in v) + 1) / 2 for x in v]
+    want = np.corrcoef(rank([x for x, _ in rows]), rank([y for _, y in rows]))[0, 1]
+    one, two = stats.spearman(df, [("a", "b"), ("a", "k")]).collect()
+    assert one["n"] == 300 and math.isclose(one["rho"], want, rel_tol=1e-9)
+    assert two["n"] == 301 and two["rho"] is None
+
+
+def test_left_join_keeps_null_keys_out(spark):
+    """Null keys are half of the rows: they stay, with no fact, and no task joins them."""
+    rows = spark.createDataFrame([(None if k % 2 else f"n{k % 4}", k) for k in range(40)], "parent_decl string, at int").withColumn("module", F.lit("m"))
+    facts = spark.createDataFrame([("n0", "m", 1), (None, "x", 9)], "name string, module string, node_id bigint")
+    got = quality.classify_usages(rows, facts).groupBy("usage_class").count().collect()
+    assert {r["usage_class"]: r["count"] for r in got} == {"unparented": 20, "unresolved": 10, "attributed": 10}
+
+
 def test_primes_and_rank_shapes(spark):
     primes = [(r["prime"], r["rank"]) for r in stats.prime_ranks(spark, 400, segment=256).orderBy("rank").collect()]
     assert [p for p, _ in primes[:8]] == [2, 3, 5, 7, 11, 13, 17, 19] and [r for _, r in primes] == list(range(1, 401))

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftline.operators.ranks import running
+
 
 def histogram(values: DataFrame, by: list[str], value: str = "value") -> DataFrame:
     """``by..., v, c``: how often each value occurs; nulls are left out."""
@@ -64,6 +66,8 @@ def lorenz(values: DataFrame, by: list[str], value: str = "value") -> DataFrame:
 def ranked_blocks(values: DataFrame, by: list[str], value: str = "value") -> DataFrame:
     """``by..., v, c, first_rank``: ranks (from 1, largest first) of the runs of equal positive values."""
     h = histogram(values.where(F.col(value) > 0), by, value)
+    if not by:
+        return running(h, [F.desc("v")], F.col("c")).withColumn("first_rank", F.col("before") + 1).drop("before")
     before = Window.partitionBy(*by).orderBy(F.desc("v")).rowsBetween(Window.unboundedPreceding, -1)
     return h.withColumn("first_rank", F.coalesce(F.sum("c").over(before), F.lit(0)) + 1)
 

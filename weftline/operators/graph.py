@@ -12,6 +12,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftline.operators.ranks import quantiles
+from weftline.session import written
+
 # Named views of the nodes.
 VIEWS = ["ALL", "NO_GENERATED", "THEOREM_ONLY", "DEF_ONLY", "THEOREM_AND_DEF", "USER_FACING_APPROX"]
 
@@ -185,27 +188,19 @@ def value_availability(nodes: DataFrame) -> DataFrame:
 def log2_bins(metrics: DataFrame, sizes: list[str], reuse: str = "in_degree_all") -> DataFrame:
     """Bins of ``floor(log2(size))`` of each positive size metric: count, medians and quartiles (linear) of reuse."""
     long = metrics.select(F.col(reuse).cast("double").alias("reuse"), F.explode(F.array(*[F.struct(F.lit(s).alias("length_metric"), F.col(s).cast("double").alias("length")) for s in sizes])).alias("x")).select("reuse", "x.*")
-    long = long.where(F.col("length") > 0)
-    return long.groupBy("length_metric", F.floor(F.log2("length")).cast("int").alias("log2_bin")).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.percentile("length", 0.5).alias("length_median"),
-        F.percentile("reuse", 0.5).alias("reuse_median"),
-        F.percentile("reuse", 0.25).alias("reuse_q25"),
-        F.percentile("reuse", 0.75).alias("reuse_q75"),
-    )
+    by = ["length_metric", "log2_bin"]
+    long = written(long.where(F.col("length") > 0).withColumn("log2_bin", F.floor(F.log2("length")).cast("int")), "lengths")
+    lengths = quantiles(long, by, "length", {"length_median": 0.5})
+    reused = quantiles(long, by, "reuse", {"reuse_median": 0.5, "reuse_q25": 0.25, "reuse_q75": 0.75})
+    return long.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).join(lengths, by, "left").join(reused, by, "left")
 
 
 def coverage(nodes: DataFrame, metrics: list[str]) -> DataFrame:
     """For each metric: rows with a value, their share, median, 90th and 99th percentile and maximum."""
     long = nodes.select(F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("v")) for m in metrics])).alias("x")).select("x.*")
-    return long.groupBy("metric").agg(
-        F.count("v").alias("n"),
-        (F.count("v") / F.count(F.lit(1))).alias("coverage"),
-        F.percentile("v", 0.5).alias("median"),
-        F.percentile("v", 0.9).alias("p90"),
-        F.percentile("v", 0.99).alias("p99"),
-        F.max("v").alias("max"),
-    )
+    counts = long.groupBy("metric").agg(F.count("v").alias("n"), (F.count("v") / F.count(F.lit(1))).alias("coverage"), F.max("v").alias("max"))
+    found = quantiles(long, ["metric"], "v", {"median": 0.5, "p90": 0.9, "p99": 0.99})
+    return counts.join(found, "metric", "left").select("metric", "n", "coverage", "median", "p90", "p99", "max")
 
 
 def class_use(calls: DataFrame, methods: DataFrame, classes: DataFrame) -> DataFrame:

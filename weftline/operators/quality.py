@@ -96,7 +96,13 @@ def classify_usages(usages: DataFrame, nodes: DataFrame) -> DataFrame:
         .when(F.col("parent_module") != F.col("module"), "mismatched")
         .otherwise("attributed")
     )
-    return usages.join(parents, "parent_decl", "left").withColumn("usage_class", kind)
+    return with_facts(usages, parents, "parent_decl").withColumn("usage_class", kind)
+
+
+def with_facts(rows: DataFrame, facts: DataFrame, key: str) -> DataFrame:
+    """A left join that keeps rows with a null key out of it: they match nothing, and would all be one task's."""
+    missing = [F.lit(None).cast(f.dataType).alias(f.name) for f in facts.schema.fields if f.name != key]
+    return rows.where(F.col(key).isNotNull()).join(facts, key, "left").unionByName(rows.where(F.col(key).isNull()).select("*", *missing))
 
 
 def dense_ids(names: DataFrame, column: str = "name") -> DataFrame:

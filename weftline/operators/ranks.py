@@ -26,6 +26,33 @@ def running(df: DataFrame, order: list[Column], weight: Column | None = None, na
     return counted.join(F.broadcast(first), "__part").withColumn(name, F.col("__first") + F.col("__inside")).drop("__part", "__w", "__first", "__inside")
 
 
+def quantiles(df: DataFrame, by: list[str], value: str, shares: dict[str, float]) -> DataFrame:
+    """``by...`` and a column for each share: exact linear quantiles of *value* in every group.
+
+    Values are counted, and the counted ones ranked over all groups by range partitions: a group's values
+    follow each other, so that a quantile is the value at a place after the group's first.  No group is
+    gathered anywhere.  Null values count nothing, a group without others has no row; a null in *by* is a
+    group like any other.
+    """
+    keys = [f"__by{i}" for i in range(len(by))]
+    rows = df.select(*[F.col(c).alias(k) for c, k in zip(by, keys)], F.col(value).cast("double").alias("__v")).where(F.col("__v").isNotNull())
+    counted = running(rows.groupBy(*keys, "__v").agg(F.count("*").alias("__c")), [*map(F.col, keys), F.col("__v")], F.col("__c"), "__before")
+    counted = written(counted, "counted")
+    groups = counted.groupBy(*keys).agg(F.sum("__c").alias("__n"), F.min("__before").alias("__first"))
+    same = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys]
+    near = counted.alias("a").join(groups.alias("b"), same or F.lit(True)).select(*[F.col(f"a.{k}") for k in keys], "__v", "__c", "__n", (F.col("__before") - F.col("__first")).alias("__at"))
+
+    def at(place: Column) -> Column:
+        return F.max(F.when((F.col("__at") <= place) & (place < F.col("__at") + F.col("__c")), F.col("__v")))
+
+    found, out = [], []
+    for i, (name, q) in enumerate(shares.items()):
+        place = F.lit(q) * (F.col("__n") - 1)
+        found += [at(F.floor(place)).alias(f"__low{i}"), at(F.ceil(place)).alias(f"__high{i}"), F.max(place - F.floor(place)).alias(f"__over{i}")]
+        out.append((F.col(f"__low{i}") + (F.col(f"__high{i}") - F.col(f"__low{i}")) * F.col(f"__over{i}")).alias(name))
+    return near.groupBy(*keys).agg(*found).select(*[F.col(k).alias(c) for k, c in zip(keys, by)], *out)
+
+
 #: Numbers up to which sums over ranks are added one by one; beyond, Euler and Maclaurin's formula is exact to rounding.
 _FEW = 64
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.operators.ranks import running
+from weftline.operators.stats import quantiles
 
 
 def top(df: DataFrame, order: list[Column], k: int) -> DataFrame:
@@ -27,8 +28,10 @@ def top_big_integers(df: DataFrame, digits: str, tie: str, k: int) -> DataFrame:
 
 def nearest_to_median(df: DataFrame, value: str, name: str) -> DataFrame:
     """The row whose value is nearest to the whole part of the median, then first by name."""
-    mid = df.agg(F.floor(F.percentile(F.col(value).cast("double"), 0.5)).alias("__mid"))
-    return df.crossJoin(F.broadcast(mid)).orderBy(F.abs(F.col(value) - F.col("__mid")), F.col(name)).limit(1).drop("__mid")
+    median = quantiles(df, value, [0.5])
+    if not median:
+        return df.limit(0)
+    return df.orderBy(F.abs(F.col(value) - math.floor(median[0])), F.col(name)).limit(1)
 
 
 def target_identities(nodes: DataFrame, external: DataFrame) -> DataFrame:

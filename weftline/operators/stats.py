@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from weftline.operators.concentration import histogram, ranked_blocks
 from weftline.operators.ranks import log_run, running
+from weftline.operators.ranks import quantiles as grouped_quantiles
 from weftline.session import written
 
 #: Distinct values that a histogram on the driver may have.
@@ -208,14 +209,20 @@ def rank_frequency(values: DataFrame, by: list[str], xmin: float = 1.0, value: s
     )
 
 
+def prime_bound(n: int) -> int:
+    """A number that the n-th prime does not exceed: n (ln n + ln ln n) from the sixth on (Rosser and Schoenfeld, 1962)."""
+    return 13 if n < 6 else math.ceil(n * math.log(n * math.log(n)))
+
+
 def small_primes(top: int) -> np.ndarray:
-    """The primes up to *top*."""
-    sieve = np.ones(top + 1, bool)
-    sieve[:2] = False
-    for p in range(2, math.isqrt(top) + 1):
-        if sieve[p]:
-            sieve[p * p :: p] = False
-    return np.flatnonzero(sieve)
+    """The primes up to *top*: 2, 3, and of the neighbours of multiples of six those that no smaller one divides."""
+    beside = (np.arange(6, top + 2, 6)[:, None] + [-1, 1]).ravel()
+    left = beside[beside <= top]
+    k = 0
+    while k < len(left) and left[k] ** 2 <= top:
+        left = np.concatenate([left[: k + 1], left[k + 1 :][left[k + 1 :] % left[k] > 0]])
+        k += 1
+    return np.concatenate([np.array([p for p in (2, 3) if p <= top], int), left])
 
 
 def prime_ranks(spark: SparkSession, n: int, segment: int = 1 << 20) -> DataFrame:
@@ -223,7 +230,7 @@ def prime_ranks(spark: SparkSession, n: int, segment: int = 1 << 20) -> DataFram
 
     Only the primes up to the square root of the last one are sent to the tasks.
     """
-    top = max(15, int(n * (math.log(n + 2) + math.log(math.log(n + 3)))) + 10)
+    top = prime_bound(n)
     base = spark.sparkContext.broadcast(small_primes(math.isqrt(top) + 1))
 
     def sieve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -289,15 +296,22 @@ def _filled(marked: DataFrame) -> DataFrame:
 def spearman(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
     """``x, y, n, rho`` with tie-averaged ranks for each pair of columns; rows with a null in the pair are left out.
 
-    Ranks come from the histogram of each column, so no column is sorted in one task row by row.
+    Rows are counted by their pair of values first; ranks come from the histogram of each column and join
+    the counted pairs, so that a value which very many rows have is one pair with each value beside it.
+    The mean rank is (n + 1) / 2 whatever the ties.
     """
     out = None
     for x, y in pairs:
-        rows = df.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).na.drop()
+        cells = df.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).na.drop().groupBy("x", "y").agg(F.count(F.lit(1)).alias("__c"))
+        cells = written(cells, "cells")
+        rows = cells.crossJoin(F.broadcast(cells.agg(((F.sum("__c") + 1) / 2).alias("__mean"))))
         for c in ("x", "y"):
-            h = running(rows.groupBy(c).agg(F.count(F.lit(1)).alias("n")), [F.col(c)], F.col("n"))
+            h = running(cells.groupBy(c).agg(F.sum("__c").alias("n")), [F.col(c)], F.col("n"))
             rows = rows.join(h.select(c, (F.col("before") + (F.col("n") + 1) / 2).alias(f"rank_{c}")), c)
-        one = rows.agg(F.count(F.lit(1)).alias("n"), F.corr("rank_x", "rank_y").alias("rho")).select(F.lit(x).alias("x"), F.lit(y).alias("y"), "n", "rho")
+        off = lambda c: F.col(f"rank_{c}") - F.col("__mean")
+        product = lambda a, b: F.sum(F.col("__c") * off(a) * off(b))
+        rho = F.try_divide(product("x", "y"), F.sqrt(product("x", "x") * product("y", "y")))
+        one = rows.agg(F.coalesce(F.sum("__c"), F.lit(0)).alias("n"), rho.alias("rho")).select(F.lit(x).alias("x"), F.lit(y).alias("y"), "n", "rho")
         out = one if out is None else out.unionByName(one)
     return out
 
@@ -419,4 +433,8 @@ def rank_bins(ranked: DataFrame, n: int, measures: list[str], rank: str = "rank"
     """Medians of measures in geometric bins of the rank."""
     edges = geometric_edges(n, bins)
     place = F.size(F.filter(F.array(*[F.lit(e) for e in edges[1:]]), lambda e: e <= F.col(rank)))
-    return ranked.groupBy(place.alias("bin")).agg(F.count(F.lit(1)).alias("n"), *[F.percentile(F.col(m).cast("double"), 0.5).alias(f"median_{m}") for m in measures])
+    binned = written(ranked.select(place.alias("bin"), *measures), "rank-bins")
+    out = binned.groupBy("bin").agg(F.count(F.lit(1)).alias("n"))
+    for m in measures:
+        out = out.join(grouped_quantiles(binned, ["bin"], m, {f"median_{m}": 0.5}), "bin", "left")
+    return out

@@ -277,7 +277,9 @@ def log2_bins(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"WITH {METRICS_SQL} SELECT kind, count(*) AS n, round(avg(in_degree_all), 6) AS mean, round(quantile_cont(CAST(in_degree_all AS DOUBLE), 0.5), 6) AS median, max(in_degree_all) AS max FROM metrics GROUP BY kind")
 def kind_degree_stats(spark: SparkSession, sf: str) -> DataFrame:
     d = F.col("in_degree_all")
-    return rounded(_metrics(spark, sf).groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.avg(d).alias("mean"), F.percentile(d.cast("double"), 0.5).alias("median"), F.max(d).alias("max")))
+    metrics = written(_metrics(spark, sf).select("kind", "in_degree_all"), "degrees")
+    stats_ = metrics.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.avg(d).alias("mean"), F.max(d).alias("max"))
+    return rounded(stats_.join(ranks.quantiles(metrics, ["kind"], "in_degree_all", {"median": 0.5}), "kind").select("kind", "n", "mean", "median", "max"))
 
 
 @query(

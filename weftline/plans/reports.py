@@ -174,7 +174,7 @@ def conservation_checks(spark: SparkSession, sf: str) -> DataFrame:
     rows, nodes = views.usages(spark, sf)
     parents = nodes.select(F.col("name").alias("parent_decl"), F.col("module").alias("parent_module"), F.col("node_id").alias("src_id"))
     kind = F.when(F.col("parent_decl").isNull(), "unparented").when(F.col("src_id").isNull(), "unresolved").when(F.col("parent_module") != F.col("module"), "mismatched").otherwise("attributed")
-    named = written(rows.select("parent_decl", "module", F.col("target_decl").alias("dst_id")).join(parents, "parent_decl", "left").withColumn("usage_class", kind).withColumn("snapshot_id", F.lit("s")), "usages")
+    named = written(quality.with_facts(rows.select("parent_decl", "module", F.col("target_decl").alias("dst_id")), parents, "parent_decl").withColumn("usage_class", kind).withColumn("snapshot_id", F.lit("s")), "usages")
     edges = gr.usage_edges(named.where(F.col("usage_class") == "attributed"))
     return audits.conservation(named, "usage_class", edges, ["src_id", "dst_id"])
 
