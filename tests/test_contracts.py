@@ -131,11 +131,11 @@ def test_archive_lines(spark, tmp_path):
 def test_names_and_paths(spark):
     gen = lambda n: _one(spark, scalars.is_generated(F.col("n")), n=n)
     assert [gen(n) for n in ("Nat.rec", "Nat.recOn", "Nat.add", "_private.M.0.x", "A.injEq", "A._b")] == [True, True, False, True, True, True]
-    assert _one(spark, scalars.module_of(F.col("p")), p="Mathlib/NumberTheory/Basic.lean") == "Mathlib.NumberTheory.Basic"
-    dom = lambda m: _one(spark, scalars.domain_of(F.col("m"), "Mathlib"), m=m)
-    assert [dom("Mathlib.NumberTheory.Basic"), dom("Counterexamples.X"), dom("Mathlib")] == ["NumberTheory", "Counterexamples", "Mathlib"]
-    glob = lambda p: _one(spark, scalars.first_glob(F.col("p"), ["Counterexamples/**", "*.md"], "root/"), p=p)
-    assert [glob("Counterexamples/a/b.lean"), glob("root/Counterexamples/x"), glob("a.md"), glob("z")] == ["Counterexamples/**", "Counterexamples/**", "*.md", None]
+    assert _one(spark, scalars.module_of(F.col("p")), p="Lib/Topic/Basic.lean") == "Lib.Topic.Basic"
+    dom = lambda m: _one(spark, scalars.domain_of(F.col("m"), "Lib"), m=m)
+    assert [dom("Lib.Topic.Basic"), dom("Extras.X"), dom("Lib")] == ["Topic", "Extras", "Lib"]
+    glob = lambda p: _one(spark, scalars.first_glob(F.col("p"), ["Extras/**", "*.md"], "root/"), p=p)
+    assert [glob("Extras/a/b.lean"), glob("root/Extras/x"), glob("a.md"), glob("z")] == ["Extras/**", "Extras/**", "*.md", None]
 
 
 def test_slice_range(spark):

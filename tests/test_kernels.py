@@ -158,6 +158,15 @@ def test_shared_dag_contract(spark, arcs):
         paths.expression_table(spark.createDataFrame([(1, *a) for a in arcs], "dag int, src int, dst int")).collect()
 
 
+def test_ancestors_of_a_cyclic_hierarchy(spark):
+    """Classes that inherit from each other end where an ancestor is there already; deep ones go on."""
+    rows = [("m", "a", ["b"]), ("m", "b", ["c"]), ("m", "c", ["a", "top"]), ("n", "d", ["a"]), ("n", "top", [])]
+    df = spark.createDataFrame(rows, "module string, class string, parents array<string>")
+    got = {(r["class"], r["ancestor"], r["depth"]) for r in paths.ancestors(df).collect()}
+    assert {x[1:] for x in got if x[0] == "a"} == {("a", 0), ("b", 1), ("c", 2), ("top", 3)}
+    assert {x[1:] for x in got if x[0] == "d"} == {("d", 0), ("a", 1), ("b", 2), ("c", 3), ("top", 4)}
+
+
 def test_node_metrics(spark):
     nodes = spark.createDataFrame([(k, f"n{k}", "theorem", "A") for k in (1, 2, 3)], "node_id bigint, name string, kind string, domain string")
     edges = spark.createDataFrame([(1, 2, "TYPE", 2), (1, 2, "VALUE", 5), (3, 2, "VALUE", 7), (2, 2, "VALUE", 100)], "src_id bigint, dst_id bigint, edge_type string, multiplicity bigint")

@@ -81,3 +81,14 @@ def at_ranks(blocks: DataFrame, ranks: DataFrame, by: list[str]) -> DataFrame:
 def powerlaw_ccdf(x: Column, xmin: Column, alpha: Column, tail_mass: Column) -> Column:
     """The power law's CCDF above *xmin*, scaled to the tail's empirical mass."""
     return tail_mass * F.pow(x / xmin, 1 - alpha)
+
+
+def powerlaw_overlay(values: DataFrame, by: list[str], xmin: float, alpha: float, value: str = "value") -> DataFrame:
+    """``by..., v, ccdf, overlay``: the CCDF from *xmin* on, and a power law that starts at the same share.
+
+    A group without a value from *xmin* on has no row.
+    """
+    tail = ccdf(values, by, value).where(F.col("v") >= xmin)
+    mass = tail.groupBy(*by).agg(F.max("ccdf").alias("tail_mass"))
+    joined = tail.join(mass, by) if by else tail.crossJoin(F.broadcast(mass))
+    return joined.select(*by, "v", "ccdf", powerlaw_ccdf(F.col("v"), F.lit(float(xmin)), F.lit(float(alpha)), F.col("tail_mass")).alias("overlay"))

@@ -15,20 +15,22 @@ REFERENCE_BYTES, CLASS_BYTES = 3, 8
 def occurrences(rows: DataFrame, key: list[str], symbols: str = "opcodes", sizes: str = "sizes", lengths: range = range(4, 9), informative: list[str] | None = INFORMATIVE) -> DataFrame:
     """``key..., pattern, bytes`` of every kept occurrence: greedy from the left, none overlaps its own pattern in a row.
 
-    Patterns of all lengths stand on their own.  Sums of bytes come from running sums, and the greedy
-    pick is a fold over a pattern's sorted starts in a row.
+    Patterns of all lengths stand on their own.  A row is cut into its n-grams, with their bytes, before it
+    is spread, so that no spread row carries the sequence.  An occurrence whose pattern was last seen a whole
+    length before is always kept; only runs of occurrences that overlap are folded, each on its own.
     """
     n = F.size(symbols)
     starts = lambda k: F.when(n >= k, F.sequence(F.lit(0), n - k)).otherwise(F.array().cast("array<int>"))
-    placed = lambda k: F.transform(starts(k), lambda i: F.struct(i.alias("at"), F.lit(k).alias("length")))
-    grams = F.flatten(F.array(*[placed(k) for k in lengths]))
-    spread = rows.select(*key, symbols, sizes, F.explode(grams).alias("g"))
-    part = spread.select(*key, F.slice(symbols, F.col("g.at") + 1, F.col("g.length")).alias("pattern"), F.slice(sizes, F.col("g.at") + 1, F.col("g.length")).alias("parts"), F.col("g.at").alias("at"), F.col("g.length").alias("length"))
+    total = lambda i, k: F.aggregate(F.slice(sizes, i + 1, k), F.lit(0).cast("bigint"), lambda a, x: a + x.cast("bigint"))
+    cut = lambda k: F.transform(starts(k), lambda i: F.struct(F.slice(symbols, i + 1, k).alias("pattern"), i.alias("at"), total(i, k).alias("bytes")))
+    grams = F.flatten(F.array(*[cut(k) for k in lengths]))
     if informative is not None:
-        hit = F.exists("pattern", lambda s: _any(s, informative))
-        part = part.where(hit)
-    total = F.aggregate("parts", F.lit(0).cast("bigint"), lambda a, x: a + x.cast("bigint"))
-    grouped = part.select(*key, "pattern", "at", "length", total.alias("bytes")).groupBy(*key, "pattern", "length").agg(F.array_sort(F.collect_list(F.struct("at", "bytes"))).alias("found"))
+        grams = F.filter(grams, lambda g: F.exists(g["pattern"], lambda s: _any(s, informative)))
+    part = rows.select(*key, F.explode(grams).alias("g")).select(*key, "g.*").withColumn("length", F.size("pattern"))
+    seen = Window.partitionBy(*key, "pattern").orderBy("at")
+    alone = F.coalesce(F.col("at") - F.lag("at").over(seen) >= F.col("length"), F.lit(True))
+    runs = part.withColumn("alone", alone).withColumn("run", F.sum(F.col("alone").cast("int")).over(seen))
+    grouped = runs.groupBy(*key, "pattern", "length", "run").agg(F.array_sort(F.collect_list(F.struct("at", "bytes"))).alias("found"))
     empty = F.struct(F.lit(0).alias("free"), F.array().cast("array<bigint>").alias("kept"))
     pick = F.aggregate("found", empty, lambda a, x: F.when(x["at"] >= a["free"], F.struct((x["at"] + F.col("length")).alias("free"), F.concat(a["kept"], F.array(x["bytes"])).alias("kept"))).otherwise(a))
     return grouped.select(*key, "pattern", F.explode(pick["kept"]).alias("bytes"))

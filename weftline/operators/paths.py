@@ -7,6 +7,7 @@ the nodes that have become ready and one sum, and is written to the shared folde
 
 from __future__ import annotations
 
+import itertools
 import uuid
 from dataclasses import dataclass
 
@@ -283,12 +284,13 @@ def leaf_table(arcs: DataFrame) -> DataFrame:
     return leaves.select("node.dag", F.col("node.node").alias("leaf"), limbs.digits(F.col("limbs")).alias("occurrences"))
 
 
-def ancestors(classes: DataFrame, modules: DataFrame | None = None, max_depth: int = 64) -> DataFrame:
+def ancestors(classes: DataFrame) -> DataFrame:
     """``module, class, ancestor_module, ancestor, depth, path``: a class, its superclass and interfaces, and theirs.
 
     *classes* has ``module, class, parents array<string>`` (superclass first).  A parent may be defined in
     several modules: the child's module comes first, then the others in name order.  *path* is the
-    breadth-first place; each ancestor is kept at its least (depth, path).  Depth is bounded against cycles.
+    breadth-first place; each ancestor is kept at its least (depth, path).  Depth is not bounded: a cycle ends where it
+    comes to an ancestor that is there already.
     """
     named = classes.select("module", "class", "parents")
     where = classes.select(F.col("module").alias("p_module"), F.col("class").alias("parent"))
@@ -298,7 +300,7 @@ def ancestors(classes: DataFrame, modules: DataFrame | None = None, max_depth: i
     kind = "array<struct<ordinal:int,order:string>>"
     level = named.select("module", "class", F.col("module").alias("ancestor_module"), F.col("class").alias("ancestor"), F.lit(0).alias("depth"), F.array().cast(kind).alias("path"))
     found = level
-    for depth in range(1, max_depth + 1):
+    for depth in itertools.count(1):
         step = up.select(F.col("module").alias("ancestor_module"), F.col("class").alias("ancestor"), "p_module", "parent", "step")
         grown = level.join(step, ["ancestor_module", "ancestor"]).select("module", "class", F.col("p_module").alias("ancestor_module"), F.col("parent").alias("ancestor"), F.lit(depth).alias("depth"), F.concat("path", F.array("step")).alias("path"))
         key = ["module", "class", "ancestor_module", "ancestor"]
@@ -307,7 +309,6 @@ def ancestors(classes: DataFrame, modules: DataFrame | None = None, max_depth: i
         if not level.head(1):
             return found
         found = found.unionByName(level)
-    raise ContractError(f"a class hierarchy is deeper than {max_depth}")
 
 
 # Owners whose methods take any descriptor.

@@ -93,6 +93,7 @@ def weighty_domains(matrix: DataFrame, k: int = 18) -> DataFrame:
     return sides.groupBy("domain").agg(F.sum("dependency_pair_count").alias("weight")).orderBy(F.desc("weight"), F.asc("domain")).limit(k)
 
 
+# Which ranks are shown, and how many at most.
 def log_ranks(n: int, limit: int = 280) -> list[int]:
     """At most about *limit* ranks from 1 to *n*, evenly spaced on a logarithmic scale, ends included."""
     if n <= limit:

@@ -387,10 +387,14 @@ def tail_fit(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame([tuple(fit.values())], ", ".join(f"{k} {kinds.get(k, 'double')}" for k in fit))
 
 
-@query(f"WITH {METRICS_SQL}, x AS (SELECT 2.0 + i AS x FROM range(1, 6) t(i)) SELECT CAST(x AS DOUBLE) AS x, round(0.25 * pow(x / 3.0, 1 - 2.5), 6) AS overlay FROM x")
+@query(
+    f"""WITH {METRICS_SQL}, p AS (SELECT kind, CAST(in_degree_all AS DOUBLE) AS v FROM metrics WHERE in_degree_all > 0),
+c AS (SELECT DISTINCT kind, v, (SELECT count(*) FROM p q WHERE q.kind = p.kind AND q.v >= p.v) / (SELECT count(*) FROM p q WHERE q.kind = p.kind) AS ccdf FROM p)
+SELECT kind, v, round(ccdf, 6) AS ccdf, round(max(ccdf) OVER (PARTITION BY kind) * pow(v / 5, 1 - 2.5), 6) AS overlay FROM c WHERE v >= 5"""
+)
 def powerlaw_overlay(spark: SparkSession, sf: str) -> DataFrame:
-    x = spark.range(1, 6).select((F.lit(2.0) + F.col("id")).alias("x"))
-    return rounded(x.select("x", con.powerlaw_ccdf(F.col("x"), F.lit(3.0), F.lit(2.5), F.lit(0.25)).alias("overlay")))
+    """The tail of each kind's in-degrees beside a power law of a given exponent."""
+    return rounded(con.powerlaw_overlay(_metrics(spark, sf), ["kind"], 5.0, 2.5, "in_degree_all"))
 
 
 def _tied(c: str) -> str:
@@ -700,16 +704,48 @@ def _user_sequences(spark: SparkSession, sf: str) -> DataFrame:
     return seq.select("user_id", F.concat(F.lit("g"), F.col("user_id") % 20).alias("package"), F.concat(F.lit("u"), F.col("user_id") % 50).alias("class"), F.transform("e", lambda x: x["event_type"]).alias("opcodes"), F.transform("e", lambda x: (x["event_id"] % 5 + 1).cast("int")).alias("sizes"))
 
 
-@query()
+#: Kept occurrences of the patterns of four to eight symbols: starts and bytes of a pattern in a sequence, folded from the left.
+_OCCURRENCES_SQL = """seq AS (
+  SELECT user_id, list(event_type ORDER BY ts, event_id, event_type) AS s, list(event_id % 5 + 1 ORDER BY ts, event_id, event_type) AS z FROM events GROUP BY user_id
+), lengths AS (
+  SELECT user_id, s, z, unnest(range(4, 9)) AS k FROM seq
+), placed AS (
+  SELECT user_id, s, z, k, unnest(range(1, len(s) - k + 2)) AS pos FROM lengths WHERE len(s) >= k
+), starts AS (
+  SELECT user_id, array_to_string(s[pos:pos + k - 1], ' ') AS pattern, k, list(CAST([pos, list_sum(z[pos:pos + k - 1])] AS BIGINT[]) ORDER BY pos) AS l FROM placed GROUP BY user_id, s[pos:pos + k - 1], k
+), folded AS (
+  SELECT user_id, pattern, list_reduce(l, lambda a, x: CASE WHEN x[1] >= a[-2] + k THEN list_concat(a, x) ELSE a END) AS kept FROM starts
+), occ AS (
+  SELECT user_id, pattern, len(kept) // 2 AS n, list_sum(list_filter(kept, lambda x, i: i % 2 = 0)) AS b FROM folded
+)"""
+
+
+@query(f"WITH {_OCCURRENCES_SQL} SELECT pattern, CAST(sum(n) AS BIGINT) AS n, CAST(sum(b) AS BIGINT) AS bytes, count(DISTINCT user_id) AS users FROM occ GROUP BY pattern")
 def ngram_nonoverlap(spark: SparkSession, sf: str) -> DataFrame:
-    """Non-overlapping occurrences of event patterns."""
+    """Non-overlapping occurrences of event patterns, their symbols joined by spaces."""
     found = mining.occurrences(_user_sequences(spark, sf), ["user_id"], informative=None)
-    return found.groupBy("pattern").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes"), F.count_distinct("user_id").alias("users"))
+    return found.groupBy(F.array_join("pattern", " ").alias("pattern")).agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes"), F.count_distinct("user_id").alias("users"))
 
 
-@query()
+@query(
+    f"""WITH {_OCCURRENCES_SQL}, o AS (
+  SELECT pattern, n, b, 'g' || (user_id % 20) AS package, 'u' || (user_id % 50) AS class, CAST('0x' || substr(sha256('g' || (user_id % 20)), 1, 8) AS UBIGINT)::BIGINT % 5 AS own FROM occ
+), train AS (
+  SELECT f.fold, pattern, sum(n) AS train_occurrences, sum(b) / sum(n) AS mean, count(DISTINCT package) AS train_packages FROM range(5) f(fold) JOIN o ON own <> f.fold GROUP BY ALL
+), chosen AS (
+  SELECT *, train_occurrences * (mean - 3) - mean - 8 AS estimate FROM train WHERE train_occurrences >= 20 AND train_occurrences * (mean - 3) - mean - 8 > 0
+  QUALIFY row_number() OVER (PARTITION BY fold ORDER BY estimate DESC, pattern DESC) <= 300
+), test AS (
+  SELECT own AS fold, pattern, sum(n) AS n, sum(b) AS b, count(DISTINCT class) AS c FROM o GROUP BY ALL
+)
+SELECT fold, pattern, CAST(train_occurrences AS BIGINT) AS train_occurrences, train_packages, CAST(coalesce(n, 0) AS BIGINT) AS test_occurrences, coalesce(c, 0) AS test_classes,
+  round(coalesce(b, 0) - 3 * coalesce(n, 0) - mean - 8 * coalesce(c, 0), 6) AS net_savings
+FROM chosen LEFT JOIN test USING (fold, pattern) WHERE train_packages >= 3"""
+)
 def heldout_macros(spark: SparkSession, sf: str) -> DataFrame:
-    return mining.heldout_macros(_user_sequences(spark, sf), "user_id", "package", "class", informative=None)
+    """Event patterns that are worth a macro on the other folds, and what they save on their own."""
+    found = mining.heldout_macros(_user_sequences(spark, sf), "user_id", "package", "class", informative=None)
+    return rounded(found.withColumn("pattern", F.array_join("pattern", " ")))
 
 
 # --- paths and hierarchies
