@@ -329,6 +329,20 @@ def test_regression_solves_the_score_equations(spark):
     assert math.isclose(r["pearson_dispersion"], ((y - mu) ** 2 / (mu + mu * mu)).sum() / 494, rel_tol=1e-4)
 
 
+def test_regressions_of_all_strata_at_once(spark):
+    """Each fit is the one of its own rows alone, whatever the others do; small and empty strata are told."""
+    rng = np.random.default_rng(10)
+    rows = [(int(rng.integers(1, 200)), float(rng.integers(1, 9)), int(rng.poisson(2 + k % 3)), f"k{k % 2}", f"d{k % 5}") for k in range(300)] + [(5, None, 3, "k2", "d0")] * 10
+    df = spark.createDataFrame(rows, "size bigint, bytes double, in_degree_all bigint, kind string, domain string").withColumn("fit", F.lit("x"))
+    strata = {"all": F.lit(True), "k0": F.col("kind") == "k0", "few": F.col("kind") == "k2", "none": F.col("kind").isNull()}
+    got = regression.nb2_strata(df, ["size", "bytes"], strata)
+    assert [(r["length_metric"], r["stratum"], r["n"]) for r in got] == [("size", "all", 310), ("size", "k0", 150), ("size", "few", 10), ("size", "none", 0), ("bytes", "all", 300), ("bytes", "k0", 150), ("bytes", "few", 0), ("bytes", "none", 0)]
+    assert [r["status"] for r in got] == [*["ok_nb2_fixed_dispersion"] * 2, *["insufficient_observations"] * 2] * 2
+    for r, rows_ in ((got[1], df.where("kind = 'k0'")), (got[4], df)):
+        alone = regression.nb2(rows_, r["length_metric"])
+        assert all(math.isclose(r[k], alone[k], rel_tol=1e-7) for k in ("coefficient", "std_error", "pearson_dispersion", "effect_reference_value", "optimizer_iterations"))
+
+
 def test_p_values():
     assert math.isclose(stats.student_p(2.0, 10), 0.07338803477074, rel_tol=1e-9)
     assert math.isclose(float(stats._zeta(2.0, 1.0)), math.pi**2 / 6, rel_tol=1e-11)

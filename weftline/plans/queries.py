@@ -415,13 +415,14 @@ def spearman_table(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def reuse_regression(spark: SparkSession, sf: str) -> DataFrame:
-    """NB2 regressions of reuse on size, for all nodes with one and for each kind."""
-    m = written(_metrics(spark, sf).select("kind", "domain", "size", "in_degree_all"), "metrics")
-    out = []
-    for stratum, df in (("all", m), ("definition", m.where("kind = 'definition'")), ("theorem", m.where("kind = 'theorem'"))):
-        r = regression.nb2(df, "size")
-        out.append((stratum, r["n"], r["status"], *[r.get(k) for k in ("coefficient", "std_error", "ci_low", "ci_high", "p_value", "pearson_dispersion", "doubling_effect_pct_at_reference")]))
-    return spark.createDataFrame(out, "stratum string, n bigint, status string, coefficient double, std_error double, ci_low double, ci_high double, p_value double, pearson_dispersion double, doubling_effect_pct double")
+    """NB2 regressions of reuse on four size metrics, for all nodes and for each kind; all in one job a round."""
+    m = _metrics(spark, sf).withColumns({"name_length": F.length("name"), "out_degree": F.col("out_degree_all")})
+    kinds = {"all": F.lit(True), "definition": F.col("kind") == "definition", "theorem": F.col("kind") == "theorem"}
+    names = ["coefficient", "std_error", "ci_low", "ci_high", "p_value", "pearson_dispersion", "doubling_effect_pct_at_reference"]
+    m = written(m.select("kind", "domain", "in_degree_all", "size", "weight", "out_degree", "name_length"), "metrics")
+    found = regression.nb2_strata(m, ["size", "weight", "out_degree", "name_length"], kinds)
+    out = [(r["length_metric"], r["stratum"], r["n"], r["status"], *[r.get(k) for k in names]) for r in found]
+    return spark.createDataFrame(out, "length_metric string, stratum string, n bigint, status string, coefficient double, std_error double, ci_low double, ci_high double, p_value double, pearson_dispersion double, doubling_effect_pct double")
 
 
 _EDGES_20 = "[" + ", ".join(f"quantile_cont(v, {k / 20})" for k in range(21)) + "]"
