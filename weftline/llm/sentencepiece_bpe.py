@@ -90,18 +90,22 @@ class Encoder:
                 self.automaton.add_word(p, (len(p), r))
         self.automaton.make_automaton()
         self.mark = next((r for r in range(model.n_base) if model.strings[r] == MARK), _UNKNOWN)
-        self.fits: dict[int, bool] = {}
+        self.fits: list[dict[int, bool]] = [{} for _ in model.strings]
+        self.known = 0
+        # What a token comes to, as a decimal id and as text.
+        self.id_text = [str(i) for i in model.ids]
+        self.rank_text = [model.text[i] for i in model.ids]
         self.keep = keep
         self.young: dict[str, tuple[str, str]] = {}
         self.old: dict[str, tuple[str, str]] = {}
 
+    def forget(self) -> None:
+        """Give back what texts have left, as an executor keeps its workers from stage to stage."""
+        self.young, self.old, self.known = {}, {}, 0
+        self.fits = [{} for _ in self.fits]
+
     def compatible(self, a: int, b: int) -> bool:
         """Whether BPE, having made *a* and *b* side by side, keeps the border between them."""
-        if a < 0 or b < 0:
-            return True
-        key = a << 20 | b
-        if (known := self.fits.get(key)) is not None:
-            return known
         pairs, split, limit, ok = self.m.pairs, self.m.split, len(self.m.strings), True
         x, y = a, b
         while True:
@@ -122,41 +126,42 @@ class Encoder:
                 limit, x = x, split[x][1]
                 if x == limit:
                     break
-        if len(self.fits) > 1_000_000:
-            self.fits.clear()
-        self.fits[key] = ok
+        if self.known >= 400_000:
+            self.known = 0
+            for found in self.fits:
+                found.clear()
+        self.known += 1
+        self.fits[a][b] = ok
         return ok
 
     def tokens(self, text: str) -> list[int]:
         """Ranks of the tokens of a text; below 0: minus 1 minus the code point of a character outside the vocabulary."""
         n = len(text)
-        last: list[int] = [0] * (n + 1)
+        last: list[int] = [-1] * (n + 1)
         size: list[int] = [1] * (n + 1)
-        done = -1  # the last position that has its token
-        fits, compatible = self.fits, self.compatible
+        done = 0  # the positions up to this one have their token
+        fits = self.fits
 
         def single(k: int) -> None:
             last[k] = self.mark if text[k - 1] == MARK and self.mark >= 0 else -1 - ord(text[k - 1])
 
-        for end, (length, r) in self.automaton.iter(text):
-            end += 1
-            if end == done:
+        for at, (length, r) in self.automaton.iter(text):
+            if at < done:
                 continue
-            for k in range(max(done, 0) + 1, end):  # positions where no other piece fitted
-                single(k)
-            if done < end - 1:
-                done = end - 1
-            start = end - length
-            if start:
-                before = last[start]
-                if before >= 0:
-                    ok = fits.get(before << 20 | r)
-                    if ok is None:
-                        ok = compatible(before, r)
-                    if not ok:
-                        continue
-            last[end], size[end], done = r, length, end
-        for k in range(max(done, 0) + 1, n + 1):
+            if at > done:  # positions where no piece fitted
+                for k in range(done + 1, at + 1):
+                    single(k)
+                done = at
+            at += 1
+            before = last[at - length]
+            if before >= 0 and at > length:
+                ok = fits[before].get(r)
+                if ok is None:
+                    ok = self.compatible(before, r)
+                if not ok:
+                    continue
+            last[at], size[at], done = r, length, at
+        for k in range(done + 1, n + 1):
             single(k)
         out = []
         k = n
@@ -188,9 +193,13 @@ class Encoder:
 
     def ids(self, text: str) -> list[int]:
         """Ids of a part in which spaces are marks."""
+        return self.joined(self.tokens(text))
+
+    def joined(self, ranks: list[int]) -> list[int]:
+        """Ids of tokens: runs of space marks are merged, characters outside the vocabulary are bytes."""
         out: list[int] = []
         run = 0
-        for r in self.tokens(text):
+        for r in ranks:
             if r == self.mark or r == -1 - ord(MARK):
                 run += 1
                 continue
@@ -224,13 +233,22 @@ class Encoder:
         """Ids, as decimals, and their text, of a part: as many spaces as the key has and one more, then a word; or a line feed and a word."""
         got = self.old.get(key)
         if got is None:
-            ids = self.characters("\n") + self.ids(key[1:]) if key[:1] == "\n" else self.ids(MARK + key.replace(" ", MARK))
-            got = (" ".join(map(str, ids)), self.decode(ids))
+            got = self._part(key)
         if len(self.young) >= self.keep:
             self.old, self.young = self.young, {}
         self.young[key] = got
         return got
 
+    def _part(self, key: str) -> tuple[str, str]:
+        if key[:1] == "\n":
+            ids = self.characters("\n") + self.ids(key[1:])
+        else:
+            ranks = self.tokens(MARK + key.replace(" ", MARK))
+            if min(ranks) >= 0 and self.mark not in ranks:  # pieces alone, no byte and no run of spaces
+                return " ".join([self.id_text[r] for r in ranks]), "".join([self.rank_text[r] for r in ranks])
+            ids = self.joined(ranks)
+        return " ".join(map(str, ids)), self.decode(ids)
+
     def parts(self, text: str) -> list[str]:
         """The keys of a text's parts, in order."""
         if not text:
@@ -310,6 +328,7 @@ def encode(docs: DataFrame, model_path: str, text: str = "text", digest: bool =
                     count, ids, decoded = [], [], []
             if count:
                 yield _batch(batch, carry, names, batch.num_rows - len(count), count, ids, decoded, digest)
+        encoder.forget()
 
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1])
     kinds = "n_tokens bigint, ids_sha256 string, decoded_sha256 string" if digest else "n_tokens bigint, ids array<int>, decoded string"
