@@ -128,6 +128,28 @@ def test_archive_lines(spark, tmp_path):
     assert got == {"a/B.java": "two\nthree", "none": None}
 
 
+def test_comma_lists(spark):
+    lists = lambda t, *kind: _one(spark, scalars.comma_list(F.col("t"), *kind), t=t)
+    assert [lists("a,b"), lists(""), lists("a,"), lists(None)] == [["a", "b"], [], ["a", ""], None]
+    assert lists("3,-1", "int") == [3, -1]
+
+
+def test_whole_texts_inventories_and_batches(spark, tmp_path):
+    """Files as rows of path and text, the modules of an inventory, and batches appended to one partitioned table."""
+    for name, text in (("a.txt", "one\ntwo\n"), ("b.txt", "")):
+        (tmp_path / name).write_text(text)
+    got = {r["path"].rsplit("/", 1)[1]: r["text"] for r in readers.texts(spark, [str(tmp_path / "a.txt"), str(tmp_path / "b.txt")]).collect()}
+    assert got["a.txt"] == "one\ntwo\n" and not got.get("b.txt")
+    (tmp_path / "i.json").write_text('{"version": 1,\n "modules": [{"module": "A", "bytes": 3}, {"module": "B", "bytes": null}]}')
+    assert [tuple(r) for r in readers.inventory(spark, str(tmp_path / "i.json")).select("module", "bytes").orderBy("module").collect()] == [("A", 3), ("B", None)]
+    out = str(tmp_path / "batches")
+    for batch in ([(1, "m"), (2, "n")], [(3, "m")], []):
+        sinks.append_batch(spark.createDataFrame(batch, "id int, module string"), out, "module")
+    table = spark.read.parquet(out)
+    assert sorted((r["id"], r["module"]) for r in table.collect()) == [(1, "m"), (2, "n"), (3, "m")]
+    assert [r["id"] for r in table.where("module = 'n'").collect()] == [2]
+
+
 def test_names_and_paths(spark):
     gen = lambda n: _one(spark, scalars.is_generated(F.col("n")), n=n)
     assert [gen(n) for n in ("Nat.rec", "Nat.recOn", "Nat.add", "_private.M.0.x", "A.injEq", "A._b")] == [True, True, False, True, True, True]

@@ -135,6 +135,12 @@ def _decrement(digits: Column) -> Column:
     return F.concat(F.substr(head, F.lit(1), F.length(head) - 1), last, F.repeat(F.lit("9"), F.length(zeros)))
 
 
+def comma_list(text: Column, kind: str = "string") -> Column:
+    """The items of a comma-joined list as *kind*; an empty text is an empty list, a null one stays null."""
+    none = F.array().cast(f"array<{kind}>")
+    return F.when(text == "", none).otherwise(F.split(text, ",", -1).cast(f"array<{kind}>"))
+
+
 def parent_class(label: Column) -> Column:
     """Kinds of parent labels: examples, private names, others."""
     return F.when(label.contains("_example"), "example").when(label.startswith("_private."), "private").otherwise("other")

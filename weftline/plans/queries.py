@@ -728,8 +728,7 @@ def ngram_nonoverlap(spark: SparkSession, sf: str) -> DataFrame:
     return found.groupBy(F.array_join("pattern", " ").alias("pattern")).agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes"), F.count_distinct("user_id").alias("users"))
 
 
-@query(
-    f"""WITH {_OCCURRENCES_SQL}, o AS (
+_MACROS_SQL = f"""WITH {_OCCURRENCES_SQL}, o AS (
   SELECT pattern, n, b, 'g' || (user_id % 20) AS package, 'u' || (user_id % 50) AS class, CAST('0x' || substr(sha256('g' || (user_id % 20)), 1, 8) AS UBIGINT)::BIGINT % 5 AS own FROM occ
 ), train AS (
   SELECT f.fold, pattern, sum(n) AS train_occurrences, sum(b) / sum(n) AS mean, count(DISTINCT package) AS train_packages FROM range(5) f(fold) JOIN o ON own <> f.fold GROUP BY ALL
@@ -742,13 +741,21 @@ def ngram_nonoverlap(spark: SparkSession, sf: str) -> DataFrame:
 SELECT fold, pattern, CAST(train_occurrences AS BIGINT) AS train_occurrences, train_packages, CAST(coalesce(n, 0) AS BIGINT) AS test_occurrences, coalesce(c, 0) AS test_classes,
   round(coalesce(b, 0) - 3 * coalesce(n, 0) - mean - 8 * coalesce(c, 0), 6) AS net_savings
 FROM chosen LEFT JOIN test USING (fold, pattern) WHERE train_packages >= 3"""
-)
+
+
+@query(_MACROS_SQL)
 def heldout_macros(spark: SparkSession, sf: str) -> DataFrame:
     """Event patterns that are worth a macro on the other folds, and what they save on their own."""
     found = mining.heldout_macros(_user_sequences(spark, sf), "user_id", "package", "class", informative=None)
     return rounded(found.withColumn("pattern", F.array_join("pattern", " ")))
 
 
+@query(f"WITH m AS ({_MACROS_SQL}) SELECT fold, count(*) AS candidates, count(*) FILTER (net_savings > 0) AS positive, round(greatest(max(net_savings), 0), 6) AS best FROM m GROUP BY fold")
+def macro_folds(spark: SparkSession, sf: str) -> DataFrame:
+    """Of each fold's macros, how many save on held-out rows, and the best."""
+    return rounded(mining.fold_summary(mining.heldout_macros(_user_sequences(spark, sf), "user_id", "package", "class", informative=None)))
+
+
 # --- paths and hierarchies
 
 DAG_PATHS_SQL = (
@@ -862,6 +869,44 @@ def interval_containment(spark: SparkSession, sf: str) -> DataFrame:
 # --- keys, texts, flags
 
 
+@query(
+    """WITH e AS (SELECT p_brand AS domain, p_partkey, 'm' || p_partkey AS module, CASE WHEN p_size % 7 = 0 THEN 'skipped' ELSE 'included' END AS status, CAST(p_retailprice AS BIGINT) AS bytes, p_size AS s, p_partkey % 11 AS i, p_partkey % 97 AS t FROM part),
+ok AS (SELECT * FROM e WHERE status = 'included'), fit AS (SELECT * FROM ok WHERE bytes <= 1500),
+small AS (SELECT module FROM ok WHERE domain IN ('Brand#11', 'Brand#12', 'Brand#13', 'Brand#21') AND bytes BETWEEN 950 AND 1400 QUALIFY row_number() OVER (PARTITION BY domain ORDER BY bytes, module) = 1)
+SELECT module FROM small UNION (SELECT module FROM fit ORDER BY s + i DESC, bytes, module DESC LIMIT 1) UNION (SELECT module FROM fit ORDER BY t DESC, bytes, module DESC LIMIT 1)"""
+)
+def smallest_per_domain(spark: SparkSession, sf: str) -> DataFrame:
+    """Parts for a small run: the smallest of some brands within a range of sizes, and two picks by composite keys."""
+    k = F.col("p_partkey")
+    entries = parquet(spark, sf, "part").select(
+        F.col("p_brand").alias("domain"), F.concat(F.lit("m"), k).alias("module"), F.when(F.col("p_size") % 7 == 0, "skipped").otherwise("included").alias("status"),
+        F.round("p_retailprice").cast("bigint").alias("bytes"), F.col("p_size").alias("structure_like"), (k % 11).alias("instance_like"), (k % 97).alias("theorem_like"),
+    )
+    return samples.smallest_per_domain(entries, ["Brand#11", "Brand#12", "Brand#13", "Brand#21"], 950, 1400, 1500)
+
+
+_LABELS_SQL = "SELECT CASE p_size % 3 WHEN 0 THEN '_private.' || p_brand WHEN 1 THEN p_brand || '._example' ELSE p_brand END AS label, replace(p_name, ' ', ',') AS words FROM part"
+
+
+def _labels(spark: SparkSession, sf: str) -> DataFrame:
+    brand, third = F.col("p_brand"), F.col("p_size") % 3
+    label = F.when(third == 0, F.concat(F.lit("_private."), brand)).when(third == 1, F.concat(brand, F.lit("._example"))).otherwise(brand)
+    return parquet(spark, sf, "part").select(label.alias("label"), F.replace("p_name", F.lit(" "), F.lit(",")).alias("words"))
+
+
+@query(f"SELECT CASE WHEN contains(label, '_example') THEN 'example' WHEN starts_with(label, '_private.') THEN 'private' ELSE 'other' END AS parent_class, count(*) AS n FROM ({_LABELS_SQL}) GROUP BY 1")
+def parent_classes(spark: SparkSession, sf: str) -> DataFrame:
+    """Parts by the kind of their label."""
+    return _labels(spark, sf).groupBy(scalars.parent_class(F.col("label")).alias("parent_class")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"SELECT word, count(*) AS n FROM (SELECT unnest(string_split(words, ',')) AS word FROM ({_LABELS_SQL})) GROUP BY word")
+def comma_list_items(spark: SparkSession, sf: str) -> DataFrame:
+    """Words of comma-joined names."""
+    return _labels(spark, sf).select(F.explode(scalars.comma_list(F.col("words"))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+
+
+
 @query("SELECT p_partkey, CAST(CAST('0x' || substr(sha256('m/' || p_brand || '#' || p_name || '()'), 1, 16) AS UBIGINT) AS VARCHAR) AS stable_id, CAST('0x' || substr(sha256(p_brand), 1, 8) AS UBIGINT)::BIGINT % 5 AS fold FROM part")
 def stable_hash_id(spark: SparkSession, sf: str) -> DataFrame:
     key = scalars.method_key(F.lit("m"), F.col("p_brand"), F.col("p_name"), F.lit("()"))
