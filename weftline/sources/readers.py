@@ -57,7 +57,7 @@ def csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
 
 def texts(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """``path, text`` of whole text files."""
-    return spark.read.option("wholetext", True).text(paths).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+    return spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
 
 def inventory(spark: SparkSession, path: str) -> DataFrame:
