@@ -5,6 +5,7 @@ from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from weftline.functions import scalars
 from weftline.operators import quality
@@ -128,6 +129,29 @@ def test_archive_lines(spark, tmp_path):
     assert got == {"a/B.java": "two\nthree", "none": None}
 
 
+def test_malformed_records_are_named_by_line(spark, tmp_path):
+    """Files that are cut into many splits: the number is that of the line in its file."""
+    schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("name", T.StringType())])
+    good = lambda k: json.dumps({"id": k, "name": "n" * (k % 50)})
+    lines = {"a": [good(k) for k in range(3000)], "b": [good(k) for k in range(900)], "c": ["", good(1), " ", "{", good(2)]}
+    lines["b"][700] = '{"id": 700, "name"'
+    for name, rows in lines.items():
+        (tmp_path / f"{name}.json").write_text("\n".join(rows) + "\n")
+    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "5k")
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        assert spark.read.text(str(tmp_path)).rdd.getNumPartitions() > 10
+        got = {(r["path"].rsplit("/", 1)[1], r["line"]): r["value"] for r in readers.bad_lines(spark, str(tmp_path), schema).collect()}
+        assert got == {("b.json", 701): '{"id": 700, "name"', ("c.json", 4): "{"}
+        with pytest.raises(ContractError, match=r"b\.json:701; .*c\.json:4"):
+            readers.checked_records(spark, str(tmp_path), schema)
+        assert readers.checked_records(spark, str(tmp_path / "a.json"), schema).count() == 3000
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
 def test_comma_lists(spark):
     lists = lambda t, *kind: _one(spark, scalars.comma_list(F.col("t"), *kind), t=t)
     assert [lists("a,b"), lists(""), lists("a,")] == [["a", "b"], [], ["a", ""]]

@@ -8,10 +8,12 @@ import zipfile
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from weftline.operators.quality import ContractError
+
 
 def parquet(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of a folder of Parquet tables."""
@@ -36,6 +38,31 @@ def records(spark: SparkSession, paths: str | list[str], schema: T.StructType, s
     return spark.read.schema(open_schema).option("mode", "PERMISSIVE").json(paths)
 
 
+def bad_lines(spark: SparkSession, paths: str | list[str], schema: T.StructType) -> DataFrame:
+    """``path, line, value``: the first malformed JSON line of each split of the files, its number counted from 1.
+
+    A task reads a split's lines one after the other, so that a line's place in its split follows from the
+    running id of its task; the lines of the splits before it in the file are added up, of which there are
+    few.  One pass over the text.  Blank lines are no records, and count as lines.
+    """
+    kind = T.StructType([*schema.fields, T.StructField("_corrupt_record", T.StringType())])
+    lines = spark.read.text(paths).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("at"), "value")
+    parsed = F.from_json("value", kind, {"columnNameOfCorruptRecord": "_corrupt_record"})
+    bad = (F.trim("value") != "") & parsed["_corrupt_record"].isNotNull()
+    place = F.when(bad, F.col("at"))
+    splits = lines.groupBy("path", "start").agg(F.min("at").alias("first"), F.count("*").alias("n"), F.min(place).alias("at"), F.min_by("value", place).alias("value"))
+    before = F.sum("n").over(Window.partitionBy("path").orderBy("start")) - F.col("n")
+    return splits.withColumn("before", before).where(F.col("at").isNotNull()).select("path", (F.col("before") + F.col("at") - F.col("first") + 1).alias("line"), "value")
+
+
+def checked_records(spark: SparkSession, paths: str | list[str], schema: T.StructType) -> DataFrame:
+    """``records`` of files without a malformed line; else ``ContractError`` names the first ones as ``path:line``."""
+    found = bad_lines(spark, paths, schema).orderBy("path", "line").limit(5).collect()
+    if found:
+        raise ContractError("malformed records: " + "; ".join(f"{r['path']}:{r['line']}" for r in found))
+    return records(spark, paths, schema)
+
+
 def of_kind(raw: DataFrame, kind: str) -> DataFrame:
     """The records of one kind of a mixed stream."""
     return raw.where(F.col("record") == kind)
