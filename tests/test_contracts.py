@@ -1,5 +1,6 @@
 """Contracts, usages, digests, sources, sinks and column functions."""
 
+import hashlib
 import json
 from decimal import Decimal
 
@@ -152,6 +153,30 @@ def test_malformed_records_are_named_by_line(spark, tmp_path):
             spark.conf.set(k, v)
 
 
+def test_canonical_export_does_not_depend_on_partitions(spark, tmp_path):
+    """The bytes of every part and all digests are equal for other partitionings; one changed row changes one part."""
+    rows = [(k % 200, f"é{k % 7}\n", None if k % 3 else float(k)) for k in range(500)] + [(1, None, None)] * 3
+
+    def export(name, rows, partitions):
+        df = spark.createDataFrame(rows, "b long, a string, c double").repartition(partitions)
+        whole = sinks.canonical(df, str(tmp_path / name), rows_per_part=64)
+        parts = {}
+        for folder in sorted((tmp_path / name / "lines").glob("part=*"), key=lambda p: int(p.name[5:])):
+            (file,) = folder.glob("*.txt")
+            parts[int(folder.name[5:])] = file.read_bytes()
+        told = {r["part"]: (r["n_rows"], r["sha256"]) for r in spark.read.parquet(str(tmp_path / name / "digests")).collect()}
+        assert told == {k: (data.count(b"\n"), hashlib.sha256(data).hexdigest()) for k, data in parts.items()}
+        return whole, parts
+
+    one, two = export("one", rows, 1), export("two", rows[::-1], 9)
+    assert one == two and sum(d.count(b"\n") for d in one[1].values()) == 503 and len(one[1]) == 8
+    lines = b"".join(one[1].values()).splitlines()
+    assert lines == sorted(lines) and json.loads(lines[0]).keys() == {"a", "b", "c"}
+    other = export("other", [*rows[:-1], (1, "zz", 1.0)], 4)
+    assert other[0] != one[0]
+    assert export("none", [], 2)[1] == {}
+
+
 def test_comma_lists(spark):
     lists = lambda t, *kind: _one(spark, scalars.comma_list(F.col("t"), *kind), t=t)
     assert [lists("a,b"), lists(""), lists("a,")] == [["a", "b"], [], ["a", ""]]

@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import hashlib
 import json
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.operators.quality import digest
+from weftline.operators.ranks import running
 
 
 def parquet(df: DataFrame, path: str, partition_by: list[str] | None = None, mode: str = "errorifexists") -> None:
@@ -31,6 +34,43 @@ def json_lines(df: DataFrame, path: str, mode: str = "errorifexists", codec: str
     ordered.sortWithinPartitions(*[c for c, t in ordered.dtypes if not t.startswith("map")]).write.mode(mode).option("compression", codec).json(path)
 
 
+def canonical(df: DataFrame, path: str, rows_per_part: int = 1_000_000) -> str:
+    """JSON lines in one total order, in folders ``part=k`` of *rows_per_part* rows; returns a digest over all parts.
+
+    Columns are in the order of their names, rows in the order of their lines.  A part is cut by exact rank,
+    so that the bytes of each part and all digests are the same however *df* is partitioned.  Beside
+    the parts lies ``digests``: the rows and the SHA-256 of every part's bytes.  Each part is one task's, which
+    streams it; parts are independent.  Repeated rows stay repeated; an empty table has no parts.
+    """
+    spark = df.sparkSession
+    line = F.to_json(F.struct(*[F.col(f"`{c}`") for c in sorted(df.columns)]), {"ignoreNullFields": "false"})
+    ranked = running(df.select(line.alias("value")), [F.col("value")], name="rank")
+    parts = ranked.select("value", F.floor(F.col("rank") / rows_per_part).cast("bigint").alias("part"))
+    parts.repartition("part").sortWithinPartitions("part", "value").write.partitionBy("part").text(f"{path}/lines")
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, n, state = None, 0, None
+        told = lambda: pa.RecordBatch.from_pydict({"part": [part], "n_rows": [n], "sha256": [state.hexdigest()]})
+        for batch in batches:
+            for k, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if k != part:
+                    if part is not None:
+                        yield told()
+                    part, n, state = k, 0, hashlib.sha256()
+                n += 1
+                state.update(value.encode() + b"\n")
+        if part is not None:
+            yield told()
+
+    dealt = parts.repartition("part").sortWithinPartitions("part", "value").select("part", "value")
+    dealt.mapInArrow(hashed, "part bigint, n_rows bigint, sha256 string").write.parquet(f"{path}/digests")
+    digests = spark.read.schema("part bigint, n_rows bigint, sha256 string").parquet(f"{path}/digests")
+    whole = hashlib.sha256()
+    for r in digests.orderBy("part").toLocalIterator():
+        whole.update(f"{r['part']} {r['n_rows']} {r['sha256']}\n".encode())
+    return whole.hexdigest()
+
+
 def csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """One CSV file with a header, for results of report size."""
     df.coalesce(1).write.mode(mode).option("header", True).csv(path)
