@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from weftline.functions import scalars
 from weftline.operators import quality
 from weftline.operators.quality import ContractError
-from weftline.sources import readers, schemas, sinks
+from weftline.sources import readers, schemas, shards, sinks
 from weftline.streaming import ingest
 
 
@@ -177,6 +177,25 @@ def test_canonical_export_does_not_depend_on_partitions(spark, tmp_path):
     assert export("none", [], 2)[1] == {}
 
 
+def test_shards_are_resumed(spark, tmp_path):
+    """A second run writes nothing; damaged, lost and changed shards are written again, and those alone."""
+    path = str(tmp_path / "shards")
+    make = lambda rows: spark.createDataFrame(rows, "id long, name string, shard int").repartition(5)
+    rows = [(k, None if k % 7 == 0 else f"n{k}", k % 4) for k in range(80)] + [(3, "n3", 3)]
+    run = lambda rows, plan="v1": sorted((r["shard_key"], r["n_rows"]) for r in shards.write_shards(make(rows), path, "shard", plan).collect())
+    held = lambda: sorted(map(str, shards.stored(spark, path, make(rows)).select("id", "name", "shard").collect()))
+    assert run(rows) == [("0", 20), ("1", 20), ("2", 20), ("3", 21)]
+    want = held()
+    assert len(want) == 81 and run(rows[::-1]) == []
+    for folder, damage in (("shard=1", lambda f: f.write_bytes(b"no parquet")), ("shard=2", lambda f: f.unlink())):
+        for f in (tmp_path / "shards" / "data" / folder).iterdir():
+            damage(f) if f.suffix == ".parquet" else f.unlink()
+    assert run(rows) == [("1", 20), ("2", 20)] and held() == want and run(rows) == []
+    assert run([(0, "other", 0), *rows[1:]]) == [("0", 20)]
+    assert run(rows[:40]) == [("0", 10), ("1", 10), ("2", 10), ("3", 10)]
+    assert len(run(rows[:40], "v2")) == 4
+
+
 def test_comma_lists(spark):
     lists = lambda t, *kind: _one(spark, scalars.comma_list(F.col("t"), *kind), t=t)
     assert [lists("a,b"), lists(""), lists("a,")] == [["a", "b"], [], ["a", ""]]
