@@ -387,6 +387,24 @@ def test_occurrences_do_not_overlap(spark):
     assert {k: sorted(v) for k, v in mine.items()} == want
 
 
+def test_pattern_counts_add_up_occurrences(spark):
+    """Long runs, nulls and the signs of packing; sequences of one group are added up, and only counts are shuffled."""
+    rng = random.Random(9)
+    made = [(k, f"g{k % 3}" if k % 7 else None, [rng.choice(["a", "a", "b", "\x1f", "\x1es", None]) for _ in range(rng.randrange(0, 16))]) for k in range(40)] + [(99, "g0", ["a"] * 200)]
+    made = [(k, g, s, [rng.randrange(1, 4) for _ in s]) for k, g, s in made]
+    rows = spark.createDataFrame(made, "id bigint, g string, opcodes array<string>, sizes array<int>")
+    want = {}
+    for _, g, s, z in made:
+        for p, b in _greedy(s, z, range(2, 5)).items():
+            n, total, held = want.get((g, p), (0, 0, 0))
+            want[g, p] = n + len(b), total + sum(b), held + 1
+    got = mining.pattern_counts(rows, ["g"], lengths=range(2, 5), informative=None).withColumn("pattern", mining.unpacked("pattern")).collect()
+    assert len(got) == len(want) and {(r["g"], tuple(r["pattern"])): (r["n"], r["bytes"], r["rows"]) for r in got} == want
+    some = mining.pattern_counts(rows, [], lengths=range(3, 4), informative=["b"]).withColumn("pattern", mining.unpacked("pattern")).collect()
+    assert some and all("b" in r["pattern"] for r in some)
+    assert {tuple(r["pattern"]): r["rows"] for r in some} == {p: sum(h for (_, q), (_, _, h) in want.items() if q == p) for p in {q for _, q in want if len(q) == 3 and "b" in q}}
+
+
 def test_version_diff_and_adoption(spark):
     old, new = spark.createDataFrame([("a",), ("b",)], "k string"), spark.createDataFrame([("b",), ("c",)], "k string")
     diff = mining.version_diff(old, new, "k")

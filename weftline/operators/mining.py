@@ -2,14 +2,24 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.functions.scalars import hash_fold, percent_growth
+from weftline.session import written
 
 # A pattern must hold a symbol with one of these in it; costs in bytes.
 INFORMATIVE = ["ADD", "SUB", "MUL", "DIV", "REM", "FIELD", "INVOKE", "ARRAY", "CAST", "INSTANCEOF", "NEWARRAY", "COMPARE"]
 REFERENCE_BYTES, CLASS_BYTES = 3, 8
+#: A packed pattern: between its symbols, and before what stands for either sign or for a null.
+_JOINT, _ESCAPE = "\x1f", "\x1e"
+#: Rows of a batch of counted patterns.
+OUT_ROWS = 20_000
 
 
 def occurrences(rows: DataFrame, key: list[str], symbols: str = "opcodes", sizes: str = "sizes", lengths: range = range(4, 9), informative: list[str] | None = INFORMATIVE) -> DataFrame:
@@ -36,6 +46,91 @@ def occurrences(rows: DataFrame, key: list[str], symbols: str = "opcodes", sizes
     return grouped.select(*key, "pattern", F.explode(pick["kept"]).alias("bytes"))
 
 
+def pattern_counts(rows: DataFrame, by: list[str], symbols: str = "opcodes", sizes: str = "sizes", lengths: range = range(4, 9), informative: list[str] | None = INFORMATIVE) -> DataFrame:
+    """``by..., pattern, n, bytes, rows``: the kept occurrences of ``occurrences`` with their bytes, and the rows that hold them.
+
+    A task cuts and folds a batch of sequences at once and adds up the patterns of each group in it, so that only
+    counts are shuffled.  Patterns are packed texts (``unpacked`` gives the array).  Missing sizes count as none.
+    """
+    packed = F.transform(symbols, lambda s: F.coalesce(F.replace(F.replace(s, F.lit(_ESCAPE), F.lit(_ESCAPE + "e")), F.lit(_JOINT), F.lit(_ESCAPE + "s")), F.lit(_ESCAPE + "n")))
+    told = F.transform(symbols, lambda s: F.lit(True) if informative is None else F.coalesce(_any(s, informative), F.lit(False)))
+    weights = F.transform(symbols, lambda s, i: F.coalesce(F.get(sizes, i).cast("bigint"), F.lit(0).cast("bigint")))
+    ready = rows.where(F.size(symbols) >= min(lengths)).select(*by, packed.alias("__symbols"), weights.alias("__sizes"), told.alias("__told"))
+    kind = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in ready.select(*by).schema.fields] + ["pattern string, n bigint, bytes bigint, rows bigint"])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in lengths:
+                made = _counted(batch, by, k)
+                for at in range(0, len(made), OUT_ROWS):
+                    yield made.slice(at, OUT_ROWS)
+
+    return ready.mapInArrow(work, kind).groupBy(*by, "pattern").agg(*[F.sum(c).alias(c) for c in ("n", "bytes", "rows")])
+
+
+def unpacked(pattern: str) -> Column:
+    """The symbols of a packed pattern."""
+    plain = lambda s: F.replace(F.replace(s, F.lit(_ESCAPE + "s"), F.lit(_JOINT)), F.lit(_ESCAPE + "e"), F.lit(_ESCAPE))
+    return F.transform(F.split(pattern, _JOINT, -1), lambda s: F.when(s != _ESCAPE + "n", plain(s)))
+
+
+def _counted(batch: pa.RecordBatch, by: list[str], k: int) -> pa.RecordBatch:
+    """The counted patterns of *k* symbols of a batch of sequences."""
+    lists = batch.column(batch.schema.get_field_index("__symbols"))
+    flat = lists.flatten().dictionary_encode()
+    ends = np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64))
+    row = np.repeat(np.arange(len(lists)), np.diff(ends, prepend=0))
+    total = lambda name: np.concatenate([[0], np.cumsum(batch.column(batch.schema.get_field_index(name)).flatten().to_numpy(zero_copy_only=False).astype(np.int64))])
+    size, told = total("__sizes"), total("__told")
+    at = np.arange(len(row))
+    at = at[at + k <= ends[row]]
+    at = at[told[at + k] > told[at]]
+    # Grams are numbered exactly, one symbol more at a time.
+    codes = flat.indices.to_numpy().astype(np.int64)
+    gram = codes[at]
+    for j in range(1, k):
+        gram = np.unique(gram * len(flat.dictionary) + codes[at + j], return_inverse=True)[1]
+    key = np.unique(row[at] * (len(at) + 1) + gram, return_inverse=True)[1]
+    order = np.argsort(key, kind="stable")
+    at, key = at[order], key[order]
+    if len(at) == 0:
+        kept = np.zeros(0, bool)
+    else:
+        place = key * (2 * len(row)) + at
+        new = np.concatenate([[True], key[1:] != key[:-1]])
+        # Always kept: the first of a pattern in a row, and one whose pattern was last seen a whole length before.
+        kept = new | np.concatenate([[True], at[1:] - at[:-1] >= k])
+        front = np.flatnonzero(kept)
+        while len(front):  # the next occurrence beyond each that was kept, within its run
+            front = np.searchsorted(place, place[front] + k)
+            front = front[(front < len(at))]
+            front = front[~kept[front]]
+            kept[front] = True
+    at, key = at[kept], key[kept]
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(at) else np.zeros(0, np.int64)
+    seen = np.diff(first, append=len(at))
+    weight = np.add.reduceat(size[at + k] - size[at], first) if len(at) else np.zeros(0, np.int64)
+    at = at[first]
+    # Rows of one group are added up.
+    group = np.zeros(len(lists), np.int64)
+    for name in by:
+        codes_of = batch.column(batch.schema.get_field_index(name)).dictionary_encode(null_encoding="encode").indices.to_numpy().astype(np.int64)
+        group = np.unique(group * (codes_of.max(initial=0) + 1) + codes_of, return_inverse=True)[1]
+    number = gram[order][kept][first]
+    both = group[row[at]] * (number.max(initial=0) + 1) + number
+    _, one, where = np.unique(both, return_index=True, return_inverse=True)
+    added = []
+    for values in (seen, weight, np.ones(len(at), np.int64)):
+        out = np.zeros(len(one), np.int64)
+        np.add.at(out, where, values)
+        added.append(pa.array(out))
+    at = at[one]
+    symbol = flat.dictionary.cast(pa.string())
+    pattern = pc.binary_join_element_wise(*[symbol.take(pa.array(codes[at + j])) for j in range(k)], _JOINT)
+    own = [batch.column(batch.schema.get_field_index(name)).take(pa.array(row[at])) for name in by]
+    return pa.RecordBatch.from_arrays([*own, pattern, *added], names=[*by, "pattern", "n", "bytes", "rows"])
+
+
 def _any(symbol: Column, parts: list[str]) -> Column:
     out = F.contains(symbol, F.lit(parts[0]))
     for p in parts[1:]:
@@ -43,7 +138,7 @@ def _any(symbol: Column, parts: list[str]) -> Column:
     return out
 
 
-def heldout_macros(rows: DataFrame, unit: str, package: str, klass: str, folds: int = 5, candidates: int = 300, least_count: int = 20, least_packages: int = 3, symbols: str = "opcodes", sizes: str = "sizes", lengths: range = range(4, 9), informative: list[str] | None = INFORMATIVE) -> DataFrame:
+def heldout_macros(rows: DataFrame, package: str, klass: str, folds: int = 5, candidates: int = 300, least_count: int = 20, least_packages: int = 3, symbols: str = "opcodes", sizes: str = "sizes", lengths: range = range(4, 9), informative: list[str] | None = INFORMATIVE) -> DataFrame:
     """``fold, pattern, train_occurrences, train_packages, test_occurrences, test_classes, net_savings`` of each fold's candidates.
 
     A fold holds the packages whose hash falls in it.  On the other folds a pattern is a candidate if it
@@ -51,22 +146,24 @@ def heldout_macros(rows: DataFrame, unit: str, package: str, klass: str, folds:
     enough packages.  Net savings are counted on the fold itself.
     """
     marked = rows.withColumn("own_fold", hash_fold(F.col(package), folds))
-    found = occurrences(marked, [unit, package, klass, "own_fold"], symbols, sizes, lengths, informative)
-    by_pattern = found.groupBy("own_fold", "pattern").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("b"))
+    # The counts are read three times.  Written, their size is known: a plan over small sequences would send all patterns to every task.
+    found = written(pattern_counts(marked, [package, klass, "own_fold"], symbols, sizes, lengths, informative), "patterns")
+    by_pattern = found.groupBy("own_fold", "pattern").agg(F.sum("n").alias("n"), F.sum("bytes").alias("b"))
     every = rows.sparkSession.range(folds).select(F.col("id").alias("fold"))
     train = by_pattern.join(F.broadcast(every), F.col("own_fold") != F.col("fold")).groupBy("fold", "pattern").agg(F.sum("n").alias("train_occurrences"), F.sum("b").alias("train_bytes"))
     mean = F.col("train_bytes") / F.col("train_occurrences")
     estimate = F.col("train_occurrences") * (mean - REFERENCE_BYTES) - mean - CLASS_BYTES
     scored = train.where(F.col("train_occurrences") >= least_count).withColumns({"definition_bytes": mean, "estimate": estimate}).where(F.col("estimate") > 0)
-    best = Window.partitionBy("fold").orderBy(F.desc("estimate"), F.desc("pattern"))
-    chosen = scored.withColumn("place", F.row_number().over(best)).where(F.col("place") <= candidates)
-    seen = found.join(chosen.select("fold", "pattern"), "pattern")
+    best = Window.partitionBy("fold").orderBy(F.desc("estimate"), F.desc("symbols"))
+    chosen = scored.withColumn("symbols", unpacked("pattern")).withColumn("place", F.row_number().over(best)).where(F.col("place") <= candidates)
+    chosen = written(chosen, "candidates")
+    seen = found.join(F.broadcast(chosen.select("fold", "pattern")), "pattern")
     packages = seen.where(F.col("own_fold") != F.col("fold")).groupBy("fold", "pattern").agg(F.count_distinct(package).alias("train_packages"))
-    test = seen.where(F.col("own_fold") == F.col("fold")).groupBy("fold", "pattern").agg(F.count(F.lit(1)).alias("test_occurrences"), F.sum("bytes").alias("test_bytes"), F.count_distinct(klass).alias("test_classes"))
+    test = seen.where(F.col("own_fold") == F.col("fold")).groupBy("fold", "pattern").agg(F.sum("n").alias("test_occurrences"), F.sum("bytes").alias("test_bytes"), F.count_distinct(klass).alias("test_classes"))
     out = chosen.join(packages.where(F.col("train_packages") >= least_packages), ["fold", "pattern"]).join(test, ["fold", "pattern"], "left")
     out = out.na.fill(0, ["test_occurrences", "test_bytes", "test_classes"])
     net = F.col("test_bytes") - REFERENCE_BYTES * F.col("test_occurrences") - F.col("definition_bytes") - CLASS_BYTES * F.col("test_classes")
-    return out.select("fold", "pattern", "train_occurrences", "train_packages", "test_occurrences", "test_classes", net.alias("net_savings"))
+    return out.select("fold", F.col("symbols").alias("pattern"), "train_occurrences", "train_packages", "test_occurrences", "test_classes", net.alias("net_savings"))
 
 
 def fold_summary(macros: DataFrame) -> DataFrame:
