@@ -317,3 +317,18 @@ def test_smallest_per_domain_rounds_as_its_sql(spark, tmp_path):
     con.execute(f"CREATE VIEW part AS SELECT * FROM '{tmp_path}/part.parquet/*.parquet'")
     want = sorted(con.execute(catalog.oracle_sql()["smallest_per_domain"]).fetchall())
     assert sorted(tuple(r) for r in catalog.queries()["smallest_per_domain"](spark, str(tmp_path)).collect()) == want
+
+
+def test_partitions_grow_with_the_tables(spark, tmp_path, monkeypatch):
+    """A graph query's tasks are bounded by the size of its tables; the next query finds the session as it was."""
+    from weftline import catalog, session
+
+    names = [session.INITIAL, "spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.files.maxPartitionBytes"]
+    before = [spark.conf.get(n, None) for n in names]
+    monkeypatch.setattr(session, "TABLE_BYTES", 100)
+    spark.range(3000).select((F.col("id") % 50).alias("l_orderkey"), F.col("id").alias("l_partkey"), F.lit(2.0).alias("l_quantity")).write.parquet(f"{tmp_path}/lineitem.parquet")
+    edges = catalog.queries()["canonical_edges"](spark, str(tmp_path))
+    assert edges.count() == 3000 and int(spark.conf.get(session.INITIAL)) > 50
+    assert int(spark.conf.get(names[1])) <= session.MERGED_BYTES and int(spark.conf.get(names[2])) <= session.SPLIT_BYTES
+    session.ready(spark)
+    assert [spark.conf.get(n, None) for n in names] == before

@@ -8,10 +8,20 @@ from pyspark.sql import DataFrame, SparkSession
 
 from weftline.plans import reports  # noqa: F401  adds its queries
 from weftline.plans.queries import ORACLES, QUERIES
+from weftline.session import sized
+
+
+def _sized(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        sized(spark, sf)
+        return query(spark, sf)
+
+    run.__name__, run.__doc__ = query.__name__, query.__doc__
+    return run
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(QUERIES)
+    return {name: _sized(query) for name, query in QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
