@@ -214,7 +214,7 @@ def gate_set(spark: SparkSession, sf: str) -> DataFrame:
     g = views.typed_graph(spark, sf)
     edges = written(g.edges, "edges")
     targets = g.nodes.select("node_id").unionByName(g.external.select("node_id"))
-    again = views.typed_graph(spark, sf).edges.repartition(3, "dst_id")
+    again = views.typed_graph(spark, sf).edges.repartition("dst_id")  # dealt in another way, over as many tasks as its size asks for
     parts = [written(quality.digest_state(edges.where(F.pmod("src_id", F.lit(3)) == k)), "state") for k in range(3)]
     differ = lambda x, y: x.join(y, x.columns, "left_anti")
     return audits.counted(
