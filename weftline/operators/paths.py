@@ -19,37 +19,51 @@ from weftline.functions.scalars import log10_digits
 from weftline.operators.quality import ContractError
 from weftline.session import checkpoint_dir, discard, written
 
-#: Rows of a round up to which they are broadcast; they are counted before.
-BROADCAST_ROWS = 50_000
+#: Longs of a round's ready nodes up to which they are broadcast; they are counted before.
+BROADCAST_LONGS = 4_000_000
 #: Layers that a job trims before it is written and counted.
 LAYERS = 4
 
 
+def _ends(links: DataFrame, *within: str) -> DataFrame:
+    """``node, n_in, n_out``: all ends of links and their links in and out, in one sum of both ends."""
+    at = lambda end, *counts: links.select(*within, F.col(end).alias("node"), *[F.lit(n).cast("bigint").alias(c) for c, n in zip(("n_in", "n_out"), counts)])
+    return at("dst_id", 1, 0).unionByName(at("src_id", 0, 1)).groupBy(*within, "node").agg(F.sum("n_in").alias("n_in"), F.sum("n_out").alias("n_out"))
+
+
 # --- propagation
 
 
 @dataclass
 class Rounds:
-    """Rounds of a propagation: one folder each of ``node, need, arrived, limbs, ready, round``."""
+    """Rounds of a propagation: one folder each of ``node, need, last, arrived, limbs, ready, round``.
+
+    Nodes and links may have columns *within*, such as a graph of many; links stay within equal ones.
+    """
 
-    links: DataFrame  # src_id, dst_id, multiplicity, need: the links that arrive at the target
+    links: DataFrame  # *within, src_id, dst_id, multiplicity, need: the links that arrive at the target, last: none leaves it
     path: str
     schema: str
+    within: tuple[str, ...]
     add: int  # to a count, as it is passed on
-    last: int = -1
+    left: int  # links that have not been passed
+    round: int = -1
     ready: int = 0
     waiting: int = 0
+    held: int = 0  # links that have arrived at waiting nodes
     width: int = 1  # the most limbs so far
 
     def __post_init__(self) -> None:
         # Expressions that all rounds share.
-        self.passed = [F.col("dst_id").alias("node"), F.col("need"), F.lit(1).cast("bigint").alias("arrived"), limbs.times(F.col("limbs"), F.col("multiplicity"), self.add).alias("limbs")]
-        self.seen = [F.count_if("ready").alias("ready"), F.count_if(~F.col("ready")).alias("waiting"), F.max(F.size("limbs")).alias("width")]
-        self.sums = limbs.Sums(["node"], need=F.max("need"), arrived=F.sum("arrived"))
+        self.key = [*self.within, "node"]
+        self.passed = [*map(F.col, self.within), F.col("dst_id").alias("node"), F.col("need"), F.col("last"), F.lit(1).cast("bigint").alias("arrived"), limbs.times(F.col("limbs"), F.col("multiplicity"), self.add).alias("limbs")]
+        waits = F.when(~F.col("ready"), F.col("arrived"))
+        self.seen = [F.count_if("ready").alias("ready"), F.count_if(~F.col("ready")).alias("waiting"), F.sum("arrived").alias("arrived"), F.sum(waits).alias("held"), F.max(F.size("limbs")).alias("width")]
+        self.sums = limbs.Sums(self.key, need=F.max("need"), last=F.bool_and("last"), arrived=F.sum("arrived"))
 
     def sent(self, ready: DataFrame) -> DataFrame:
         """What ready nodes pass on: ``multiplicity * (add + count)`` along each link."""
-        return self.links.join(ready.select(F.col("node").alias("src_id"), "limbs"), "src_id").select(*self.passed)
+        return self.links.join(ready.select(*self.within, F.col("node").alias("src_id"), "limbs"), [*self.within, "src_id"]).select(*self.passed)
 
     def arrived(self, rows: DataFrame) -> DataFrame:
         """What is there of each node; a product has up to three limbs more than its factor."""
@@ -58,47 +72,58 @@ class Rounds:
     def write(self, rows: DataFrame) -> None:
         """The next round: what has arrived at each node that is not done."""
         seen = Observation()
-        told = rows.selectExpr("node", "need", "arrived", "limbs", "arrived = need AS ready").observe(seen, *self.seen)
-        self.last += 1
-        told.write.parquet(f"{self.path}/round={self.last}")
-        self.ready, self.waiting, self.width = seen.get["ready"], seen.get["waiting"], max(self.width, seen.get["width"] or 1)
+        told = rows.select(*self.key, "need", "last", "arrived", "limbs", (F.col("arrived") == F.col("need")).alias("ready")).observe(seen, *self.seen)
+        self.round += 1
+        told.write.parquet(f"{self.path}/round={self.round}")
+        got = seen.get
+        self.ready, self.waiting, self.width = got["ready"], got["waiting"], max(self.width, got["width"] or 1)
+        self.left -= (got["arrived"] or 0) - self.held
+        self.held = got["held"] or 0
 
     def read(self, k: int) -> DataFrame:
         return self.links.sparkSession.read.schema(self.schema).parquet(f"{self.path}/round={k}")
 
+    def waits(self) -> DataFrame:
+        """The last round's nodes that are not ready."""
+        return self.read(self.round).where(~F.col("ready")).select(*self.key, "need", "last", "arrived", "limbs")
+
     def done(self) -> DataFrame:
-        """``node, limbs, round`` of the nodes that became ready; a round is the longest way to a node."""
+        """``node, limbs, last, round`` of the nodes that became ready; a round is the longest way to a node."""
         kind = f"{self.schema}, round int"
-        return self.links.sparkSession.read.schema(kind).parquet(self.path).where("ready").select("node", "limbs", "round")
+        return self.links.sparkSession.read.schema(kind).parquet(self.path).where("ready").select(*self.key, "limbs", "last", "round")
 
 
-def _start(links: DataFrame, seed: int, add: int) -> Rounds:
+def _start(links: DataFrame, ends: DataFrame, seed: int, add: int, *within: str) -> Rounds:
     """Links counted at their targets; the nodes without incoming links are ready with *seed*."""
     spark = links.sparkSession
-    need = links.groupBy("dst_id").agg(F.count("*").alias("need"))
+    need = ends.where("n_in > 0").select(*within, F.col("node").alias("dst_id"), F.col("n_in").alias("need"), (F.col("n_out") == 0).alias("last"))
     # The side of the counts has a row for each target: a target of very many links is split by adaptive execution.
-    links = written(links.join(need, "dst_id").select("src_id", "dst_id", "multiplicity", "need"), "links")
-    kind = links.schema["src_id"].dataType.simpleString()
-    rounds = Rounds(links, f"{checkpoint_dir(spark)}/weftline/rounds-{uuid.uuid4().hex}", f"node {kind}, need bigint, arrived bigint, limbs array<bigint>, ready boolean", add)
-    first = links.select("src_id").distinct().join(links.select(F.col("dst_id").alias("src_id")).distinct(), "src_id", "left_anti")
+    links = written(links.join(need, [*within, "dst_id"]).select(*within, "src_id", "dst_id", "multiplicity", "need", "last"), "links")
+    kinds = ", ".join([*[f"`{c}` {links.schema[c].dataType.simpleString()}" for c in within], f"node {links.schema['src_id'].dataType.simpleString()}"])
+    rounds = Rounds(links, f"{checkpoint_dir(spark)}/weftline/rounds-{uuid.uuid4().hex}", f"{kinds}, need bigint, last boolean, arrived bigint, limbs array<bigint>, ready boolean", within, add, links.count())
     zero = F.lit(0).cast("bigint")
-    rounds.write(first.select(F.col("src_id").alias("node"), zero.alias("need"), zero.alias("arrived"), F.array(F.lit(seed).cast("bigint")).alias("limbs")))
+    rounds.write(ends.where("n_in = 0").select(*within, "node", zero.alias("need"), (F.col("n_out") == 0).alias("last"), zero.alias("arrived"), F.array(F.lit(seed).cast("bigint")).alias("limbs")))
     return rounds
 
 
 def _propagate(rounds: Rounds) -> None:
-    """Rounds until no node is ready any more.
+    """Rounds until all links are passed or no node is ready any more.
 
     At every power of two the links whose sources are done are dropped, so that what the rounds read shrinks.
     """
-    while rounds.ready:
-        state = rounds.read(rounds.last)
-        ready, waiting = state.where("ready"), state.where(~F.col("ready"))
-        if rounds.last >= 8 and rounds.last & (rounds.last - 1) == 0:
-            rounds.links, old = written(rounds.links.join(rounds.done().where(F.col("round") < rounds.last).select(F.col("node").alias("src_id")), "src_id", "left_anti"), "links"), rounds.links
-            discard(state.sparkSession, old)
-        sent = rounds.sent(F.broadcast(ready) if rounds.ready <= BROADCAST_ROWS else ready)
-        rounds.write(rounds.arrived(waiting.select("node", "need", "arrived", "limbs").unionByName(sent)))
+    while rounds.ready and rounds.left:
+        ready = rounds.read(rounds.round).where("ready")
+        if rounds.round >= 8 and rounds.round & (rounds.round - 1) == 0:
+            rounds.links, old = written(_open(rounds, rounds.done().where(F.col("round") < rounds.round)), "links"), rounds.links
+            discard(ready.sparkSession, old)
+        small = rounds.ready * (4 + rounds.width) <= BROADCAST_LONGS
+        sent = rounds.sent(F.broadcast(ready) if small else ready)
+        rounds.write(rounds.arrived(rounds.waits().unionByName(sent)))
+
+
+def _open(rounds: Rounds, done: DataFrame) -> DataFrame:
+    """The links whose source is not *done*."""
+    return rounds.links.join(done.select(*rounds.within, F.col("node").alias("src_id")), [*rounds.within, "src_id"], "left_anti").select(*rounds.links.columns)
 
 
 # --- cycles
@@ -180,25 +205,40 @@ def incoming_paths(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """
     ids = nodes.select("node_id")
     links = written(links.select("src_id", "dst_id", F.col("multiplicity").cast("bigint").alias("multiplicity")), "links")
+    ends = written(_ends(links), "ends")
     bad = {
         "node ids that repeat": ids.groupBy("node_id").count().where("count > 1"),
         "multiplicities below one": links.where(F.col("multiplicity").isNull() | (F.col("multiplicity") < 1)),
         "links that repeat": links.groupBy("src_id", "dst_id").count().where("count > 1"),
-        "sources that are no node": links.join(ids.withColumnRenamed("node_id", "src_id"), "src_id", "left_anti"),
-        "targets that are no node": links.join(ids.withColumnRenamed("node_id", "dst_id"), "dst_id", "left_anti"),
+        "ends that are no node": ends.join(ids.withColumnRenamed("node_id", "node"), "node", "left_anti"),
     }
     for what, rows in bad.items():
         if rows.head(1):
             raise ContractError(f"there are {what}")
-    rounds = _start(links, 0, 1)
-    _propagate(rounds)
-    stuck = rounds.links.join(rounds.done().select(F.col("node").alias("src_id")), "src_id", "left_anti")
+    loops = links.where(F.col("src_id") == F.col("dst_id")).select(F.col("src_id").alias("node"))
     cyclic = None
-    if stuck.head(1):
-        cyclic = written(cyclic_nodes(stuck), "cyclic")
-        _resume(rounds, written(stuck, "links"), cyclic)
-    onward = rounds.done().select(F.col("node").alias("node_id"), "limbs")
-    total = onward if cyclic is None else _with_boundaries(links, onward, cyclic, rounds.width)
+    onward = links
+    if loops.head(1):
+        # A link to itself keeps no other link waiting.  Its node's links arrive, and pass nothing on.
+        cyclic = written(loops, "cyclic")
+        passes = F.when(F.col("boundary").isNull(), F.col("multiplicity")).otherwise(F.lit(0)).cast("bigint").alias("multiplicity")
+        at_source = cyclic.select(F.col("node").alias("src_id"), F.lit(True).alias("boundary"))
+        onward = links.where(F.col("src_id") != F.col("dst_id")).join(at_source, "src_id", "left").select("src_id", "dst_id", passes)
+        own = cyclic.select("node", F.lit(1).cast("bigint").alias("own"))
+        # An end that has a link to itself alone has none left, and waits for nothing.
+        ends = ends.join(own, "node", "left").select("node", (F.col("n_in") - F.coalesce("own", F.lit(0))).alias("n_in"), (F.col("n_out") - F.coalesce("own", F.lit(0))).alias("n_out"))
+    rounds = _start(onward, ends, 0, 1)
+    _propagate(rounds)
+    if rounds.left:  # longer cycles
+        stuck = written(_open(rounds, rounds.done()), "links")
+        longer = cyclic_nodes(stuck)
+        cyclic = written(longer if cyclic is None else longer.unionByName(cyclic).distinct(), "cyclic")
+        _resume(rounds, stuck, cyclic)
+        total = _with_boundaries(links, _counts(rounds), cyclic, rounds.width)
+    elif cyclic is not None:
+        total = limbs.Sums(["node_id"])(_counts(rounds).unionByName(_out_of(links, cyclic)), rounds.width + 3)
+    else:
+        total = _counts(rounds)
     made = total.select("node_id", limbs.digits(F.col("limbs")).alias("in_paths"))
     out = ids.join(made, "node_id", "left").withColumn("in_paths", F.coalesce("in_paths", F.lit("0")))
     if cyclic is not None:
@@ -207,51 +247,58 @@ def incoming_paths(nodes: DataFrame, links: DataFrame) -> DataFrame:
     return out.select("node_id", "in_paths", log10_digits(F.col("in_paths")).alias("in_paths_log10"), boundary.alias("is_path_cycle_boundary"))
 
 
+def _counts(rounds: Rounds) -> DataFrame:
+    return rounds.done().select(F.col("node").alias("node_id"), "limbs")
+
+
 def _resume(rounds: Rounds, stuck: DataFrame, cyclic: DataFrame) -> None:
     """Go on beyond the cycles: their nodes pass nothing on, but their links have arrived."""
     at = lambda end: cyclic.select(F.col("node").alias(end))
     onward = stuck.join(at("dst_id"), "dst_id", "left_anti")
     zero = F.array(F.lit(0).cast("bigint"))
-    freed = onward.join(at("src_id"), "src_id", "left_semi").select(F.col("dst_id").alias("node"), "need", F.lit(1).cast("bigint").alias("arrived"), zero.alias("limbs"))
-    waiting = rounds.read(rounds.last).where(~F.col("ready")).select("node", "need", "arrived", "limbs").join(at("node"), "node", "left_anti")
+    freed = onward.join(at("src_id"), "src_id", "left_semi").select(F.col("dst_id").alias("node"), "need", "last", F.lit(1).cast("bigint").alias("arrived"), zero.alias("limbs"))
+    waiting = rounds.waits().join(at("node"), "node", "left_anti")
     rounds.links = written(onward.join(at("src_id"), "src_id", "left_anti").select(*stuck.columns), "links")
     rounds.write(rounds.arrived(waiting.unionByName(freed)))
+    rounds.left = rounds.links.count()
     _propagate(rounds)
 
 
+def _out_of(links: DataFrame, cyclic: DataFrame) -> DataFrame:
+    """What links out of cycles count at their targets: their own multiplicity."""
+    return links.join(cyclic.select(F.col("node").alias("src_id")), "src_id", "left_semi").select(F.col("dst_id").alias("node_id"), limbs.of_long(F.col("multiplicity")).alias("limbs"))
+
+
 def _with_boundaries(links: DataFrame, onward: DataFrame, cyclic: DataFrame, width: int) -> DataFrame:
     """All counts: what may go on, what comes from cycles, and what arrives at them."""
     at = lambda end: cyclic.select(F.col("node").alias(end))
     off = onward.join(at("node_id"), "node_id", "left_anti")
-    out_of = links.join(at("src_id"), "src_id", "left_semi").select(F.col("dst_id").alias("node_id"), limbs.of_long(F.col("multiplicity")).alias("limbs"))
     into = links.join(at("dst_id"), "dst_id", "left_semi").join(at("src_id"), "src_id", "left_anti").join(off.withColumnRenamed("node_id", "src_id"), "src_id")
     into = into.select(F.col("dst_id").alias("node_id"), limbs.times(F.col("limbs"), F.col("multiplicity"), 1).alias("limbs"))
-    return limbs.Sums(["node_id"])(off.unionByName(out_of).unionByName(into), width + 3)
+    return limbs.Sums(["node_id"])(off.unionByName(_out_of(links, cyclic)).unionByName(into), width + 3)
 
 
 # --- shared DAGs
 
 
 def _arcs(arcs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Distinct arcs of all DAGs with their number, ends as ``(dag, node)``, and the root of each DAG.
+    """All DAGs' arcs as links ``dag, src_id, dst_id, multiplicity``, and their ends; parallel arcs stay apart.
 
     A DAG without just one root raises ``ContractError``.
     """
-    end = lambda c: F.struct(F.col("dag").cast("bigint").alias("dag"), F.col(c).cast("bigint").alias("node"))
-    counted = written(arcs.groupBy(end("src").alias("parent"), end("dst").alias("child")).agg(F.count("*").alias("multiplicity")), "arcs")
-    ends = counted.select("parent").distinct().join(counted.select(F.col("child").alias("parent")).distinct(), "parent", "left_anti")
-    roots = written(ends.select("parent.dag", F.col("parent").alias("root")), "roots")
-    per_dag = counted.select("parent.dag").distinct().join(roots.groupBy("dag").agg(F.count("*").alias("n")), "dag", "left").where(F.coalesce("n", F.lit(0)) != 1).head()
-    if per_dag:
-        raise ContractError(f"a shared DAG has one root, not {per_dag['n'] or 0}")
-    return counted, roots
-
-
-def _walk(arcs: DataFrame, a: str, b: str, seed: int, add: int) -> DataFrame:
-    """Counts passed from *a* to *b* along all arcs, all DAGs at once; a cycle raises ``ContractError``."""
-    rounds = _start(arcs.select(F.col(a).alias("src_id"), F.col(b).alias("dst_id"), "multiplicity"), seed, add)
+    links = written(arcs.select(*[F.col(a).cast("bigint").alias(b) for a, b in (("dag", "dag"), ("src", "src_id"), ("dst", "dst_id"))], F.lit(1).cast("bigint").alias("multiplicity")), "arcs")
+    ends = written(_ends(links, "dag"), "ends")
+    bad = ends.groupBy("dag").agg(F.count_if(F.col("n_in") == 0).alias("n")).where("n != 1").head()
+    if bad:
+        raise ContractError(f"a shared DAG has one root, not {bad['n']}")
+    return links, ends
+
+
+def _walk(links: DataFrame, ends: DataFrame, seed: int, add: int) -> DataFrame:
+    """Counts passed along all arcs, all DAGs at once; a cycle raises ``ContractError``."""
+    rounds = _start(links, ends, seed, add, "dag")
     _propagate(rounds)
-    if rounds.waiting or rounds.links.join(rounds.done().select(F.col("node").alias("src_id")), "src_id", "left_anti").head(1):
+    if rounds.left:
         raise ContractError("the graph has a cycle")
     return rounds.done()
 
@@ -264,13 +311,12 @@ def expression_table(arcs: DataFrame) -> DataFrame:
     the longest way.  Parallel arcs count each; a DAG with a cycle or without just one root raises
     ``ContractError``; without arcs there is no row.  All DAGs are walked at once, from the leaves up.
     """
-    counted, roots = _arcs(arcs)
-    sizes = _walk(counted, "child", "parent", 0, 1)
-    at_root = roots.join(sizes.withColumnRenamed("node", "root"), "root")
-    facts = counted.groupBy("parent.dag").agg(F.sum("multiplicity").alias("arcs"))
-    nodes = counted.groupBy("child").agg(F.lit(1).alias("one")).groupBy("child.dag").agg((F.count("*") + 1).alias("unique_nodes"))
+    links, ends = _arcs(arcs)
+    up = lambda df, a, b: df.select(*[F.col({a: b, b: a}.get(c, c)).alias(c) for c in df.columns])
+    at_root = _walk(up(links, "src_id", "dst_id"), up(ends, "n_in", "n_out"), 0, 1).where("last")
+    facts = ends.groupBy("dag").agg(F.count("*").alias("unique_nodes"), F.sum("n_in").alias("arcs"))
     size = limbs.digits(limbs.times(F.col("limbs"), F.lit(1).cast("bigint"), 1)).alias("tree_occurrences")
-    return at_root.join(facts, "dag").join(nodes, "dag").select("dag", size, "unique_nodes", "arcs", (F.col("round") + 1).cast("bigint").alias("max_depth"))
+    return at_root.join(facts, "dag").select("dag", size, "unique_nodes", "arcs", (F.col("round") + 1).cast("bigint").alias("max_depth"))
 
 
 def leaf_table(arcs: DataFrame) -> DataFrame:
@@ -278,10 +324,8 @@ def leaf_table(arcs: DataFrame) -> DataFrame:
 
     Every node passes on how often it occurs, from the roots down; the contract is that of ``expression_table``.
     """
-    counted, _ = _arcs(arcs)
-    found = _walk(counted, "parent", "child", 1, 0)
-    leaves = found.join(counted.select(F.col("parent").alias("node")).distinct(), "node", "left_anti")
-    return leaves.select("node.dag", F.col("node.node").alias("leaf"), limbs.digits(F.col("limbs")).alias("occurrences"))
+    leaves = _walk(*_arcs(arcs), 1, 0).where("last")
+    return leaves.select("dag", F.col("node").alias("leaf"), limbs.digits(F.col("limbs")).alias("occurrences"))
 
 
 def ancestors(classes: DataFrame) -> DataFrame:
