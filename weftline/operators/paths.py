@@ -21,8 +21,6 @@ from weftline.session import checkpoint_dir, discard, written
 
 #: Longs of a round's ready nodes up to which they are broadcast; they are counted before.
 BROADCAST_LONGS = 4_000_000
-#: Layers that a job trims before it is written and counted.
-LAYERS = 4
 
 
 def _ends(links: DataFrame, *within: str) -> DataFrame:
@@ -129,40 +127,43 @@ def _open(rounds: Rounds, done: DataFrame) -> DataFrame:
 # --- cycles
 
 
-def _trim(links: DataFrame) -> DataFrame:
-    """Links without those of nodes that have no link in or none out."""
-    for _ in range(LAYERS):
-        links = links.join(links.select(F.col("src_id").alias("dst_id")).distinct(), "dst_id", "left_semi").select("src_id", "dst_id")
-        links = links.join(links.select(F.col("dst_id").alias("src_id")).distinct(), "src_id", "left_semi").select("src_id", "dst_id")
-    return links
-
-
 def _push(links: DataFrame, labels: DataFrame) -> DataFrame:
     """Each node's largest label among its own and those of the nodes with a link to it."""
     pushed = links.join(labels.withColumnRenamed("node", "src_id"), "src_id").select(F.col("dst_id").alias("node"), "colour")
     return labels.unionByName(pushed).groupBy("node").agg(F.max("colour").alias("colour"))
 
 
+def _without(links: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Links that touch none of *nodes*."""
+    for end in ("src_id", "dst_id"):
+        links = links.join(nodes.select(F.col("node").alias(end)), end, "left_anti")
+    return links.select("src_id", "dst_id")
+
+
 def cyclic_nodes(links: DataFrame) -> DataFrame:
     """``node`` on a cycle, of ``src_id, dst_id``: by trimming, then colouring and walking back.
 
     Every node takes the largest label that reaches it.  In a colour, the nodes that reach the label's own
     node are one strong component.  Components leave with their links; the rest is trimmed and coloured anew.
-    A job takes several steps before its result is written.  Nulls are no nodes; repeated links count once.
+    Trimming drops nodes without links in or out; links are written anew only where there are such nodes.
+    Links are read from what was written first.  Nulls are no nodes; repeated links change nothing.
     """
     spark = links.sparkSession
-    links = links.where(F.col("src_id").isNotNull() & F.col("dst_id").isNotNull()).select("src_id", "dst_id")
+    links = written(links.where(F.col("src_id").isNotNull() & F.col("dst_id").isNotNull()).select("src_id", "dst_id"), "core")
     found = links.where(F.col("src_id") == F.col("dst_id")).select(F.col("src_id").alias("node")).distinct()
-    rest = written(links.where(F.col("src_id") != F.col("dst_id")).distinct(), "core")
-    size = rest.count()
-    while size:
-        rest, old = written(_trim(rest), "core"), rest
-        discard(spark, old)
-        size, before = rest.count(), size
-        if size < before:
+    rest = links.where(F.col("src_id") != F.col("dst_id"))
+    old: list[DataFrame] = []  # what *rest* is read from, where it is not the first
+    while rest.head(1):
+        ends = written(_ends(rest), "ends")
+        idle = ends.where("n_in = 0 OR n_out = 0")
+        if idle.head(1):
+            rest = written(_without(rest, idle), "core")
+            discard(spark, ends, *old)
+            old = [rest]
             continue
-        labels = rest.select(F.explode(F.array("src_id", "dst_id")).alias("node")).distinct().withColumn("colour", F.col("node"))
-        labels, moved = written(labels, "colour"), True
+        labels, moved = written(ends.select("node", F.col("node").alias("colour")), "colour"), True
+        size = ends.count()
+        discard(spark, ends)
         while moved:
             new = written(_push(rest, _push(rest, labels)), "colour")
             moved = new.join(labels.withColumnRenamed("colour", "old"), "node").where(F.col("colour") > F.col("old")).head(1)
@@ -180,12 +181,11 @@ def cyclic_nodes(links: DataFrame) -> DataFrame:
         groups = reached.join(labels, "node")
         members = groups.join(groups.groupBy("colour").agg(F.count("*").alias("n")).where(F.col("n") > 1), "colour").select("node")
         found = found.unionByName(written(members, "cyclic"))
-        old = rest
-        for end in ("src_id", "dst_id"):
-            rest = rest.join(reached.withColumnRenamed("node", end), end, "left_anti")
-        rest = written(rest.select("src_id", "dst_id"), "core")
-        discard(spark, old, same, labels)
-        size = rest.count()
+        rest = rest.limit(0) if reached.count() == size else written(_without(rest, reached), "core")
+        discard(spark, same, labels, *old)
+        if not hasattr(rest, "written_path"):
+            break
+        old = [rest]
     return found.distinct()
 
 
