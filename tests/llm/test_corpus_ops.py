@@ -85,6 +85,23 @@ def test_automaton_follows_failure_arcs():
     assert len(set(name.values())) == len(name) > 6
 
 
+def test_ngrams_are_told_apart_by_one_sort(monkeypatch):
+    """op4_lm_score: values, first places and which is where, as numpy's search gives them, which a block does not run."""
+    rng = np.random.default_rng(4)
+    for size, top in ((0, 1), (1, 1), (500, 40), (500, 2**62)):
+        values = rng.integers(0, top, size, dtype=np.uint64)
+        for got, want in zip(lm_score._distinct(values), np.unique(values, return_index=True, return_inverse=True), strict=True):
+            assert got.tolist() == want.tolist()
+    monkeypatch.setattr(np, "unique", lambda *a, **k: pytest.fail("searched"))
+    grams = lm_score._Grams(pa.array(["a b a", "b", ""], pa.large_string()), 3, (60, 46, 46))
+    counts = [lm_score._learnt(g, np.ones(len(g), bool))[1] for g in grams.hashes]
+    machine = lm_score.Automaton(grams, counts, 7, 3, 3, (30.0, 2.0))
+    assert machine.traverse(grams.first, grams.per).shape == (3,)
+    merge = lm_score._Merge([lm_score._pack(np.array(v, np.uint64), np.ones(len(v), np.int64)) for v in ([1, 5], [5, 9], [])])
+    assert (merge.values.tolist(), merge.counts.tolist()) == ([1, 5, 9], [1, 2, 1])
+
+
+
 def test_model_is_a_distribution(spark):
     """Probabilities of all continuations of a history sum to one, the unknown word included."""
     vocab = ["a", "b", "c"]

@@ -27,6 +27,7 @@ of a block advance together, a token a step, and carry their state.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -109,6 +110,22 @@ def _unpack_counts(blob: bytes, n: int) -> np.ndarray:
     return _counts_from(zstandard.ZstdDecompressor().decompress(blob, max_output_size=9 * n + 64), n)
 
 
+def _distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct values, the first place of each, and which of them is at each place: by one sort.
+
+    ``np.unique`` looks values up in a hash table, which takes several times as long where most are distinct.
+    """
+    if not len(values):
+        return values, np.zeros(0, np.int64), np.zeros(0, np.int64)
+    sort = np.argsort(values)
+    ranked = values[sort]
+    new = np.append(True, ranked[1:] != ranked[:-1])
+    edge = np.flatnonzero(new)
+    which = np.empty(len(values), np.int64)
+    which[sort] = np.cumsum(new) - 1
+    return ranked[edge], np.minimum.reduceat(sort, edge), which
+
+
 class _Grams:
     """The n-grams of one block of texts, order by order."""
 
@@ -119,6 +136,11 @@ class _Grams:
         self.first = np.cumsum(self.per) - self.per
         self.hashes = [g >> np.uint64(64 - b) for g, b in zip(gram_hashes(tokens, self.per, order), hash_bits)] if len(tokens) else [np.zeros(0, np.uint64)] * order
 
+    @cached_property
+    def distinct(self) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """``_distinct`` of each order."""
+        return [_distinct(g) for g in self.hashes]
+
 
 def _learnt(grams: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct hashes and how often the learnt rows hold them."""
@@ -146,8 +168,7 @@ class Automaton:
         starts = np.zeros(int(grams.per.sum()), bool)
         starts[grams.first] = True
         at, own = [], []  # a place of each distinct n-gram; the n-gram at each place
-        for g in grams.hashes:
-            _, place, inverse = np.unique(g, return_index=True, return_inverse=True)
+        for _, place, inverse in grams.distinct:
             at.append(place)
             own.append(inverse)
         self.words, self.n_words = own[0], max(len(at[0]), 1)
@@ -281,7 +302,7 @@ def score(
     def traverse(key, left: pa.Table, right: pa.Table) -> pa.Table:
         """The texts of one block over its part of the automaton."""
         grams = _Grams(left.column(n_carry).cast(pa.large_string()).combine_chunks(), order, hash_bits)
-        counts = _by_order(right, [np.unique(g) for g in grams.hashes], hash_bits, range_bits)
+        counts = _by_order(right, [values for values, _, _ in grams.distinct], hash_bits, range_bits)
         automaton = Automaton(grams, counts, n_train, n_vocab, opening, strength)
         sums = lambda x: np.add.reduceat(x[automaton.words], grams.first)
         out = [grams.per, sums((counts[0] > 0).astype(np.int64)), np.full(left.num_rows, n_train), sums(automaton.root_weight), automaton.traverse(grams.first, grams.per)]
@@ -324,7 +345,7 @@ class _Merge:
         own = [_unpack(b) for b in blobs]
         self.sizes = [len(v) for v, _ in own]
         joined, counts = np.concatenate([v for v, _ in own]), np.concatenate([c for _, c in own])
-        self.values, self.at = np.unique(joined, return_inverse=True)
+        self.values, _, self.at = _distinct(joined)
         self.counts = np.bincount(self.at, counts, len(self.values)).astype(np.int64)
 
     def answers(self, counts: np.ndarray) -> list[bytes]:
